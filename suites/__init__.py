@@ -47,3 +47,20 @@ def with_fixtures(sql: str) -> str:
         sql = sql[match.end():]
         return f"WITH {recursive}" + ",\n".join(heads + [sql]) if heads else f"WITH {recursive}{sql}"
     return ("WITH " + ",\n".join(heads) + "\n" + sql) if heads else sql
+
+
+def digest(df: DataFrame, value) -> DataFrame:
+    """Per scan: rows, sum of ``value`` (an integer) and a position-weighted sum."""
+    from pyspark.sql import functions as F
+    at = F.col("z") * 10007 + F.col("y") * 101 + F.col("x")
+    df = df.select("scan_id", F.expr(value).alias("_v") if isinstance(value, str) else value.alias("_v"),
+                   at.alias("_at"))
+    return df.groupBy("scan_id").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("_v").alias("total"),
+        F.sum(F.col("_v") * F.col("_at")).alias("weighted"), F.sum("_at").alias("places"))
+
+
+def digest_sql(table: str, value: str) -> str:
+    return (f"SELECT scan_id, count(*) AS n, cast(sum({value}) AS BIGINT) AS total, "
+            f"cast(sum(({value}) * (z*10007 + y*101 + x)) AS BIGINT) AS weighted, "
+            f"cast(sum(z*10007 + y*101 + x) AS BIGINT) AS places FROM {table} GROUP BY scan_id")

@@ -98,6 +98,8 @@ CTES: dict[str, str] = {
    LEFT JOIN jaw_labels l USING (scan_id, z, y, x))""",
     "tooth_pred": f"""SELECT scan_id, z, y, x, {TOOTH} AS id FROM
   (SELECT *, scan_id AS k FROM jaw_labels WHERE label IN (3, 4))""",
+    "tooth_truth": """SELECT scan_id, z, y, x, cast(floor((x+1)/3.0) as int)
+   + case when label = 4 then 16 else 0 end AS id FROM jaw_labels WHERE label IN (3, 4)""",
     "run_log": f"""SELECT run_id, seq, ts, {_chars(LINE, 'duck')} AS line FROM (SELECT user_id AS run_id, ts,
   row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS seq FROM events)""",
     "guard_lines": f"""SELECT event_id AS line_id,
@@ -133,6 +135,19 @@ class Fixtures:
             f"array_repeat({SPACING}, 3) AS spacing", "array(-10D, 20D, 5D) AS origin",
             "array(case when k % 7 = 0 then -1D else 1D end,0D,0D,0D,1D,0D,0D,0D,1D) AS direction")
 
+    @cached_property
+    def qc_scans(self) -> DataFrame:
+        """The same frames on a 6 mm grid, where limits in mm and cm3 bite."""
+        return self.scans.selectExpr(
+            "scan_id", "nx", "ny", "nz", "array(6D, 6D, 6D) AS spacing", "origin",
+            "array(1D,0D,0D,0D,1D,0D,0D,0D,1D) AS direction")
+
+    @cached_property
+    def tooth_truth(self) -> DataFrame:
+        return self.labels.filter("label in (3, 4)").selectExpr(
+            "scan_id", "z", "y", "x",
+            "cast(floor((x+1)/3.0) + case when label = 4 then 16 else 0 end as short) AS id")
+
     @cached_property
     def headers(self) -> DataFrame:
         k = self.table("supplier").select(F.col("s_suppkey").alias("k"))

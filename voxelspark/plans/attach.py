@@ -29,7 +29,13 @@ def attach(rows: DataFrame, facts: DataFrame, on: str | Sequence[str] = "scan_id
     keys = [on] if isinstance(on, str) else list(on)
     if fits_broadcast(facts if sized_by is None else sized_by, row_bytes):
         return rows.join(F.broadcast(facts), keys, how)
+    return salted_join(rows, facts, keys, how, salt_by)
+
+
+def salted_join(rows: DataFrame, facts: DataFrame, keys: Sequence[str], how: str = "inner",
+                salt_by: Sequence[str] = ("z", "y")) -> DataFrame:
+    """Shuffle join in which every key of ``rows`` is spread over ``SALTS`` tasks."""
     spread = F.pmod(F.hash(*salt_by), F.lit(SALTS))
     copies = facts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return (rows.withColumn("_salt", spread)
-            .join(copies, keys + ["_salt"], how).drop("_salt"))
+            .join(copies, [*keys, "_salt"], how).drop("_salt"))
