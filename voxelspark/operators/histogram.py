@@ -5,10 +5,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from voxelspark.operators.quantiles import value_counts, weighted_quantiles
 from voxelspark.plans.attach import attach
 from voxelspark.plans.ordered import number_rows
+from voxelspark.session import cut_lineage
 
 # Fixed values.
 MIN_INSIDE = 1000
@@ -24,14 +26,15 @@ def inside_fov(voxels: DataFrame, max_voxels: int = MAX_INSIDE, min_voxels: int
     Scans with more than ``max_voxels`` keep every (n // max_voxels)-th voxel in
     z, y, x order; positions are numbered plane by plane, not scan by scan.
     """
-    counts = value_counts(voxels, ["scan_id"], "hu")
+    counts = cut_lineage(value_counts(voxels, ["scan_id"], "hu"))
     low = counts.groupBy("scan_id").agg(F.min("value").alias("low"), F.sum("n").alias("n_all"))
     facts = (counts.join(low, "scan_id").groupBy("scan_id", "low", "n_all")
              .agg(F.sum(F.when(F.col("value") > F.col("low") + 1, F.col("n")).otherwise(0)).alias("n_in")))
     few = F.col("n_in") < min_voxels
     facts = facts.select("scan_id", F.when(few, F.lit(float("-inf"))).otherwise(F.col("low") + 1).alias("floor"),
                          F.when(few, F.col("n_all")).otherwise(F.col("n_in")).alias("n_used"))
-    both = attach(voxels, facts, sized_by=low).filter(F.col("hu") > F.col("floor"))
+    facts = cut_lineage(facts)
+    both = attach(voxels, facts).filter(F.col("hu") > F.col("floor"))
     cols = voxels.columns
     whole = both.filter(F.col("n_used") <= max_voxels).select(cols)
     thinned = number_rows(both.filter(F.col("n_used") > max_voxels), ["scan_id"], F.col("z"), ["z", "y", "x"])
@@ -74,8 +77,7 @@ def best_split(counts: np.ndarray) -> tuple[int, int]:
     return int(i), int(j)
 
 
-@F.pandas_udf("array<int>")
-def _cuts(hist: pd.Series) -> pd.Series:
+def _cut_bins(hist: pd.Series) -> pd.Series:
     return hist.map(lambda h: list(best_split(np.asarray(h, dtype=np.int64))))
 
 
@@ -85,13 +87,14 @@ def otsu_thresholds(voxels: DataFrame, bins: int = BINS) -> DataFrame:
     ``high`` is the 99.5th percentile, at least ``auto + 1``. Voxels are read
     once, into value counts; the rest works on those.
     """
-    counts = value_counts(voxels, ["scan_id"], "hu")
+    cut_bins = F.pandas_udf(_cut_bins, T.ArrayType(T.IntegerType()))
+    counts = cut_lineage(value_counts(voxels, ["scan_id"], "hu"))
     hist = histogram(counts, bins)
     filled = hist.groupBy("scan_id", "first", "bin_width").agg(
         F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("m"))
     arrays = filled.select("scan_id", "first", "bin_width", F.transform(
         F.sequence(F.lit(0), F.lit(bins - 1)), lambda b: F.coalesce(F.col("m")[b], F.lit(0))).alias("h"))
-    cuts = arrays.select("scan_id", "first", "bin_width", _cuts("h").alias("c"))
+    cuts = arrays.select("scan_id", "first", "bin_width", cut_bins("h").alias("c"))
     edge = [F.col("first") + F.col("bin_width") * (F.col("c")[i] + 1) for i in (0, 1)]
     cuts = cuts.select("scan_id", edge[0].alias("low"), edge[1].alias("auto"))
     top = weighted_quantiles(counts, ["scan_id"], [TOP_FRACTION])

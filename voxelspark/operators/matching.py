@@ -11,6 +11,7 @@ from voxelspark.operators.crop import within
 from voxelspark.operators.measure import bounding_box
 from voxelspark.operators.quantiles import quantiles, value_counts, weighted_quantiles
 from voxelspark.plans.attach import salted_join
+from voxelspark.session import cut_lineage
 
 # Fixed values.
 LEVELS = 256
@@ -26,7 +27,7 @@ def match_quantiles(voxels: DataFrame, fractions: Sequence[float], reference: Se
     values beyond the knots are clamped. The map is worked out per distinct
     value and then joined back, so its cost follows distinct values, not voxels.
     """
-    counts = value_counts(voxels, ["scan_id"], "hu")
+    counts = cut_lineage(value_counts(voxels, ["scan_id"], "hu"))
     target = F.array(*[F.lit(float(v)) for v in reference])
     knots = weighted_quantiles(counts, ["scan_id"], fractions)
     knots = knots.groupBy("scan_id", F.col("value").alias("x0")).agg(F.min("level").alias("level"))

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxelspark.plans.ordered import running_sum
+from voxelspark.session import cut_lineage
 
 
 def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -28,9 +29,8 @@ def weighted_quantiles(counts: DataFrame, keys: Sequence[str], fractions: Sequen
     ``fractions``. ``width`` is the bucket width in units of the value.
     """
     keys = list(keys)
-    ranked = running_sum(counts, keys, F.floor(F.col("value") / width), ["value"], {"cum": F.col("n")})
-    totals = counts.groupBy(*keys).agg(F.sum("n").alias("total"))
-    ranked = ranked.join(totals, keys) if keys else ranked.crossJoin(totals)
+    ranked = running_sum(counts, keys, F.floor(F.col("value") / width), ["value"], {"cum": F.col("n")},
+                         totals=True).withColumnRenamed("cum_total", "total")
     wanted = F.array(*[F.struct(F.lit(i).alias("level"), F.lit(float(q)).alias("fraction"))
                        for i, q in enumerate(fractions)])
     at = lambda w: w["fraction"] * (F.col("total") - 1)                       # noqa: E731
@@ -48,7 +48,8 @@ def weighted_quantiles(counts: DataFrame, keys: Sequence[str], fractions: Sequen
 
 def quantiles(df: DataFrame, keys: Sequence[str], value: str, fractions: Sequence[float],
               width: float = 1.0) -> DataFrame:
-    return weighted_quantiles(value_counts(df, keys, value), keys, fractions, width)
+    """Exact quantiles of ``value`` per ``keys``; the counts are written once and read twice."""
+    return weighted_quantiles(cut_lineage(value_counts(df, keys, value)), keys, fractions, width)
 
 
 def intensity_percentiles(voxels: DataFrame, fractions: Sequence[float]) -> DataFrame:

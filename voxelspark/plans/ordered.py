@@ -69,8 +69,11 @@ def carry_last(df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequen
 
 
 def running_sum(df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence,
-                columns: dict[str, Column]) -> DataFrame:
-    """Per output name, the sum of the column up to and including the row."""
+                columns: dict[str, Column], totals: bool = False) -> DataFrame:
+    """Per output name, the sum of the column up to and including the row.
+
+    With ``totals`` the sum over the whole group is added as ``<name>_total``.
+    """
     df = df.withColumn("_bucket", bucket)
     keys, inner, outer = _parts(keys, order)
     upto = inner.rowsBetween(W.unboundedPreceding, 0)
@@ -79,7 +82,9 @@ def running_sum(df: DataFrame, keys: Sequence[str], bucket: Column, order: Seque
     ends = df.groupBy(*keys, "_bucket").agg(*[F.sum(f"_v_{n}").alias(f"_e_{n}") for n in columns])
     ends = ends.select(*keys, "_bucket",
                        *[F.coalesce(F.sum(f"_e_{n}").over(before), F.lit(0)).alias(f"_c_{n}")
-                         for n in columns])
+                         for n in columns],
+                       *[F.sum(f"_e_{n}").over(W.partitionBy(*keys)).alias(f"{n}_total")
+                         for n in columns if totals])
     df = df.withColumns({f"_i_{n}": F.sum(f"_v_{n}").over(upto) for n in columns})
     joined = _with_bucket_facts(df, ends, keys)
     joined = joined.withColumns({n: F.col(f"_i_{n}") + F.col(f"_c_{n}") for n in columns})
