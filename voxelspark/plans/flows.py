@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from voxelspark.functions import geometry as G
 from voxelspark.functions import intensity as I
-from voxelspark.operators import measure
+from voxelspark.operators import crop, measure, tiles
 from voxelspark.plans.attach import attach
 
 
@@ -17,3 +17,12 @@ def class_volumes_of_valid_scans(voxels: DataFrame, scans: DataFrame) -> DataFra
     kept = attach(voxels, ok.select("scan_id"), sized_by=scans)
     labels = kept.select("scan_id", F.when(v > 0.5, 1).when(v > -0.8, 2).alias("label")).filter("label is not null")
     return measure.class_volumes(labels, ok)
+
+
+def score_volumes(voxels: DataFrame, scans: DataFrame, score, tile, num_classes: int,
+                  overlap: float = 0.5) -> DataFrame:
+    """Pad, cut, score, blend and un-pad every scan: one logit array per voxel."""
+    padded = scans.withColumns({f"n{a}": F.greatest(F.col(f"n{a}"), F.lit(int(t))) for a, t in zip("zyx", tile)})
+    cut = tiles.tile_voxels(crop.pad_edge(voxels, scans, tile), padded, tile, overlap)
+    blended = tiles.blend_tiles(tiles.score_tiles(cut, score, tile), tile, num_classes)
+    return crop.unpad(blended, scans)
