@@ -32,6 +32,15 @@ def attach(rows: DataFrame, facts: DataFrame, on: str | Sequence[str] = "scan_id
     return salted_join(rows, facts, keys, how, salt_by)
 
 
+def join_measured(rows: DataFrame, facts: DataFrame, on: Sequence[str], how: str = "inner",
+                  row_bytes: int = 128) -> DataFrame:
+    """Join on keys that repeat a bounded number of times: broadcast when ``facts``
+    (a written table, cheap to count) is small enough, else an ordinary shuffle join."""
+    if fits_broadcast(facts, row_bytes):
+        facts = F.broadcast(facts)
+    return rows.join(facts, list(on), how)
+
+
 def salted_join(rows: DataFrame, facts: DataFrame, keys: Sequence[str], how: str = "inner",
                 salt_by: Sequence[str] = ("z", "y")) -> DataFrame:
     """Shuffle join in which every key of ``rows`` is spread over ``SALTS`` tasks."""
