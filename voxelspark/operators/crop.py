@@ -81,3 +81,19 @@ def coverage_ranges(grid: DataFrame, sub: DataFrame, x_range: bool = False) -> D
         out["ax"] = F.greatest(out["ax"], F.col("half_lo"))
         out["bx"] = F.least(out["bx"], F.col("half_hi"))
     return both.select("scan_id", *[v.alias(k) for k, v in out.items()])
+
+
+def cropped_headers(ranges: DataFrame) -> DataFrame:
+    """Headers of the cropped frames: ``ranges`` holds the header columns and a*/b*."""
+    origin = F.array(*G.to_physical([F.col(f"a{a}") for a in G.AXES]))
+    return ranges.select("scan_id", *[(F.col(f"b{a}") - F.col(f"a{a}")).alias(f"n{a}") for a in G.AXES],
+                         "spacing", origin.alias("origin"), "direction")
+
+
+def recentred(voxels: DataFrame, ranges: DataFrame, sized_by: DataFrame | None = None) -> DataFrame:
+    """Voxels within a*/b*, counted from the corner of the crop."""
+    both = attach(voxels, ranges.select("scan_id", *[f"{e}{a}" for e in "ab" for a in G.AXES]), sized_by=sized_by)
+    for a in G.AXES:
+        both = both.filter((F.col(a) >= F.col(f"a{a}")) & (F.col(a) < F.col(f"b{a}")))
+    both = both.withColumns({a: F.col(a) - F.col(f"a{a}") for a in "zyx"})
+    return both.select(*voxels.columns)
