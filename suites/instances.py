@@ -165,9 +165,8 @@ def _(fx):
 
 @check("a11_calibrate_triggers", _HEALTH + """, ft AS (SELECT 'vol_min' AS feature, vol_min AS v, true AS low_is_bad FROM hl UNION ALL SELECT 'span_frac', span_frac, true FROM hl
   UNION ALL SELECT 'comps_max', comps_max, false FROM hl)
- SELECT feature, low_is_bad, round(quantile_cont(v::DOUBLE, case when low_is_bad then 0.03 else 0.97 end), 6) AS threshold FROM ft GROUP BY ALL""".replace(
-    "quantile_cont(v::DOUBLE, case when low_is_bad then 0.03 else 0.97 end)",
-    "case when low_is_bad then quantile_cont(v::DOUBLE, 0.03) else quantile_cont(v::DOUBLE, 0.97) end"))
+ SELECT feature, low_is_bad, round(case when low_is_bad then lo else hi end, 6) AS threshold FROM (SELECT feature, low_is_bad,
+  quantile_cont(v::DOUBLE, 0.03) AS lo, quantile_cont(v::DOUBLE, 0.97) AS hi FROM ft GROUP BY ALL)""")
 def _(fx):
     h = canal.canal_health(fx.labels, fx.qc_scans, block=BLOCK)
     feats = h.select(F.explode(F.array(*[F.struct(F.lit(n).alias("feature"), F.col(n).cast("double").alias("value"),

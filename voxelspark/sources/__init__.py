@@ -1 +1 @@
-
+"""Manifests, series, volumes, reports, caches and configuration."""
