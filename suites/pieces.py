@@ -31,8 +31,7 @@ EXPAND = "SELECT scan_id, {cols}, z, y, unnest(range(x0, x1 + 1)) AS x FROM piec
 @check("c01_connected_components", JAW + " " + EXPAND.format(cols="g AS label, comp"))
 def _(fx):
     parts = C.connected_components(fx.labels, block=BLOCK)
-    return C.join_measured(parts.voxels, parts.nodes.select(*parts.keys, "node", "comp"),
-                           [*parts.keys, "node"]).drop("node")
+    return parts.join(parts.sizes().select(*parts.keys, "comp"))
 
 
 @check("c01_connected_components_26", "WITH RECURSIVE " + pieces_sql("voxels WHERE hu > 1300", "1::INT", 26)

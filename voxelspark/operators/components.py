@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from voxelspark.functions.naming import min_volume
 from voxelspark.operators.measure import voxel_cm3
-from voxelspark.plans.attach import attach, join_measured, salted_join
+from voxelspark.plans.attach import attach, fits_broadcast, salted_join
 from voxelspark.plans.ordered import number_rows
 from voxelspark.session import cut_lineage
 
@@ -35,20 +35,23 @@ def half_offsets(connectivity: int) -> list[tuple[int, int, int]]:
     return every if connectivity == 26 else [d for d in every if sum(map(abs, d)) == 1]
 
 
-def local_roots(pos: np.ndarray, block: int, offsets: Sequence[tuple[int, int, int]]) -> np.ndarray:
-    """Smallest position of each voxel's component within one block."""
-    order = np.argsort(pos)
-    p = pos[order].astype(np.int64)
-    coord = np.stack([p // (block * block), p // block % block, p % block])
+def local_roots(pos: np.ndarray, cell: np.ndarray, block: int, offsets: Sequence[tuple[int, int, int]]) -> np.ndarray:
+    """Smallest position of each voxel's component; ``cell`` numbers the block of each position."""
+    volume = block ** 3
+    p = cell.astype(np.int64) * volume + pos
+    order = np.argsort(p)
+    p = p[order]
+    at = p % volume
+    coord = np.stack([at // (block * block), at // block % block, at % block])
     left, right = [], []
     for d in offsets:
         moved = coord + np.array(d)[:, None]
-        inside = ((moved >= 0) & (moved < block)).all(0)
-        want = (moved[0] * block + moved[1]) * block + moved[2]
-        at = np.minimum(np.searchsorted(p, want), len(p) - 1)
-        hit = np.flatnonzero(inside & (p[at] == want))
-        left.append(hit)
-        right.append(at[hit])
+        inside = np.flatnonzero(((moved >= 0) & (moved < block)).all(0))
+        want = p[inside] + (d[0] * block + d[1]) * block + d[2]
+        found = np.minimum(np.searchsorted(p, want), len(p) - 1)
+        hit = p[found] == want
+        left.append(inside[hit])
+        right.append(found[hit])
     a, b = np.concatenate(left), np.concatenate(right)
     root = np.arange(len(p))
     while True:
@@ -62,10 +65,24 @@ def local_roots(pos: np.ndarray, block: int, offsets: Sequence[tuple[int, int, i
             break
         root = new
     out = np.empty(len(p), np.int32)
-    out[order] = p[root]
+    out[order] = p[root] % volume
     return out
 
 
+def roots_of_blocks(blocks: pd.Series, block: int, offsets: Sequence[tuple[int, int, int]],
+                    at_once: int = 1 << 22) -> pd.Series:
+    """``local_roots`` for a batch of blocks, many small ones together."""
+    sizes = blocks.map(len).to_numpy()
+    group = np.cumsum(sizes) // at_once
+    out = []
+    for g in np.unique(group):
+        some = np.flatnonzero(group == g)
+        cell = np.repeat(np.arange(len(some)), sizes[some])
+        roots = local_roots(np.concatenate([np.asarray(blocks.iloc[i]) for i in some]), cell, block, offsets)
+        out += np.split(roots, np.cumsum(sizes[some])[:-1])
+    return pd.Series(out, index=blocks.index)
+
+
 def _pack(z: Column, y: Column, x: Column) -> Column:
     step = F.lit(1 << _BITS)
     return (z.cast("long") * step + y) * step + x
@@ -94,10 +111,13 @@ class Components:
     def join(self, facts: DataFrame, how: str = "inner") -> DataFrame:
         """Voxels with the columns of ``facts`` (keyed by component)."""
         extra = [c for c in facts.columns if c not in (*self.keys, "comp")]
-        per_node = salted_join(self.nodes.select(*self.keys, "node", "comp"), facts, [*self.keys, "comp"],
-                               how, salt_by=("node",))
-        per_node = cut_lineage(per_node.select(*self.keys, "node", "comp", *extra))
-        return join_measured(self.voxels, per_node, [*self.keys, "node"]).drop("node")
+        nodes = self.nodes.select(*self.keys, "node", "comp")
+        on = [*self.keys, "comp"]
+        small = fits_broadcast(self.nodes, 128)                 # a written table
+        per_node = nodes.join(facts, on, how) if small else salted_join(nodes, facts, on, how, salt_by=("node",))
+        per_node = per_node.select(*self.keys, "node", "comp", *extra)
+        # a node has at most block^3 voxels, so this join has no hot key
+        return self.voxels.join(F.broadcast(per_node) if small else per_node, [*self.keys, "node"]).drop("node")
 
 
 def _blocks(mask: DataFrame, keys: list[str], block: int, connectivity: int) -> DataFrame:
@@ -105,7 +125,7 @@ def _blocks(mask: DataFrame, keys: list[str], block: int, connectivity: int) ->
     offsets = half_offsets(connectivity)
 
     def roots(pos: pd.Series) -> pd.Series:
-        return pos.map(lambda p: local_roots(np.asarray(p), block, offsets))
+        return roots_of_blocks(pos, block, offsets)
 
     find = F.pandas_udf(roots, T.ArrayType(T.IntegerType()))
     b = {f"_b{a}": F.floor(F.col(a) / block).cast("int") for a in "zyx"}
@@ -117,9 +137,8 @@ def _blocks(mask: DataFrame, keys: list[str], block: int, connectivity: int) ->
 
 def _link(edges: DataFrame, keys: list[str]) -> DataFrame:
     """Smallest node reachable from each node that has an edge."""
-    both = cut_lineage(edges.union(edges.select(*keys, F.col("b"), F.col("a"))).distinct())
+    both = edges.union(edges.select(*keys, F.col("b"), F.col("a")))            # edges is a written table
     label = both.groupBy(*keys, F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("comp"))
-    label = cut_lineage(label)
     while True:
         seen = both.join(label.select(*keys, F.col("node").alias("b"), "comp"), [*keys, "b"])
         near = seen.groupBy(*keys, F.col("a").alias("node")).agg(F.min("comp").alias("near"))
@@ -200,7 +219,7 @@ def kept_components(parts: Components, scans: DataFrame, min_cm3: Column | float
     limit = F.lit(float(limit)) if not isinstance(limit, Column) else limit
     sizes = parts.sizes()
     facts = scans.select("scan_id", voxel_cm3().alias("_cm3"))
-    both = attach(sizes, facts, salt_by=("comp",))
+    both = attach(sizes, facts, sized_by=scans, salt_by=("comp",))
     return both.filter((limit <= 0) | (F.col("n") >= smallest_kept(limit, F.col("_cm3"))))
 
 

@@ -38,7 +38,7 @@ def within(voxels: DataFrame, ranges: DataFrame, sized_by: DataFrame | None = No
 
 def pad_edge(voxels: DataFrame, scans: DataFrame, tile: Sequence[int]) -> DataFrame:
     """Repeat the last voxel of an axis until the frame is as thick as ``tile`` (z, y, x)."""
-    both = attach(voxels, scans.select("scan_id", *G.SIZE))
+    both = attach(voxels, scans.select("scan_id", *G.SIZE), sized_by=scans)
     for a, t in zip("zyx", tile):
         n = F.col(f"n{a}")
         end = F.when(F.col(a) == n - 1, F.greatest(n, F.lit(t)) - 1).otherwise(F.col(a))
@@ -48,7 +48,7 @@ def pad_edge(voxels: DataFrame, scans: DataFrame, tile: Sequence[int]) -> DataFr
 
 def unpad(voxels: DataFrame, scans: DataFrame) -> DataFrame:
     """Undo ``pad_edge``: only indexes inside the frame."""
-    both = attach(voxels, scans.select("scan_id", *G.SIZE))
+    both = attach(voxels, scans.select("scan_id", *G.SIZE), sized_by=scans)
     for a in "zyx":
         both = both.filter(F.col(a) < F.col(f"n{a}"))
     return both.select(*voxels.columns)

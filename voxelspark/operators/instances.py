@@ -46,7 +46,7 @@ def clean_arch_mask(mask: DataFrame, scans: DataFrame, min_cm3: float = ARCH_MIN
     """
     parts = C.connected_components(mask, by=(), block=block)
     facts = scans.select("scan_id", "spacing", voxel_cm3().alias("cm3"))
-    ranked = attach(C.ranked_sizes(parts), facts, salt_by=("comp",))
+    ranked = attach(C.ranked_sizes(parts), facts, sized_by=scans, salt_by=("comp",))
     alone = ranked.groupBy("scan_id").agg(
         F.count(F.lit(1)).alias("k"),
         F.max(((F.col("n") >= min_voxels) & (F.col("n") * F.col("cm3") >= min_cm3)).cast("int")).alias("any_large"))

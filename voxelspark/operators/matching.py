@@ -10,7 +10,8 @@ from pyspark.sql.window import Window as W
 from voxelspark.operators.crop import within
 from voxelspark.operators.measure import bounding_box
 from voxelspark.operators.quantiles import quantiles, value_counts, weighted_quantiles
-from voxelspark.plans.attach import salted_join
+from voxelspark.plans.attach import attach
+from voxelspark.plans.ordered import carry_last
 from voxelspark.session import cut_lineage
 
 # Fixed values.
@@ -33,22 +34,23 @@ def match_quantiles(voxels: DataFrame, fractions: Sequence[float], reference: Se
     knots = knots.groupBy("scan_id", F.col("value").alias("x0")).agg(F.min("level").alias("level"))
     along = W.partitionBy("scan_id").orderBy("x0")          # at most one row per fraction
     knots = knots.withColumn("y0", F.element_at(target, F.col("level") + 1))
-    knots = knots.withColumns({"x1": F.lead("x0").over(along), "y1": F.lead("y0").over(along)})
+    knots = cut_lineage(knots.withColumns({"x1": F.lead("x0").over(along), "y1": F.lead("y0").over(along)}))
     ends = knots.groupBy("scan_id").agg(F.min("x0").alias("first"), F.max("x0").alias("last"))
-    pieces = knots.withColumn("bin", F.explode(F.sequence(
-        F.floor("x0"), F.floor(F.coalesce("x1", "x0")))))
-    values = counts.join(ends, "scan_id").withColumn(
-        "v", F.least(F.greatest("value", "first"), F.col("last")))
-    values = values.withColumn("bin", F.floor("v"))
-    holds = (F.col("v") >= F.col("x0")) & F.when(F.col("x1").isNull(), F.col("v") == F.col("x0")).otherwise(
-        F.col("v") < F.col("x1"))
-    slope = (F.col("y1") - F.col("y0")) / (F.col("x1") - F.col("x0"))
-    mapped = values.join(pieces, ["scan_id", "bin"]).filter(holds).select(
+    values = attach(counts, ends, salt_by=("value",)).select(
+        "scan_id", "value", F.least(F.greatest("value", "first"), F.col("last")).alias("v"), F.lit(1).alias("turn"),
+        F.lit(None).cast("struct<x0:double,y0:double,x1:double,y1:double>").alias("piece"))
+    marks = knots.select("scan_id", F.lit(None).cast("double").alias("value"), F.col("x0").alias("v"),
+                         F.lit(0).alias("turn"), F.struct("x0", "y0", "x1", "y1").alias("piece"))
+    # the piece a value lies on is the last knot at or before it
+    placed = carry_last(values.unionByName(marks), ["scan_id"], F.floor("v"), ["v", "turn"], {"on": F.col("piece")})
+    slope = (F.col("on.y1") - F.col("on.y0")) / (F.col("on.x1") - F.col("on.x0"))
+    mapped = placed.filter("turn = 1").select(
         "scan_id", F.col("value").alias("_hu"),
-        F.when(F.col("x1").isNull(), F.col("y0"))
-        .otherwise(slope * (F.col("v") - F.col("x0")) + F.col("y0")).alias("matched"))
+        F.when(F.col("on.x1").isNull(), F.col("on.y0"))
+        .otherwise(slope * (F.col("v") - F.col("on.x0")) + F.col("on.y0")).alias("matched"))
     keyed = voxels.withColumn("_hu", F.col("hu").cast("double"))
-    return salted_join(keyed, mapped, ["scan_id", "_hu"]).select(*voxels.columns, "matched")
+    both = attach(keyed, cut_lineage(mapped), on=["scan_id", "_hu"], row_bytes=64)
+    return both.select(*voxels.columns, "matched")
 
 
 def reference_curve(voxels: DataFrame, labels: DataFrame, scans: DataFrame, levels: int = LEVELS,

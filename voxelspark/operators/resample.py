@@ -35,7 +35,7 @@ def _linear_along(rows: DataFrame, scans: DataFrame, axis: str, spacing: float)
     others = [a for a in "zyx" if a != axis]
     i = AXES.index(axis)
     rows = rows.withColumn("_next", F.lead("v").over(W.partitionBy("scan_id", *others).orderBy(axis)))
-    rows = attach(rows, _axis_facts(scans, i, spacing), salt_by=others)
+    rows = attach(rows, _axis_facts(scans, i, spacing), sized_by=scans, salt_by=others)
     at, n, s, m = F.col(axis), F.col("_n"), F.col("_s"), F.col("_m")
     last = at == n - 1
     lo = F.greatest(F.floor(at * s / spacing).cast("int") - 1, F.lit(0))

@@ -43,7 +43,7 @@ def dilate(mask: DataFrame, scans: DataFrame, radius: int = DILATE_RADIUS) -> Da
     grown = x_runs(mask).withColumn("b", F.explode(rows)).select(
         "scan_id", (F.col("z") + F.col("b.dz")).alias("z"), (F.col("y") + F.col("b.dy")).alias("y"),
         (F.col("x0") - F.col("b.half")).alias("x0"), (F.col("x1") + F.col("b.half")).alias("x1"))
-    grown = attach(grown, scans.select("scan_id", *SIZE))
+    grown = attach(grown, scans.select("scan_id", *SIZE), sized_by=scans)
     grown = grown.filter(F.col("z").between(0, F.col("nz") - 1) & F.col("y").between(0, F.col("ny") - 1)).select(
         "scan_id", "z", "y", F.greatest("x0", F.lit(0)).alias("x0"), F.least("x1", F.col("nx") - 1).alias("x1"))
     line = W.partitionBy("scan_id", "z", "y").orderBy("x0", "x1")
@@ -74,7 +74,7 @@ def contacts(labels: DataFrame, scans: DataFrame, label: str = "label") -> DataF
     on the border of the frame do not count. Neighbours come from line windows
     (two shuffles for three axes), not from joins.
     """
-    rows = attach(labels.select("scan_id", "z", "y", "x", label), scans.select("scan_id", *SIZE))
+    rows = attach(labels.select("scan_id", "z", "y", "x", label), scans.select("scan_id", *SIZE), sized_by=scans)
     rows = rows.repartition("scan_id", "z")
     for axis in "xyz":
         rows = rows.withColumn(f"_f{axis}", F.array(*_faces(axis, label)))
@@ -95,7 +95,7 @@ def nearest_label(seeds: DataFrame, targets: DataFrame, scans: DataFrame, radius
     limit = radius_mm * radius_mm + 1e-9
     rows = rows.repartition("scan_id", "z")
     for i, axis in enumerate(AXES):
-        rows = attach(rows, facts)
+        rows = attach(rows, facts, sized_by=scans)
         s, at = F.col("spacing")[i], F.col(axis)
         reach = F.floor(F.lit(radius_mm + 1e-9) / s).cast("int")
         around = F.sequence(F.greatest(at - reach, F.lit(0)), F.least(at + reach, F.col(SIZE[i]) - 1))

@@ -35,7 +35,7 @@ def iso_vertices(field: DataFrame, scans: DataFrame, iso: float = 0.0, value: st
         edges.append(F.when((v >= iso) != (far >= iso), F.struct(
             F.lit(axis).alias("axis"), *[c.alias(a) for c, a in zip(at, AXES)])))
     hit = rows.select("scan_id", F.explode(F.array_compact(F.array(*edges))).alias("e"))
-    hit = attach(hit, _geometry(scans), salt_by=("e",))
+    hit = attach(hit, _geometry(scans), sized_by=scans, salt_by=("e",))
     p = to_physical([F.col(f"e.{a}") for a in AXES])
     return hit.select("scan_id", "e.axis", *[c.alias(a) for c, a in zip(p, AXES)])
 
@@ -79,7 +79,7 @@ def iso_triangles(field: DataFrame, scans: DataFrame, iso: float = 0.0, value: s
     table = F.array(*[F.array(*[F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in tri])
                                for tri in tris]).cast(edge) for tris in tetra_cases()])
     cells = cells.withColumn("tri", F.explode(F.get(table, case)))
-    cells = attach(cells, _geometry(scans))
+    cells = attach(cells, _geometry(scans), sized_by=scans)
 
     def corner(c: Column) -> list[Column]:
         return [(c.bitwiseAND(bit) != 0).cast("double") for bit in (1, 2, 4)]

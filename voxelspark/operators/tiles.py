@@ -22,7 +22,7 @@ def tile_voxels(voxels: DataFrame, scans: DataFrame, tile: Sequence[int], overla
     The covering starts follow from arithmetic on the position; there is no
     join with the tile list.
     """
-    rows = attach(voxels, scans.select("scan_id", *SIZE))
+    rows = attach(voxels, scans.select("scan_id", *SIZE), sized_by=scans)
     for a, t in zip("zyx", tile):
         rows = rows.withColumn(f"t{a}", F.explode(covering_starts(F.col(a), F.col(f"n{a}"), t, overlap)))
     rest = [c for c in voxels.columns if c not in KEYS]

@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,10 +11,19 @@ BROADCAST_BYTES = 64 << 20
 SALTS = 16
 
 
+_ROWS: WeakKeyDictionary[DataFrame, int] = WeakKeyDictionary()
+
+
 def fits_broadcast(df: DataFrame, row_bytes: int = 256) -> bool:
-    """True when ``df`` has at most ``BROADCAST_BYTES / row_bytes`` rows (checked)."""
+    """True when ``df`` has at most ``BROADCAST_BYTES / row_bytes`` rows.
+
+    Counted once per DataFrame, and never further than needed to decide.
+    """
     most = BROADCAST_BYTES // row_bytes
-    return df.limit(most + 1).count() <= most
+    rows = _ROWS.get(df)
+    if rows is None:
+        rows = _ROWS[df] = df.limit(BROADCAST_BYTES // 32 + 1).count()
+    return rows <= most
 
 
 def attach(rows: DataFrame, facts: DataFrame, on: str | Sequence[str] = "scan_id",
@@ -32,15 +42,6 @@ def attach(rows: DataFrame, facts: DataFrame, on: str | Sequence[str] = "scan_id
     return salted_join(rows, facts, keys, how, salt_by)
 
 
-def join_measured(rows: DataFrame, facts: DataFrame, on: Sequence[str], how: str = "inner",
-                  row_bytes: int = 128) -> DataFrame:
-    """Join on keys that repeat a bounded number of times: broadcast when ``facts``
-    (a written table, cheap to count) is small enough, else an ordinary shuffle join."""
-    if fits_broadcast(facts, row_bytes):
-        facts = F.broadcast(facts)
-    return rows.join(facts, list(on), how)
-
-
 def salted_join(rows: DataFrame, facts: DataFrame, keys: Sequence[str], how: str = "inner",
                 salt_by: Sequence[str] = ("z", "y")) -> DataFrame:
     """Shuffle join in which every key of ``rows`` is spread over ``SALTS`` tasks."""
