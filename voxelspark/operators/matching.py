@@ -42,7 +42,7 @@ def match_quantiles(voxels: DataFrame, fractions: Sequence[float], reference: Se
     marks = knots.select("scan_id", F.lit(None).cast("double").alias("value"), F.col("x0").alias("v"),
                          F.lit(0).alias("turn"), F.struct("x0", "y0", "x1", "y1").alias("piece"))
     # the piece a value lies on is the last knot at or before it
-    placed = carry_last(values.unionByName(marks), ["scan_id"], F.floor("v"), ["v", "turn"], {"on": F.col("piece")})
+    placed = carry_last(values.unionByName(marks), ["scan_id"], None, ["v", "turn"], {"on": F.col("piece")})
     slope = (F.col("on.y1") - F.col("on.y0")) / (F.col("on.x1") - F.col("on.x0"))
     mapped = placed.filter("turn = 1").select(
         "scan_id", F.col("value").alias("_hu"),

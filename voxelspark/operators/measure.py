@@ -116,7 +116,7 @@ def calibrate_triggers(features: DataFrame, trip_share: float = 0.03) -> DataFra
 
     ``features``: feature, value, low_is_bad. Returns feature and threshold.
     """
-    out = quantiles(features, ["feature", "low_is_bad"], "value", [trip_share, 1 - trip_share], width=0.01)
+    out = quantiles(features, ["feature", "low_is_bad"], "value", [trip_share, 1 - trip_share])
     return out.filter(F.col("low_is_bad") == (F.col("level") == 0)).select(
         "feature", "low_is_bad", F.col("value").alias("threshold"))
 
@@ -126,7 +126,7 @@ def typical_volumes(teeth: DataFrame, scans: DataFrame) -> DataFrame:
     per = teeth.filter(F.col("id").between(1, 32)).groupBy("scan_id", "id").agg(F.count(F.lit(1)).alias("n"))
     per = per.join(scans.select("scan_id", "spacing"), "scan_id").select(
         (naming.fdi_number(F.col("id")) % 10).alias("tooth_type"), (F.col("n") * voxel_cm3()).alias("volume"))
-    return quantiles(per, ["tooth_type"], "volume", [0.5], width=0.01).select(
+    return quantiles(per, ["tooth_type"], "volume", [0.5]).select(
         "tooth_type", F.col("value").alias("median_cm3"))
 
 

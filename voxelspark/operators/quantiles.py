@@ -1,7 +1,7 @@
 """Exact quantiles that never gather a group in one task.
 
-Values are first counted (map-side combined), then ranked in buckets of equal
-width; the rank of every distinct value follows from bucket totals.
+Values are first counted (map-side combined), then ranked in range buckets; the
+rank of every distinct value follows from bucket totals.
 """
 from __future__ import annotations
 
@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxelspark.plans.ordered import running_sum
-from voxelspark.session import cut_lineage
 
 
 def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -21,16 +20,14 @@ def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("n")))
 
 
-def weighted_quantiles(counts: DataFrame, keys: Sequence[str], fractions: Sequence[float],
-                       width: float = 1.0) -> DataFrame:
+def weighted_quantiles(counts: DataFrame, keys: Sequence[str], fractions: Sequence[float]) -> DataFrame:
     """Linearly interpolated quantiles of a ``value_counts`` table.
 
     Returns ``keys, level, fraction, value``; ``level`` is the position in
-    ``fractions``. ``width`` is the bucket width in units of the value.
+    ``fractions``.
     """
     keys = list(keys)
-    ranked = running_sum(counts, keys, F.floor(F.col("value") / width), ["value"], {"cum": F.col("n")},
-                         totals=True).withColumnRenamed("cum_total", "total")
+    ranked = running_sum(counts, keys, None, ["value"], {"cum": F.col("n")}, totals=True).withColumnRenamed("cum_total", "total")
     wanted = F.array(*[F.struct(F.lit(i).alias("level"), F.lit(float(q)).alias("fraction"))
                        for i, q in enumerate(fractions)])
     at = lambda w: w["fraction"] * (F.col("total") - 1)                       # noqa: E731
@@ -46,10 +43,9 @@ def weighted_quantiles(counts: DataFrame, keys: Sequence[str], fractions: Sequen
                        (F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("part")).alias("value"))
 
 
-def quantiles(df: DataFrame, keys: Sequence[str], value: str, fractions: Sequence[float],
-              width: float = 1.0) -> DataFrame:
+def quantiles(df: DataFrame, keys: Sequence[str], value: str, fractions: Sequence[float]) -> DataFrame:
     """Exact quantiles of ``value`` per ``keys``; the counts are written once and read twice."""
-    return weighted_quantiles(cut_lineage(value_counts(df, keys, value)), keys, fractions, width)
+    return weighted_quantiles(value_counts(df, keys, value), keys, fractions)
 
 
 def intensity_percentiles(voxels: DataFrame, fractions: Sequence[float]) -> DataFrame:

@@ -1,9 +1,12 @@
 """Order-dependent results within a group, without one task per group.
 
 A plain window over a hot group runs in a single task. Here every group is cut
-into buckets that follow the order (a time slice, a z plane, a block of sequence
-numbers); the window runs inside a bucket and only one row per bucket takes part
-in the second level.
+into buckets that follow the order; the window runs inside a bucket and only one
+row per bucket takes part in the second level. A bucket is either an expression
+(a time slice, a z plane, a block of sequence numbers) or, with ``bucket=None``,
+the range partition a row falls into: sampled boundaries cut a hot group into
+many buckets whatever its values are. The assignment is written before use, so a
+recomputed task can never see other boundaries.
 """
 from __future__ import annotations
 
@@ -13,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from voxelspark.session import cut_lineage, grid_partitions
+
 
 def _parts(keys, order):
     keys = list(keys)
@@ -21,6 +26,13 @@ def _parts(keys, order):
     return keys, inner, outer
 
 
+def _bucketed(df: DataFrame, keys: Sequence[str], bucket: Column | None, order: Sequence) -> DataFrame:
+    if bucket is not None:
+        return df.withColumn("_bucket", bucket)
+    ranged = df.repartitionByRange(grid_partitions(df.sparkSession), *keys, *order)
+    return cut_lineage(ranged.withColumn("_bucket", F.spark_partition_id()))
+
+
 def _with_bucket_facts(df: DataFrame, facts: DataFrame, keys) -> DataFrame:
     join = [df[k].eqNullSafe(facts[k]) for k in (*keys, "_bucket")]
     cond = join[0]
@@ -32,10 +44,10 @@ def _with_bucket_facts(df: DataFrame, facts: DataFrame, keys) -> DataFrame:
     return out
 
 
-def number_rows(df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence,
+def number_rows(df: DataFrame, keys: Sequence[str], bucket: Column | None, order: Sequence,
                 out: str = "rn") -> DataFrame:
     """``row_number()`` per ``keys`` (1-based). ``bucket`` must not decrease along ``order``."""
-    df = df.withColumn("_bucket", bucket)
+    df = _bucketed(df, keys, bucket, order)
     keys, inner, outer = _parts(keys, order)
     sizes = df.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     sizes = sizes.select(*keys, "_bucket",
@@ -46,10 +58,10 @@ def number_rows(df: DataFrame, keys: Sequence[str], bucket: Column, order: Seque
             .drop("_bucket", "_rn", "_before"))
 
 
-def carry_last(df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence,
+def carry_last(df: DataFrame, keys: Sequence[str], bucket: Column | None, order: Sequence,
                columns: dict[str, Column]) -> DataFrame:
     """Per output name, the last non-null value of the column up to and including the row."""
-    df = df.withColumn("_bucket", bucket)
+    df = _bucketed(df, keys, bucket, order)
     keys, inner, outer = _parts(keys, order)
     upto = inner.rowsBetween(W.unboundedPreceding, 0)
     before = outer.rowsBetween(W.unboundedPreceding, -1)
@@ -68,13 +80,13 @@ def carry_last(df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequen
                        *[f"_c{v}" for v in values])
 
 
-def running_sum(df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence,
+def running_sum(df: DataFrame, keys: Sequence[str], bucket: Column | None, order: Sequence,
                 columns: dict[str, Column], totals: bool = False) -> DataFrame:
     """Per output name, the sum of the column up to and including the row.
 
     With ``totals`` the sum over the whole group is added as ``<name>_total``.
     """
-    df = df.withColumn("_bucket", bucket)
+    df = _bucketed(df, keys, bucket, order)
     keys, inner, outer = _parts(keys, order)
     upto = inner.rowsBetween(W.unboundedPreceding, 0)
     before = outer.rowsBetween(W.unboundedPreceding, -1)
@@ -92,10 +104,10 @@ def running_sum(df: DataFrame, keys: Sequence[str], bucket: Column, order: Seque
     return joined.drop("_bucket", *drop)
 
 
-def next_value(df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence,
+def next_value(df: DataFrame, keys: Sequence[str], bucket: Column | None, order: Sequence,
                columns: dict[str, Column]) -> DataFrame:
     """Per output name, the column's value on the following row (null on the last one)."""
-    df = df.withColumn("_bucket", bucket)
+    df = _bucketed(df, keys, bucket, order)
     keys, inner, outer = _parts(keys, order)
     pos = F.struct(*[F.col(o) if isinstance(o, str) else o for o in order])
     df = df.withColumns({f"_v_{n}": c for n, c in columns.items()})

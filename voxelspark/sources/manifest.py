@@ -85,17 +85,17 @@ def extension(name: Column) -> Column:
     return F.when(ext.rlike(r"^[\x00-\x7F]*$"), ext).otherwise("")
 
 
-def pseudonymise_paths(manifest: DataFrame, prefix_chars: int = 32) -> DataFrame:
+def pseudonymise_paths(manifest: DataFrame) -> DataFrame:
     """Neutral names: folders d001.. per parent, files f000001.. per archive, in path order.
 
     ``manifest``: root (the archive), path. The order within an archive is
-    worked out per path prefix, and folders are renamed in a table of folders,
+    worked out in ranges of paths, and folders are renamed in a table of folders,
     so a huge archive is not one task.
     """
     raw = F.split(F.regexp_replace("path", r"\\", "/"), "/")
     clean = F.filter(F.slice(raw, 1, F.size(raw) - 1), lambda p: ~p.isin("", ".", ".."))
     files = manifest.select("root", "path", clean.alias("parts"), F.element_at(raw, -1).alias("base"))
-    files = number_rows(files, ["root"], F.substring("path", 1, prefix_chars), ["path"], "n")
+    files = number_rows(files, ["root"], None, ["path"], "n")
 
     folders = files.groupBy("root", "parts").agg(F.min("path").alias("first"))
     prefixes = F.transform(F.sequence(F.lit(1), F.size("parts")), lambda i: F.slice("parts", F.lit(1), i))
@@ -103,7 +103,7 @@ def pseudonymise_paths(manifest: DataFrame, prefix_chars: int = 32) -> DataFrame
     steps = folders.select("root", "first", F.explode(prefixes).alias("at"))
     known = steps.groupBy("root", "at").agg(F.min("first").alias("first"))
     known = known.withColumn("parent", F.slice("at", F.lit(1), F.size("at") - 1))
-    known = number_rows(known, ["root", "parent"], F.substring("first", 1, prefix_chars), ["first"], "k")
+    known = number_rows(known, ["root", "parent"], None, ["first"], "k")
     code = known.select("root", "at", F.format_string("d%03d", F.col("k")).alias("code"))
     named = folders.select("root", "parts", F.explode_outer(prefixes).alias("at"))
     named = named.join(code, ["root", "at"], "left").groupBy("root", "parts").agg(F.concat_ws("/", F.transform(
