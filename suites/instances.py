@@ -18,11 +18,24 @@ def _(fx):
     return instances.restrict_ids(fx.tooth_pred, fx.labels.filter("label = 4"), fx.scans, UP)
 
 
-@check("c06_clean_arch_mask")
-def _(fx):
-    mask = fx.labels.filter("label = 3 or (label = 4 and (x < 3 or scan_id % 2 = 0)) or (label = 1 and z = 15)")
-    out = instances.clean_arch_mask(mask, fx.qc_scans, min_cm3=3.0, gap_mm=13.0, min_voxels=3, block=BLOCK)
-    return out.groupBy("scan_id").agg(F.count(F.lit(1)).alias("n"), F.min("z").alias("z0"), F.max("z").alias("z1"))
+_MASK = "label = 3 or (label = 4 and (x < 3 or scan_id % 2 = 0)) or (label = 1 and (z = 15 or (z = 2 and x < 4)))"
+_NEAR = " AND ".join(f"greatest(0, c.a{a} - b.h{a}, b.l{a} - c.b_{a}) <= 13/6.0::DOUBLE" for a in "zyx")
+
+
+@check("c06_clean_arch_mask", "WITH RECURSIVE " + pieces_sql(f"(SELECT * FROM jaw_labels WHERE {_MASK})", "1::INT") + f""",
+ cb AS (SELECT scan_id, comp, any_value(size) AS size, min(z) AS az, max(z) + 1 AS b_z, min(y) AS ay, max(y) + 1 AS b_y, min(x0) AS ax, max(x1) + 1 AS b_x FROM piece GROUP BY scan_id, comp),
+ cd AS (SELECT c.*, rank, c.size >= 3 AND c.size*0.216::DOUBLE >= 3.0 AS large, bool_or(c.size >= 3 AND c.size*0.216::DOUBLE >= 3.0) OVER (PARTITION BY c.scan_id) AS any_large,
+  count(*) OVER (PARTITION BY c.scan_id) AS k FROM cb c JOIN comps USING (scan_id, comp)),
+ reach(scan_id, lz, hz, ly, hy, lx, hx) USING KEY (scan_id) AS (
+  SELECT scan_id, min(az), max(b_z), min(ay), max(b_y), min(ax), max(b_x) FROM cd WHERE large OR (rank = 1 AND NOT any_large) GROUP BY scan_id UNION
+  SELECT b.scan_id, least(any_value(b.lz), min(c.az)), greatest(any_value(b.hz), max(c.b_z)), least(any_value(b.ly), min(c.ay)), greatest(any_value(b.hy), max(c.b_y)),
+   least(any_value(b.lx), min(c.ax)), greatest(any_value(b.hx), max(c.b_x)) FROM reach b JOIN cd c ON c.scan_id = b.scan_id AND c.size >= 3 AND {_NEAR}
+   AND (c.az < b.lz OR c.b_z > b.hz OR c.ay < b.ly OR c.b_y > b.hy OR c.ax < b.lx OR c.b_x > b.hx) GROUP BY b.scan_id),
+ kept AS (SELECT c.scan_id, c.comp FROM cd c JOIN reach b ON b.scan_id = c.scan_id WHERE k = 1 OR large OR (rank = 1 AND NOT any_large) OR (c.size >= 3 AND {_NEAR}))
+ SELECT scan_id, z, y, unnest(range(x0, x1 + 1)) AS x FROM piece SEMI JOIN kept USING (scan_id, comp)""")
+def _(fx):
+    return instances.clean_arch_mask(fx.labels.filter(_MASK).select(*KEYS), fx.qc_scans, min_cm3=3.0, gap_mm=13.0,
+                                     min_voxels=3, block=BLOCK)
 
 
 @check("c07_one_instance_per_number", "WITH RECURSIVE " + pieces_sql("(SELECT * FROM tooth_pred WHERE id <= 32)", "id") + """,
@@ -221,5 +234,5 @@ def _(fx):
 
 @check("flow_segment_report")
 def _(fx):
-    _, labels, grid = flows.segment(fx.voxels, fx.scans, linear_scorer, (8, 8, 8), 10)
+    _, labels, grid = flows.segment(fx.voxels, fx.scans, linear_scorer, (16, 16, 16), 10)
     return flows.class_report(labels, grid)

@@ -131,6 +131,18 @@ def _(fx):
     return out.select("scan_id", "triangles", *[F.round(c, 3).alias(c) for c in out.columns if c not in ("scan_id", "triangles")])
 
 
+_CORNERS = ", ".join(f"JOIN voxels c{i} ON c{i}.scan_id = c0.scan_id AND c{i}.z = c0.z + {i >> 2 & 1} AND c{i}.y = c0.y + {i >> 1 & 1} AND c{i}.x = c0.x + {i & 1}"
+                     for i in range(1, 8)).replace(", JOIN", " JOIN")
+
+
+@check("r10_iso_triangle_counts", f"""WITH t AS (SELECT c0.scan_id, [{', '.join(f'(c{i}.hu >= 400)::INT' for i in range(8))}] AS f FROM voxels c0 {_CORNERS}),
+ u AS (SELECT scan_id, list_sum(list_transform(tet, lambda c: f[c + 1])) AS inside FROM t,
+  (SELECT unnest([[0,1,3,7],[0,1,5,7],[0,2,3,7],[0,2,6,7],[0,4,5,7],[0,4,6,7]]) AS tet) WHERE list_sum(f) BETWEEN 1 AND 7)
+ SELECT scan_id, sum(case inside when 2 then 2 when 1 then 1 when 3 then 1 else 0 end)::BIGINT AS triangles FROM u GROUP BY scan_id""")
+def _(fx):
+    return surface.iso_triangles(fx.voxels, fx.scans, 400.0).groupBy("scan_id").agg(F.count(F.lit(1)).alias("triangles"))
+
+
 _SOUP = """soup AS (SELECT scan_id AS mesh_id, (z*256 + y*16 + x)*2 + t AS tri, c AS corner, (x + case when (t, c) IN ((0,1),(1,0),(1,1)) then 1 else 0 end)::DOUBLE AS x,
   (y + case when (t, c) IN ((0,2),(1,1),(1,2)) then 1 else 0 end)::DOUBLE AS y, (z + 1)::DOUBLE AS z FROM jaw_labels, range(2) a(t), range(3) b(c) WHERE label = 5),
  vt AS (SELECT *, row_number() OVER (PARTITION BY mesh_id ORDER BY x, y, z) - 1 AS vertex FROM (SELECT DISTINCT mesh_id, x, y, z FROM soup))"""
