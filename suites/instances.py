@@ -75,13 +75,14 @@ def _assigned(fx):
 
 @check("c15_assign_numbers", f"WITH {_NUMBERED} SELECT * FROM num")
 def _(fx):
-    return _assigned(fx)[0]
+    return _assigned(fx)
 
 
 @check("c15_unnumbered", f"""WITH {_NUMBERED} SELECT scan_id, round(count(*) FILTER (id IS NULL)*0.216::DOUBLE, 6) AS unnumbered_cm3
  FROM teeth LEFT JOIN num USING (scan_id, z, y, x) GROUP BY scan_id""")
 def _(fx):
-    return _assigned(fx)[1].withColumn("unnumbered_cm3", F.round("unnumbered_cm3", 6))
+    out = instances.unnumbered(fx.labels.filter("label = 3"), _assigned(fx), fx.qc_scans)
+    return out.withColumn("unnumbered_cm3", F.round("unnumbered_cm3", 6))
 
 
 @check("c16_merge_arches", """WITH u AS (SELECT * FROM tooth_pred WHERE id <= 16 OR id = 33), l AS (SELECT scan_id, z + 1 AS z, y, x, id + 16 AS id FROM tooth_pred WHERE id <= 16

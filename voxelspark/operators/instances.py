@@ -81,22 +81,24 @@ def restrict_ids(pred: DataFrame, mask: DataFrame, scans: DataFrame, own: tuple[
 
 
 def assign_numbers(mask: DataFrame, pred: DataFrame, scans: DataFrame, own: tuple[int, int],
-                   radius_mm: float = ASSIGN_MM) -> tuple[DataFrame, DataFrame]:
-    """Numbers for the arch mask: (voxels with ``id``, ``scan_id, unnumbered_cm3``).
+                   radius_mm: float = ASSIGN_MM) -> DataFrame:
+    """The arch mask with an ``id`` per voxel; voxels that get none are absent.
 
     Prostheses come from the prediction; other mask voxels take the number of
-    the nearest predicted own-arch voxel within ``radius_mm`` or none at all.
+    the nearest predicted own-arch voxel within ``radius_mm``.
     """
     extra = pred.filter(is_prosthesis(F.col("id"))).select(*VOXEL, F.col("id").cast("int").alias("id"))
     teeth = mask.select(*VOXEL).join(extra, VOXEL, "left_anti")
     near = nearest_label(pred.filter(F.col("id").between(*own)), teeth, scans, radius_mm, "id")
-    near = near.select(*VOXEL, F.col("near").alias("id"))
-    # every tooth voxel without a number, counted from group sizes instead of another voxel join
-    total = teeth.groupBy("scan_id").agg(F.count(F.lit(1)).alias("all"))
-    got = near.groupBy("scan_id").agg(F.count(F.lit(1)).alias("got"))
-    lost = scans.join(total, "scan_id").join(got, "scan_id", "left").select(
-        "scan_id", ((F.col("all") - F.coalesce("got", F.lit(0))) * voxel_cm3()).alias("unnumbered_cm3"))
-    return extra.unionByName(near), lost
+    return extra.unionByName(near.select(*VOXEL, F.col("near").alias("id")))
+
+
+def unnumbered(mask: DataFrame, numbered: DataFrame, scans: DataFrame) -> DataFrame:
+    """Per scan with a mask, the volume of mask voxels that ``assign_numbers`` left out."""
+    both = mask.select(*VOXEL).join(numbered.select(*VOXEL, "id"), VOXEL, "left")
+    n = both.groupBy("scan_id").agg(F.count(F.when(F.col("id").isNull(), 1)).alias("n"))
+    return n.join(scans.select("scan_id", voxel_cm3().alias("cm3")), "scan_id").select(
+        "scan_id", (F.col("n") * F.col("cm3")).alias("unnumbered_cm3"))
 
 
 def one_instance_per_number(teeth: DataFrame, scans: DataFrame, radius_mm: float = ASSIGN_MM,

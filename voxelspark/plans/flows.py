@@ -179,7 +179,7 @@ def separate_teeth(voxels: DataFrame, labels: DataFrame, scans: DataFrame, score
     done, reports = [], []
     for arch, label, own in (("upper", 3, naming.UPPER_IDS), ("lower", 4, naming.LOWER_IDS)):
         ids = present.filter((F.col("arch") == arch) & F.col("used")).select("scan_id")
-        frame = scans.join(ids, "scan_id")
+        frame = cut_lineage(scans.join(ids, "scan_id"))
         mask = attach(labels.filter(F.col("label") == label), ids, sized_by=scans).select(*measure.VOXEL)
         clean = instances.clean_arch_mask(mask, frame, min_voxels=min_voxels, block=block)
         box = measure.bounding_box(clean, None, by=["scan_id"]).drop("voxels").join(frame, "scan_id")
@@ -189,13 +189,14 @@ def separate_teeth(voxels: DataFrame, labels: DataFrame, scans: DataFrame, score
                                    f"b{a}": F.least(F.col(f"b{a}") + wide, F.col(f"n{a}"))})
         box = cut_lineage(box)
         ready = crop.recentred(voxels, box).withColumn("hu", I.normalize_ct(F.col("hu")).cast("float"))
-        heads = crop.cropped_headers(box)
+        heads = cut_lineage(crop.cropped_headers(box))
         pred = tiles.argmax_label(score_volumes(ready, heads, score, tile, num_classes))
-        pred = pred.filter("label > 0").withColumnRenamed("label", "id")
+        pred = cut_lineage(pred.filter("label > 0").withColumnRenamed("label", "id"))    # score once
         inside = crop.recentred(mask, box)
         pred = cut_lineage(instances.restrict_ids(pred, inside, heads, own))
-        numbered, lost = instances.assign_numbers(inside, pred, heads, own, radius_mm)
-        single = instances.one_instance_per_number(cut_lineage(numbered), heads, radius_mm, block)
+        numbered = cut_lineage(instances.assign_numbers(inside, pred, heads, own, radius_mm))
+        lost = instances.unnumbered(inside, numbered, heads)
+        single = instances.one_instance_per_number(numbered, heads, radius_mm, block)
         settled, notes = instances.qc_merge(cut_lineage(single), heads, own, typical)
         back = attach(settled, box.select("scan_id", *[f"a{a}" for a in G.AXES]))
         back = cut_lineage(back.select("scan_id", *[(F.col(a) + F.col(f"a{a}")).cast("int").alias(a) for a in "zyx"], "id"))
