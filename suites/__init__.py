@@ -2,13 +2,17 @@
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Callable
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 from suites.fixtures import CTES, Fixtures
 from voxelspark.session import tune
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])    # the example scorers run on executors
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
