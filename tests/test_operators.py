@@ -343,3 +343,19 @@ def test_private_words_beat_the_allow_list_and_stay_hidden(spark):
                                   "line_id long, path string, line string")
     rows = [(r.line_id, r.part, r.snippet) for r in guard.guard_text(lines, ["SecretW"]).orderBy("line_id").collect()]
     assert rows == [(1, "text", "(not shown)"), (2, "path", "x/post_op/y")]
+
+
+def test_fine_pass_restores_the_missing_side_only(spark):
+    jaw = [(z, y, x, 1) for z in range(3) for y in range(14) for x in range(14)]
+    left = [(5, y, 2, 5) for y in range(2, 12)]
+    right = {(4, y, 11) for y in range(2, 12)}
+    scans = heads(spark, (16, 16, 16), (6.0, 6.0, 6.0))
+    hu = [(z, y, x, 1087.0 if (z, y, x) in right else -1000.0) for z, y, x in itertools.product(range(16), repeat=3)]
+    def scorer(box):
+        out = np.zeros((6, *box.shape), np.float32)
+        out[5] = 0.4 - np.abs(box - 0.4)
+        return out
+    out = flows.refine_canal(voxels(spark, jaw + left), scans, scorer, (8, 8, 8), 6, spacing=6.0, margin_mm=12.0,
+                             source=(voxels(spark, hu, "hu float"), scans))
+    got = {(r.z, r.y, r.x, r.label) for r in out.collect()}
+    assert got == set(jaw) | set(left) | {(*p, 5) for p in right}
