@@ -53,3 +53,68 @@ def repeated_words(docs, length=13):
                 gone[i:i + length] = [True] * length
         out.append((d, len(w), sum(gone), sha(" ".join(x for x, g in zip(w, gone) if not g).encode())))
     return out
+
+
+def benchmark_hits(docs, items, window=10):
+    split = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    pats = {}
+    for item, t in items:
+        if item is None:
+            continue
+        w = split.findall(lower(t or ""))
+        for i in range(max(1, len(w) - window + 1)) if w else ():
+            pats.setdefault(tuple(w[i:i + window]), set()).add(str(item))
+    sizes = {len(p) for p in pats}
+    out = []
+    for d, t in docs:
+        w = split.findall(lower(t or ""))
+        hit, met = [False] * len(w), set()
+        for m in sizes:
+            for i in range(len(w) - m + 1):
+                if (p := tuple(w[i:i + m])) in pats:
+                    hit[i:i + m] = [True] * m
+                    met |= pats[p]
+        out.append((d, len(w), sum(hit), len(met), sha(",".join(sorted(met)).encode()), any(hit)))
+    return out
+
+
+def quality(docs, min_docs=20, share=0.1):
+    """docs: (doc_id, text, host)."""
+    base, lines, contents = [], {}, {}
+    for d, t, host in docs:
+        t, host = t or "", host or ""
+        w = words(t)
+        repeat = Counter(tuple(w[i:i + 5]) for i in range(len(w) - 4))
+        gone = [False] * len(w)
+        for i in range(len(w) - 4):
+            if repeat[tuple(w[i:i + 5])] > 1:
+                gone[i:i + 5] = [True] * 5
+        own = [x for x in t.split("\n") if words(x)]
+        content = " ".join(words(lower(t)))
+        contents.setdefault(host, set()).add(content)
+        norm = [" ".join(words(lower(x))) for x in own]
+        for x in set(norm):
+            lines.setdefault((host, x), set()).add(content)
+        base.append((d, host, len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(own) - len(set(own)), sum(gone), norm))
+    out = []
+    for d, host, n, chars, symbols, dup, rep, norm in base:
+        lost = sum(len(x.split(" ")) for x in norm
+                   if len(lines[host, x]) >= min_docs and len(lines[host, x]) > share * len(contents[host]))
+        failed = n < 10 or 100 * rep > 20 * n
+        out.append((d, n, chars, symbols, dup, rep, failed, not failed and n - lost >= 10 and n - lost >= 0.25 * n))
+    return out
+
+
+def token_files(docs, end=1):
+    import zlib
+
+    import numpy as np
+    import public_tokenizers
+    from tokenizers import Tokenizer
+    tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    out, at = [], 0
+    for d, t in sorted(docs, key=lambda x: x[0]):
+        ids = tok.encode(t or "", add_special_tokens=False).ids + [end]
+        out.append((d, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        at += len(ids)
+    return out

@@ -1,6 +1,9 @@
 """The registered queries of this package and the SQL that checks them."""
+from voxelspark.llm.decontaminate import OP1_SQL, op1_benchmark_hits
 from voxelspark.llm.factors import op9_lz_dedup
+from voxelspark.llm.quality import OP8_SQL, op8_line_frequency
+from voxelspark.llm.sequences import op2_token_files
 from voxelspark.llm.suffixes import op10_suffix_dedup
 
-QUERIES = {q.__name__: q for q in (op9_lz_dedup, op10_suffix_dedup)}
-SQL: dict[str, str] = {}
+QUERIES = {q.__name__: q for q in (op1_benchmark_hits, op2_token_files, op8_line_frequency, op9_lz_dedup, op10_suffix_dedup)}
+SQL = {"op1_benchmark_hits": OP1_SQL, "op8_line_frequency": OP8_SQL}
