@@ -118,3 +118,27 @@ def token_files(docs, end=1):
         out.append((d, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         at += len(ids)
     return out
+
+
+def near_groups(docs, percent=85, size=5):
+    sets = {}
+    for d, t in docs:
+        w = words(lower(t or ""))
+        sets[d] = {tuple(w[i:i + size]) for i in range(max(1, len(w) - size + 1))} if w else set()
+    parent = {d: d for d in sets}
+
+    def root(d):
+        while parent[d] != d:
+            d = parent[d]
+        return d
+    by = {}
+    for d, s in sets.items():
+        for x in s:
+            by.setdefault(x, []).append(d)
+    pairs = {(a, b) for ds in by.values() for i, a in enumerate(ds) for b in ds[i + 1:]}
+    for a, b in pairs:
+        i = len(sets[a] & sets[b])
+        if 100 * i >= percent * (len(sets[a]) + len(sets[b]) - i):
+            x, y = sorted((root(a), root(b)))
+            parent[y] = x
+    return [(d, len(sets[d]), root(d), root(d) == d) for d in sets]
