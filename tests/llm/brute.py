@@ -142,3 +142,20 @@ def near_groups(docs, percent=85, size=5):
             x, y = sorted((root(a), root(b)))
             parent[y] = x
     return [(d, len(sets[d]), root(d), root(d) == d) for d in sets]
+
+
+def similar_lines(docs, percent=80, min_words=5):
+    rows = []
+    for d, t in sorted(docs):
+        for k, x in enumerate((t or "").split("\n")):
+            s = frozenset(words(lower(x)))
+            if len(s) >= min_words:
+                rows.append((d, k, s))
+    by, gone = {}, {}
+    for i, (d, k, s) in enumerate(rows):
+        common = Counter(j for w in s for j in by.get(w, ()))
+        if any(100 * c >= percent * (len(s) + len(rows[j][2]) - c) for j, c in common.items()):
+            gone.setdefault(d, []).append(k)
+        for w in s:
+            by.setdefault(w, []).append(i)
+    return [(d, len((t or "").split("\n")), len(gone.get(d, ())), ",".join(map(str, gone.get(d, ())))) for d, t in docs]
