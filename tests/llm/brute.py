@@ -159,3 +159,53 @@ def similar_lines(docs, percent=80, min_words=5):
         for w in s:
             by.setdefault(w, []).append(i)
     return [(d, len((t or "").split("\n")), len(gone.get(d, ())), ",".join(map(str, gone.get(d, ())))) for d, t in docs]
+
+
+def katz(docs, min_pair=2, k=5):
+    """Scores, and the model as functions, from plain dictionaries."""
+    import math
+    import zlib
+
+    def discounts(counts):
+        n = Counter(counts.values())
+        out = {}
+        if n[1] and (common := (k + 1) * n[k + 1] / n[1]) < 1:
+            for r in range(1, k + 1):
+                if n[r] and 0 < (d := ((r + 1) * n[r + 1] / n[r] / r - common) / (1 - common)) <= 1:
+                    out[r] = d
+        return out
+    toks = {i: [*words(lower(t or "")), None] for i, (d, t) in enumerate(docs)}
+    held = [zlib.crc32(str(d).encode()) % 7 == 2 for d, _ in docs]
+    uni, pair, ctx = Counter(), Counter(), Counter()
+    for i, ts in toks.items():
+        if not held[i]:
+            uni.update(ts)
+            pair.update(zip(["<s>", *ts], ts))
+            ctx.update(["<s>", *ts[:-1]])
+    n, v = sum(uni.values()), len(uni)
+    du, dp = discounts(uni), discounts(pair)
+    left = n - sum(du.get(c, 1) * c for c in uni.values())
+    total, unknown = (n, left / n) if left > 1e-9 * n else (n + 1, 1 / (n + 1))
+
+    def p1(w):
+        return du.get(uni[w], 1) * uni[w] / total if uni[w] else unknown
+    taken, low = Counter(), Counter()
+    for (u, w), c in pair.items():
+        if c >= min_pair:
+            taken[u] += dp.get(c, 1) * c
+            low[u] += p1(w)
+
+    def p2(w, u):
+        c = ctx[u]
+        bump = c > 0 and c - taken[u] <= 1e-9 * c
+        if pair[u, w] >= min_pair:
+            return dp.get(pair[u, w], 1) * pair[u, w] / (c + bump)
+        if not c:
+            return p1(w)
+        return (1 / (c + 1) if bump else (c - taken[u]) / c) / (1 - low[u]) * p1(w)
+    out = []
+    for i, (d, _) in enumerate(docs):
+        ts = toks[i]
+        out.append((d, held[i], len(ts), sum(uni[w] > 0 for w in ts), n, sum(math.log10((uni[w] + 1) / (n + v + 1)) for w in ts),
+                    sum(math.log10(p2(w, u)) for u, w in zip(["<s>", *ts], ts))))
+    return out, (p2, uni, ctx)
