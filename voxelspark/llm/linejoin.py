@@ -232,7 +232,7 @@ def similar_lines(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_
     by_class = sets.groupBy("slot")
     total = by_class.applyInArrow(count, "word long, n long, of double")
     table = total.groupBy("word").agg(F.sum("n").alias("n"), F.sum("of").alias("of")).agg(
-        F.collect_list("word").alias("words"), F.collect_list("n").alias("counts"), F.sum("of").alias("all"))   # 4 * SHARE words at most
+        F.collect_list("word").alias("words"), F.collect_list("n").alias("counts"), F.coalesce(F.sum("of"), F.lit(0.0)).alias("all"))   # 4 * SHARE words at most
     table = table.select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("slot"), "words", "counts", "all")
     keys = by_class.cogroup(table.groupBy("slot")).applyInArrow(index, exchange.PACKED)
     pairs = keys.groupBy("slot").applyInArrow(candidates, exchange.PACKED)

@@ -1,7 +1,7 @@
 """Operator 6: packing documents into sequences by patterns from a non-negative least squares fit.
 
 The plan needs only how many pieces there are of each length, at most ``length``
-numbers whatever the input: patterns of two and three lengths that fill a sequence,
+numbers whatever the input: patterns of two, then of three lengths that fill a sequence,
 repeat counts fitted to the histogram, rounded, and the residual packed best-fit from
 the longest piece down, all on counts. Pieces then take their places by rank among
 the pieces of their length; ranks come from counts per task, not from a global sort.
@@ -22,7 +22,7 @@ from voxelspark.llm.tokens import encoder
 
 LENGTH = 2048
 END = 0
-PATTERNS = 4096                 # patterns fitted: those whose rarest length is most frequent
+PATTERNS = 40_000               # patterns of three pieces fitted, about
 STEPS = 200                     # steps of the fit
 PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long, part int, rank long"
 
@@ -35,8 +35,8 @@ def cut_pieces(docs: DataFrame, length: int = LENGTH, end: int = END, path: str
         part, seen = TaskContext.get().partitionId(), Counter()
         for block in text.blocks(batches):
             rows = []
-            for doc, t in zip(block.column("doc_id").to_pylist(), block.column("text").to_pylist(), strict=True):
-                ids = enc(t) + stop
+            for doc, ids in zip(block.column("doc_id").to_pylist(), enc(block.column("text").to_pylist()), strict=True):
+                ids += stop
                 for piece, at in enumerate(range(0, len(ids), 4 * length)):
                     own = ids[at:at + 4 * length]
                     n = len(own) // 4
@@ -49,36 +49,42 @@ def cut_pieces(docs: DataFrame, length: int = LENGTH, end: int = END, path: str
     return exchange.documents(docs, id_col, text_col).mapInArrow(run, PIECES)
 
 
-def patterns(counts: np.ndarray, length: int, most: int = PATTERNS) -> np.ndarray:
-    """Rows of three lengths (0: none) that add up to ``length``, from lengths that occur."""
+def patterns(counts: np.ndarray, length: int, pieces: int, most: int = PATTERNS) -> np.ndarray:
+    """Rows of three lengths (0: none) that add up to ``length``, from lengths that occur. All pairs; of
+    three, for each longest piece those whose rarest length is most frequent, so that every length has some."""
     have = np.flatnonzero(counts[:length] > 0)
     have = have[have > 0]
+    if pieces == 2:
+        rest = length - have
+        ok = (have >= rest) & (counts[rest] > 0)
+        return np.stack([have[ok], rest[ok], np.zeros(ok.sum(), np.int64)], 1)
     a, b = np.meshgrid(have, have, indexing="ij")
     c = length - a - b
-    ok = (a >= b) & (b >= c) & (c >= 0)
-    ok &= (c == 0) | (counts[np.clip(c, 0, length)] > 0)
+    ok = (a >= b) & (b >= c) & (c > 0) & (counts[np.clip(c, 0, length)] > 0)
     rows = np.stack([a[ok], b[ok], c[ok]], 1)
-    if not len(rows):
-        return rows
-    weight = np.where(rows > 0, counts[rows], np.iinfo(np.int64).max).min(1)
-    return rows[np.argsort(-weight, kind="stable")[:most]]
+    order = np.lexsort((rows[:, 1] * 7919 % length, -counts[rows].min(1), rows[:, 0]))
+    longest = rows[order, 0]
+    nth = np.arange(len(order)) - np.searchsorted(longest, longest)
+    return rows[order[nth < -(-most // max(1, len(np.unique(longest))))]]
+
+
+def usage(rows: np.ndarray, x: np.ndarray, size: int) -> np.ndarray:
+    return sum(np.bincount(rows[:, k], x * (rows[:, k] > 0), size) for k in range(3))
 
 
 def fit(rows: np.ndarray, counts: np.ndarray, steps: int = STEPS) -> np.ndarray:
-    """Non-negative repeat counts ``x`` that bring ``A x`` close to ``counts`` in least squares,
-    by multiplicative steps: they stay non-negative and never raise the error."""
+    """Non-negative repeat counts ``x`` that bring ``A x`` close to ``counts`` in least squares, weighted by
+    length as long pieces are hardest to place. Multiplicative steps stay non-negative and never raise the error."""
     size = len(counts)
     used = (rows > 0).astype(float)
-
-    def usage(x):
-        return sum(np.bincount(rows[:, k], x * used[:, k], size) for k in range(3))
+    weight = np.arange(size, dtype=float)
 
     def back(y):
-        return (y[rows] * used).sum(1)
+        return ((weight * y)[rows] * used).sum(1)
     want = back(counts.astype(float))
     x = np.full(len(rows), counts.sum() / max(1, 3 * len(rows)))
     for _ in range(steps):
-        x *= want / np.maximum(back(usage(x)), 1e-12)
+        x *= want / np.maximum(back(usage(rows, x, size)), 1e-12)
     return x
 
 
@@ -110,9 +116,12 @@ def plan(counts: np.ndarray, length: int = LENGTH) -> list[tuple[list, int]]:
     left = counts.astype(np.int64).copy()
     out = [([(length, 1)], int(left[length]))] if left[length] else []
     left[length] = 0
-    rows = patterns(left, length)
-    if len(rows):
-        x = np.rint(fit(rows, left)).astype(np.int64)
+    for pieces in (2, 3):
+        rows = patterns(left, length, pieces)
+        x = fit(rows, left)
+        # rounded down so that no length is used up beyond what there is and the residual stays mixed
+        share = np.minimum(1, left / np.maximum(usage(rows, x, len(left)), 1e-9))
+        x = np.floor(x * np.where(rows > 0, share[rows], 1).min(1) + 1e-6).astype(np.int64) if len(rows) else x
         for k in np.argsort(-x, kind="stable").tolist():
             if x[k] <= 0:
                 break
