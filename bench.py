@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from suites.fixtures import Fixtures
 from suites.tilings import linear_scorer
 from voxelspark import cut_lineage, tune
-from voxelspark.functions import geometry as G
 from voxelspark.operators import canal, components, histogram, matching, measure, quantiles, resample, stencil
 from voxelspark.operators import surface, tiles
 from voxelspark.plans import flows
@@ -34,7 +33,6 @@ def main():
     scans, qc = cut_lineage(fx.scans), cut_lineage(fx.qc_scans)
     voxels, labels, logits = cut_lineage(fx.voxels), cut_lineage(fx.labels), cut_lineage(fx.logits)
     ours, other, truth = cut_lineage(fx.ours), cut_lineage(fx.other), cut_lineage(fx.truth)
-    sane = scans.filter(G.spacing_is_sane())
     n_vox, n_lab = voxels.count(), labels.count()
     curve = ([i / 32 for i in range(33)], [-1000.0 + 60.0 * i for i in range(33)])
 
@@ -44,7 +42,7 @@ def main():
 
     todo = {
         "class_volumes": (n_vox, lambda: flows.class_volumes_of_valid_scans(voxels, scans)),
-        "resample_linear": (n_vox, lambda: resample.resample_linear(voxels, sane)),
+        "resample_linear": (n_vox, lambda: resample.resample_linear(voxels, scans)),
         "resample_nearest": (n_lab, lambda: resample.resample_nearest(labels, scans, scans)),
         "intensity_percentiles": (n_vox, lambda: quantiles.intensity_percentiles(voxels, [0.0, 0.25, 0.5, 0.75, 0.995, 1.0])),
         "otsu_thresholds": (n_vox, lambda: histogram.otsu_thresholds(voxels)),

@@ -105,7 +105,10 @@ CTES: dict[str, str] = {
     "guard_lines": f"""SELECT event_id AS line_id,
   case event_id % 4 when 0 then concat('src/file', user_id, '.py') when 1 then NULL
    when 2 then 'data/post_op/a.txt' else concat('docs/', event_type, '.md') end AS path,
-  {_chars(GUARD, 'duck')} AS line FROM events""",
+  {_chars(GUARD, 'duck')} AS line FROM events
+  UNION ALL SELECT 1000000000000 + doc_id, concat('documents/', source), text FROM documents
+  UNION ALL SELECT 2000000000000 + conv_id * 1000 + turn, NULL, text FROM conversations
+  UNION ALL SELECT 3000000000000 + page_id, url, html FROM pages""",
     "diff_lines": f"SELECT event_id AS seq, {_chars(DIFF, 'duck')} AS line FROM events",
     "slices": """SELECT l_suppkey AS root, l_returnflag AS dir, concat(l_linestatus, l_linenumber) AS series_uid,
   l_orderkey AS instance, 1 + case when l_partkey % 500 = 0 then 1 else 0 end AS frames FROM lineitem""",
@@ -217,11 +220,15 @@ class Fixtures:
 
     @cached_property
     def guard_lines(self) -> DataFrame:
-        return self.table("events").selectExpr(
+        built = self.table("events").selectExpr(
             "event_id AS line_id",
             "case event_id % 4 when 0 then concat('src/file', user_id, '.py') when 1 then cast(null as string)"
             " when 2 then 'data/post_op/a.txt' else concat('docs/', event_type, '.md') end AS path",
             _chars(GUARD, "spark").replace("\\", "\\\\") + " AS line")
+        docs = self.table("documents").selectExpr("1000000000000 + doc_id", "concat('documents/', source)", "text")
+        turns = self.table("conversations").selectExpr("2000000000000 + conv_id * 1000 + turn", "cast(null as string)", "text")
+        pages = self.table("pages").selectExpr("3000000000000 + page_id", "url", "html")
+        return built.union(docs).union(turns).union(pages)
 
     @cached_property
     def diff_lines(self) -> DataFrame:

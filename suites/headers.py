@@ -36,16 +36,11 @@ def _(fx):
 
 
 @check("f04_grid_plan", """WITH g AS (SELECT scan_id, round_even(nx*sx/0.3::DOUBLE, 0) gx, round_even(ny*sy/0.3::DOUBLE, 0) gy,
-  round_even(nz*sz/0.3::DOUBLE, 0) gz FROM headers),
- n AS (SELECT *, cast(gx*gy*gz as BIGINT) AS n_voxels, case when gx*gy*gz > 150000000 then 20 else 40 end AS acc FROM g)
- SELECT scan_id, gx, gy, gz, n_voxels, round(n_voxels*acc/1073741824.0::DOUBLE, 6) AS buffer_gb,
- n_voxels*acc/1073741824.0::DOUBLE > 4 AS large,
- round(2 + n_voxels*greatest(acc + 8, case when n_voxels > 150000000 then acc + 13 else acc + 37 end)/1073741824.0::DOUBLE, 6) AS peak_gb
- FROM n""")
+  round_even(nz*sz/0.3::DOUBLE, 0) gz FROM headers)
+ SELECT scan_id, gx, gy, gz, cast(gx*gy*gz as BIGINT) AS n_voxels FROM g""")
 def _(fx):
     out = G.grid_plan(fx.headers)
-    return out.select("scan_id", "gx", "gy", "gz", "n_voxels", F.round("buffer_gb", 6).alias("buffer_gb"),
-                      "large", F.round("peak_gb", 6).alias("peak_gb"))
+    return out.select("scan_id", "gx", "gy", "gz", "n_voxels")
 
 
 _IDX = """SELECT scan_id, z, y, x, round({0}, 6) AS px, round({1}, 6) AS py, round({2}, 6) AS pz,
@@ -162,9 +157,8 @@ def _(fx):
 
 
 @check("t03_tile_weight", """SELECT scan_id, z, y, x, round(greatest(
- exp(-((z-3.5)*(z-3.5))/(2*1*1)) * exp(-((y-5.5)*(y-5.5))/(2*1.5*1.5)) * exp(-((x-7.5)*(x-7.5))/(2*2*2))
- / (exp(-0.25/2) * exp(-0.25/4.5) * exp(-0.25/8)), 0.001), 6) AS w
- FROM jaw_labels WHERE z < 8 AND y < 12 AND x < 16""")
+ exp(-((z%8-3.5)*(z%8-3.5))/(2*1*1)) * exp(-((y%12-5.5)*(y%12-5.5))/(2*1.5*1.5)) * exp(-((x%16-7.5)*(x%16-7.5))/(2*2*2))
+ / (exp(-0.25/2) * exp(-0.25/4.5) * exp(-0.25/8)), 0.001), 6) AS w FROM jaw_labels""")
 def _(fx):
-    w = tiling.tile_weight([F.col(a) for a in "zyx"], (8, 12, 16))
-    return fx.labels.filter("z < 8 and y < 12 and x < 16").select("scan_id", "z", "y", "x", F.round(w, 6).alias("w"))
+    w = tiling.tile_weight([F.col(a) % n for a, n in zip("zyx", (8, 12, 16))], (8, 12, 16))
+    return fx.labels.select("scan_id", "z", "y", "x", F.round(w, 6).alias("w"))

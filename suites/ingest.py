@@ -30,15 +30,16 @@ def _(fx):
     return manifest.select_series(fx.slices)
 
 
-@check("s03_resolve_input", rf"""WITH {_SERIES}, fl AS (SELECT * FROM manifest WHERE root % 5 <> 0 OR lower(path) LIKE '%.zip'),
+@check("s03_resolve_input", rf"""WITH {_SERIES}, fl AS (SELECT root, case when root % 5 = 0 and not lower(path) LIKE '%.zip' then concat(path, '.txt') else path end AS path FROM manifest),
  v AS (SELECT root, min(path) FILTER (regexp_matches(lower(path), '{_EXTS}')) AS vol, count(*) FILTER (lower(path) LIKE '%.zip' AND NOT contains(path, '/')) AS nz,
   min(path) FILTER (lower(path) LIKE '%.zip' AND NOT contains(path, '/')) AS zip FROM fl GROUP BY root)
  SELECT root, case when dir is not null then 'series' when vol is not null then 'volume' when nz = 1 then 'archive' else 'error' end AS how,
   case when dir is not null then dir when vol is not null then vol when nz = 1 then zip else 'no DICOM series and no volume file' end AS path
- FROM v FULL JOIN (SELECT root, dir FROM ser WHERE root % 3 = 0) USING (root)""")
+ FROM v FULL JOIN (SELECT case when root % 3 = 0 then root else -root end AS root, dir FROM ser) USING (root)""")
 def _(fx):
-    files = fx.manifest.filter((F.col("root") % 5 != 0) | F.lower("path").endswith(".zip"))
-    series = manifest.select_series(fx.slices).filter("root % 3 = 0")
+    other = (F.col("root") % 5 == 0) & ~F.lower("path").endswith(".zip")      # neither volume nor archive
+    files = fx.manifest.withColumn("path", F.when(other, F.concat("path", F.lit(".txt"))).otherwise(F.col("path")))
+    series = manifest.select_series(fx.slices).withColumn("root", F.expr("if(root % 3 = 0, root, -root)"))
     return manifest.resolve_input(files, series)
 
 
@@ -112,7 +113,7 @@ def _(fx):
     return _written(fx).select("run_id", "input", "device", F.size("classes").alias("n_classes"), "seconds")
 
 
-@check("s09_read_reports", f"WITH {_ITEMS} SELECT run_id, kind, key, fdi, name, place, volume_cm3::DOUBLE AS volume_cm3, triangles, stl FROM it WHERE (run_id * 7 + length(stl)) % 150 >= 100")
+@check("s09_read_reports", f"WITH {_ITEMS} SELECT run_id, kind, key, fdi, name, place, volume_cm3::DOUBLE AS volume_cm3, triangles, stl, (run_id * 7 + length(stl)) % 150 < 100 AS empty FROM it")
 def _(fx):
     r = _written(fx)
     named = reports.report_items(r).select("run_id", "stl")
@@ -134,11 +135,9 @@ def _(fx):
 
 @check("flow_preview")
 def _(fx):
-    from voxelspark.functions import geometry as G
     from voxelspark.plans import flows
     path = _folder(fx, "preview")
-    ok = fx.scans.filter(G.spacing_is_sane())
-    grid, levels = flows.preview_grid(fx.voxels.join(ok.select("scan_id"), "scan_id"), ok)
+    grid, levels = flows.preview_grid(fx.voxels, fx.scans)
     preview.save_preview(grid, levels, path)
     return digest(preview.preview_mask(fx.spark, path, 50.0), F.col("hu").cast("long"))
 

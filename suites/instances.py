@@ -24,18 +24,17 @@ _NEAR = " AND ".join(f"greatest(0, c.a{a} - b.h{a}, b.l{a} - c.b_{a}) <= 13/6.0:
 
 @check("c06_clean_arch_mask", "WITH RECURSIVE " + pieces_sql(f"(SELECT * FROM jaw_labels WHERE {_MASK})", "1::INT") + f""",
  cb AS (SELECT scan_id, comp, any_value(size) AS size, min(z) AS az, max(z) + 1 AS b_z, min(y) AS ay, max(y) + 1 AS b_y, min(x0) AS ax, max(x1) + 1 AS b_x FROM piece GROUP BY scan_id, comp),
- cd AS (SELECT c.*, rank, c.size >= 3 AND c.size*0.216::DOUBLE >= 3.0 AS large, bool_or(c.size >= 3 AND c.size*0.216::DOUBLE >= 3.0) OVER (PARTITION BY c.scan_id) AS any_large,
+ cd AS (SELECT c.*, rank, c.size*0.216::DOUBLE >= 3.0 AS large, bool_or(c.size*0.216::DOUBLE >= 3.0) OVER (PARTITION BY c.scan_id) AS any_large,
   count(*) OVER (PARTITION BY c.scan_id) AS k FROM cb c JOIN comps USING (scan_id, comp)),
  reach(scan_id, lz, hz, ly, hy, lx, hx) USING KEY (scan_id) AS (
   SELECT scan_id, min(az), max(b_z), min(ay), max(b_y), min(ax), max(b_x) FROM cd WHERE large OR (rank = 1 AND NOT any_large) GROUP BY scan_id UNION
   SELECT b.scan_id, least(any_value(b.lz), min(c.az)), greatest(any_value(b.hz), max(c.b_z)), least(any_value(b.ly), min(c.ay)), greatest(any_value(b.hy), max(c.b_y)),
-   least(any_value(b.lx), min(c.ax)), greatest(any_value(b.hx), max(c.b_x)) FROM reach b JOIN cd c ON c.scan_id = b.scan_id AND c.size >= 3 AND {_NEAR}
+   least(any_value(b.lx), min(c.ax)), greatest(any_value(b.hx), max(c.b_x)) FROM reach b JOIN cd c ON c.scan_id = b.scan_id AND {_NEAR}
    AND (c.az < b.lz OR c.b_z > b.hz OR c.ay < b.ly OR c.b_y > b.hy OR c.ax < b.lx OR c.b_x > b.hx) GROUP BY b.scan_id),
- kept AS (SELECT c.scan_id, c.comp FROM cd c JOIN reach b ON b.scan_id = c.scan_id WHERE k = 1 OR large OR (rank = 1 AND NOT any_large) OR (c.size >= 3 AND {_NEAR}))
+ kept AS (SELECT c.scan_id, c.comp FROM cd c JOIN reach b ON b.scan_id = c.scan_id WHERE k = 1 OR large OR (rank = 1 AND NOT any_large) OR ({_NEAR}))
  SELECT scan_id, z, y, unnest(range(x0, x1 + 1)) AS x FROM piece SEMI JOIN kept USING (scan_id, comp)""")
 def _(fx):
-    return instances.clean_arch_mask(fx.labels.filter(_MASK).select(*KEYS), fx.qc_scans, min_cm3=3.0, gap_mm=13.0,
-                                     min_voxels=3, block=BLOCK)
+    return instances.clean_arch_mask(fx.labels.filter(_MASK).select(*KEYS), fx.qc_scans, min_cm3=3.0, gap_mm=13.0, block=BLOCK)
 
 
 @check("c07_one_instance_per_number", "WITH RECURSIVE " + pieces_sql("(SELECT * FROM tooth_pred WHERE id <= 32)", "id") + """,
@@ -62,14 +61,14 @@ def _(fx):
     return instances.small_tooth_notes(fx.tooth_pred, fx.qc_scans, UP, {1: 15.0, 2: 9.0, 3: 12.0})
 
 
-_SEEDS = "seed AS (SELECT * FROM tooth_pred WHERE (z = 11 AND y = 6) OR id = 33), msk AS (SELECT scan_id, z, y, x FROM jaw_labels WHERE label = 3)"
+_SEEDS = "seed AS (SELECT * FROM tooth_pred WHERE (z + 2*y + 3*x) % 5 = 0 OR id = 33), msk AS (SELECT scan_id, z, y, x FROM jaw_labels WHERE label = 3)"
 _NUMBERED = f"""{_SEEDS}, pro AS (SELECT scan_id, z, y, x, id FROM seed WHERE id BETWEEN 33 AND 35), teeth AS (SELECT * FROM msk ANTI JOIN pro USING (scan_id, z, y, x)),
  num AS (SELECT * FROM pro UNION ALL SELECT t.scan_id, t.z, t.y, t.x, arg_min(s.id, ((s.z-t.z)*(s.z-t.z) + (s.y-t.y)*(s.y-t.y) + (s.x-t.x)*(s.x-t.x))*1000 + s.id) FROM teeth t
   JOIN seed s ON s.scan_id = t.scan_id AND s.id BETWEEN 1 AND 16 AND (s.z-t.z)*(s.z-t.z) + (s.y-t.y)*(s.y-t.y) + (s.x-t.x)*(s.x-t.x) <= 1 GROUP BY ALL)"""
 
 
 def _assigned(fx):
-    seeds = fx.tooth_pred.filter("(z = 11 and y = 6) or id = 33")
+    seeds = fx.tooth_pred.filter("(z + 2*y + 3*x) % 5 = 0 or id = 33")
     return instances.assign_numbers(fx.labels.filter("label = 3"), seeds, fx.qc_scans, UP, 6.0)
 
 
@@ -152,22 +151,18 @@ def _(fx):
  bb AS (SELECT scan_id, r0, r1, min(x) AS lx, max(x) AS hx, min(y) AS ly, max(y) AS hy, min(z) AS lz, max(z) AS hz FROM vx JOIN rd USING (scan_id) WHERE r0 IS NULL OR (x >= r0 AND x < r1) GROUP BY ALL),
  ix AS (SELECT scan_id, r0 AS x0, r1 AS x1, greatest(floor(lx - 1.25::DOUBLE + 0.5), 0) AS ax, least(ceil(hx + 1.25::DOUBLE + 0.5), 16) AS bx, greatest(floor(ly - 1.25::DOUBLE + 0.5), 0) AS ay,
   least(ceil(hy + 1.25::DOUBLE + 0.5), 16) AS "by", greatest(floor(lz - 1.25::DOUBLE + 0.5), 0) AS az, least(ceil(hz + 1.25::DOUBLE + 0.5), 16) AS bz FROM bb)
- SELECT *, ((bx-ax)*24*("by"-ay)*24*(bz-az)*24)::BIGINT AS fine_voxels, (bx-ax)*24*("by"-ay)*24*(bz-az)*24 <= 10000000 AS fits FROM ix""")
+ SELECT *, ((bx-ax)*24*("by"-ay)*24*(bz-az)*24)::BIGINT AS fine_voxels, true AS fits FROM ix""")
 def _(fx):
     k = F.col("scan_id") % 3
     redo = fx.scans.select("scan_id", F.when(k == 1, 0).when(k == 2, 8).alias("x0"), F.when(k == 1, 8).when(k == 2, 16).alias("x1"))
-    return canal.fine_box(fx.labels, fx.qc_scans, fx.qc_scans, redo, margin_mm=7.5, max_voxels=10_000_000, block=BLOCK)
+    return canal.fine_box(fx.labels, fx.qc_scans, fx.qc_scans, redo, margin_mm=7.5, block=BLOCK)
 
 
 @check("c13_merge_second_pass", """WITH nw AS (SELECT DISTINCT scan_id, z + case when scan_id % 2 = 0 then 1 else 0 end AS z, y, x FROM jaw_labels WHERE label = 5 AND (scan_id % 3 <> 0 OR y < 9)),
- bt AS (SELECT scan_id, z, y, x, l.label AS o, n.scan_id IS NOT NULL AS isnew, scan_id % 5 <> 1 OR x < 8 AS looked FROM (SELECT * FROM jaw_labels) l
-  FULL JOIN (SELECT *, 1 AS one FROM nw) n USING (scan_id, z, y, x)),
  b2 AS (SELECT scan_id, z, y, x, o, case when one = 1 and (o is null or o in (1, 5)) then 5 when o = 5 and looked then null else o end AS m FROM (
   SELECT scan_id, z, y, x, l.label AS o, n.one, scan_id % 5 <> 1 OR x < 8 AS looked FROM jaw_labels l FULL JOIN (SELECT *, 1 AS one FROM nw) n USING (scan_id, z, y, x))),
  v AS (SELECT scan_id, count(*) FILTER (m = 5) >= count(*) FILTER (o = 5) AS better FROM b2 GROUP BY scan_id)
- SELECT scan_id, z, y, x, label FROM (SELECT scan_id, z, y, x, case when better then m else o end AS label FROM b2 JOIN v USING (scan_id)) WHERE label IS NOT NULL""".replace(
-    """ bt AS (SELECT scan_id, z, y, x, l.label AS o, n.scan_id IS NOT NULL AS isnew, scan_id % 5 <> 1 OR x < 8 AS looked FROM (SELECT * FROM jaw_labels) l
-  FULL JOIN (SELECT *, 1 AS one FROM nw) n USING (scan_id, z, y, x)),\n""", ""))
+ SELECT scan_id, z, y, x, label FROM (SELECT scan_id, z, y, x, case when better then m else o end AS label FROM b2 JOIN v USING (scan_id)) WHERE label IS NOT NULL""")
 def _(fx):
     new = fx.labels.filter("label = 5 and (scan_id % 3 <> 0 or y < 9)").selectExpr(
         "scan_id", "z + case when scan_id % 2 = 0 then 1 else 0 end AS z", "y", "x")
@@ -228,8 +223,7 @@ def tooth_scorer(box):
 
 @check("flow_separate_teeth")
 def _(fx):
-    _, report = flows.separate_teeth(fx.voxels, fx.labels, fx.qc_scans, tooth_scorer, (4, 8, 8), radius_mm=6.0,
-                                     min_voxels=3, block=BLOCK)
+    _, report = flows.separate_teeth(fx.voxels, fx.labels, fx.qc_scans, tooth_scorer, (4, 8, 8), radius_mm=6.0, block=BLOCK)
     return report.withColumn("notes", F.array_join("notes", "; "))
 
 

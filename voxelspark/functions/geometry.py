@@ -14,9 +14,6 @@ SIZE = ("nx", "ny", "nz")
 SANE_SPACING_MM = (0.04, 1.2)
 MAX_FOV_MM = 300.0
 GRID_SPACING_MM = 0.3
-HALF_PRECISION_VOXELS = 150_000_000
-WARN_BUFFER_GB = 4.0
-SESSION_GB = 2.0
 
 
 def _col(c) -> Column:
@@ -52,25 +49,11 @@ def grid_size(n: Column, spacing: Column, target: float) -> Column:
     return F.rint(n * spacing / F.lit(target)).cast("int")
 
 
-def grid_plan(scans: DataFrame, spacing: float = GRID_SPACING_MM, num_classes: int = 10,
-              classes_out: int = 9, teeth: bool = False, fields: bool = True) -> DataFrame:
-    """Size, voxel count and memory of the isotropic grid, from the header alone."""
+def grid_plan(scans: DataFrame, spacing: float = GRID_SPACING_MM) -> DataFrame:
+    """Size (``gx, gy, gz``) and voxel count of the isotropic grid, from the header alone."""
     out = scans.withColumns({f"g{a}": grid_size(F.col(n), F.col("spacing")[i], spacing)
                              for i, (a, n) in enumerate(zip(AXES, SIZE))})
-    n = F.col("n_voxels")
-    out = out.withColumn("n_voxels", F.col("gx").cast("long") * F.col("gy") * F.col("gz"))
-    large = n > HALF_PRECISION_VOXELS
-    acc = F.when(large, 2 * num_classes).otherwise(4 * num_classes)
-    during = acc + 8
-    if fields:
-        after = F.when(large, acc + 13 + (8 if teeth else 0)).otherwise(acc + 4 * classes_out + 1)
-    else:
-        after = acc + 1
-    peak = SESSION_GB + n * (F.greatest(during, after) + (2 if teeth else 0)) / 2.0 ** 30
-    return out.withColumns({
-        "buffer_gb": n * acc / 2.0 ** 30,
-        "large": n * acc / 2.0 ** 30 > WARN_BUFFER_GB,
-        "peak_gb": peak})
+    return out.withColumn("n_voxels", F.col("gx").cast("long") * F.col("gy") * F.col("gz"))
 
 
 def to_physical(index: Sequence[Column], origin="origin", spacing="spacing",

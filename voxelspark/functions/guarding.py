@@ -18,7 +18,6 @@ SHAPES = (
 ALLOWED = (r"Dr\. [A-Z]", r"AUTHORS = \[")
 PRIVATE = "a word from the private list"
 HIDDEN = "(not shown)"
-SNIPPET = 120
 
 
 def shape_of(text: Column) -> Column:

@@ -12,7 +12,6 @@ TILE = r"^tile (\d+)/(\d+)"
 MESH_LINE = r"^[A-Z][\w ]+: "
 ARCH_LINE = r"^(upper|lower) arch"
 N_CLASSES = 9
-ERROR_CHARS = 300
 
 
 def event_of(line: Column) -> Column:

@@ -26,7 +26,6 @@ TRIGGERS = {
 }
 FINE_SPACING_MM = 0.25
 FINE_MARGIN_MM = 15.0
-FINE_MAX_VOXELS = 150_000_000
 
 
 def despecked_canal(labels: DataFrame, scans: DataFrame, block: int = C.BLOCK) -> DataFrame:
@@ -129,11 +128,11 @@ def sides_to_redo(health: DataFrame, triggers: Mapping[str, float] = TRIGGERS) -
 
 def fine_box(labels: DataFrame, grid: DataFrame, source: DataFrame, redo: DataFrame,
              margin_mm: float = FINE_MARGIN_MM, spacing: float = FINE_SPACING_MM,
-             max_voxels: int = FINE_MAX_VOXELS, block: int = C.BLOCK) -> DataFrame:
+             block: int = C.BLOCK) -> DataFrame:
     """The source box for the second pass: largest jaw piece (within x0..x1) plus a margin.
 
     Per ``redo`` row: index ranges a*/b* in ``source``, voxels at the fine
-    spacing, and ``fits`` (within the budget and overlapping the frame).
+    spacing, and ``fits`` (it overlaps the frame).
     """
     parts = C.connected_components(labels.filter(F.col("label") == JAW), by=(), block=block)
     jaw = attach(C.largest_component(parts), redo, sized_by=grid)
@@ -150,7 +149,7 @@ def fine_box(labels: DataFrame, grid: DataFrame, source: DataFrame, redo: DataFr
     for i, a in enumerate(G.AXES):
         n = n * F.rint((F.col(f"b{a}") - F.col(f"a{a}")) * F.col("spacing")[i] / spacing).cast("long")
     return out.select(*keys, *[f"{e}{a}" for e in "ab" for a in G.AXES], n.alias("fine_voxels"),
-                      ((n <= max_voxels) & (F.col("status") == "ok")).alias("fits"))
+                      (F.col("status") == "ok").alias("fits"))
 
 
 def merge_second_pass(labels: DataFrame, canal: DataFrame, scans: DataFrame, covered: DataFrame | None = None,

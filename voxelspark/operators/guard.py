@@ -9,9 +9,6 @@ from pyspark.sql import functions as F
 from voxelspark.functions import guarding as P
 from voxelspark.plans.ordered import carry_last
 
-# Fixed value.
-SHOWN = 30
-
 
 def guard_text(lines: DataFrame, private: Sequence[str] = ()) -> DataFrame:
     """Hits in ``lines`` (line_id, path, line): line_id, part (path or text), path, reason, snippet.
@@ -26,7 +23,7 @@ def guard_text(lines: DataFrame, private: Sequence[str] = ()) -> DataFrame:
     text = F.col("w.text")
     secret = P.is_private(text, private)
     reason = F.when(secret, P.PRIVATE).otherwise(P.shape_of(text))
-    snippet = F.when(secret, P.HIDDEN).otherwise(F.substring(F.trim(text), 1, P.SNIPPET))
+    snippet = F.when(secret, P.HIDDEN).otherwise(F.trim(text))
     return rows.select("line_id", "w.part", "path", reason.alias("reason"), snippet.alias("snippet")).filter(
         "reason is not null")
 
@@ -47,8 +44,7 @@ def added_lines(diff: DataFrame, keys: Sequence[str] = ("diff_id",), bucket_rows
     return seen.filter(added).select(*keys, "seq", F.col("at.path").alias("path"), F.substring("line", 2, 1 << 30).alias("line"))
 
 
-def guard_report(hits: DataFrame, shown: int = SHOWN) -> DataFrame:
-    """The first hits, each marked ``refused``; an empty result means nothing was found."""
-    top = hits.orderBy("line_id", "part").limit(shown)
-    return top.select("line_id", F.coalesce("path", F.lit("(commit message)")).alias("path"), "reason", "snippet",
+def guard_report(hits: DataFrame) -> DataFrame:
+    """Every hit, marked ``refused``; an empty result means nothing was found."""
+    return hits.select("line_id", F.coalesce("path", F.lit("(commit message)")).alias("path"), "reason", "snippet",
                       F.lit(True).alias("refused"))

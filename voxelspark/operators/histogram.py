@@ -9,37 +9,21 @@ from pyspark.sql import types as T
 
 from voxelspark.operators.quantiles import value_counts, weighted_quantiles
 from voxelspark.plans.attach import attach
-from voxelspark.plans.ordered import number_rows
 from voxelspark.session import cut_lineage
 
 # Fixed values.
-MIN_INSIDE = 1000
-MAX_INSIDE = 2_000_000
 BINS = 256
 MARGIN_SCALE = 100.0
 TOP_FRACTION = 0.995
 
 
-def inside_fov(voxels: DataFrame, max_voxels: int = MAX_INSIDE, min_voxels: int = MIN_INSIDE) -> DataFrame:
-    """Voxels above the padding value (minimum + 1); every voxel if too few remain.
-
-    Scans with more than ``max_voxels`` keep every (n // max_voxels)-th voxel in
-    z, y, x order; positions are numbered plane by plane, not scan by scan.
-    """
+def inside_fov(voxels: DataFrame) -> DataFrame:
+    """Voxels above the padding value (minimum + 1); every voxel of a scan where none is."""
     counts = cut_lineage(value_counts(voxels, ["scan_id"], "hu"))
-    low = counts.groupBy("scan_id").agg(F.min("value").alias("low"), F.sum("n").alias("n_all"))
-    facts = (counts.join(low, "scan_id").groupBy("scan_id", "low", "n_all")
-             .agg(F.sum(F.when(F.col("value") > F.col("low") + 1, F.col("n")).otherwise(0)).alias("n_in")))
-    few = F.col("n_in") < min_voxels
-    facts = facts.select("scan_id", F.when(few, F.lit(float("-inf"))).otherwise(F.col("low") + 1).alias("floor"),
-                         F.when(few, F.col("n_all")).otherwise(F.col("n_in")).alias("n_used"))
-    facts = cut_lineage(facts)
-    both = attach(voxels, facts).filter(F.col("hu") > F.col("floor"))
-    cols = voxels.columns
-    whole = both.filter(F.col("n_used") <= max_voxels).select(cols)
-    thinned = number_rows(both.filter(F.col("n_used") > max_voxels), ["scan_id"], F.col("z"), ["z", "y", "x"])
-    stride = F.floor(F.col("n_used") / max_voxels)
-    return whole.unionByName(thinned.filter((F.col("rn") - 1) % stride == 0).select(cols))
+    low = counts.groupBy("scan_id").agg(F.min("value").alias("low"), F.max("value").alias("top"))
+    floor = F.when(F.col("top") > F.col("low") + 1, F.col("low") + 1).otherwise(F.lit(float("-inf")))
+    facts = cut_lineage(low.select("scan_id", floor.alias("floor")))
+    return attach(voxels, facts).filter(F.col("hu") > F.col("floor")).select(voxels.columns)
 
 
 def histogram(counts: DataFrame, bins: int = BINS) -> DataFrame:

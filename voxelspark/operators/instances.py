@@ -18,14 +18,12 @@ from voxelspark.session import cut_lineage
 # Fixed values.
 ARCH_MIN_CM3 = 0.135
 ARCH_GAP_MM = 25.0
-ARCH_MIN_VOXELS = 300
 MIN_TOOTH_CM3 = 0.03
 MIN_ARCH_CM3 = 0.5
 MERGE_SHARE = 0.25
 SPECK_SHARE = 0.10
 SMALL_SHARE = 0.35
 TYPICAL_CM3 = 0.5
-QC_ROUNDS = 8
 
 AXES = "zyx"
 
@@ -35,13 +33,11 @@ def is_prosthesis(i: Column) -> Column:
 
 
 def clean_arch_mask(mask: DataFrame, scans: DataFrame, min_cm3: float = ARCH_MIN_CM3,
-                    gap_mm: float = ARCH_GAP_MM, min_voxels: int = ARCH_MIN_VOXELS,
-                    block: int = C.BLOCK) -> DataFrame:
+                    gap_mm: float = ARCH_GAP_MM, block: int = C.BLOCK) -> DataFrame:
     """The arch without false hits far away from it.
 
-    Large pieces always stay (the largest one if none is large). Smaller pieces
-    of at least ``min_voxels`` join while their box is within ``gap_mm`` of the
-    box of everything taken so far. Works on component boxes; a single-piece
+    Large pieces always stay (the largest one if none is large). Smaller ones
+    join while their box is within ``gap_mm`` of the box of everything taken so far. Works on component boxes; a single-piece
     mask is returned as it is.
     """
     parts = C.connected_components(mask, by=(), block=block)
@@ -49,13 +45,12 @@ def clean_arch_mask(mask: DataFrame, scans: DataFrame, min_cm3: float = ARCH_MIN
     ranked = attach(C.ranked_sizes(parts), facts, sized_by=scans, salt_by=("comp",))
     alone = ranked.groupBy("scan_id").agg(
         F.count(F.lit(1)).alias("k"),
-        F.max(((F.col("n") >= min_voxels) & (F.col("n") * F.col("cm3") >= min_cm3)).cast("int")).alias("any_large"))
+        F.max((F.col("n") * F.col("cm3") >= min_cm3).cast("int")).alias("any_large"))
     # one row per scan, bounded like the headers themselves
     ranked = attach(ranked, alone, salt_by=("comp",), sized_by=scans)
     keep = (F.col("k") == 1) | F.when(
-        F.col("any_large") == 1, (F.col("n") >= min_voxels) & (F.col("n") * F.col("cm3") >= min_cm3)
-    ).otherwise(F.col("rank") == 1)
-    pieces = cut_lineage(ranked.filter(keep | (F.col("n") >= min_voxels)).withColumn("keep", keep))
+        F.col("any_large") == 1, F.col("n") * F.col("cm3") >= min_cm3).otherwise(F.col("rank") == 1)
+    pieces = cut_lineage(ranked.withColumn("keep", keep))
     while True:
         taken = pieces.filter("keep").groupBy("scan_id").agg(
             *[F.min(f"a{a}").alias(f"lo_{a}") for a in AXES], *[F.max(f"b{a}").alias(f"hi_{a}") for a in AXES])
@@ -125,8 +120,9 @@ def _fdi(i: int) -> int:
 
 def settle_contacts(count: Mapping[int, int], faces: Mapping[tuple[int, int], int], own: tuple[int, int],
                     cm3: float, typical: Mapping[int, float], merge_share: float = MERGE_SHARE,
-                    speck_share: float = SPECK_SHARE, rounds: int = QC_ROUNDS) -> tuple[dict[int, int], list[str]]:
-    """Merge or drop numbers of one scan, one change per round. At most 35 numbers take part.
+                    speck_share: float = SPECK_SHARE) -> tuple[dict[int, int], list[str]]:
+    """Merge or drop numbers of one scan, one change per round until nothing changes. At most 35
+    numbers take part and each round removes one.
 
     Returns where every changed number went (0 = dropped) and notes.
     """
@@ -147,7 +143,7 @@ def settle_contacts(count: Mapping[int, int], faces: Mapping[tuple[int, int], in
                 moved[k] = new
         moved[old] = new
 
-    for _ in range(rounds):
+    while True:
         for t in sorted(count, key=lambda i: (count[i], i)):
             shell = sum(n for (a, _b), n in faces.items() if a == t)
             beside = {b: n for (a, b), n in faces.items() if a == t and own[0] <= b <= own[1]}
@@ -167,8 +163,7 @@ def settle_contacts(count: Mapping[int, int], faces: Mapping[tuple[int, int], in
                 relabel(t, 0)
                 break
         else:
-            break
-    return moved, notes
+            return moved, notes
 
 
 def qc_merge(numbered: DataFrame, scans: DataFrame, own: tuple[int, int],

@@ -17,7 +17,6 @@ from voxelspark.session import cut_lineage
 # Fixed values.
 LEVELS = 256
 MARGIN_VOXELS = 20
-MIN_JAW_VOXELS = 1000
 MANDIBLE = 1
 
 
@@ -54,16 +53,14 @@ def match_quantiles(voxels: DataFrame, fractions: Sequence[float], reference: Se
 
 
 def reference_curve(voxels: DataFrame, labels: DataFrame, scans: DataFrame, levels: int = LEVELS,
-                    margin: int = MARGIN_VOXELS, min_jaw: int = MIN_JAW_VOXELS) -> DataFrame:
+                    margin: int = MARGIN_VOXELS) -> DataFrame:
     """Median over scans of each scan's quantile curve around the mandible.
 
-    Scans with fewer than ``min_jaw`` jaw voxels are left out. Returns
-    ``level, fraction, hu`` (one decimal) and ``built_from``; no rows at all
-    means that no scan qualified.
+    Every scan with a jaw counts. Returns ``level, fraction, hu`` (one decimal) and
+    ``built_from``; no rows at all means that no scan has one.
     """
     jaw = labels.filter(F.col("label") == MANDIBLE)
-    boxes = bounding_box(jaw, scans, by=["scan_id"], margin=margin)
-    boxes = boxes.filter(F.col("voxels") >= min_jaw).drop("voxels")
+    boxes = bounding_box(jaw, scans, by=["scan_id"], margin=margin).drop("voxels")
     crop = within(voxels, boxes, sized_by=scans)
     curves = quantiles(crop, ["scan_id"], "hu", [i / levels for i in range(levels + 1)])
     middle = quantiles(curves.select(F.col("level").alias("at"), "value"), ["at"], "value", [0.5])

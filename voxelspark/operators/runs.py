@@ -49,12 +49,12 @@ def run_progress(log: DataFrame, n_classes: int = P.N_CLASSES, teeth: bool = Tru
 
 
 def first_error(log: DataFrame) -> DataFrame:
-    """Per run the first ``ERROR:`` line (300 characters) and the exit code, if logged."""
+    """Per run the first ``ERROR:`` line and the exit code, if logged."""
     line = F.col("line")
     error = F.min(F.when(line.startswith("ERROR:"), F.struct("seq", "line")))
     code = F.regexp_extract("line", r"^exit code (-?\d+)", 1).try_cast("int")
     return log.groupBy("run_id").agg(error.alias("e"), F.max_by(code, F.when(code.isNotNull(), F.col("seq"))).alias("exit_code")).select(
-        "run_id", F.substring(F.trim(F.substring("e.line", 7, 1 << 30)), 1, P.ERROR_CHARS).alias("error"), "exit_code")
+        "run_id", F.trim(F.substring("e.line", 7, 1 << 30)).alias("error"), "exit_code")
 
 
 def _seconds(ts: str) -> Column:

@@ -97,12 +97,12 @@ def second_pass_match(voxels: DataFrame, labels: DataFrame, scans: DataFrame, sc
 def second_pass_fine(source: DataFrame, source_scans: DataFrame, labels: DataFrame, grid: DataFrame,
                      redo: DataFrame, score: Scorer, tile: Sequence[int], num_classes: int,
                      spacing: float = K.FINE_SPACING_MM, margin_mm: float = K.FINE_MARGIN_MM,
-                     max_voxels: int = K.FINE_MAX_VOXELS, block: int = C.BLOCK) -> tuple[DataFrame, DataFrame]:
+                     block: int = C.BLOCK) -> tuple[DataFrame, DataFrame]:
     """The jaw predicted again on a finer grid: (canal voxels on ``grid``, covered ranges).
 
     ``redo`` holds at most one row per scan; only its x range may change.
     """
-    box = K.fine_box(labels, grid, source_scans, redo, margin_mm, spacing, max_voxels, block).filter("fits")
+    box = K.fine_box(labels, grid, source_scans, redo, margin_mm, spacing, block).filter("fits")
     box = cut_lineage(box.join(source_scans.select("scan_id", "spacing", "origin", "direction"), "scan_id"))
     heads = crop.cropped_headers(box)
     fine_heads = resample.resampled_headers(heads, spacing)
@@ -172,8 +172,7 @@ def _replace(labels: DataFrame, new: DataFrame, ids: DataFrame, grid: DataFrame)
 
 def separate_teeth(voxels: DataFrame, labels: DataFrame, scans: DataFrame, score: Scorer, tile: Sequence[int],
                    num_classes: int = 36, margin_mm: float = 5.0, typical: Mapping[int, float] | None = None,
-                   radius_mm: float = instances.ASSIGN_MM, min_voxels: int = instances.ARCH_MIN_VOXELS,
-                   block: int = C.BLOCK) -> tuple[DataFrame, DataFrame]:
+                   radius_mm: float = instances.ASSIGN_MM, block: int = C.BLOCK) -> tuple[DataFrame, DataFrame]:
     """Numbered teeth of both arches: (voxels with ``id``, one report row per scan and arch)."""
     present = cut_lineage(instances.arches_present(labels, scans))
     done, reports = [], []
@@ -181,7 +180,7 @@ def separate_teeth(voxels: DataFrame, labels: DataFrame, scans: DataFrame, score
         ids = present.filter((F.col("arch") == arch) & F.col("used")).select("scan_id")
         frame = cut_lineage(scans.join(ids, "scan_id"))
         mask = attach(labels.filter(F.col("label") == label), ids, sized_by=scans).select(*measure.VOXEL)
-        clean = instances.clean_arch_mask(mask, frame, min_voxels=min_voxels, block=block)
+        clean = instances.clean_arch_mask(mask, frame, block=block)
         box = measure.bounding_box(clean, None, by=["scan_id"]).drop("voxels").join(frame, "scan_id")
         wide = F.rint(F.lit(margin_mm) / F.col("spacing")[0]).cast("int")
         for a in G.AXES:

@@ -40,7 +40,7 @@ def read_reports(spark: SparkSession, path: str) -> DataFrame:
 def report_items(reports: DataFrame, files: DataFrame | None = None) -> DataFrame:
     """One row per run and class, tooth or prosthesis that has a surface.
 
-    ``files`` (run_id, stl, length), if given, also drops surfaces under 100 bytes.
+    ``files`` (run_id, stl, length), if given, adds ``empty``: the file is missing or under 100 bytes.
     ``place`` is upper or lower for teeth (numbers under 30 are upper).
     """
     none_int, none_text = F.lit(None).cast("int"), F.lit(None).cast("string")
@@ -57,8 +57,9 @@ def report_items(reports: DataFrame, files: DataFrame | None = None) -> DataFram
     items = items.filter("stl is not null")
     if files is None:
         return items
-    solid = files.filter(F.col("length") >= EMPTY_SURFACE_BYTES).select("run_id", "stl")
-    return items.join(solid, ["run_id", "stl"], "left_semi")
+    sizes = files.groupBy("run_id", "stl").agg(F.max("length").alias("length"))
+    return items.join(sizes, ["run_id", "stl"], "left").withColumn(
+        "empty", F.coalesce(F.col("length") < EMPTY_SURFACE_BYTES, F.lit(True))).drop("length")
 
 
 def slow_tile_flag(reports: DataFrame, limit: float = SLOW_TILE_SECONDS) -> DataFrame:
