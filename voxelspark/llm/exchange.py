@@ -22,8 +22,9 @@ PACKED = "slot int, n int, data binary"
 _ARROW = pa.schema([("slot", pa.int32()), ("n", pa.int32()), ("data", pa.binary())])
 
 
-def slots(spark: SparkSession, per_partition: int = 4) -> int:
-    """Number of slots (odd), a few for each shuffle partition."""
+def slots(spark: SparkSession, per_partition: int = 1) -> int:
+    """Number of slots: by default one for each shuffle partition, so that a task's records
+    for all slots stay few and long rows."""
     return per_partition * int(spark.conf.get("spark.sql.shuffle.partitions")) + 1
 
 
@@ -57,9 +58,11 @@ class Records:
 
     def pack(self, slot: np.ndarray, cols: dict) -> pa.RecordBatch:
         """One row per slot. A ragged column is a pair (all bytes, sizes)."""
+        if not len(slot):
+            return self.empty()
         order = np.argsort(slot, kind="stable")
         slot = slot[order]
-        cut = np.flatnonzero(np.r_[True, slot[1:] != slot[:-1]]) if len(slot) else np.zeros(0, np.int64)
+        cut = np.flatnonzero(np.r_[True, slot[1:] != slot[:-1]])
         ends = np.append(cut[1:], len(slot))
         cols = dict(cols)
         if self.ragged:

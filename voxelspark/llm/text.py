@@ -11,7 +11,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 
-BLOCK = 4 << 20                 # bytes of text worked on at once
+BLOCK = 2 << 20                 # bytes of text worked on at once
 _BASE = 0x9E3779B97F4A7C15 | 1
 U64 = np.uint64
 
