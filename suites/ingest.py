@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 from suites import check, digest, digest_sql
 from voxelspark.operators import resample
 from voxelspark.session import cut_lineage, shared_folder
+from voxelspark.functions import geometry
+from voxelspark.operators import crop
 from voxelspark.sources import config, manifest, preview, reports, volumes
 
 
@@ -43,13 +45,21 @@ def _(fx):
     return manifest.resolve_input(files, series)
 
 
-@check("s04_promote_single_slice", f"""WITH {_SERIES} SELECT volume_id, o.root, depth, case when depth <> 1 then 'volume' when coalesce(slices, 0) > 1 then 'series' else 'error' end AS status,
- case when depth <> 1 then depth when coalesce(slices, 0) > 1 then slices end AS slices
- FROM (SELECT o_orderkey AS volume_id, o_custkey AS root, case when o_orderkey % 4 = 0 then 1 else 40 + o_custkey % 7 end AS depth FROM orders) o LEFT JOIN ser USING (root)""")
+_FOLDER = "case {k} % 5 when 0 then '' when 1 then 'A' when 2 then 'N/O' when 3 then 'R' else 'none' end"
+
+
+@check("s04_promote_single_slice", f"""WITH sz AS (SELECT root, concat(dir, '/', left(series_uid, 1)) AS dir, dir AS up, series_uid, count(*) AS n FROM slices GROUP BY ALL),
+ ab AS (SELECT root, '' AS folder, n FROM sz UNION ALL SELECT root, up, n FROM sz UNION ALL SELECT root, dir, n FROM sz),
+ best AS (SELECT root, folder, max(n) AS n FROM ab GROUP BY ALL)
+ SELECT volume_id, o.root, o.folder, depth, case when depth <> 1 then 'volume' when coalesce(n, 0) > 1 then 'series' else 'error' end AS status,
+ case when depth <> 1 then depth when coalesce(n, 0) > 1 then n end AS slices
+ FROM (SELECT o_orderkey AS volume_id, o_custkey AS root, {_FOLDER.format(k='o_custkey')} AS folder, case when o_orderkey % 4 = 0 then 1 else 40 + o_custkey % 7 end AS depth FROM orders) o
+ LEFT JOIN best USING (root, folder)""")
 def _(fx):
-    vol = fx.table("orders").selectExpr("o_orderkey AS volume_id", "o_custkey AS root",
+    vol = fx.table("orders").selectExpr("o_orderkey AS volume_id", "o_custkey AS root", _FOLDER.format(k="o_custkey") + " AS folder",
                                         "case when o_orderkey % 4 = 0 then 1 else 40 + o_custkey % 7 end AS depth")
-    return manifest.promote_single_slice(vol, manifest.select_series(fx.slices))
+    nested = fx.slices.withColumn("dir", F.expr("concat(dir, '/', left(series_uid, 1))"))
+    return manifest.promote_single_slice(vol, manifest.series_sizes(nested))
 
 
 @check("s05_drop_time_axis", """SELECT root, instance, series_uid, case when frames = 1 then 'ok' else 'rejected' end AS status,
@@ -74,6 +84,17 @@ def _(fx):
     return digest(volumes.read_volumes(fx.spark, path), F.col("label").cast("long"))
 
 
+@check("s07_any_orientation", "SELECT scan_id, z, y, x, label FROM jaw_labels")
+def _(fx):
+    """Labels found on the turned scan, written back on scans of every kind of direction."""
+    kinds = F.expr("""case scan_id % 4 when 0 then array(1D,0D,0D,0D,1D,0D,0D,0D,1D) when 1 then array(-1D,0D,0D,0D,-1D,0D,0D,0D,1D)
+        when 2 then array(0D,1D,0D,0D,0D,-1D,1D,0D,0D) else array(0.8D,-0.6D,0D,0.6D,0.8D,0D,0D,0D,1D) end""")
+    source = fx.scans.withColumn("direction", kinds)
+    path = _folder(fx, "labels")
+    volumes.write_labels(crop.orient_lps(fx.labels, source), geometry.orient_lps_headers(source), source, path)
+    return volumes.read_volumes(fx.spark, path).select("scan_id", "z", "y", "x", "label")
+
+
 def _reports(fx):
     """Run reports with nested maps, from the supplier table."""
     k = F.col("s_suppkey")

@@ -7,7 +7,7 @@ from voxelspark.functions import intensity as I
 from voxelspark.functions import naming
 from voxelspark.operators import measure
 
-CLASS_SQL = "(VALUES " + ", ".join(f"({i}, '{k}', '{n}')" for i, k, n, _, _ in naming.CLASSES) + ") c(class_id, key, name)"
+CLASS_SQL = "(VALUES " + ", ".join(f"({i}, '{k}', '{n}')" for i, k, n, _ in naming.CLASSES) + ") c(class_id, key, name)"
 
 
 def _volumes_sql(labels, scans, vox):

@@ -26,7 +26,7 @@ def _(fx):
 
 
 @check("r02_resample_nearest", """WITH t AS (SELECT scan_id, t, sx, dxx FROM scans, range(24) r(t)),
- tx AS (SELECT scan_id, t, floor((t*(sx*0.7) + dxx*(0.31*sx))/sx + 0.5) AS g FROM t), ty AS (SELECT scan_id, t, floor((t*(sx*0.7))/sx + 0.5) AS g FROM t)
+ tx AS (SELECT scan_id, t, floor((t*(sx*0.7) + dxx*(0.31*sx))/sx + 0.5 + 1e-9) AS g FROM t), ty AS (SELECT scan_id, t, floor((t*(sx*0.7))/sx + 0.5 + 1e-9) AS g FROM t)
  SELECT l.scan_id, c.t AS z, b.t AS y, a.t AS x, label FROM jaw_labels l JOIN tx a ON a.scan_id = l.scan_id AND a.g = l.x
  JOIN ty b ON b.scan_id = l.scan_id AND b.g = l.y JOIN ty c ON c.scan_id = l.scan_id AND c.g = l.z""".replace("*0.7", "*0.7::DOUBLE").replace("0.31*", "0.31::DOUBLE*"))
 def _(fx):
@@ -104,10 +104,16 @@ def _(fx):
     return crop.within(fx.labels, ranges, sized_by=fx.scans)
 
 
-_EDGES = """ed AS (SELECT a.scan_id, o.axis, a.x + o.dx*(400 - a.hu::DOUBLE)/(b.hu::DOUBLE - a.hu) AS i, a.y + o.dy*(400 - a.hu::DOUBLE)/(b.hu::DOUBLE - a.hu) AS j,
-  a.z + o.dz*(400 - a.hu::DOUBLE)/(b.hu::DOUBLE - a.hu) AS k FROM voxels a JOIN (VALUES ('z',1,0,0),('y',0,1,0),('x',0,0,1)) o(axis,dz,dy,dx) ON true
-  JOIN voxels b ON b.scan_id = a.scan_id AND b.z = a.z + dz AND b.y = a.y + dy AND b.x = a.x + dx WHERE (a.hu >= 400) <> (b.hu >= 400)),
- vx AS (SELECT e.scan_id, axis, ox + dxx*(sx*i) AS x, oy + sy*j AS y, oz + sz*k AS z FROM ed e JOIN scans USING (scan_id))"""
+def _edge_sql(axis):
+    """Crossings along one axis: a voxel and the next one of its line."""
+    others = ", ".join(a for a in "zyx" if a != axis)
+    at = ", ".join(f"{a} + (400 - v)/(w - v) AS e{a}" if a == axis else f"{a}::DOUBLE AS e{a}" for a in "xyz")
+    return (f"SELECT scan_id, '{axis}' AS axis, {at} FROM (SELECT scan_id, z, y, x, hu::DOUBLE AS v, lead(hu::DOUBLE) OVER (PARTITION BY scan_id, {others} ORDER BY {axis}) AS w "
+            "FROM voxels) WHERE (v >= 400) <> (w >= 400)")
+
+
+_EDGES = f"""ed AS ({' UNION ALL '.join(map(_edge_sql, 'zyx'))}),
+ vx AS (SELECT e.scan_id, axis, ox + dxx*(sx*ex) AS x, oy + sy*ey AS y, oz + sz*ez AS z FROM ed e JOIN scans USING (scan_id))"""
 
 
 @check("r09_iso_vertices", f"WITH {_EDGES} SELECT scan_id, axis, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z FROM vx")

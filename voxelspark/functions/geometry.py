@@ -90,6 +90,20 @@ def to_index(point: Sequence[Column], origin="origin", spacing="spacing",
             for j in range(3)]
 
 
+def frame_map(origin: str, spacing: str, direction: str, to_origin: str, to_spacing: str, to_direction: str) -> tuple[Column, Column]:
+    """Matrix (9, row-major) and shift (3) that take a continuous index of one frame to the other's.
+
+    Both frames may have any direction: the map runs through patient millimetres."""
+    s, d, t = _col(spacing), _col(direction), _col(to_spacing)
+    cof, det = _cofactors(_col(to_direction)), determinant(to_direction)
+    back = [[cof[0][j], cof[1][j], cof[2][j]] for j in range(3)]              # column j of the inverse, times det
+    matrix = [(back[0][i] * d[j] + back[1][i] * d[3 + j] + back[2][i] * d[6 + j]) / det * s[j] / t[i]
+              for i in range(3) for j in range(3)]
+    rel = [_col(origin)[i] - _col(to_origin)[i] for i in range(3)]
+    shift = [(back[0][i] * rel[0] + back[1][i] * rel[1] + back[2][i] * rel[2]) / det / t[i] for i in range(3)]
+    return F.array(*matrix), F.array(*shift)
+
+
 def box_image(matrix: Sequence[Sequence[Column]], shift: Sequence[Column],
               lo: Sequence[Column], hi: Sequence[Column]) -> tuple[list[Column], list[Column]]:
     """Minimum and maximum of ``matrix . p + shift`` over the corners p of a box.

@@ -4,17 +4,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Id, key, name, colour, smallest volume kept (cm3).
+# Id, key, name, smallest volume kept (cm3).
 CLASSES = (
-    (1, "mandible", "Mandible", (0.90, 0.86, 0.78), 1.0),
-    (2, "upper_skull", "Upper Skull", (0.86, 0.83, 0.76), 1.0),
-    (3, "upper_teeth", "Upper Teeth", (1.00, 0.99, 0.94), 0.02),
-    (4, "lower_teeth", "Lower Teeth", (0.98, 0.97, 0.92), 0.02),
-    (5, "mandibular_canal", "Mandibular Canal", (0.90, 0.30, 0.30), 0.02),
-    (6, "maxillary_sinus", "Maxillary Sinus", (0.40, 0.70, 0.95), 0.20),
-    (7, "nasal_cavity", "Nasal Cavity", (0.55, 0.80, 0.90), 0.20),
-    (8, "pharynx", "Pharynx", (0.60, 0.55, 0.85), 0.50),
-    (9, "soft_palate", "Soft Palate", (0.95, 0.60, 0.60), 0.10),
+    (1, "mandible", "Mandible", 1.0),
+    (2, "upper_skull", "Upper Skull", 1.0),
+    (3, "upper_teeth", "Upper Teeth", 0.02),
+    (4, "lower_teeth", "Lower Teeth", 0.02),
+    (5, "mandibular_canal", "Mandibular Canal", 0.02),
+    (6, "maxillary_sinus", "Maxillary Sinus", 0.20),
+    (7, "nasal_cavity", "Nasal Cavity", 0.20),
+    (8, "pharynx", "Pharynx", 0.50),
+    (9, "soft_palate", "Soft Palate", 0.10),
 )
 TOOTH_TYPES = ("Central Incisor", "Lateral Incisor", "Canine", "First Premolar",
                "Second Premolar", "First Molar", "Second Molar", "Third Molar")
@@ -35,12 +35,11 @@ def class_table() -> Column:
     """The class dimension as an array column of structs: exploded where needed, never joined."""
     return F.array(*[F.struct(
         F.lit(i).alias("id"), F.lit(k).alias("key"), F.lit(n).alias("name"),
-        F.array(*[F.lit(v) for v in rgb]).alias("color"), F.lit(m).alias("min_cm3"))
-        for i, k, n, rgb, m in CLASSES])
+        F.lit(m).alias("min_cm3")) for i, k, n, m in CLASSES])
 
 
 def min_volume(class_id: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(c[4]) for c in CLASSES]), class_id.cast("int"))
+    return F.element_at(F.array(*[F.lit(c[3]) for c in CLASSES]), class_id.cast("int"))
 
 
 def class_id_of(name: Column) -> Column:

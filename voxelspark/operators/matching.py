@@ -5,13 +5,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from voxelspark.operators.crop import within
 from voxelspark.operators.measure import bounding_box
 from voxelspark.operators.quantiles import quantiles, value_counts, weighted_quantiles
 from voxelspark.plans.attach import attach
-from voxelspark.plans.ordered import carry_last
 from voxelspark.session import cut_lineage
 
 # Fixed values.
@@ -24,32 +22,28 @@ def match_quantiles(voxels: DataFrame, fractions: Sequence[float], reference: Se
     """Map each scan's quantiles onto ``reference`` (one value per fraction); adds ``matched``.
 
     Monotone and piecewise linear; repeated source knots keep their lowest level;
-    values beyond the knots are clamped. The map is worked out per distinct
-    value and then joined back, so its cost follows distinct values, not voxels.
+    values beyond the knots are clamped. Only the knots, at most one per fraction,
+    leave the quantile step: they join the voxels as two arrays a scan, and the
+    piece is found by halving, so voxels are not shuffled.
     """
     counts = cut_lineage(value_counts(voxels, ["scan_id"], "hu"))
     target = F.array(*[F.lit(float(v)) for v in reference])
     knots = weighted_quantiles(counts, ["scan_id"], fractions)
-    knots = knots.groupBy("scan_id", F.col("value").alias("x0")).agg(F.min("level").alias("level"))
-    along = W.partitionBy("scan_id").orderBy("x0")          # at most one row per fraction
-    knots = knots.withColumn("y0", F.element_at(target, F.col("level") + 1))
-    knots = cut_lineage(knots.withColumns({"x1": F.lead("x0").over(along), "y1": F.lead("y0").over(along)}))
-    ends = knots.groupBy("scan_id").agg(F.min("x0").alias("first"), F.max("x0").alias("last"))
-    values = attach(counts, ends, salt_by=("value",)).select(
-        "scan_id", "value", F.least(F.greatest("value", "first"), F.col("last")).alias("v"), F.lit(1).alias("turn"),
-        F.lit(None).cast("struct<x0:double,y0:double,x1:double,y1:double>").alias("piece"))
-    marks = knots.select("scan_id", F.lit(None).cast("double").alias("value"), F.col("x0").alias("v"),
-                         F.lit(0).alias("turn"), F.struct("x0", "y0", "x1", "y1").alias("piece"))
-    # the piece a value lies on is the last knot at or before it
-    placed = carry_last(values.unionByName(marks), ["scan_id"], None, ["v", "turn"], {"on": F.col("piece")})
-    slope = (F.col("on.y1") - F.col("on.y0")) / (F.col("on.x1") - F.col("on.x0"))
-    mapped = placed.filter("turn = 1").select(
-        "scan_id", F.col("value").alias("_hu"),
-        F.when(F.col("on.x1").isNull(), F.col("on.y0"))
-        .otherwise(slope * (F.col("v") - F.col("on.x0")) + F.col("on.y0")).alias("matched"))
-    keyed = voxels.withColumn("_hu", F.col("hu").cast("double"))
-    both = attach(keyed, cut_lineage(mapped), on=["scan_id", "_hu"], row_bytes=64)
-    return both.select(*voxels.columns, "matched")
+    knots = knots.groupBy("scan_id", F.col("value").alias("x")).agg(F.min("level").alias("level"))
+    pairs = F.array_sort(F.collect_list(F.struct("x", F.element_at(target, F.col("level") + 1).alias("y"))))
+    curves = cut_lineage(knots.groupBy("scan_id").agg(pairs.alias("k")).select(
+        "scan_id", F.col("k.x").alias("_xs"), F.col("k.y").alias("_ys"), F.size("k").alias("_n")))
+    rows = attach(voxels, curves, row_bytes=16 * len(fractions) + 64)
+    v = F.least(F.greatest(F.col("hu").cast("double"), F.get("_xs", F.lit(0))), F.get("_xs", F.col("_n") - 1))
+    rows = rows.withColumns({"_v": v, "_at": F.lit(0)})
+    step = 1 << max(0, len(fractions) - 1).bit_length()
+    while step := step >> 1:                             # the last knot at or before the value
+        far = F.col("_at") + step
+        rows = rows.withColumn("_at", F.when((far < F.col("_n")) & (F.get("_xs", far) <= F.col("_v")), far).otherwise(F.col("_at")))
+    x0, y0 = F.get("_xs", "_at"), F.get("_ys", "_at")
+    x1, y1 = F.get("_xs", F.col("_at") + 1), F.get("_ys", F.col("_at") + 1)
+    matched = F.when(x1.isNull(), y0).otherwise((y1 - y0) / (x1 - x0) * (F.col("_v") - x0) + y0)
+    return rows.select(*voxels.columns, matched.alias("matched"))
 
 
 def reference_curve(voxels: DataFrame, labels: DataFrame, scans: DataFrame, levels: int = LEVELS,

@@ -9,13 +9,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from voxelspark.functions.geometry import AXES, GRID_SPACING_MM, SIZE, grid_size
+from voxelspark.functions.geometry import AXES, GRID_SPACING_MM, SIZE, box_image, frame_map, grid_size
 from voxelspark.plans.attach import attach
 
 # Fixed values.
 OUTSIDE_HU = -1000.0
 PREVIEW_SPACING_MM = 1.0
 PREVIEW_SIGMA_MM = 0.6
+EDGE = 1e-9                      # of a voxel: what counts as exactly half way
 
 
 def resampled_headers(scans: DataFrame, spacing: float = GRID_SPACING_MM) -> DataFrame:
@@ -67,26 +68,33 @@ def resample_linear(voxels: DataFrame, scans: DataFrame, spacing: float = GRID_S
 def resample_nearest(labels: DataFrame, grid: DataFrame, reference: DataFrame, label: str = "label") -> DataFrame:
     """Sparse labels from ``grid`` back on the ``reference`` frame, never interpolated.
 
-    Every labelled voxel names the reference voxels whose nearest grid voxel it
-    is: three short ranges per row and no shuffle. Both frames share their
-    direction; origins and spacings may differ.
+    Every labelled voxel names the reference voxels whose nearest grid voxel it is (the upper
+    one on ties): the box its cell covers in the reference, then an exact test. Three short
+    ranges per row and no shuffle, whatever the directions of the two frames.
     """
-    facts = grid.select("scan_id", F.col("spacing").alias("_gs"), F.col("origin").alias("_go")).join(
-        reference.select("scan_id", F.col("spacing").alias("_rs"), F.col("origin").alias("_ro"),
-                         "direction", *SIZE), "scan_id")
-    d = F.col("direction")
-    shift = [sum(d[3 * r + i] * (F.col("_ro")[r] - F.col("_go")[r]) for r in range(3)) for i in range(3)]
-    facts = facts.select("scan_id", "_gs", "_rs", F.array(*shift).alias("_shift"), *SIZE)
+    facts = grid.select("scan_id", F.col("spacing").alias("_gs"), F.col("origin").alias("_go"), F.col("direction").alias("_gd")).join(
+        reference.select("scan_id", F.col("spacing").alias("_rs"), F.col("origin").alias("_ro"), F.col("direction").alias("_rd"),
+                         *SIZE), "scan_id")
+    to_grid = frame_map("_ro", "_rs", "_rd", "_go", "_gs", "_gd")
+    to_reference = frame_map("_go", "_gs", "_gd", "_ro", "_rs", "_rd")
+    facts = facts.select("scan_id", to_grid[0].alias("_m"), to_grid[1].alias("_c"), to_reference[0].alias("_w"),
+                         to_reference[1].alias("_u"), *SIZE)
     rows = attach(labels, facts, sized_by=grid)
+    w, u, m, c = (F.col(n) for n in ("_w", "_u", "_m", "_c"))
+    low, high = box_image([[w[3 * i + j] for j in range(3)] for i in range(3)], [u[i] for i in range(3)],
+                          [F.col(a) - 0.5 for a in AXES], [F.col(a) + 0.5 for a in AXES])
+    ends = {}
     for i, a in enumerate(AXES):
-        g, r, off = F.col("_gs")[i], F.col("_rs")[i], F.col("_shift")[i]
-        lo = F.floor(((F.col(a) - 0.5) * g - off) / r).cast("int")
-        hi = F.ceil(((F.col(a) + 0.5) * g - off) / r).cast("int")
-        near = F.floor((F.col("_t") * r + off) / g + 0.5)
-        rows = (rows.withColumn("_t", F.explode(F.sequence(lo, hi)))
-                .filter((near == F.col(a)) & F.col("_t").between(0, F.col(SIZE[i]) - 1))
-                .withColumn(a, F.col("_t")).drop("_t"))
-    return rows.select("scan_id", "z", "y", "x", label)
+        ends[f"_lo_{a}"] = F.greatest(F.ceil(low[i] - EDGE), F.lit(0)).cast("int")
+        ends[f"_hi_{a}"] = F.least(F.floor(high[i] + EDGE), F.col(SIZE[i]) - 1).cast("int")
+    rows = rows.withColumns(ends)
+    for a in AXES:
+        rows = rows.filter(F.col(f"_lo_{a}") <= F.col(f"_hi_{a}")).withColumn(f"_t{a}", F.explode(F.sequence(f"_lo_{a}", f"_hi_{a}")))
+    t = [F.col(f"_t{a}") for a in AXES]
+    for i, a in enumerate(AXES):
+        at = m[3 * i] * t[0] + m[3 * i + 1] * t[1] + m[3 * i + 2] * t[2] + c[i]
+        rows = rows.filter(F.floor(at + (0.5 + EDGE)) == F.col(a))
+    return rows.select("scan_id", *[F.col(f"_t{a}").alias(a) for a in "zyx"], label)
 
 
 def _smooth_along(rows: DataFrame, scans: DataFrame, axis: str, sigma_mm: float) -> DataFrame:

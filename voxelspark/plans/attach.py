@@ -17,12 +17,12 @@ _ROWS: WeakKeyDictionary[DataFrame, int] = WeakKeyDictionary()
 def fits_broadcast(df: DataFrame, row_bytes: int = 256) -> bool:
     """True when ``df`` has at most ``BROADCAST_BYTES / row_bytes`` rows.
 
-    Counted once per DataFrame, and never further than needed to decide.
+    Counted once per DataFrame; a plain count, combined in every task.
     """
     most = BROADCAST_BYTES // row_bytes
     rows = _ROWS.get(df)
     if rows is None:
-        rows = _ROWS[df] = df.limit(BROADCAST_BYTES // 32 + 1).count()
+        rows = _ROWS[df] = df.count()
     return rows <= most
 
 

@@ -85,7 +85,8 @@ def second_pass_match(voxels: DataFrame, labels: DataFrame, scans: DataFrame, sc
     jaw = labels.filter(F.col("label") == K.JAW)
     box = measure.bounding_box(jaw, scans, by=["scan_id"], margin=margin).drop("voxels")
     box = cut_lineage(box.join(scans.select("scan_id", "spacing", "origin", "direction"), "scan_id"))
-    near = crop.recentred(voxels, box)
+    lo, hi = I.CLIP                            # metal must not move the top knots
+    near = crop.recentred(voxels, box).withColumn("hu", F.least(F.greatest(F.col("hu").cast("double"), F.lit(lo)), F.lit(hi)))
     matched = matching.match_quantiles(near, fractions, reference)
     ready = matched.select("scan_id", "z", "y", "x", I.normalize_ct(F.col("matched")).cast("float").alias("hu"))
     logits = score_volumes(ready, crop.cropped_headers(box), score, tile, num_classes)
@@ -100,8 +101,11 @@ def second_pass_fine(source: DataFrame, source_scans: DataFrame, labels: DataFra
                      block: int = C.BLOCK) -> tuple[DataFrame, DataFrame]:
     """The jaw predicted again on a finer grid: (canal voxels on ``grid``, covered ranges).
 
-    ``redo`` holds at most one row per scan; only its x range may change.
+    ``redo`` holds at most one row per scan; only its x range may change. The
+    source may have any direction: it is turned like the grid first.
     """
+    turned = G.orient_lps_headers(source_scans).drop("axis", "flip")
+    source, source_scans = crop.orient_lps(source, source_scans), cut_lineage(turned)
     box = K.fine_box(labels, grid, source_scans, redo, margin_mm, spacing, block).filter("fits")
     box = cut_lineage(box.join(source_scans.select("scan_id", "spacing", "origin", "direction"), "scan_id"))
     heads = crop.cropped_headers(box)
@@ -172,11 +176,17 @@ def _replace(labels: DataFrame, new: DataFrame, ids: DataFrame, grid: DataFrame)
 
 def separate_teeth(voxels: DataFrame, labels: DataFrame, scans: DataFrame, score: Scorer, tile: Sequence[int],
                    num_classes: int = 36, margin_mm: float = 5.0, typical: Mapping[int, float] | None = None,
-                   radius_mm: float = instances.ASSIGN_MM, block: int = C.BLOCK) -> tuple[DataFrame, DataFrame]:
-    """Numbered teeth of both arches: (voxels with ``id``, one report row per scan and arch)."""
+                   radius_mm: float = instances.ASSIGN_MM, block: int = C.BLOCK,
+                   window: Mapping[str, float] | None = None, own_ids: Mapping[str, tuple[int, int]] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Numbered teeth of both arches: (voxels with ``id``, one report row per scan and arch).
+
+    ``window`` (lo, hi, mean, std) and ``own_ids`` (upper, lower) are the tooth scorer's own,
+    as its configuration row has them; by default those of the class scorer and of naming.
+    """
+    window, own_ids = dict(window or {}), {"upper": naming.UPPER_IDS, "lower": naming.LOWER_IDS} | dict(own_ids or {})
     present = cut_lineage(instances.arches_present(labels, scans))
     done, reports = [], []
-    for arch, label, own in (("upper", 3, naming.UPPER_IDS), ("lower", 4, naming.LOWER_IDS)):
+    for arch, label, own in (("upper", 3, own_ids["upper"]), ("lower", 4, own_ids["lower"])):
         ids = present.filter((F.col("arch") == arch) & F.col("used")).select("scan_id")
         frame = cut_lineage(scans.join(ids, "scan_id"))
         mask = attach(labels.filter(F.col("label") == label), ids, sized_by=scans).select(*measure.VOXEL)
@@ -187,7 +197,7 @@ def separate_teeth(voxels: DataFrame, labels: DataFrame, scans: DataFrame, score
             box = box.withColumns({f"a{a}": F.greatest(F.col(f"a{a}") - wide, F.lit(0)),
                                    f"b{a}": F.least(F.col(f"b{a}") + wide, F.col(f"n{a}"))})
         box = cut_lineage(box)
-        ready = crop.recentred(voxels, box).withColumn("hu", I.normalize_ct(F.col("hu")).cast("float"))
+        ready = crop.recentred(voxels, box).withColumn("hu", I.normalize_ct(F.col("hu"), **window).cast("float"))
         heads = cut_lineage(crop.cropped_headers(box))
         pred = tiles.argmax_label(score_volumes(ready, heads, score, tile, num_classes))
         pred = cut_lineage(pred.filter("label > 0").withColumnRenamed("label", "id"))    # score once
