@@ -303,9 +303,11 @@ def test_longest_series_wins_over_scout(spark):
     rows = [(1, "scout", "u1", i) for i in range(3)] + [(1, "deep/ct", "u2", i) for i in range(24)]
     s = manifest.select_series(spark.createDataFrame(rows, "root long, dir string, series_uid string, instance long"))
     assert s.first().series_uid == "u2" and s.first().slices == 24
-    v = spark.createDataFrame([(1, 1, 1), (2, 9, 1), (3, 1, 50)], "volume_id long, root long, depth int")
-    out = {r.volume_id: (r.status, r.slices) for r in manifest.promote_single_slice(v, s).collect()}
-    assert out == {1: ("series", 24), 2: ("error", None), 3: ("volume", 50)}
+    sizes = manifest.series_sizes(spark.createDataFrame(rows, "root long, dir string, series_uid string, instance long"))
+    v = spark.createDataFrame([(1, 1, "", 1), (2, 9, "", 1), (3, 1, "", 50), (4, 1, "scout", 1), (5, 1, "deep", 1), (6, 1, "de", 1)],
+                              "volume_id long, root long, folder string, depth int")
+    out = {r.volume_id: (r.status, r.slices) for r in manifest.promote_single_slice(v, sizes).collect()}
+    assert out == {1: ("series", 24), 2: ("error", None), 3: ("volume", 50), 4: ("series", 3), 5: ("series", 24), 6: ("error", None)}
 
 
 def test_anisotropic_and_fine_frames_keep_their_field_of_view(spark):
@@ -334,6 +336,10 @@ def test_volume_table_prunes_by_scan(spark, tmp_path):
     volumes.write_volumes(df, str(tmp_path / "v"), buckets=8)
     out = volumes.read_volumes(spark, str(tmp_path / "v"), scan_ids=[3, 4], z_range=(0, 20), buckets=8)
     assert sorted((r.scan_id, r.z) for r in out.collect()) == [(3, 3), (3, 13), (4, 4), (4, 14)]
+    known = volumes.read_volumes(spark, str(tmp_path / "v"), scan_ids=[3])             # written with 8, not with the default
+    assert sorted(r.z for r in known.collect()) == [3, 13, 23, 33]
+    with pytest.raises(ValueError, match="8 buckets"):
+        volumes.read_volumes(spark, str(tmp_path / "v"), scan_ids=[3], buckets=4)
     assert "PartitionFilters: [isnotnull(bucket" in out._jdf.queryExecution().toString() or "bucket" in \
         out._jdf.queryExecution().executedPlan().toString()
 

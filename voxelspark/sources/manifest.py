@@ -1,6 +1,8 @@
 """What lies in a folder: files, DICOM series, the input to read."""
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,11 +31,19 @@ def scan_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return files.select("path", "length", "modificationTime").withColumn("kind", file_kind(F.col("path")))
 
 
+def series_sizes(slices: DataFrame) -> DataFrame:
+    """``root, dir, series_uid, slices``: how many files every series has."""
+    return slices.groupBy("root", "dir", "series_uid").agg(F.count(F.lit(1)).alias("slices"))
+
+
+def _longest(sizes: DataFrame, keys: Sequence[str]) -> DataFrame:
+    best = sizes.groupBy(*keys).agg(F.min(F.struct((-F.col("slices")).alias("minus"), "dir", "series_uid")).alias("b"))
+    return best.select(*keys, "b.dir", "b.series_uid", (-F.col("b.minus")).alias("slices"))
+
+
 def select_series(slices: DataFrame) -> DataFrame:
     """Per root the series with most files below it (then first dir, then first uid)."""
-    n = slices.groupBy("root", "dir", "series_uid").agg(F.count(F.lit(1)).alias("n"))
-    best = n.groupBy("root").agg(F.min(F.struct((-F.col("n")).alias("minus"), "dir", "series_uid")).alias("b"))
-    return best.select("root", "b.dir", "b.series_uid", (-F.col("b.minus")).alias("slices"))
+    return _longest(series_sizes(slices), ["root"])
 
 
 def resolve_input(manifest: DataFrame, series: DataFrame) -> DataFrame:
@@ -52,14 +62,18 @@ def resolve_input(manifest: DataFrame, series: DataFrame) -> DataFrame:
     return both.select("root", found.alias("f")).select("root", "f.how", "f.path")
 
 
-def promote_single_slice(volumes: DataFrame, series: DataFrame) -> DataFrame:
-    """A volume of depth 1 becomes the longest series of its folder, or an error.
+def promote_single_slice(volumes: DataFrame, sizes: DataFrame) -> DataFrame:
+    """A volume of depth 1 becomes the longest series in its own folder or below it, or an error.
 
-    ``volumes``: volume_id, root, depth; ``series`` as from ``select_series``.
-    Adds ``status`` (volume, series, error) and the ``slices`` to read.
+    ``volumes``: volume_id, root, folder ('' is the root itself), depth; ``sizes`` as from
+    ``series_sizes``. Adds ``status`` (volume, series, error) and the ``slices`` to read.
+    Every series counts for its folder and the folders above: one row per level of its path.
     """
-    facts = series.select("root", "series_uid", F.col("slices").alias("_n"))
-    both = salted_join(volumes, facts, ["root"], "left", salt_by=("volume_id",))
+    parts = F.filter(F.split(F.coalesce("dir", F.lit("")), "/"), lambda p: p != "")
+    above = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    best = _longest(sizes.withColumn("folder", F.explode(above)), ["root", "folder"])
+    facts = best.select("root", "folder", F.col("slices").alias("_n"))
+    both = salted_join(volumes, facts, ["root", "folder"], "left", salt_by=("volume_id",))
     single = F.col("depth") == 1
     status = F.when(~single, "volume").when(F.coalesce("_n", F.lit(0)) > 1, "series").otherwise("error")
     return both.withColumn("status", status).select(

@@ -19,26 +19,34 @@ def _bucket(scan_id, buckets: int):
 def write_volumes(df: DataFrame, path: str, buckets: int = BUCKETS) -> None:
     """Parquet in scan buckets, sorted so that row groups cover small coordinate ranges.
 
-    Tasks are cut by scan and slab of planes: a large scan is written by many
-    tasks, a small one by few.
+    The number of buckets is part of the path, so readers need not know it. Tasks are cut by
+    scan and slab of planes: a large scan is written by many tasks, a small one by few.
     """
-    out = df.withColumn("bucket", _bucket(F.col("scan_id"), buckets))
+    out = df.withColumn("buckets", F.lit(buckets)).withColumn("bucket", _bucket(F.col("scan_id"), buckets))
     out = out.repartition("bucket", "scan_id", F.floor(F.col("z") / SLAB))
     out.sortWithinPartitions("bucket", "scan_id", "z", "y", "x").write.mode("overwrite").partitionBy(
-        "bucket").parquet(path)
+        "buckets", "bucket").parquet(path)
 
 
 def read_volumes(spark: SparkSession, path: str, scan_ids: Sequence[int] | None = None,
-                 z_range: tuple[int, int] | None = None, buckets: int = BUCKETS) -> DataFrame:
-    """The table, optionally only some scans (prunes folders) and planes (prunes row groups)."""
+                 z_range: tuple[int, int] | None = None, buckets: int | None = None) -> DataFrame:
+    """The table, optionally only some scans (prunes folders) and planes (prunes row groups).
+
+    ``buckets``, if given, must be what the table was written with."""
     df = spark.read.parquet(path)
-    if scan_ids is not None:
-        wanted = spark.createDataFrame([(int(i),) for i in scan_ids], "scan_id long")
-        folders = [r[0] for r in wanted.select(_bucket(F.col("scan_id"), buckets)).distinct().collect()]
-        df = df.filter(F.col("bucket").isin(folders) & F.col("scan_id").isin([int(i) for i in scan_ids]))
+    if scan_ids is not None or buckets is not None:
+        row = df.select("buckets").first()
+        written = row[0] if row else buckets or BUCKETS
+        if buckets not in (None, written):
+            raise ValueError(f"{path} has {written} buckets, not {buckets}")
+        if scan_ids is not None:
+            wanted = F.lit(written)
+            folders = F.array_distinct(F.array(*[F.pmod(F.xxhash64(F.lit(int(i)).cast("long")), wanted).cast("int") for i in scan_ids]))
+            found = spark.range(1).select(folders.alias("f")).first()[0]      # at most one folder a scan asked for
+            df = df.filter(F.col("bucket").isin(found) & F.col("scan_id").isin([int(i) for i in scan_ids]))
     if z_range is not None:
         df = df.filter((F.col("z") >= z_range[0]) & (F.col("z") < z_range[1]))
-    return df.drop("bucket")
+    return df.drop("bucket", "buckets")
 
 
 def write_labels(labels: DataFrame, grid: DataFrame, source: DataFrame, path: str, label: str = "label") -> None:
