@@ -7,8 +7,12 @@ lines are judged on the input. Lines of fewer than ``MIN_WORDS`` distinct words
 Equal sets form a class, settled per block of documents before the shuffle. Each class's
 words are ordered by rarity and its prefix is indexed: similar sets share a word of their
 prefixes. Short lines, whose prefixes can be frequent words, are indexed by the first two
-common words instead, so no key gathers them. Length, position and bitmap filters leave
-few candidates; Jaccard is verified on full sets and the later class is removed.
+common words instead, so no key gathers them. Length, position and bitmap filters choose
+candidates; Jaccard is verified on full sets and the later class is removed.
+
+One similar earlier line is enough, so no group emits all its pairs: every key proposes one
+earlier line for each of its lines, the best of all proposals is verified, and only lines it
+does not settle go back to their keys for every other candidate.
 
 Rarity: words that make up 1/``SHARE`` of all or more (at most ``SHARE`` words, whatever the
 input) by their count, all others first, by hash. The order only steers cost.
@@ -29,17 +33,19 @@ SHARE = 1 << 16
 SHORT = 20                      # lines of up to so many words are indexed by two words
 LOW = np.frombuffer(text.LOWER, np.uint8)
 SETS = exchange.Records(ragged="words", name="u8", doc="i8", line="i4")
-KEYS = exchange.Records(key="u4", name="u8", bits="u4", size="u2", rest="u2", two="u1")
-PAIRS = exchange.Records(a="u8", b="u8")
-HALVES = exchange.Records(ragged="words", b="u8", name="u8", doc="i8", line="i4")
-GONE = exchange.Records(doc="i8", line="i4")
+KEYS = exchange.Records(key="u4", doc="i8", line="i4", home="i4", bits="u8", more="u4", size="u2", rest="u2", two="u1")
+PAIRS = exchange.Records(doc="i8", line="i4", home="i4", doc_a="i8", line_a="i4", home_a="i4", apart="u1", key_slot="i4")
+HALVES = exchange.Records(ragged="words", doc="i8", line="i4", doc_a="i8", line_a="i4")
+PLACES = exchange.Records(doc="i8", line="i4")
 RESULT = "doc_id long, n_lines long, removed array<int>"
 
 
 def line_sets(buf: np.ndarray, bounds: np.ndarray):
-    """Lines that have words: text, number in the text, and their distinct word hashes (40 bits, sorted) with bounds."""
+    """Lines that have words: text, number in the text, and their distinct word hashes (32 bits, sorted) with bounds.
+
+    Two of the words of a compared pair share a hash about once in 10^5 pairs, which matters only at the threshold."""
     start, end, of = text.words(buf, bounds)
-    h = text.Hashes(LOW[buf])(start, end) & U64((1 << 40) - 1)
+    h = text.Hashes(LOW[buf])(start, end) & U64((1 << 32) - 1)
     breaks = np.cumsum(buf == 10)
     at = breaks[start] if len(start) else start          # line breaks before each word in the block
     base = np.r_[0, breaks][bounds[:-1]]
@@ -54,16 +60,14 @@ def line_sets(buf: np.ndarray, bounds: np.ndarray):
     return of[first], number[first], h[once], np.searchsorted(line[once], np.arange(len(first) + 1))
 
 
-def five(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sets of 40-bit values as a ragged column of five bytes a value."""
-    return np.ascontiguousarray(h.view(np.uint8).reshape(-1, 8)[:, :5]).reshape(-1), np.diff(at) * 5
+def narrow(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sets as a ragged column of four bytes a word."""
+    return np.frombuffer(h.astype(np.uint32).tobytes(), np.uint8), np.diff(at) * 4
 
 
 def wide(ragged) -> tuple[np.ndarray, np.ndarray]:
     raw, sizes = ragged
-    out = np.zeros((len(raw) // 5, 8), np.uint8)
-    out[:, :5] = raw.reshape(-1, 5)
-    return out.reshape(-1).view(U64), np.append(0, np.cumsum(sizes // 5))
+    return np.frombuffer(raw.tobytes(), np.uint32).astype(U64), np.append(0, np.cumsum(sizes // 4))
 
 
 def firsts(name: np.ndarray, doc: np.ndarray, line: np.ndarray) -> np.ndarray:
@@ -77,6 +81,11 @@ def firsts(name: np.ndarray, doc: np.ndarray, line: np.ndarray) -> np.ndarray:
     return out
 
 
+def places(doc: np.ndarray, line: np.ndarray) -> np.ndarray:
+    """One 64-bit value for a document and line."""
+    return text.mix(text.mix(doc.astype(np.int64).view(U64)) * U64(3) + line.astype(U64))
+
+
 def _take(h, at, rows):
     """The given sets of a ragged column."""
     size = (at[1:] - at[:-1])[rows]
@@ -106,7 +115,7 @@ def similar_lines(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_
             own = firsts(name, doc, number)
             size = np.where(own, np.diff(at), 0)         # later lines of a set are known to go: no words
             h = h[np.repeat(own, np.diff(at))]
-            cols = {"name": name, "doc": doc, "line": number, "words": five(h, np.append(0, np.cumsum(size)))}
+            cols = {"name": name, "doc": doc, "line": number, "words": narrow(h, np.append(0, np.cumsum(size)))}
             yield SETS.pack((name % U64(n)).astype(np.int64), cols)
 
     def classes(table):
@@ -126,9 +135,9 @@ def similar_lines(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_
         often = c * (4 * SHARE) >= c.sum()               # what is frequent overall is frequent in a slot
         return pa.table({"word": words[often].view(np.int64), "n": c[often], "of": np.full(often.sum(), c.sum() / max(1, often.sum()))})
 
-    def index(left, right):
-        _, _, rows, h, at = classes(left)
-        name = SETS.unpack(left)["name"][rows]
+    def index(key, left, right):
+        s, _, rows, h, at = classes(left)
+        doc, place = s["doc"][rows], s["line"][rows]
         h, at = _take(h, at, rows)
         known = right.column("words").combine_chunks().flatten().to_numpy().view(U64)
         counts = right.column("counts").combine_chunks().flatten().to_numpy()
@@ -142,9 +151,10 @@ def similar_lines(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_
             rank = np.where(known[p] == h, counts[p], 0)
         size = np.diff(at)
         line = np.repeat(np.arange(len(size)), size)
-        order = np.lexsort((h, rank, line))
-        h = h[order]
-        bits = np.bitwise_or.reduceat(np.uint32(1) << (text.mix(h.copy()) >> U64(59)).astype(np.uint32), at[:-1]) if len(h) else np.zeros(0, np.uint32)
+        h = h[np.lexsort((h, rank, line))]
+        bit = (text.mix(h.copy()) >> U64(40)) * U64(96) >> U64(24)                  # 96 bits a line
+        parts = [np.where(bit < 64, U64(1) << (bit & U64(63)), U64(0)), np.where(bit < 64, U64(0), U64(1) << (bit & U64(31)))]
+        bits, more = (np.bitwise_or.reduceat(p, at[:-1]) if len(h) else p for p in parts)
         prefix = size - -(-percent * size // 100) + 1
         out = []
         one = np.flatnonzero(size >= long)
@@ -155,67 +165,140 @@ def similar_lines(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_
         for far in range(1, int(m.max()) if len(m) else 0):
             some = two[m > far]
             row, i = np.repeat(some, far), text.spread(np.full(len(some), far))
-            key = text.mix(h[at[row] + i] * U64(3) + text.mix(h[at[row] + far]))
-            out.append((key, row, np.full(len(row), far), np.ones(len(row), np.uint8)))
-        key, row, pos, two = (np.concatenate(c) for c in zip(*out, strict=True))
-        key = text.mix(key + two.astype(U64))
-        cols = {"key": (key >> U64(32)).astype(np.uint32), "name": name[row], "bits": bits[row], "size": np.minimum(size[row], 65535),
-                "rest": np.minimum(size[row] - pos - 1, 65535), "two": two}
-        return pa.Table.from_batches([KEYS.pack((key % U64(n)).astype(np.int64), cols)])
-
-    def candidates(table):
-        k = KEYS.unpack(table)
+            word = text.mix(h[at[row] + i] * U64(3) + text.mix(h[at[row] + far]))
+            out.append((word, row, np.full(len(row), far), np.ones(len(row), np.uint8)))
+        word, row, pos, two = (np.concatenate(c) for c in zip(*out, strict=True))
+        word = text.mix(word + two.astype(U64))
+        cols = {"key": (word >> U64(32)).astype(np.uint32), "doc": doc[row], "line": place[row], "home": np.full(len(row), key[0].as_py()),
+                "bits": bits[row], "more": more[row], "size": np.minimum(size[row], 65535), "rest": np.minimum(size[row] - pos - 1, 65535), "two": two}
+        return pa.Table.from_batches([KEYS.pack((word % U64(n)).astype(np.int64), cols)])
+
+    def pairs_of(k: dict, asked: np.ndarray | None):
+        """Earlier candidates of a slot's lines: the one least apart for each key and line, or all of the lines asked for."""
         order = np.lexsort((k["size"], k["key"]))
-        key, name, bits, size, rest, two = (k[c][order] for c in ("key", "name", "bits", "size", "rest", "two"))
-        size, rest, have = size.astype(np.int32), rest.astype(np.int32), two.astype(np.int32) + 1
-        a, b = [np.zeros(0, U64)], [np.zeros(0, U64)]
+        k = {c: v[order] for c, v in k.items()}
+        asked = asked[order] if asked is not None else None
+        key, doc, line, bits, more, two = (k[c] for c in ("key", "doc", "line", "bits", "more", "two"))
+        size, rest, have = k["size"].astype(np.int32), k["rest"].astype(np.int32), two.astype(np.int32) + 1
+        best, mate = np.full(len(key), 255, np.uint8), np.full(len(key), -1, np.int64)
+        later_, earlier_ = [], []
         i, far = np.arange(max(0, len(key) - 1)), 1
         while len(i):
             j = i + far
             near = (key[i] == key[j]) & (100 * size[i] >= percent * size[j])      # sizes rise within a key
             i, j = i[near], j[near]
             need = -(-percent * (size[i] + size[j]) // (100 + percent))
-            ok = (have[i] + np.minimum(rest[i], rest[j]) >= need) & (two[i] == two[j]) & (name[i] != name[j])
-            ok &= np.bitwise_count(bits[i] ^ bits[j]) <= size[i] + size[j] - 2 * need
-            a.append(np.minimum(name[i[ok]], name[j[ok]]))
-            b.append(np.maximum(name[i[ok]], name[j[ok]]))
+            apart = np.bitwise_count(bits[i] ^ bits[j]) + np.bitwise_count(more[i] ^ more[j])
+            ok = (have[i] + np.minimum(rest[i], rest[j]) >= need) & (two[i] == two[j]) & (apart <= size[i] + size[j] - 2 * need)
+            before = (doc[i] < doc[j]) | (doc[i] == doc[j]) & (line[i] < line[j])
+            same = (doc[i] == doc[j]) & (line[i] == line[j])
+            for pick, later, earlier in ((ok & before, j, i), (ok & ~before & ~same, i, j)):
+                later, earlier, d = later[pick], earlier[pick], apart[pick]
+                if asked is not None:
+                    want = asked[later]
+                    later_.append(later[want])
+                    earlier_.append(earlier[want])
+                    continue
+                less = d < best[later]
+                best[later[less]], mate[later[less]] = d[less], earlier[less]
             far += 1
             i = i[i + far < len(key)]
-        a, b = np.concatenate(a), np.concatenate(b)
-        order = np.lexsort((b, a))
-        a, b = a[order], b[order]
-        new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])] if len(a) else np.zeros(0, bool)
-        return pa.Table.from_batches([PAIRS.pack((a[new] % U64(n)).astype(np.int64), {"a": a[new], "b": b[new]})])
+        if asked is None:
+            later = np.flatnonzero(mate >= 0)
+            later = later[np.lexsort((best[later], line[later], doc[later]))]     # of a slot's keys, the best for each line
+            new = np.r_[True, (doc[later][1:] != doc[later][:-1]) | (line[later][1:] != line[later][:-1])] if len(later) else np.zeros(0, bool)
+            later = later[new]
+            earlier, apart = mate[later], best[later]
+        else:
+            later, earlier = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (later_, earlier_))
+            both = text.mix(places(doc[later], line[later]) * U64(5) + places(doc[earlier], line[earlier]))
+            _, once = np.unique(both, return_index=True)
+            later, earlier = later[once], earlier[once]
+            apart = np.zeros(len(later), np.uint8)
+        return {"doc": doc[later], "line": line[later], "home": k["home"][later], "doc_a": doc[earlier], "line_a": line[earlier],
+                "home_a": k["home"][earlier], "apart": apart}
+
+    def propose(key, table):
+        out = pairs_of(KEYS.unpack(table), None)
+        out["key_slot"] = np.full(len(out["doc"]), key[0].as_py())
+        return pa.Table.from_batches([PAIRS.pack(out["home"].astype(np.int64), out)])
+
+    def choose(table):
+        """The best proposal for each line goes to the slot of the earlier line."""
+        p = PAIRS.unpack(table)
+        order = np.lexsort((p["line_a"], p["doc_a"], p["apart"], p["line"], p["doc"]))
+        p = {c: v[order] for c, v in p.items()}
+        new = np.r_[True, (p["doc"][1:] != p["doc"][:-1]) | (p["line"][1:] != p["line"][:-1])] if len(order) else np.zeros(0, bool)
+        p = {c: v[new] for c, v in p.items()}
+        return pa.Table.from_batches([PAIRS.pack(p["home_a"].astype(np.int64), p)])
+
+    def rows_at(s, rows, doc, line):
+        """Rows of the classes at the given places."""
+        have = places(s["doc"][rows], s["line"][rows])
+        order = np.argsort(have)
+        return rows[order[np.searchsorted(have[order], places(doc, line))]]
 
     def attach(left, right):
-        """The words of ``a`` go to the slot of ``b``."""
+        """The words of the earlier line go to the slots of its later ones, once to each slot."""
         s, _, rows, h, at = classes(left)
         p = PAIRS.unpack(right)
-        pair = np.unique(np.stack([p["a"], p["b"]], 1), axis=0) if len(p["a"]) else np.zeros((0, 2), U64)
-        row = rows[np.searchsorted(s["name"][rows], pair[:, 0])]
-        words, bounds = _take(h, at, row)
-        cols = {"b": pair[:, 1], "name": pair[:, 0], "doc": s["doc"][row], "line": s["line"][row], "words": five(words, bounds)}
-        return pa.Table.from_batches([HALVES.pack((pair[:, 1] % U64(n)).astype(np.int64), cols)])
-
-    def verify(left, right):
-        s, first, rows, h, at = classes(left)
-        doc, line = [s["doc"][~first]], [s["line"][~first]]
-        p = HALVES.unpack(right)
-        theirs, bounds = wide(p["words"])
-        row = rows[np.searchsorted(s["name"][rows], p["b"])] if len(p["b"]) else np.zeros(0, np.int64)
-        for i, r in enumerate(row.tolist()):
-            x, y = h[at[r]:at[r + 1]], theirs[bounds[i]:bounds[i + 1]]
-            common = int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum())
-            if 100 * common >= percent * (len(x) + len(y) - common):
-                here, other = (int(s["doc"][r]), int(s["line"][r])), (int(p["doc"][i]), int(p["line"][i]))
-                if here != other:
-                    doc.append([max(here, other)[0]])
-                    line.append([max(here, other)[1]])
-        doc, line = np.concatenate(doc).astype(np.int64), np.concatenate(line).astype(np.int32)
-        return pa.Table.from_batches([GONE.pack(exchange.id_slot(doc, n), {"doc": doc, "line": line})])
+        if not len(p["doc"]):
+            return pa.Table.from_batches([HALVES.empty()])
+        row = rows_at(s, rows, p["doc_a"], p["line_a"])
+        order = np.lexsort((row, p["home"]))
+        p, row = {c: v[order] for c, v in p.items()}, row[order]
+        new = np.r_[True, (row[1:] != row[:-1]) | (p["home"][1:] != p["home"][:-1])]
+        words, bounds = _take(h, at, row[new])
+        data, sizes = narrow(words, bounds)
+        size = np.zeros(len(row), np.int64)
+        size[new] = sizes                                # the others of a slot refer to it by place
+        cols = {c: p[c] for c in ("doc", "line", "doc_a", "line_a")} | {"words": (data, size)}
+        return pa.Table.from_batches([HALVES.pack(p["home"].astype(np.int64), cols)])
+
+    def verify(first_round: bool):
+        def run(key, left, right):
+            """Removed places go to their documents; in the first round, lines not settled are named (slots from ``n`` on)."""
+            s, first, rows, h, at = classes(left)
+            p = HALVES.unpack(right)
+            theirs, bounds = wide(p["words"])
+            ok = np.zeros(len(p["doc"]), bool)
+            if len(ok):
+                at_row = rows_at(s, rows, p["doc"], p["line"])
+                name, with_words = places(p["doc_a"], p["line_a"]), np.flatnonzero(np.diff(bounds) > 0)
+                with_words = with_words[np.argsort(name[with_words], kind="stable")]
+                of = with_words[np.searchsorted(name[with_words], name)]
+                for i, (r, o) in enumerate(zip(at_row.tolist(), of.tolist(), strict=True)):
+                    x, y = h[at[r]:at[r + 1]], theirs[bounds[o]:bounds[o + 1]]
+                    common = int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum())
+                    ok[i] = 100 * common >= percent * (len(x) + len(y) - common)
+            doc, line = p["doc"][ok], p["line"][ok]
+            if first_round:                              # with the later lines of every class
+                doc, line = np.r_[s["doc"][~first], doc], np.r_[s["line"][~first], line]
+            out = [PLACES.pack(exchange.id_slot(doc.astype(np.int64), n), {"doc": doc, "line": line})]
+            if first_round:
+                out.append(PLACES.pack(np.full((~ok).sum(), n + key[0].as_py()), {"doc": p["doc"][~ok], "line": p["line"][~ok]}))
+            return pa.Table.from_batches(out)
+        return run
+
+    def ask_again(left, right):
+        """Lines not settled go back to the slots whose keys proposed something."""
+        p, u = PAIRS.unpack(left), PLACES.unpack(right)
+        open_ = np.isin(places(p["doc"], p["line"]), places(u["doc"], u["line"]))
+        cols = {"doc": p["doc"][open_], "line": p["line"][open_]}
+        return pa.Table.from_batches([PLACES.pack(p["key_slot"][open_].astype(np.int64), cols)])
+
+    def all_candidates(left, right):
+        k, u = KEYS.unpack(left), PLACES.unpack(right)
+        if not len(u["doc"]):
+            return pa.Table.from_batches([PAIRS.empty()])
+        asked = np.isin(places(k["doc"], k["line"]), places(u["doc"], u["line"]))
+        group = np.isin(k["key"], k["key"][asked])
+        out = pairs_of({c: v[group] for c, v in k.items()}, asked[group])
+        out["key_slot"] = np.zeros(len(out["doc"]), np.int32)
+        return pa.Table.from_batches([PAIRS.pack(out["home_a"].astype(np.int64), out)])
 
     def gather(left, right):
-        g = GONE.unpack(right)
+        g = PLACES.unpack(right)
         place = np.unique(np.stack([g["doc"], g["line"].astype(np.int64)], 1), axis=0) if len(g["doc"]) else np.zeros((0, 2), np.int64)
         ids = left.column("doc_id").to_numpy()
         lo, hi = np.searchsorted(place[:, 0], ids, "left"), np.searchsorted(place[:, 0], ids, "right")
@@ -234,10 +317,16 @@ def similar_lines(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_
     table = total.groupBy("word").agg(F.sum("n").alias("n"), F.sum("of").alias("of")).agg(
         F.collect_list("word").alias("words"), F.collect_list("n").alias("counts"), F.coalesce(F.sum("of"), F.lit(0.0)).alias("all"))   # 4 * SHARE words at most
     table = table.select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("slot"), "words", "counts", "all")
-    keys = by_class.cogroup(table.groupBy("slot")).applyInArrow(index, exchange.PACKED)
-    pairs = keys.groupBy("slot").applyInArrow(candidates, exchange.PACKED)
-    halves = by_class.cogroup(pairs.groupBy("slot")).applyInArrow(attach, exchange.PACKED)
-    gone = by_class.cogroup(halves.groupBy("slot")).applyInArrow(verify, exchange.PACKED)
+    keys = by_class.cogroup(table.groupBy("slot")).applyInArrow(index, exchange.PACKED).groupBy("slot")
+    proposed = keys.applyInArrow(propose, exchange.PACKED).groupBy("slot")
+    halves = by_class.cogroup(proposed.applyInArrow(choose, exchange.PACKED).groupBy("slot")).applyInArrow(attach, exchange.PACKED)
+    first = by_class.cogroup(halves.groupBy("slot")).applyInArrow(verify(True), exchange.PACKED)
+    unsettled = first.filter(F.col("slot") >= n).withColumn("slot", F.col("slot") - n)
+    asked = proposed.cogroup(unsettled.groupBy("slot")).applyInArrow(ask_again, exchange.PACKED)
+    rest = keys.cogroup(asked.groupBy("slot")).applyInArrow(all_candidates, exchange.PACKED)
+    halves = by_class.cogroup(rest.groupBy("slot")).applyInArrow(attach, exchange.PACKED)
+    gone = by_class.cogroup(halves.groupBy("slot")).applyInArrow(verify(False), exchange.PACKED)
+    gone = first.filter(F.col("slot") < n).unionByName(gone)
     lines = docs.select("doc_id", F.size(F.split("text", "\n")).cast("long").alias("n_lines"),
                         exchange.id_slot(F.col("doc_id"), n).alias("slot"))
     return lines.groupBy("slot").cogroup(gone.groupBy("slot")).applyInArrow(gather, RESULT).withColumn("doc_id", exchange.restore_id())
