@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelspark.llm.text import U64, spread
+from voxelspark.llm.text import U64
 from voxelspark.session import cut_lineage, shared_folder
 
 __all__ = ["NO_ID", "PACKED", "Records", "cut_lineage", "documents", "id_slot", "restore_id", "shared_folder", "slots"]
@@ -68,16 +68,14 @@ class Records:
         if self.ragged:
             data, sizes = cols.pop(self.ragged)
             start = (np.cumsum(sizes) - sizes)[order]
-            sizes = sizes[order]
-            cols["_size"] = sizes
-            data = data[np.repeat(start, sizes) + spread(sizes)]
-            at = np.append(0, np.cumsum(sizes))
+            cols["_size"] = sizes[order]
+            data, start, end = memoryview(data.tobytes()), start.tolist(), (start + sizes[order]).tolist()
         done = [(cols[k] if k == "_size" else cols[k][order]).astype(d, copy=False) for k, d in self.dtypes.items()]
         rows = []
         for a, b in zip(cut.tolist(), ends.tolist(), strict=True):
             parts = [c[a:b].tobytes() for c in done]
             if self.ragged:
-                parts.append(data[at[a]:at[b]].tobytes())
+                parts += [data[i:j] for i, j in zip(start[a:b], end[a:b], strict=True)]
             rows.append(b"".join(parts))
         return pa.RecordBatch.from_arrays(
             [pa.array(slot[cut], pa.int32()), pa.array(ends - cut, pa.int32()), pa.array(rows, pa.binary())], schema=_ARROW)

@@ -35,7 +35,7 @@ def cut_pieces(docs: DataFrame, length: int = LENGTH, end: int = END, path: str
         part, seen = TaskContext.get().partitionId(), Counter()
         for block in text.blocks(batches):
             rows = []
-            for doc, ids in zip(block.column("doc_id").to_pylist(), enc(block.column("text").to_pylist()), strict=True):
+            for doc, ids in zip(block.column("doc_id").to_pylist(), enc(block.column("text")), strict=True):
                 ids += stop
                 for piece, at in enumerate(range(0, len(ids), 4 * length)):
                     own = ids[at:at + 4 * length]

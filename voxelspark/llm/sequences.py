@@ -106,7 +106,7 @@ def write_tokens(docs: DataFrame, folder: str, length: int = LENGTH, end: int =
         stop = np.array([end], dtype).tobytes()
         for block in text.blocks(batches):
             ids = block.column("doc_id").to_numpy()
-            raw = [enc(t) + stop for t in block.column("text").to_pylist()]
+            raw = [t + stop for t in enc(block.column("text"))]
             cols = {"doc": ids, "ids": (np.frombuffer(b"".join(raw), np.uint8), np.fromiter(map(len, raw), np.int64, len(raw)))}
             yield DOCS.pack(np.searchsorted(bounds, ids, "right"), cols)
 
@@ -119,7 +119,7 @@ def write_tokens(docs: DataFrame, folder: str, length: int = LENGTH, end: int =
         doc = d["doc"][order]
         if (doc[1:] == doc[:-1]).any():                  # rows that share an id: by content
             order = np.array(sorted(order.tolist(), key=lambda i: (int(d["doc"][i]), whole[at[i]:at[i] + sizes[i]])))
-        flat = raw[np.repeat(at[order], sizes[order]) + text.spread(sizes[order])].view(dtype)
+        flat = np.frombuffer(b"".join([whole[i:j] for i, j in zip(at[order].tolist(), (at + sizes)[order].tolist(), strict=True)]), dtype)
         counts = sizes[order] // np.dtype(dtype).itemsize
         file = f"{folder}/part-{key[0].as_py():06d}.arrow"
         write_file(file, flat, counts, doc, length)
