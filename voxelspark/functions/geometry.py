@@ -96,11 +96,11 @@ def frame_map(origin: str, spacing: str, direction: str, to_origin: str, to_spac
     Both frames may have any direction: the map runs through patient millimetres."""
     s, d, t = _col(spacing), _col(direction), _col(to_spacing)
     cof, det = _cofactors(_col(to_direction)), determinant(to_direction)
-    back = [[cof[0][j], cof[1][j], cof[2][j]] for j in range(3)]              # column j of the inverse, times det
-    matrix = [(back[0][i] * d[j] + back[1][i] * d[3 + j] + back[2][i] * d[6 + j]) / det * s[j] / t[i]
+    back = [[cof[0][i], cof[1][i], cof[2][i]] for i in range(3)]              # row i of the inverse, times det
+    matrix = [(back[i][0] * d[j] + back[i][1] * d[3 + j] + back[i][2] * d[6 + j]) / det * s[j] / t[i]
               for i in range(3) for j in range(3)]
     rel = [_col(origin)[i] - _col(to_origin)[i] for i in range(3)]
-    shift = [(back[0][i] * rel[0] + back[1][i] * rel[1] + back[2][i] * rel[2]) / det / t[i] for i in range(3)]
+    shift = [(back[i][0] * rel[0] + back[i][1] * rel[1] + back[i][2] * rel[2]) / det / t[i] for i in range(3)]
     return F.array(*matrix), F.array(*shift)
 
 
