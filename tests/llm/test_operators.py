@@ -287,6 +287,31 @@ def test_dense_regions_are_cut_deeper(spark, monkeypatch):
     assert rows_of(forest.near_duplicates(df, 85)) == sorted(brute.near_groups(docs))
 
 
+def test_large_regions_lose_no_pair(spark, monkeypatch):
+    """A chain in which only neighbours are alike: one lost pair cuts it."""
+    rnd = random.Random(4)
+    w = [f"t{rnd.random()}" for _ in range(200 * 23 + 300)]
+    docs = [(d, " ".join(w[23 * d:23 * d + 300])) for d in range(200)]
+    monkeypatch.setattr(forest, "REGION", 2)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = rows_of(forest.near_duplicates(df, 85))
+    assert {r[2] for r in got} == {0} and got == sorted(brute.near_groups(docs))
+
+
+def test_every_unconnected_pair_of_a_large_region_meets_once(spark, monkeypatch):
+    monkeypatch.setattr(forest, "REGION", 4)
+    rows = [(7, d, 30, 1 if d < 12 else d // 2) for d in range(30)] + [(8, d, 3, d) for d in range(3)] + [(9, d, 9, 5) for d in range(9)]
+    df = spark.createDataFrame(rows, "region long, doc long, n long, component long")
+    met, slots = [], {}
+    for r in forest.block_pairs(df).collect():
+        slots.setdefault(r["region"], []).append(r)
+    for group in slots.values():
+        met += [tuple(sorted((a["doc"], b["doc"]))) for i, a in enumerate(group) for b in group[i + 1:]
+                if a["component"] != b["component"] and (not a["side"] or a["side"] != b["side"])]
+    want = [(a[1], b[1]) for i, a in enumerate(rows) for b in rows[i + 1:] if a[0] == b[0] and a[3] != b[3]]
+    assert sorted(met) == sorted(want)
+
+
 def test_previous_factors():
     s = np.frombuffer(b"abracadabra abracadabra banana", np.uint8)
     start = np.arange(len(s))
