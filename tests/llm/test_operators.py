@@ -361,6 +361,40 @@ def test_licences(spark):
     assert got[4]["n_blocks"] == 0
 
 
+def scan(s):
+    return [(f["licence"], f["exact"]) for f in licences.scan_text(s, licences.Templates(licences.TEMPLATES), licences.re.compile(licences.CUE, licences.re.I),
+                                                                   licences.DIFFER)[1]]
+
+
+@pytest.mark.parametrize("notice,name", [
+    ("This work is licensed under the GNU Lesser General Public License, version 3.", "LGPL-3.0"),
+    ("This work is licensed under the GNU Lesser General Public License, version 2.1.", "LGPL-2.1"),
+    ("This work is licensed under the GNU Affero General Public License, version 3.", "AGPL-3.0"),
+    ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "CC-BY-SA-4.0"),
+    ("This work is licensed under a Creative Commons Attribution-NoDerivs 4.0 International License.", "CC-BY-ND-4.0"),
+    ("This work is licensed under a Creative Commons Attribution 3.0 International License.", None),
+    ("This work is licensed under the GNU General Public License, version 1.", None),
+    (licences._BSD2, "BSD-2-Clause"), (licences._BSD3, "BSD-3-Clause"), (licences._BSD + " you ask first", "BSD"),
+    ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that "
+     "the above copyright notice and this permission notice appear in all copies.", "ISC"),
+    ("Licensed under CC0 1.0.", "CC0-1.0")])
+def test_licence_names_are_not_confused(notice, name):
+    for s in (notice, "x y z " * 30 + notice + " some prose" * 200):
+        assert scan(s) == ([(name, True)] if name else [])
+
+
+def test_every_template_finds_itself():
+    for name, wording in licences.TEMPLATES:
+        assert (name, True) in scan(wording)
+
+
+def test_licence_query_tells_differences(spark, tmp_path):
+    docs = [(1, "This work is licenced under the GNU General Public License, version 3."), (2, "Released under the MIT License."), (3, "x")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert rows_of(registry.QUERIES["op7_licence_scan"](spark, str(tmp_path)).select("doc_id", "exact", "differences")) == [
+        (1, False, "GPL-3.0 replace: licensed -> licenced"), (2, True, ""), (3, None, "")]
+
+
 def test_licence_query(spark, small):
     phrases = {"Apache-2.0": "licensed under the apache license, version 2.0", "MIT": "released under the mit license",
                "GPL-3.0": "this work is licensed under the gnu general public license, version 3", "CC-BY-NC-4.0": "licensed under cc by-nc 4.0"}
