@@ -47,8 +47,10 @@ def _by_id(facts: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go, template lines are cut from the others. A row stays if a row of its id is kept."""
-    facts = _by_id(quality(docs).select("doc_id", "kept", F.col("template_lines").alias("__gone")))
+    """Rejected documents go, template lines are cut from the others. A row stays if a row of its id is kept.
+
+    A line in ``MIN_DOCS`` distinct documents of its host is template text however large the host is."""
+    facts = _by_id(quality(docs, host_share=0.0).select("doc_id", "kept", F.col("template_lines").alias("__gone")))
     facts = facts.groupBy(_ID).agg(F.max("kept").alias("__kept"), F.array_distinct(F.flatten(F.collect_set("__gone"))).alias("__gone"))
     out = _with_facts(docs, facts.filter(~F.col("__kept") | (F.size("__gone") > 0)))
     return _without_lines(out.filter(F.coalesce("__kept", F.lit(True))), docs.columns).select(docs.columns)

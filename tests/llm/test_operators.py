@@ -439,6 +439,17 @@ def test_pipeline_against_plain_stages(spark, small):
     assert n <= -(-tokens // 2048) + 1
 
 
+def test_template_lines_go_from_small_and_hot_hosts(spark):
+    """The same line in as many documents of a small and of a hot host, and one in too few of the hot one."""
+    rnd = random.Random(3)
+    line = lambda n: " ".join(f"v{rnd.randrange(5000)}" for _ in range(n))
+    docs = [(1000 * (h == "hot") + i, ("menu home about contact\n" if i < 30 else "seldom said words\n" if i < 49 else "") + line(30), h)
+            for h, n in (("small", 60), ("hot", 600)) for i in range(n)]
+    df = spark.createDataFrame([(d, t, "en", h, 1, "x") for d, t, h in docs], "doc_id long, text string, lang string, source string, n_chars long, slot string")
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.quality_rules(spark, df, SF).collect()}
+    assert got == {d: t.removeprefix("menu home about contact\n") for d, t, _ in docs}
+
+
 def test_pipeline_stages_survive_odd_tables(spark):
     """Nulls, equal rows, an extra column, nothing at all; one of equal rows stays."""
     t = "a text of more than ten words that is said once and has no copies here at all"
