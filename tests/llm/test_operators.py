@@ -298,6 +298,14 @@ def test_large_regions_lose_no_pair(spark, monkeypatch):
     assert {r[2] for r in got} == {0} and got == sorted(brute.near_groups(docs))
 
 
+def test_neighbours_follow_the_order_of_their_tree():
+    sig = np.zeros((4, forest.HASHES), np.uint16)
+    sig[:, 0] = 0, 1, 2, 3                               # tree 0 has them in this order
+    sig[:, 8:16] = [[5] * 8, [5] * 3 + [9] * 5, [5] * 7 + [6], [5] * 4 + [8] * 4]
+    got = {int(i): near.tolist() for i, near in forest.neighbours(1, np.arange(4), sig, 0)}
+    assert got == {0: [2, 3], 2: [3, 1], 3: [1], 1: []}
+
+
 def test_every_unconnected_pair_of_a_large_region_meets_once(spark, monkeypatch):
     monkeypatch.setattr(forest, "REGION", 4)
     rows = [(7, d, 30, 1 if d < 12 else d // 2) for d in range(30)] + [(8, d, 3, d) for d in range(3)] + [(9, d, 9, 5) for d in range(9)]

@@ -32,7 +32,7 @@ from voxelspark.llm.text import U64
 
 SHINGLE = 5
 PERCENT = 80                    # similarity that links, in percent
-TREES, DEPTH, SHALLOW = 16, 8, 3
+TREES, DEPTH, SHALLOW = 16, 8, 3                # trees: a power of two
 REGION = 2048                   # about so many classes of a region to a task
 HASHES = TREES * DEPTH
 LOW = np.frombuffer(text.LOWER, np.uint8)
@@ -91,11 +91,16 @@ def digests(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long, signature binary")
 
 
+def _named(name, tree):
+    """A region's name tells its tree in the last bits."""
+    return name.bitwiseAND(F.lit(-TREES).cast("long")).bitwiseOR(tree.cast("long"))
+
+
 def regions(classes: DataFrame) -> DataFrame:
     """``region, doc, n``: classes that share a prefix, by tree, and how many they are."""
     width = 2 * DEPTH
     rows = classes.select("doc", "signature", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")).select(
-        "doc", F.xxhash64("tree", F.expr(f"substring(signature, tree * {width} + 1, {2 * SHALLOW})")).alias("region"))
+        "doc", _named(F.xxhash64("tree", F.expr(f"substring(signature, tree * {width} + 1, {2 * SHALLOW})")), F.col("tree")).alias("region"))
     sizes = rows.groupBy("region").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     return exchange.cut_lineage(rows.join(sizes, "region"))
 
@@ -103,7 +108,7 @@ def regions(classes: DataFrame) -> DataFrame:
 def blocks(table: DataFrame) -> DataFrame:
     """Each large region as blocks of its own, dealt anew in every region."""
     part = F.pmod(F.xxhash64("doc", "region"), F.ceil(F.col("n") / REGION))
-    own = F.when(F.col("n") > REGION, F.xxhash64("region", part)).otherwise(F.col("region"))
+    own = F.when(F.col("n") > REGION, _named(F.xxhash64("region", part), F.pmod("region", F.lit(TREES)))).otherwise(F.col("region"))
     return table.select(own.alias("region"), "doc", "component", F.lit(0).alias("side"))
 
 
@@ -145,6 +150,16 @@ def _alike(sig: np.ndarray, row: np.ndarray) -> np.ndarray:
     return (sig == row).sum(1)
 
 
+def neighbours(tree: int, component: np.ndarray, sig: np.ndarray, least: float):
+    """Each member with the two of other components, later in the order of its tree, whose labels share most with its own.
+
+    In that order the common prefix only gets shorter with distance."""
+    order = np.lexsort(sig[:, tree * DEPTH:(tree + 1) * DEPTH].T[::-1])
+    for k, i in enumerate(order):
+        other = order[k + 1:][component[order[k + 1:]] != component[i]]
+        yield i, other[_alike(sig[other], sig[i]) >= least][:2]
+
+
 def _floor(percent: int) -> float:
     """Least number of equal minima at which the similarity is still possible."""
     t = percent / 100
@@ -194,7 +209,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
     def candidates(step: str):
         def run(table):
             a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for _, doc, component, side, sig in _groups(MEMBERS.unpack(table)):
+            for region, doc, component, side, sig in _groups(MEMBERS.unpack(table)):
                 if step == "medoid":
                     mode = np.array([np.bincount(np.unique(c, return_inverse=True)[1]).argmax() for c in sig.T])
                     mode = np.array([np.unique(c)[m] for c, m in zip(sig.T, mode, strict=True)], np.uint16)
@@ -205,15 +220,17 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
                     continue
                 if (component == component[0]).all():
                     continue
-                order = np.lexsort(sig.T[::-1])
-                doc, component, side, sig = doc[order], component[order], side[order], sig[order]
+                if step == "neighbours":
+                    for i, near in neighbours(int(region) % TREES, component, sig, least):
+                        a.append(np.full(len(near), doc[i]))
+                        b.append(doc[near])
+                    continue
                 for i in range(len(doc) - 1):
                     apart = component[i + 1:] != component[i]
                     if side[i]:
                         apart &= side[i + 1:] != side[i]
                     other = np.flatnonzero(apart) + i + 1
                     near = other[_alike(sig[other], sig[i]) >= least]
-                    near = near[:2] if step == "neighbours" else near    # the rest comes in the last step
                     a.append(np.full(len(near), doc[i]))
                     b.append(doc[near])
             a, b = np.concatenate(a), np.concatenate(b)
