@@ -9,11 +9,12 @@ from voxelspark.llm.linejoin import op5_similar_lines
 from voxelspark.llm.packing import op6_pattern_packing
 from voxelspark.llm.quality import OP8_SQL, op8_line_frequency
 from voxelspark.llm.sequences import op2_token_files
+from voxelspark.llm.simhash import op11_simhash_groups
 from voxelspark.llm.suffixes import op10_suffix_dedup
 
 QUERIES = {q.__name__: q for q in (
     op1_benchmark_hits, op2_token_files, op3_katz_scores, op4_forest_groups, op5_similar_lines, op6_pattern_packing,
-    op7_licence_scan, op8_line_frequency, op9_lz_dedup, op10_suffix_dedup)} | {"pipeline": corpus_pipeline.run}
+    op7_licence_scan, op8_line_frequency, op9_lz_dedup, op10_suffix_dedup, op11_simhash_groups)} | {"pipeline": corpus_pipeline.run}
 SQL = {"op1_benchmark_hits": OP1_SQL, "op8_line_frequency": OP8_SQL}
 if corpus_pipeline.ORACLE_SQL:
     SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
