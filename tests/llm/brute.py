@@ -78,9 +78,9 @@ def benchmark_hits(docs, items, window=10):
     return out
 
 
-def quality(docs, min_docs=20, share=0.1):
+def quality(docs, min_docs=20):
     """docs: (doc_id, text, host)."""
-    base, lines, contents = [], {}, {}
+    base, lines = [], {}
     for d, t, host in docs:
         t, host = t or "", host or ""
         w = words(t)
@@ -91,7 +91,6 @@ def quality(docs, min_docs=20, share=0.1):
                 gone[i:i + 5] = [True] * 5
         own = [x for x in t.split("\n") if words(x)]
         content = " ".join(words(lower(t)))
-        contents.setdefault(host, set()).add(content)
         norm = [" ".join(words(lower(x))) for x in own]
         for x in set(norm):
             lines.setdefault((host, x), set()).add(content)
@@ -99,7 +98,7 @@ def quality(docs, min_docs=20, share=0.1):
     out = []
     for d, host, n, chars, symbols, dup, rep, norm in base:
         lost = sum(len(x.split(" ")) for x in norm
-                   if len(lines[host, x]) >= min_docs and len(lines[host, x]) > share * len(contents[host]))
+                   if len(lines[host, x]) >= min_docs)
         failed = n < 10 or 100 * rep > 20 * n
         out.append((d, n, chars, symbols, dup, rep, failed, not failed and n - lost >= 10 and n - lost >= 0.25 * n))
     return out

@@ -427,13 +427,11 @@ def test_copies_do_not_make_template_lines(spark):
 def test_pipeline_against_plain_stages(spark, small):
     docs = [(d, t, h) for d, t, h in small]
     verdict = {r[0]: r for r in brute.quality(docs)}
-    lines, contents = {}, {}
-    for d, t, h in docs:
-        contents.setdefault(h, set()).add(" ".join(brute.words(brute.lower(t))))
+    lines = {}
     for d, t, h in docs:
         for x in {" ".join(brute.words(brute.lower(x))) for x in t.split("\n")} - {""}:
             lines.setdefault((h, x), set()).add(" ".join(brute.words(brute.lower(t))))
-    gone = {k for k, v in lines.items() if len(v) >= quality.MIN_DOCS and len(v) > quality.HOST_SHARE * len(contents[k[0]])}
+    gone = {k for k, v in lines.items() if len(v) >= 20}
     now = [(d, "\n".join(x for x in t.split("\n") if (h, " ".join(brute.words(brute.lower(x)))) not in gone)) for d, t, h in docs if verdict[d][-1]]
     cut = {r[0]: {int(k) for k in r[3].split(",") if k} for r in brute.similar_lines(now)}
     left = [(d, "\n".join(x for k, x in enumerate(t.split("\n")) if k not in cut[d]), bool(cut[d])) for d, t in now]
@@ -458,6 +456,30 @@ def test_template_lines_go_from_small_and_hot_hosts(spark):
     assert got == {d: t.removeprefix("menu home about contact\n") for d, t, _ in docs}
 
 
+def test_rows_that_share_an_id_keep_their_own_text(spark):
+    """Text that is said once stays, whatever goes from another row with its id; and twice the same."""
+    shared = " ".join(f"s{i}" for i in range(40))
+    lone = " ".join(f"u{i}" for i in range(30))
+    rows = [(1, shared), (3, shared), (3, lone), (3, lone[:40] + "\n" + shared), (None, lone + " more"), (None, "another text that is said once " * 3)]
+    df = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, row string")
+    got = sorted(map(tuple, factors.remove_repeated_words(df).select("doc_id", "kept").filter("doc_id = 3").collect()))
+    assert got == [(3, ""), (3, ""), (3, " ".join(lone[:40].split()))]      # the null id is smaller: its copy of the 30 words stays
+    alone = df.filter("doc_id is not null")
+    assert sorted(r["kept"] for r in factors.remove_repeated_words(alone).filter("doc_id = 3").collect()) == sorted(["", lone, lone[:40].strip()])
+    kept = sorted(bytes(r["kept"]) for r in suffixes.remove_repeated_bytes(alone).filter("doc_id = 3").collect())
+    assert kept == sorted([b"", lone.encode(), (lone[:40] + "\n").encode()])
+    removed = sorted(tuple(r["removed"]) for r in linejoin.similar_lines(alone).filter("doc_id = 3").collect())
+    assert removed == [(), (0,), (1,)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, row_key0 string"
+    docs = spark.createDataFrame([(d, t, None, None, 1, "x") for d, t in rows if d], schema)
+    for stage, want in ((corpus_pipeline.line_dedup, {lone, shared}), (corpus_pipeline.near_dedup, {lone, shared})):
+        first, second = (sorted(map(tuple, stage(spark, docs, SF).collect()), key=str) for _ in range(2))
+        assert first == second and want <= {r[1] for r in first} and {r[5] for r in first} == {"x"}
+    hit = spark.createDataFrame([(1, BENCH[0][1] + " zero"), (1, lone)], "doc_id long, text string")
+    corpus_pipeline_items = decontaminate.decontaminate(hit, bench(spark)).collect()
+    assert sorted(r["n_hit"] > 0 for r in corpus_pipeline_items) == [False, True]
+
+
 def test_pipeline_stages_survive_odd_tables(spark):
     """Nulls, equal rows, an extra column, nothing at all; one of equal rows stays."""
     t = "a text of more than ten words that is said once and has no copies here at all"

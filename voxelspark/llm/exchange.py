@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from voxelspark.llm.text import U64
 from voxelspark.session import cut_lineage, shared_folder
 
-__all__ = ["NO_ID", "PACKED", "Records", "cut_lineage", "documents", "id_slot", "restore_id", "shared_folder", "slots"]
+__all__ = ["NO_ID", "PACKED", "Records", "cut_lineage", "documents", "id_slot", "restore_id", "shared_folder", "slots", "unique_ids"]
 
 NO_ID = -(1 << 63)              # stands for a null id: smaller than every other
 PACKED = "slot int, n int, data binary"
@@ -42,6 +42,33 @@ def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_s
     return out if n_slots is None else out.withColumn("slot", id_slot(F.col("doc_id"), n_slots))
 
 
+FEW = 200_000                   # rows of ids (some MB) that are broadcast, counted first
+
+
+def unique_ids(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: str = "key") -> DataFrame:
+    """The table with a column ``key``: a number for each row, in the order of ids (null first).
+
+    Usually the id itself. Of rows that share an id one keeps it, that with the smallest hash of its text; the
+    others count as documents after all others, ordered by id and hash. Nothing known of one row is then taken for
+    another's. Needs ids below 2^62."""
+    own = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
+    shared = cut_lineage(df.groupBy(own.alias(key)).count().filter("count > 1").select(key))
+    n = shared.count()
+    df = df.withColumn(key, own)
+    if not n:
+        return df
+    few = F.broadcast(shared) if n <= FEW else shared
+    top = df.agg(F.max(key)).first()[0]
+    rank, least = f"{key}_rank", f"{key}_least"
+    rows = df.join(few, key, "left_semi").withColumn(rank, F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    rows = rows.repartitionByRange(key, rank).sortWithinPartitions(key, rank).withColumn(rank, F.monotonically_increasing_id())
+    rows = cut_lineage(rows)
+    first = rows.groupBy(key).agg(F.min(rank).alias(least))
+    rows = rows.join(F.broadcast(first) if n <= FEW else first, key)
+    again = F.when(F.col(rank) == F.col(least), F.col(key)).otherwise(F.lit(max(top, 0) + 1) + F.col(rank))
+    return df.join(few, key, "left_anti").select(*df.columns).unionByName(rows.withColumn(key, again).select(*df.columns))
+
+
 def restore_id(column: str = "doc_id"):
     return F.when(F.col(column) != NO_ID, F.col(column)).alias(column)
 

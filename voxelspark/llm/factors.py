@@ -70,7 +70,7 @@ def _settle(length: int):
         size = size // 8
         found = np.array(parse(words, np.cumsum(size) - size, size, parts["doc"], length), np.int64).reshape(-1, 3)
         s = found[:, 0]
-        return parts["doc"][s], parts["first"][s] + found[:, 1], found[:, 2] - length + 1
+        return parts["doc"][s], parts["row"][s], parts["first"][s] + found[:, 1], found[:, 2] - length + 1
     return settle
 
 
@@ -83,17 +83,17 @@ def remove_repeated_words(docs: DataFrame, length: int = LENGTH, gram: int = GRA
     """``doc_id, n_words, spans, kept``: removed runs of words and the words that remain, joined by a space.
 
     A word goes if a window of ``length`` words over it also starts in a document with a
-    smaller id. Null texts have no words. A null id is an id smaller than all others; rows
-    that share an id count as one document, and a run found in one of them holds for all.
-    Other columns are ignored; an empty table gives no rows."""
+    smaller id. Null texts have no words. A null id is an id smaller than all others. Rows that
+    share an id do not remove words from each other, and each loses only what its own text repeats.
+    Texts of any length are cut whole. Other columns are ignored; an empty table gives no rows."""
     def finish(table, runs):
         ids, sizes, spans, kept = [], [], [], []
         for block in text.blocks(table.combine_chunks().to_batches()):
             buf, bounds = text.utf8(block.column("text"))
             whole = buf.tobytes()
-            for i, doc in enumerate(block.column("doc_id").to_pylist()):
+            for i, (doc, row) in enumerate(zip(block.column("doc_id").to_pylist(), block.column("row").to_pylist(), strict=True)):
                 own = whole[bounds[i]:bounds[i + 1]].split()
-                gone = windows.cover(*runs(doc), length, len(own))
+                gone = windows.cover(*runs(doc, row), length, len(own))
                 edge = np.flatnonzero(np.diff(np.r_[0, gone.view(np.int8), 0])).reshape(-1, 2).tolist()
                 ids.append(doc)
                 sizes.append(len(own))

@@ -95,11 +95,13 @@ def _take(h, at, rows):
 def similar_lines(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_lines, removed``: numbers (from 0) of the lines that an earlier line makes redundant.
 
-    Null texts have one empty line. A null id is an id smaller than all others. Rows that share an id are
-    one document: lines of one number are at the same place and do not remove each other, a removed number
-    holds for all rows. An empty table gives no rows; other columns are ignored."""
+    Null texts have one empty line. A null id is an id smaller than all others. Of rows that share an id one
+    keeps its place and the others come after all other documents (``exchange.unique_ids``), so each row loses
+    only its own lines. Lines and texts of any length are read whole. An empty table gives no rows; other columns
+    are ignored."""
     n = exchange.slots(docs.sparkSession)
-    docs = exchange.documents(docs, id_col, text_col)
+    docs = exchange.unique_ids(docs.select(F.col(id_col).alias("own"), F.col(text_col).alias("text")), "own", "text", "doc_id")
+    docs = docs.withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit("")))
     long = -(-percent * (SHORT + 1) // 100)              # what a line of more than SHORT words can be similar to
 
     def cut(batches):
@@ -305,13 +307,10 @@ def similar_lines(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_
         size = hi - lo
         line = place[np.repeat(lo, size) + text.spread(size), 1]
         bounds = np.append(0, np.cumsum(size))
-        # rows that share an id may have fewer lines
-        own = np.repeat(left.column("n_lines").to_numpy(), size) > line
-        kept = np.append(0, np.cumsum(own))[bounds]
-        lists = pa.ListArray.from_arrays(pa.array(kept, pa.int32()), pa.array(line[own], pa.int32()))
-        return pa.table([left.column("doc_id"), left.column("n_lines"), lists], ["doc_id", "n_lines", "removed"])
+        lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(line, pa.int32()))
+        return pa.table([left.column("own"), left.column("n_lines"), lists], ["doc_id", "n_lines", "removed"])
 
-    sets = docs.mapInArrow(cut, exchange.PACKED)
+    sets = docs.select("doc_id", "text").mapInArrow(cut, exchange.PACKED)
     by_class = sets.groupBy("slot")
     total = by_class.applyInArrow(count, "word long, n long, of double")
     table = total.groupBy("word").agg(F.sum("n").alias("n"), F.sum("of").alias("of")).agg(
@@ -327,9 +326,9 @@ def similar_lines(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_
     halves = by_class.cogroup(rest.groupBy("slot")).applyInArrow(attach, exchange.PACKED)
     gone = by_class.cogroup(halves.groupBy("slot")).applyInArrow(verify(False), exchange.PACKED)
     gone = first.filter(F.col("slot") < n).unionByName(gone)
-    lines = docs.select("doc_id", F.size(F.split("text", "\n")).cast("long").alias("n_lines"),
+    lines = docs.select("doc_id", F.col("own").cast("long").alias("own"), F.size(F.split("text", "\n")).cast("long").alias("n_lines"),
                         exchange.id_slot(F.col("doc_id"), n).alias("slot"))
-    return lines.groupBy("slot").cogroup(gone.groupBy("slot")).applyInArrow(gather, RESULT).withColumn("doc_id", exchange.restore_id())
+    return lines.groupBy("slot").cogroup(gone.groupBy("slot")).applyInArrow(gather, RESULT)
 
 
 def op5_similar_lines(spark, sf_dir):

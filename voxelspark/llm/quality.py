@@ -19,8 +19,7 @@ from pyspark.sql import functions as F
 from voxelspark.llm import exchange, text
 from voxelspark.llm.text import U64
 
-MIN_DOCS = 20                   # a template line is in so many distinct documents of its host,
-HOST_SHARE = 0.1                # and in this share of them
+MIN_DOCS = 20                   # a template line is in so many distinct documents of its host, however large the host is
 MIN_WORDS = 10                  # a document keeps so many words
 MIN_KEPT = 0.25                 # and this share of its words
 WINDOW = 5
@@ -103,15 +102,13 @@ def digests(docs: DataFrame, host_col: str, id_col: str = "doc_id", text_col: st
     return docs.mapInArrow(run, DIGEST)
 
 
-def template_lines(rows: DataFrame, min_docs: int = MIN_DOCS, host_share: float = HOST_SHARE) -> DataFrame:
+def template_lines(rows: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """``host, line``: lines in too many distinct documents of their host."""
-    hosts = rows.select("host", "content").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("documents"))
-    lines = (rows.select("host", "content", F.explode(F.array_distinct("line_hash")).alias("line"))
-             .distinct().groupBy("host", "line").agg(F.count(F.lit(1)).alias("seen")).filter(F.col("seen") >= min_docs))
-    return lines.join(hosts, "host").filter(F.col("seen") > F.lit(host_share) * F.col("documents")).select("host", "line")
+    return (rows.select("host", "content", F.explode(F.array_distinct("line_hash")).alias("line"))
+            .distinct().groupBy("host", "line").agg(F.count(F.lit(1)).alias("seen")).filter(F.col("seen") >= min_docs).select("host", "line"))
 
 
-def quality(docs: DataFrame, host_col: str = "source", min_docs: int = MIN_DOCS, host_share: float = HOST_SHARE,
+def quality(docs: DataFrame, host_col: str = "source", min_docs: int = MIN_DOCS,
             min_words: int = MIN_WORDS, min_kept: float = MIN_KEPT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: the counts, ``base_failed``, ``template_lines`` (line numbers from 0 to
     remove), ``kept_words`` and ``kept``.
@@ -121,7 +118,7 @@ def quality(docs: DataFrame, host_col: str = "source", min_docs: int = MIN_DOCS,
     rows = exchange.cut_lineage(digests(docs, host_col, id_col, text_col).withColumn("row", F.monotonically_increasing_id()))
     gone = (rows.select("row", "host", F.explode(F.arrays_zip("line_no", "line_hash", "line_words")).alias("l"))
             .select("row", "host", F.col("l.line_hash").alias("line"), F.col("l.line_no").alias("no"), F.col("l.line_words").alias("words"))
-            .join(template_lines(rows, min_docs, host_share), ["host", "line"])
+            .join(template_lines(rows, min_docs), ["host", "line"])
             .groupBy("row").agg(F.sort_array(F.collect_list("no")).alias("template_lines"), F.sum("words").alias("lost")))
     rows = rows.join(gone, "row", "left")
     kept_words = F.col("n_words") - F.coalesce("lost", F.lit(0))
@@ -150,9 +147,7 @@ g AS (SELECT r, k, array_to_string(w[k:k + 4], ' ') AS g FROM (SELECT r, w, unne
 rep AS (SELECT r, count(DISTINCT pos) AS n_repeat_words FROM (
           SELECT r, unnest(range(k, k + 5)) AS pos FROM (SELECT r, k, count(*) OVER (PARTITION BY r, g) AS c FROM g) WHERE c > 1) GROUP BY r),
 c AS (SELECT r, host, md5(translate(array_to_string(w, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS content FROM b),
-hosts AS (SELECT host, count(DISTINCT content) AS documents FROM c GROUP BY host),
-tpl AS (SELECT l.host, norm FROM l JOIN c USING (r) JOIN hosts ON hosts.host = l.host GROUP BY l.host, norm, documents
-        HAVING count(DISTINCT content) >= 20 AND count(DISTINCT content) > 0.1 * documents),
+tpl AS (SELECT l.host, norm FROM l JOIN c USING (r) GROUP BY l.host, norm HAVING count(DISTINCT content) >= 20),
 lost AS (SELECT r, sum(len(string_split(norm, ' '))) AS lost FROM l SEMI JOIN tpl USING (host, norm) GROUP BY r),
 f AS (SELECT b.*, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, n_words - coalesce(lost, 0) AS left_words
       FROM b LEFT JOIN dup USING (r) LEFT JOIN rep USING (r) LEFT JOIN lost USING (r)),

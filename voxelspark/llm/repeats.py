@@ -9,6 +9,9 @@
    matched by the operator's own method (``settle``).
 4. What is covered goes back to its document by id slot.
 
+A row is known by its id and a hash of its text, so rows that share an id each get what is
+covered in their own text; they do count as one document where the rule asks for an earlier one.
+
 Texts are shuffled once, by id slot; steps 3 and 4 read the same exchange.
 """
 from __future__ import annotations
@@ -18,14 +21,15 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from voxelspark.llm import exchange, text, windows
 from voxelspark.llm.text import U64
 
 COVERED, OPEN = 1, 2
-SEGMENTS = exchange.Records(key="u8", content="u8", doc="i8", first="i4", count="i4", kind="u1")
-FOUND = exchange.Records(key="u8", doc="i8", first="i4", count="i4", kind="u1")
-PARTS = exchange.Records(ragged="symbols", key="u8", doc="i8", first="i4", count="i4")
+SEGMENTS = exchange.Records(key="u8", content="u8", doc="i8", row="i8", first="i4", count="i4", kind="u1")
+FOUND = exchange.Records(key="u8", doc="i8", row="i8", first="i4", count="i4", kind="u1")
+PARTS = exchange.Records(ragged="symbols", key="u8", doc="i8", row="i8", first="i4", count="i4")
 
 
 def owners(content: np.ndarray, doc: np.ndarray, first: np.ndarray, same_document: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -46,36 +50,36 @@ def owners(content: np.ndarray, doc: np.ndarray, first: np.ndarray, same_documen
     return own, ~own
 
 
-def _runs(doc, first, count):
-    """Windows that start in the given segments as few runs (document, first, count)."""
-    order = np.lexsort((first, doc))
-    doc, first, end = doc[order], first[order], (first + count)[order]
+def _runs(doc, row, first, count):
+    """Windows that start in the given segments as few runs (document, row, first, count)."""
+    order = np.lexsort((first, row, doc))
+    doc, row, first, end = doc[order], row[order], first[order], (first + count)[order]
     new = np.ones(len(doc), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (first[1:] > end[:-1])
+    new[1:] = (doc[1:] != doc[:-1]) | (row[1:] != row[:-1]) | (first[1:] > end[:-1])
     at = np.flatnonzero(new)
     if not len(at):
-        return doc, first, count
-    return doc[at], first[at], np.maximum.reduceat(end, at) - first[at]
+        return doc, row, first, count
+    return doc[at], row[at], first[at], np.maximum.reduceat(end, at) - first[at]
 
 
 def remove_repeats(docs: DataFrame, symbols: Callable, settle: Callable, finish: Callable, result: str,
                    length: int, gram: int, same_document: bool) -> DataFrame:
     """``symbols(buf, bounds)``: values to hash and where each text starts in them.
-    ``settle(parts)``: runs of covered windows among open segments.
-    ``finish(table, covered)``: the result for documents and their runs."""
+    ``settle(parts)``: runs of covered windows among open segments (document, row, first, count).
+    ``finish(table, covered)``: the result for rows and their runs, looked up by id and ``row``."""
     n = exchange.slots(docs.sparkSession)
-    docs = exchange.documents(docs, n_slots=n)
+    docs = exchange.documents(docs, n_slots=n).withColumn("row", F.xxhash64("text"))
 
     def cut(batches):
         for block in text.blocks(batches):
             ids = block.column("doc_id").to_numpy()
             values, bounds = symbols(*text.utf8(block.column("text")))
             of, first, count, _, key, content = windows.segments(text.Hashes(values), bounds, length, gram)
-            doc = ids[of]
+            doc, row = ids[of], block.column("row").to_numpy()[of]
             own, covered = owners(content, doc, first, same_document)
-            d, f, c = _runs(doc[covered], first[covered], count[covered])
+            d, r, f, c = _runs(doc[covered], row[covered], first[covered], count[covered])
             k = text.mix(d.view(U64).copy())
-            cols = {"key": np.r_[key[own], k], "content": np.r_[content[own], k], "doc": np.r_[doc[own], d],
+            cols = {"key": np.r_[key[own], k], "content": np.r_[content[own], k], "doc": np.r_[doc[own], d], "row": np.r_[row[own], r],
                     "first": np.r_[first[own], f], "count": np.r_[count[own], c],
                     "kind": np.r_[np.full(own.sum(), OPEN), np.full(len(d), COVERED)]}
             if len(cols["key"]):
@@ -95,10 +99,10 @@ def remove_repeats(docs: DataFrame, symbols: Callable, settle: Callable, finish:
         still = np.zeros(len(k), bool)
         still[order] = kinds[group] > 1
         open_ = np.flatnonzero(own)[still]
-        d, f, c = _runs(np.r_[a["doc"][covered], s["doc"][done]], np.r_[a["first"][covered], s["first"][done]],
+        d, r, f, c = _runs(np.r_[a["doc"][covered], s["doc"][done]], np.r_[a["row"][covered], s["row"][done]], np.r_[a["first"][covered], s["first"][done]],
                         np.r_[a["count"][covered], s["count"][done]])
         zero = np.zeros(len(d), np.uint64)
-        cols = {"key": np.r_[a["key"][open_], zero], "doc": np.r_[a["doc"][open_], d],
+        cols = {"key": np.r_[a["key"][open_], zero], "doc": np.r_[a["doc"][open_], d], "row": np.r_[a["row"][open_], r],
                 "first": np.r_[a["first"][open_], f], "count": np.r_[a["count"][open_], c],
                 "kind": np.r_[np.full(len(open_), OPEN), np.full(len(d), COVERED)]}
         return pa.Table.from_batches([FOUND.pack(exchange.id_slot(cols["doc"], n), cols)])
@@ -111,35 +115,36 @@ def remove_repeats(docs: DataFrame, symbols: Callable, settle: Callable, finish:
         want = want[np.argsort(found["doc"][want], kind="stable")]
         out = []
         for block in text.blocks(left.combine_chunks().to_batches()):
-            ids = block.column("doc_id").to_numpy()
+            ids, rows = block.column("doc_id").to_numpy(), block.column("row").to_numpy()
             values, bounds = symbols(*text.utf8(block.column("text")))
             lo = np.searchsorted(found["doc"][want], ids, "left")
             hi = np.searchsorted(found["doc"][want], ids, "right")
             row = np.repeat(np.arange(len(ids)), hi - lo)
             rec = want[np.repeat(lo, hi - lo) + text.spread(hi - lo)]
+            own = found["row"][rec] == rows[row]
+            row, rec = row[own], rec[own]
             start = bounds[row] + found["first"][rec]
             size = found["count"][rec] - 1 + length
-            inside = start + size <= bounds[row + 1]     # rows that share an id may be shorter
-            row, rec, start, size = row[inside], rec[inside], start[inside], size[inside]
             raw = values[np.repeat(start, size) + text.spread(size)].tobytes()
-            cols = {"key": found["key"][rec], "doc": ids[row], "first": found["first"][rec], "count": found["count"][rec],
+            cols = {"key": found["key"][rec], "doc": ids[row], "row": rows[row], "first": found["first"][rec], "count": found["count"][rec],
                     "symbols": (np.frombuffer(raw, np.uint8), size * values.itemsize)}
             out.append(PARTS.pack((cols["key"] % U64(n)).astype(np.int64), cols))
         return pa.Table.from_batches(out)
 
     def match(table: pa.Table) -> pa.Table:
-        d, f, c = _runs(*settle(PARTS.unpack(table)))
-        cols = {"key": np.zeros(len(d), np.uint64), "doc": d, "first": f, "count": c, "kind": np.full(len(d), COVERED)}
+        d, r, f, c = _runs(*settle(PARTS.unpack(table)))
+        cols = {"key": np.zeros(len(d), np.uint64), "doc": d, "row": r, "first": f, "count": c, "kind": np.full(len(d), COVERED)}
         return pa.Table.from_batches([FOUND.pack(exchange.id_slot(d, n), cols)])
 
     def close(left: pa.Table, right: pa.Table) -> pa.Table:
         found = FOUND.unpack(right)
         take = found["kind"] == COVERED
-        order = np.argsort(found["doc"][take], kind="stable")
-        doc, first, count = (found[k][take][order] for k in ("doc", "first", "count"))
+        order = np.lexsort((found["row"][take], found["doc"][take]))
+        doc, row, first, count = (found[k][take][order] for k in ("doc", "row", "first", "count"))
 
-        def runs(doc_id: int):
+        def runs(doc_id: int, row_hash: int):
             a, b = np.searchsorted(doc, doc_id, "left"), np.searchsorted(doc, doc_id, "right")
+            a, b = a + np.searchsorted(row[a:b], row_hash, "left"), a + np.searchsorted(row[a:b], row_hash, "right")
             return first[a:b].astype(np.int64), count[a:b].astype(np.int64)
         return finish(left, runs)
 

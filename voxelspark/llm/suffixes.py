@@ -73,11 +73,13 @@ def _settle(length: int):
         order = np.argsort(h, kind="stable")
         eq = h[order][1:] == h[order][:-1]
         some = order[np.r_[False, eq] | np.r_[eq, False]] if len(h) else order
+        row = parts["row"][seg]
         if not len(some):
-            return doc[:0], first[:0], first[:0]
-        some = some[np.lexsort((first[some], doc[some], h[some]))]
-        again = (h[some][1:] == h[some][:-1]) & (doc[some][1:] == doc[some][:-1]) & (first[some][1:] == first[some][:-1])
-        some = some[np.r_[True, ~again]]                 # rows that share an id are one document
+            return doc[:0], row[:0], first[:0], first[:0]
+        every = some[np.lexsort((first[some], doc[some], h[some]))]
+        again = (h[every][1:] == h[every][:-1]) & (doc[every][1:] == doc[every][:-1]) & (first[every][1:] == first[every][:-1])
+        head = np.r_[True, ~again]                       # the same place in rows that share an id is one
+        some, one = every[head], np.cumsum(head) - 1
         place = np.empty(len(some), np.int64)
         place[np.lexsort((first[some], doc[some]))] = np.arange(len(some))
         dup = np.zeros(len(some), bool)
@@ -85,8 +87,8 @@ def _settle(length: int):
             ranked, lcp = suffix_order(buf, start[some[part]], place[part], length)
             factor, _ = previous_factors(place[part][ranked], lcp)
             dup[part[ranked]] = factor >= length
-        hit = some[dup]
-        return doc[hit], first[hit].astype(np.int64), np.ones(len(hit), np.int64)
+        hit = every[dup[one]]
+        return doc[hit], row[hit], first[hit].astype(np.int64), np.ones(len(hit), np.int64)
     return settle
 
 
@@ -108,16 +110,17 @@ def _hash_parts(h: np.ndarray, limit: int = 1 << 18):
 def remove_repeated_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """``doc_id, n_bytes, spans, kept``: removed byte runs and the bytes that remain.
 
-    Null texts are empty. A null id is an id smaller than all others. Rows that share an
-    id count as one document: a run found in one of them holds for all, and equal rows
-    do not repeat each other. Other columns are ignored; an empty table gives no rows."""
+    Null texts are empty. A null id is an id smaller than all others. Rows that share an id
+    count as one document: equal strings at the same place of two of them do not repeat each
+    other, and each row loses only what its own text repeats. Texts of any length are cut
+    whole. Other columns are ignored; an empty table gives no rows."""
     def finish(table, runs):
         ids, sizes, spans, kept = [], [], [], []
         for block in text.blocks(table.combine_chunks().to_batches()):
             buf, bounds = text.utf8(block.column("text"))
-            for i, doc in enumerate(block.column("doc_id").to_pylist()):
+            for i, (doc, row) in enumerate(zip(block.column("doc_id").to_pylist(), block.column("row").to_pylist(), strict=True)):
                 own = buf[bounds[i]:bounds[i + 1]]
-                gone = windows.cover(*runs(doc), length, len(own))
+                gone = windows.cover(*runs(doc, row), length, len(own))
                 edge = np.flatnonzero(np.diff(np.r_[0, gone.view(np.int8), 0]))
                 ids.append(doc)
                 sizes.append(len(own))

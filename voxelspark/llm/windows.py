@@ -75,9 +75,9 @@ def _pieces(hashes, bounds, length, gram):
 
 
 def cover(first: np.ndarray, count: np.ndarray, length: int, n: int) -> np.ndarray:
-    """Which of ``n`` symbols are covered by the windows that start in the given runs."""
+    """Which of ``n`` symbols are covered by the windows that start in the given runs; none of a text shorter than a window."""
     edge = np.zeros(n + 1, np.int64)
-    ok = first < n
+    ok = first <= n - length
     np.add.at(edge, first[ok], 1)
     np.add.at(edge, np.minimum(first[ok] + count[ok] - 1 + length, n), -1)
     return np.cumsum(edge[:-1]) > 0
