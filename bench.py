@@ -9,14 +9,15 @@ import os
 import tempfile
 import time
 
+import numpy as np
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from suites.fixtures import Fixtures
 from suites.tilings import linear_scorer
 from voxelspark import cut_lineage, tune
-from voxelspark.operators import canal, components, histogram, matching, measure, quantiles, resample, stencil
-from voxelspark.operators import surface, tiles
+from voxelspark.operators import blocks, canal, components, histogram, matching, measure, quantiles, resample, stencil
+from voxelspark.operators import surface
 from voxelspark.plans import flows
 
 
@@ -31,14 +32,18 @@ def main():
     spark.sparkContext.setLogLevel("ERROR")
     fx = Fixtures(tune(spark), sf_dir)
     scans, qc = cut_lineage(fx.scans), cut_lineage(fx.qc_scans)
-    voxels, labels, logits = cut_lineage(fx.voxels), cut_lineage(fx.labels), cut_lineage(fx.logits)
+    voxels, labels = cut_lineage(fx.voxels), cut_lineage(fx.labels)
     ours, other, truth = cut_lineage(fx.ours), cut_lineage(fx.other), cut_lineage(fx.truth)
     n_vox, n_lab = voxels.count(), labels.count()
     curve = ([i / 32 for i in range(33)], [-1000.0 + 60.0 * i for i in range(33)])
 
-    def scored():
-        cut = tiles.tile_voxels(voxels, scans, (16, 16, 16))
-        return tiles.blend_tiles(tiles.score_tiles(cut, linear_scorer, (16, 16, 16)), (16, 16, 16), 10)
+    cubes = cut_lineage(blocks.to_blocks(voxels, scans, 16))
+    logit_cubes = cut_lineage(blocks.score_blocks(cubes, scans, linear_scorer, (16, 16, 16), 10, block=16))
+    same = lambda _, box: np.moveaxis(box, -1, 0)                                              # noqa: E731
+
+    def blended():
+        pieces = blocks.tile_pieces(logit_cubes, scans, (16, 16, 16), value="logit", channels=10)
+        return blocks.blend_tiles(blocks.map_tiles(pieces, same, 16, 10), 10, 16)
 
     todo = {
         "class_volumes": (n_vox, lambda: flows.class_volumes_of_valid_scans(voxels, scans)),
@@ -50,11 +55,10 @@ def main():
         "contacts": (n_lab, lambda: stencil.contacts(labels, scans)),
         "dilate": (n_lab, lambda: stencil.dilate(labels.filter("label = 3"), scans)),
         "iso_vertices": (n_vox, lambda: surface.iso_vertices(voxels, scans, 400.0)),
-        "blend_tiles": (n_vox, lambda: tiles.blend_tiles(
-            tiles.tile_voxels(logits, scans, (16, 16, 16)).withColumns(
-                {a: F.col(f"t{a}") + F.col(f"d{a}") for a in "zyx"}), (16, 16, 16), 10)),
-        "score_tiles": (n_vox, scored),
-        "argmax_label": (n_vox, lambda: tiles.argmax_label(logits)),
+        "to_blocks": (n_vox, lambda: blocks.to_blocks(voxels, scans, 16)),
+        "blend_tiles": (n_vox, blended),
+        "score_tiles": (n_vox, lambda: blocks.score_blocks(cubes, scans, linear_scorer, (16, 16, 16), 10, block=16)),
+        "argmax_label": (n_vox, lambda: blocks.argmax_blocks(logit_cubes, 10)),
         "dice": (3 * n_lab, lambda: measure.dice(truth, ours, other)),
         "connected_components": (n_lab, lambda: components.connected_components(labels).sizes()),
         "canal_health": (n_lab, lambda: canal.canal_health(labels, qc)),

@@ -4,6 +4,7 @@ Every formula is integer arithmetic spelled once and used by both engines.
 """
 from __future__ import annotations
 
+import re
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from voxelspark.session import grid_partitions
 
 N = 16
+EDGE = 6                                       # of the array blocks
 
 HU = """case when (2*x-15)*(2*x-15)+(2*y-15)*(2*y-15) > 256 then -1000
  when z between 6 and 9 and y between 6 and 9 and x between 5 and 10 then 1400 + h
@@ -205,6 +207,28 @@ class Fixtures:
             f"transform(sequence(0, 9), c -> cast(5000 * (case when {one} = c then 1 else 0 end)"
             " + (z*31 + y*17 + x*7 + c*13 + scan_id) % 1000 as float)) AS logit")
 
+    def _blocks(self, value: str, kind: str) -> DataFrame:
+        """The same volumes as array blocks, whose edge divides neither the frame nor the tiles; no shuffle of voxels."""
+        b = self.table("supplier").select(F.col("s_suppkey").alias("scan_id"), F.col("s_suppkey").alias("k"))
+        b = b.repartition(grid_partitions(self.spark), "scan_id")
+        for a in "zyx":
+            b = b.withColumn(f"{a}0", F.explode(F.sequence(F.lit(0), F.lit(N - 1), F.lit(EDGE))))
+        n = [f"least({EDGE}, {N} - {a}0)" for a in "zyx"]
+        place = (f"transform(sequence(0, {n[0]} * {n[1]} * {n[2]} - 1), i -> named_struct('z', z0 + i div ({n[1]} * {n[2]}),"
+                 f" 'y', y0 + i div {n[2]} % {n[1]}, 'x', x0 + i % {n[2]}))")
+        value = re.sub(r"\b([zyx])\b", r"cast(p.\1 as int)", value)
+        return b.selectExpr("scan_id", "z0", "y0", "x0", f"array({', '.join(n)}) AS shape", f"transform({place}, p -> {value}) AS {kind}")
+
+    @cached_property
+    def blocks(self) -> DataFrame:
+        return self._blocks("cast(" + re.sub(r"\bh\b", f"({H})", HU) + " as float)", "hu")
+
+    @cached_property
+    def logit_blocks(self) -> DataFrame:
+        each = self._blocks(f"transform(sequence(0, 9), c -> cast(5000 * (case when ({LABEL}) = c then 1 else 0 end)"
+                            " + (z*31 + y*17 + x*7 + c*13 + k) % 1000 as float))", "logit")
+        return each.withColumn("logit", F.flatten("logit"))
+
     @cached_property
     def tooth_pred(self) -> DataFrame:
         return self.labels.filter("label in (3, 4)").withColumn("k", F.col("scan_id")).selectExpr(

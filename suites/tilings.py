@@ -2,8 +2,8 @@
 from pyspark.sql import functions as F
 
 from suites import check, digest, digest_sql
-from voxelspark.functions.tiling import tile_weight
-from voxelspark.operators import tiles
+from suites.fixtures import EDGE
+from voxelspark.operators import blocks, tiles
 from voxelspark.plans import flows
 
 _TV = """tv AS (SELECT v.scan_id, a.s AS tz, b.s AS ty, c.s AS tx, z - a.s AS dz, y - b.s AS dy, x - c.s AS dx, z, y, x, {cols} FROM {src} v
@@ -13,6 +13,15 @@ _TV = """tv AS (SELECT v.scan_id, a.s AS tz, b.s AS ty, c.s AS tx, z - a.s AS dz
 
 @check("t02_tile_voxels", "WITH " + _TV.format(cols="hu::BIGINT AS h", src="voxels")
        + " SELECT scan_id, tz, ty, tx, count(*) AS n, sum(h)::BIGINT AS total, sum(h*(dz*64 + dy*8 + dx))::BIGINT AS weighted FROM tv GROUP BY ALL")
+def _(fx):
+    t = blocks.assemble_tiles(blocks.tile_pieces(fx.blocks, fx.scans, (8, 8, 8)))
+    add = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, v: s + v.cast("long"))      # noqa: E731
+    return t.select("scan_id", "tz", "ty", "tx", F.size("hu").cast("long").alias("n"), add("hu").alias("total"),
+                    add(F.transform("hu", lambda v, i: v.cast("long") * i)).alias("weighted"))
+
+
+@check("t02_tile_voxels_rows", "WITH " + _TV.format(cols="hu::BIGINT AS h", src="voxels")
+       + " SELECT scan_id, tz, ty, tx, count(*) AS n, sum(h)::BIGINT AS total, sum(h*(dz*64 + dy*8 + dx))::BIGINT AS weighted FROM tv GROUP BY ALL")
 def _(fx):
     t = tiles.tile_voxels(fx.voxels, fx.scans, (8, 8, 8))
     h = F.col("hu").cast("long")
@@ -33,30 +42,52 @@ _BEST = """best AS (SELECT scan_id, z, y, x, list_position(l, list_max(l)) - 1 A
 
 @check("t04_score_tiles", "WITH " + _BEST + "\n" + digest_sql("best", "label"))
 def _(fx):
-    out = flows.score_volumes(fx.voxels, fx.scans, linear_scorer, (8, 8, 8), 10)
-    return digest(tiles.argmax_label(out), F.col("label").cast("long"))
+    out = blocks.score_blocks(fx.blocks, fx.scans, linear_scorer, (8, 8, 8), 10, block=EDGE)
+    return digest(blocks.voxels_of(blocks.argmax_blocks(out, 10), "label"), F.col("label").cast("long"))
+
+
+@check("t04_score_tiles_of_rows", "WITH " + _BEST + "\n" + digest_sql("best", "label"))
+def _(fx):
+    out = flows.score_volumes(fx.voxels, fx.scans, linear_scorer, (8, 8, 8), 10, block=EDGE)
+    return digest(blocks.voxels_of(blocks.argmax_blocks(out, 10), "label"), F.col("label").cast("long"))
 
 
 _W = """greatest(round_even(1000*greatest(exp(-((dz-3.5)*(dz-3.5) + (dy-3.5)*(dy-3.5) + (dx-3.5)*(dx-3.5))/2.0::DOUBLE)/exp(-0.375::DOUBLE), 0.001::DOUBLE), 0), 0)"""
 
 
+def numbered(key, box):
+    """The values of a tile plus a number of its own."""
+    import numpy as np
+    _, tz, ty, tx = key
+    return np.moveaxis(box, -1, 0) + (tz // 4 * 9 + ty // 4 * 3 + tx // 4) % 7
+
+
+def whole_bell(tile):
+    import numpy as np
+
+    from voxelspark.operators.blocks import bell
+    return np.rint(1000 * bell(tile))
+
+
 @check("t05_blend_tiles", "WITH " + _TV.format(cols="logit", src="logits") + f""",
  u AS (SELECT scan_id, z, y, x, unnest(range(10)) AS c, unnest(logit) + ((tz//4*3 + ty//4)*3 + tx//4) % 7 AS l, {_W} AS w FROM tv),
  b AS (SELECT scan_id, z, y, x, c, sum(w*l)/greatest(sum(w), 1e-6) AS v FROM u GROUP BY ALL),
  r AS (SELECT scan_id, z, y, x, sum(round_even(v*1000, 0)*(c + 1))::BIGINT AS h FROM b GROUP BY ALL)
  """ + digest_sql("r", "h"))
 def _(fx):
-    t = tiles.tile_voxels(fx.logits, fx.scans, (8, 8, 8))
-    number = (F.floor(F.col("tz") / 4) * 9 + F.floor(F.col("ty") / 4) * 3 + F.floor(F.col("tx") / 4)) % 7
-    t = t.withColumn("number", number.cast("float")).withColumn("logit", F.expr("transform(logit, v -> v + number)"))
-    t = t.withColumns({a: F.col(f"t{a}") + F.col(f"d{a}") for a in "zyx"})
-    w = F.rint(1000 * tile_weight([F.col(f"d{a}") for a in "zyx"], (8, 8, 8)))
-    out = tiles.blend_tiles(t, (8, 8, 8), 10, weight=w)
+    pieces = blocks.tile_pieces(fx.logit_blocks, fx.scans, (8, 8, 8), value="logit", channels=10)
+    scored = blocks.map_tiles(pieces, numbered, EDGE, channels=10)
+    out = blocks.voxels_of(blocks.blend_tiles(scored, 10, EDGE, whole_bell), "logit", 10)
     h = sum(F.rint(F.col("logit")[c] * 1000) * (c + 1) for c in range(10))
     return digest(out, h.cast("long"))
 
 
 @check("t06_argmax_label", "WITH b AS (SELECT scan_id, z, y, x, list_position(logit, list_max(logit)) - 1 AS label FROM logits)\n" + digest_sql("b", "label"))
+def _(fx):
+    return digest(blocks.voxels_of(blocks.argmax_blocks(fx.logit_blocks, 10), "label"), F.col("label").cast("long"))
+
+
+@check("t06_argmax_label_rows", "WITH b AS (SELECT scan_id, z, y, x, list_position(logit, list_max(logit)) - 1 AS label FROM logits)\n" + digest_sql("b", "label"))
 def _(fx):
     return digest(tiles.argmax_label(fx.logits), F.col("label").cast("long"))
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from voxelspark.functions import geometry as G
 from voxelspark.functions import tiling
-from voxelspark.operators import canal, components as C, crop, guard, histogram, instances, measure, stencil, surface, tiles
+from voxelspark.operators import blocks, canal, components as C, crop, guard, histogram, instances, measure, stencil, surface
 from voxelspark.plans import attach as A
 from voxelspark.plans import flows, ordered
 from voxelspark.session import tune
@@ -162,21 +162,99 @@ def test_every_position_is_covered_by_its_tiles(spark, n, tile):
 
 def test_blend_of_constant_logits_is_constant_and_thin_scans_are_padded(spark):
     cells = [(z, y, x, float(x)) for z in range(3) for y in range(9) for x in range(10)]
-    out = flows.score_volumes(voxels(spark, cells, "hu float"), heads(spark, (10, 9, 3)),
-                              lambda b: np.stack([np.full(b.shape, 2.5), b]), (4, 4, 4), 2)
+    for block in (3, 4, 64):                    # tiles larger than a block, as large, and smaller
+        out = flows.score_volumes(voxels(spark, cells, "hu float"), heads(spark, (10, 9, 3)),
+                                  lambda b: np.stack([np.full(b.shape, 2.5), b]), (4, 4, 4), 2, block=block)
+        rows = blocks.voxels_of(out, "logit", 2).collect()
+        assert sorted((r.z, r.y, r.x) for r in rows) == sorted(c[:3] for c in cells)
+        for r in rows:
+            assert r.logit[0] == pytest.approx(2.5) and r.logit[1] == pytest.approx(r.x, abs=1e-4)
+
+
+def plain_blend(box, tile, score, overlap):
+    """One volume scored and blended the plain way."""
+    from voxelspark.operators.blocks import bell
+    big = np.pad(box, [(0, max(0, t - n)) for t, n in zip(tile, box.shape)], mode="edge")
+    def starts(n, t):
+        step = max(1, round(t * (1 - overlap)))
+        return sorted({*range(0, n - t + 1, step), n - t})
+    total, mass = 0, np.zeros(big.shape)
+    for at in itertools.product(*[starts(n, t) for n, t in zip(big.shape, tile)]):
+        own = tuple(slice(a, a + t) for a, t in zip(at, tile))
+        out = score(big[own])
+        if isinstance(total, int):
+            total = np.zeros((len(out), *big.shape))
+        total[(slice(None), *own)] += bell(tile) * out
+        mass[own] += bell(tile)
+    return (total / mass)[(slice(None), *[slice(0, n) for n in box.shape])]
+
+
+def place_scorer(box):
+    """What a voxel gets depends on where in the tile it is."""
+    return np.stack([box, box * np.linspace(0, 1, box.shape[2]), np.cumsum(box, 0)])
+
+
+@pytest.mark.parametrize("overlap", [0.5, 0.25])
+def test_scans_with_their_own_tiles_in_one_job(spark, overlap):
+    """Thin, small and larger frames and tiles that follow from them, one scan with most of all voxels, blocks that fit nothing."""
+    rng = np.random.default_rng(4)
+    shapes = {1: (3, 20, 9), 2: (25, 18, 21), 3: (4, 4, 4), 4: (7, 30, 8)}
+    boxes = {i: rng.integers(-1000, 1000, n).astype(np.float32) for i, n in shapes.items()}
+    rows = [(i, *map(int, p), float(v)) for i, b in boxes.items() for p, v in np.ndenumerate(b) for p in [p]]
+    scans = spark.createDataFrame([(i, nx, ny, nz) for i, (nz, ny, nx) in shapes.items()], "scan_id long, nx int, ny int, nz int")
+    fitted = tiling.fit_tile(scans, (8, 12, 12), (2, 4, 4))
+    table = spark.createDataFrame([(i, z, y, x, v) for i, z, y, x, v in rows], "scan_id long, z int, y int, x int, hu float")
+    out = flows.score_volumes(table.repartition(5), fitted, place_scorer, None, 3, overlap, block=7)
+    got = {i: np.full((3, *n), np.nan) for i, n in shapes.items()}
+    for r in blocks.voxels_of(out, "logit", 3).collect():
+        got[r.scan_id][:, r.z, r.y, r.x] = r.logit
+    for r in fitted.collect():
+        assert np.allclose(got[r.scan_id], plain_blend(boxes[r.scan_id], (r.tz, r.ty, r.tx), place_scorer, overlap), rtol=1e-6)
+    labels = blocks.voxels_of(blocks.argmax_blocks(out, 3), "label").collect()
+    assert all(r.label == got[r.scan_id][:, r.z, r.y, r.x].argmax() for r in labels) and len(labels) == len(rows)
+
+
+def test_no_row_per_voxel_is_shuffled(spark):
+    cells = [(z, y, x, 1.0) for z, y, x in itertools.product(range(12), repeat=3)]
+    out = flows.score_volumes(voxels(spark, cells, "hu float"), heads(spark, (12, 12, 12)), lambda b: np.stack([b, b]), (6, 6, 6), 2, block=6)
     rows = out.collect()
-    assert len(rows) == len(cells)
-    for r in rows:
-        assert r.logit[0] == pytest.approx(2.5) and r.logit[1] == pytest.approx(r.x, abs=1e-4)
+    assert len(rows) == 8
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(scan_id" in plan and " z#" not in "".join(x for x in plan.splitlines() if "Exchange" in x)
+
+
+def test_blocks_on_disk(spark, tmp_path):
+    rows = [(s, z, y, x, float(z * 100 + y * 10 + x + s)) for s in (1, 2, 3) for z, y, x in itertools.product(range(9), range(7), range(5))]
+    table = spark.createDataFrame(rows, "scan_id long, z int, y int, x int, hu float")
+    made = blocks.to_blocks(table, heads(spark, (5, 7, 9), scans=(1, 2, 3)), 4)
+    volumes.write_blocks(made, f"{tmp_path}/b", 2)
+    back = volumes.read_blocks(spark, f"{tmp_path}/b")
+    assert sorted(map(tuple, blocks.voxels_of(back, "hu").collect())) == sorted(rows)
+    some = volumes.read_blocks(spark, f"{tmp_path}/b", [2], [(3, 4), (0, 4), (4, 9)])
+    assert sorted((r.scan_id, r.z0, r.y0, r.x0) for r in some.collect()) == [(2, 0, 0, 4)]
+    volumes.write_volumes(table, f"{tmp_path}/v", 2)
+    packed = blocks.to_blocks(volumes.read_volumes(spark, f"{tmp_path}/v", [2]), heads(spark, (5, 7, 9), scans=(2,)), 4)
+    assert sorted(map(tuple, blocks.voxels_of(packed, "hu").collect())) == sorted(r for r in rows if r[0] == 2)
+
+
+def test_a_missing_or_repeated_voxel_is_an_error(spark):
+    cells = [(z, y, x, 1.0) for z, y, x in itertools.product(range(4), repeat=3)]
+    for wrong, say in ((cells[1:], "63 of 64"), (cells + cells[:1], "65 of 64"), (cells[1:] + cells[-1:], "repeated")):
+        with pytest.raises(PythonException, match=say):
+            blocks.to_blocks(voxels(spark, wrong, "hu float"), heads(spark, (4, 4, 4))).collect()
+    assert blocks.to_blocks(voxels(spark, cells, "hu float").limit(0), heads(spark, (4, 4, 4))).count() == 0
 
 
 def test_failing_tile_names_itself(spark):
     cells = [(z, y, x, 1.0) for z, y, x in itertools.product(range(4), repeat=3)]
-    cut = tiles.tile_voxels(voxels(spark, cells, "hu float", scan=77), heads(spark, (4, 4, 4), scans=(77,)), (4, 4, 4))
+    frame = heads(spark, (4, 4, 4), scans=(77,))
+    cut = blocks.tile_pieces(blocks.to_blocks(voxels(spark, cells, "hu float", scan=77), frame), frame, (4, 4, 4))
     def broken(_box):
         raise MemoryError("out of memory")
     with pytest.raises(PythonException, match="scan 77, tile at z0 y0 x0"):
-        tiles.score_tiles(cut, broken, (4, 4, 4)).collect()
+        blocks.score_tiles(cut, broken).collect()
+    with pytest.raises(PythonException, match="scorer returned shape"):
+        blocks.score_tiles(cut, lambda b: b).collect()
 
 
 def test_crop_holds_the_box(spark):

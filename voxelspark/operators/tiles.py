@@ -1,15 +1,16 @@
-"""Sliding-window scoring: cutting tiles, running a scorer, blending, arg-max and fields."""
+"""Sliding windows over rows of voxels: tiles that cover a voxel, arg-max, fields, timings.
+
+Scoring and blending work on array blocks (``operators.blocks``).
+"""
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxelspark.functions.geometry import SIZE
-from voxelspark.functions.tiling import OVERLAP, covering_starts, tile_weight
+from voxelspark.functions.tiling import OVERLAP, covering_starts
 from voxelspark.plans.attach import attach
 
 KEYS = ["scan_id", "z", "y", "x"]
@@ -29,61 +30,6 @@ def tile_voxels(voxels: DataFrame, scans: DataFrame, tile: Sequence[int], overla
     return rows.select(*TILE_KEYS, *[(F.col(a) - F.col(f"t{a}")).alias(f"d{a}") for a in "zyx"], *rest)
 
 
-class TileError(RuntimeError):
-    """A scorer failed on one tile; nothing is replaced or skipped."""
-
-
-def score_tiles(tiles: DataFrame, score: Callable[[np.ndarray], np.ndarray], tile: Sequence[int],
-                value: str = "hu") -> DataFrame:
-    """Run ``score`` on every tile: float32 array (z, y, x) in, (classes, z, y, x) out.
-
-    One group is one tile, whose size is fixed by ``tile`` whatever the scan.
-    Tiles must be complete (pad thin scans with ``pad_edge`` first). A failing
-    tile fails the job and says which tile of which scan it was.
-    """
-    shape = tuple(int(t) for t in tile)
-    volume = int(np.prod(shape))
-    schema = "scan_id long, tz int, ty int, tx int, z int, y int, x int, logit array<float>"
-
-    def run(key, table):
-        scan, z0, y0, x0 = (k.as_py() for k in key)
-        dz, dy, dx = (table.column(c).to_numpy() for c in ("dz", "dy", "dx"))
-        try:
-            if len(dz) != volume:
-                raise ValueError(f"{len(dz)} of {volume} voxels present")
-            box = np.zeros(shape, np.float32)
-            box[dz, dy, dx] = table.column(value).to_numpy()
-            out = np.asarray(score(box), np.float32)
-            if out.shape[1:] != shape:
-                raise ValueError(f"scorer returned shape {out.shape}")
-        except Exception as e:
-            raise TileError(f"scan {scan}, tile at z{z0} y{y0} x{x0}, shape {shape}: {e}") from e
-        flat = np.ascontiguousarray(out[:, dz, dy, dx].T).ravel()
-        offsets = np.arange(0, len(flat) + 1, out.shape[0], dtype=np.int32)
-        logit = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
-        n = len(dz)
-        fixed = lambda v, t: pa.array(np.full(n, v), type=t)                        # noqa: E731
-        return pa.table({
-            "scan_id": fixed(scan, pa.int64()), "tz": fixed(z0, pa.int32()), "ty": fixed(y0, pa.int32()),
-            "tx": fixed(x0, pa.int32()), "z": pa.array((dz + z0).astype(np.int32)),
-            "y": pa.array((dy + y0).astype(np.int32)), "x": pa.array((dx + x0).astype(np.int32)), "logit": logit})
-
-    return tiles.select(*TILE_KEYS, "dz", "dy", "dx", value).groupBy(*TILE_KEYS).applyInArrow(run, schema)
-
-
-def blend_tiles(scored: DataFrame, tile: Sequence[int], num_classes: int, weight=None) -> DataFrame:
-    """Weighted mean of the overlapping tiles per voxel and class.
-
-    Plain sums per class, so partial aggregation runs before the shuffle.
-    """
-    w = tile_weight([F.col(a) - F.col(f"t{a}") for a in "zyx"], tile) if weight is None else weight
-    rows = scored.select(*KEYS, w.alias("w"), "logit")
-    sums = rows.groupBy(*KEYS).agg(
-        F.sum("w").alias("w"), *[F.sum(F.col("w") * F.col("logit")[c]).alias(f"s{c}") for c in range(num_classes)])
-    total = F.greatest(F.col("w"), F.lit(1e-6))
-    return sums.select(*KEYS, F.array(*[F.col(f"s{c}") / total for c in range(num_classes)]).alias("logit"))
-
-
 def argmax_label(logits: DataFrame, logit: str = "logit") -> DataFrame:
     """Class with the largest logit, the lowest on ties."""
     at = F.array_position(logit, F.array_max(logit)) - 1

@@ -12,7 +12,7 @@ from voxelspark.functions import intensity as I
 from voxelspark.functions import naming
 from voxelspark.operators import canal as K
 from voxelspark.operators import components as C
-from voxelspark.operators import crop, histogram, instances, matching, measure, resample, tiles
+from voxelspark.operators import blocks, crop, histogram, instances, matching, measure, resample
 from voxelspark.plans.attach import attach
 from voxelspark.session import cut_lineage
 
@@ -28,20 +28,24 @@ def class_volumes_of_valid_scans(voxels: DataFrame, scans: DataFrame) -> DataFra
     return measure.class_volumes(labels, ok)
 
 
-def score_volumes(voxels: DataFrame, scans: DataFrame, score: Scorer, tile: Sequence[int], num_classes: int,
-                  overlap: float = 0.5) -> DataFrame:
-    """Pad, cut, score, blend and un-pad every scan: one logit array per voxel."""
-    padded = scans.withColumns({f"n{a}": F.greatest(F.col(f"n{a}"), F.lit(int(t))) for a, t in zip("zyx", tile)})
-    cut = tiles.tile_voxels(crop.pad_edge(voxels, scans, tile), padded, tile, overlap)
-    blended = tiles.blend_tiles(tiles.score_tiles(cut, score, tile), tile, num_classes)
-    return crop.unpad(blended, scans)
+def score_volumes(voxels: DataFrame, scans: DataFrame, score: Scorer, tile: Sequence[int] | None, num_classes: int,
+                  overlap: float = 0.5, block: int = blocks.BLOCK) -> DataFrame:
+    """Pack into blocks, cut, score and blend every scan: blocks of logits. Without ``tile``, scans have their own."""
+    return blocks.score_blocks(blocks.to_blocks(voxels, scans, block), scans, score, tile, num_classes, overlap, block)
+
+
+def label_volumes(voxels: DataFrame, scans: DataFrame, score: Scorer, tile: Sequence[int] | None, num_classes: int,
+                  overlap: float = 0.5, block: int = blocks.BLOCK) -> DataFrame:
+    """The class of every voxel, background left out: rows again, as what follows works on sparse labels."""
+    logits = score_volumes(voxels, scans, score, tile, num_classes, overlap, block)
+    return blocks.voxels_of(blocks.argmax_blocks(logits, num_classes), "label").filter("label > 0")
 
 
 def segment(voxels: DataFrame, scans: DataFrame, score: Scorer, tile: Sequence[int], num_classes: int,
             spacing: float = G.GRID_SPACING_MM, overlap: float = 0.5) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Orient, resample, normalise, score and take the arg-max of every sane scan.
 
-    Returns (logits, labels without background, headers of the grid).
+    Returns (blocks of logits, labels without background, headers of the grid).
     """
     ok = scans.filter(G.spacing_is_sane())
     turned = crop.orient_lps(attach(voxels, ok.select("scan_id"), sized_by=scans), ok)
@@ -50,7 +54,7 @@ def segment(voxels: DataFrame, scans: DataFrame, score: Scorer, tile: Sequence[i
     fine = resample.resample_linear(turned, heads, spacing)
     ready = fine.withColumn("hu", I.normalize_ct(F.col("hu")).cast("float"))
     logits = cut_lineage(score_volumes(ready, grid, score, tile, num_classes, overlap))
-    labels = tiles.argmax_label(logits).filter("label > 0")
+    labels = blocks.voxels_of(blocks.argmax_blocks(logits, num_classes), "label").filter("label > 0")
     return logits, labels, grid
 
 
@@ -89,8 +93,7 @@ def second_pass_match(voxels: DataFrame, labels: DataFrame, scans: DataFrame, sc
     near = crop.recentred(voxels, box).withColumn("hu", F.least(F.greatest(F.col("hu").cast("double"), F.lit(lo)), F.lit(hi)))
     matched = matching.match_quantiles(near, fractions, reference)
     ready = matched.select("scan_id", "z", "y", "x", I.normalize_ct(F.col("matched")).cast("float").alias("hu"))
-    logits = score_volumes(ready, crop.cropped_headers(box), score, tile, num_classes)
-    found = tiles.argmax_label(logits).filter(F.col("label") == K.CANAL)
+    found = label_volumes(ready, crop.cropped_headers(box), score, tile, num_classes).filter(F.col("label") == K.CANAL)
     back = attach(found, box.select("scan_id", *[f"a{a}" for a in G.AXES]))
     return back.select("scan_id", *[(F.col(a) + F.col(f"a{a}")).cast("int").alias(a) for a in "zyx"])
 
@@ -112,8 +115,7 @@ def second_pass_fine(source: DataFrame, source_scans: DataFrame, labels: DataFra
     fine_heads = resample.resampled_headers(heads, spacing)
     fine = resample.resample_linear(crop.recentred(source, box), heads, spacing)
     ready = fine.withColumn("hu", I.normalize_ct(F.col("hu")).cast("float"))
-    found = tiles.argmax_label(score_volumes(ready, fine_heads, score, tile, num_classes))
-    found = found.filter(F.col("label") == K.CANAL)
+    found = label_volumes(ready, fine_heads, score, tile, num_classes).filter(F.col("label") == K.CANAL)
     half = box.select("scan_id", F.coalesce("x0", F.lit(0)).alias("half_lo"),
                       F.coalesce("x1", F.lit(1 << 30)).alias("half_hi"))
     d = F.col("direction")                     # both grids share it: origins differ by a shift along the axes
@@ -199,8 +201,8 @@ def separate_teeth(voxels: DataFrame, labels: DataFrame, scans: DataFrame, score
         box = cut_lineage(box)
         ready = crop.recentred(voxels, box).withColumn("hu", I.normalize_ct(F.col("hu"), **window).cast("float"))
         heads = cut_lineage(crop.cropped_headers(box))
-        pred = tiles.argmax_label(score_volumes(ready, heads, score, tile, num_classes))
-        pred = cut_lineage(pred.filter("label > 0").withColumnRenamed("label", "id"))    # score once
+        pred = label_volumes(ready, heads, score, tile, num_classes)
+        pred = cut_lineage(pred.withColumnRenamed("label", "id"))    # score once
         inside = crop.recentred(mask, box)
         pred = cut_lineage(instances.restrict_ids(pred, inside, heads, own))
         numbered = cut_lineage(instances.assign_numbers(inside, pred, heads, own, radius_mm))

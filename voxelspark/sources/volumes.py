@@ -22,12 +22,29 @@ def write_volumes(df: DataFrame, path: str, buckets: int = BUCKETS) -> None:
     The number of buckets is part of the path, so readers need not know it. Tasks are cut by
     scan and slab of planes: a large scan is written by many tasks, a small one by few.
     """
+    _write(df, path, buckets, F.floor(F.col("z") / SLAB), ["z", "y", "x"])
+
+
+def _write(df: DataFrame, path: str, buckets: int, slab, place: Sequence[str]) -> None:
     out = df.withColumn("buckets", F.lit(buckets)).withColumn("bucket", _bucket(F.col("scan_id"), buckets))
-    out = out.repartition("bucket", "scan_id", F.floor(F.col("z") / SLAB))
-    out.sortWithinPartitions("bucket", "scan_id", "z", "y", "x").write.mode("overwrite").partitionBy(
+    out.repartition("bucket", "scan_id", slab).sortWithinPartitions("bucket", "scan_id", *place).write.mode("overwrite").partitionBy(
         "buckets", "bucket").parquet(path)
 
 
+def write_blocks(blocks: DataFrame, path: str, buckets: int = BUCKETS) -> None:
+    """Array blocks (``operators.blocks``) in scan buckets: a task holds one layer of one scan's blocks."""
+    _write(blocks, path, buckets, F.col("z0"), ["z0", "y0", "x0"])
+
+
+def read_blocks(spark: SparkSession, path: str, scan_ids: Sequence[int] | None = None,
+                box: Sequence[tuple[int, int]] | None = None) -> DataFrame:
+    """Array blocks, optionally only of some scans (prunes folders) and those that reach into a half-open box (z, y, x)."""
+    df = read_volumes(spark, path, scan_ids)
+    for i, (a, (lo, hi)) in enumerate(zip("zyx", box or ())):
+        df = df.filter((F.col(f"{a}0") < hi) & (F.col(f"{a}0") + F.col("shape")[i] > lo))
+    return df
+
+
 def read_volumes(spark: SparkSession, path: str, scan_ids: Sequence[int] | None = None,
                  z_range: tuple[int, int] | None = None, buckets: int | None = None) -> DataFrame:
     """The table, optionally only some scans (prunes folders) and planes (prunes row groups).
