@@ -236,6 +236,10 @@ def plain_trie(rows):
     return sorted(out, key=lambda r: tuple((x is not None, x) for x in r))
 
 
+def trie(df):
+    return prefixtrie.prefix_trie(df).select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
 def test_trie_query(spark):
     t = pq.read_table(f"{SF}/conversations.parquet")
     rows = list(zip(*(t[c].to_pylist() for c in ("conv_id", "turn", "role", "text")), strict=True))
@@ -253,13 +257,15 @@ def test_trie_of_odd_conversations(spark):
         rows += [(c, 0, "user", "same"), (c, 1, "assistant", "same again"), (c, 2, "user", "more")]
     rows += [(400, None, None, None), (400, None, None, None), (400, 3, "user", None), (401, 1, "user", "x"), (401, 1, "assistant", "x"), (401, 1, "user", "x"),
              (None, 0, "user", "nobody's"), (-5, 0, "user", "below"), (-20, 0, "user", "zero"), (-20, 1, "user", ""), (500, 0, "user", "y " * 1_500_000),
+             *[(540, t, "user", f"a b {t % 3}") for t in range(40)], *[(541, t, "user", f"a b {t % 3}") for t in range(40)],
+             *[(560, t, "user", f"a b {t % 3}" + "!" * (t > 30)) for t in range(40)], *[(580, t, "user", f"a b {t % 3}") for t in range(35)],
              (500, 1, "u:ser", "1:a"), (501, 0, "u", ":ser1:a"), (520, 0, "user", "only"), (521, 0, "user", "one"), (522, 0, "user", "turn")]
     df = spark.createDataFrame([(*r, "x", 1, b"p") for r in rows], "conv_id long, turn long, role string, text string, pos string, code int, path binary")
-    got = prefixtrie.prefix_trie(df.repartition(7)).drop("path")
+    got = trie(df.repartition(7))
     assert rows_of(got) == plain_trie(rows)
     assert prefixtrie.prefix_trie(df.limit(0)).count() == 0
     lone = spark.createDataFrame([(1, 0, "user", "hello")], "conv_id long, turn long, role string, text string")     # h = 3: no turns are left
-    assert rows_of(prefixtrie.prefix_trie(lone).drop("path")) == plain_trie([(1, 0, "user", "hello")])
+    assert rows_of(trie(lone)) == plain_trie([(1, 0, "user", "hello")])
 
 
 def test_long_classes_are_hashed_across_batches(spark):
@@ -267,6 +273,6 @@ def test_long_classes_are_hashed_across_batches(spark):
     try:
         df = spark.createDataFrame([(c, 0, "user", "same") for c in range(1, 60)], "conv_id long, turn long, role string, text string")
         want = plain_trie([(c, 0, "user", "same") for c in range(1, 60)])
-        assert rows_of(prefixtrie.prefix_trie(df).drop("path")) == want
+        assert rows_of(trie(df)) == want
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")

@@ -1,7 +1,7 @@
 """Operator 13: trie of conversation prefixes by truncation peeling.
 
 A conversation becomes its path: a code of fixed width for each turn. Starting at the
-greatest depth, the conversations that end there join the nodes that survived from the depth
+greatest depth that two paths share, the conversations that end there join the nodes that survived from the depth
 below, equal paths are merged into the nodes of this depth with all their figures summed up,
 each node's last turn is stripped, and what is left goes on to the next depth. Every node is
 found once and is complete when it is found.
@@ -14,10 +14,10 @@ from __future__ import annotations
 import hashlib
 import uuid
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from voxelspark.llm import exchange
@@ -83,22 +83,88 @@ def classes(routes: DataFrame) -> DataFrame:
     return routes.select("path", "conv_id").repartition("path").sortWithinPartitions("path", "conv_id").mapInArrow(gather, CLASSES)
 
 
+def shared_depths(ended: DataFrame) -> DataFrame:
+    """``conv_id, shared``: how many turns of a class's path another class has too. One row a turn is shuffled, its key."""
+    def prefixes(batches):
+        for b in batches:
+            conv, depth, keys = [], [], []
+            for path, c in zip(b.column("path").to_pylist(), b.column("conv_id").to_pylist(), strict=True):
+                key = b""
+                for d in range(len(path) // CODE):
+                    key = hashlib.blake2b(key + path[d * CODE:(d + 1) * CODE], digest_size=16).digest()
+                    keys.append(key)
+                conv += [c] * (len(path) // CODE)
+                depth += range(1, len(path) // CODE + 1)
+            yield pa.RecordBatch.from_arrays([pa.array(conv, pa.int64()), pa.array(depth, pa.int32()), pa.array(keys, pa.binary())], ["conv_id", "d", "key"])
+
+    each = ended.select("path", "conv_id").mapInArrow(prefixes, "conv_id long, d int, key binary")
+    met = each.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
+    return each.join(met, "key").groupBy("conv_id").agg(F.max("d").alias("shared"))
+
+
+def _words_after(path: bytes) -> np.ndarray:
+    """Summed words of each turn and all after it, and zero."""
+    words = np.frombuffer(path, np.uint8).reshape(-1, CODE)[:, CODE - 4:].copy().view(">u4").ravel().astype(np.int64)
+    return np.append(np.cumsum(words[::-1])[::-1], 0)
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+
+def _starts(batches):
+    """Each class where it meets others: as it ended there, or with what its own last turns add up to."""
+    for b in batches:
+        rows = []
+        for r in b.to_pylist():
+            depth, s, n = len(r["path"]) // CODE, r["shared"], r["n_convs"]
+            end = depth == s
+            rows.append((r["path"][:s * CODE], s, r["conv_id"], n, int(not end), int(not end), 0 if end else (n - 1) * int(_words_after(r["path"])[s]),
+                         r["ends_sha256"] if end else None))
+        if rows:
+            yield _batch(rows, _STARTS)
+
+
+def _tails(batches):
+    """The nodes that only one class has."""
+    for b in batches:
+        for r in b.to_pylist():
+            depth, s, n = len(r["path"]) // CODE, r["shared"], r["n_convs"]
+            after = _words_after(r["path"])
+            rows = [(r["path"][:s * CODE] if d == s + 1 else None, r["conv_id"], d, n, int(d < depth), 1, (n - 1) * int(after[d - 1]),
+                     r["ends_sha256"] if d == depth else _NO_END) for d in range(s + 1, depth + 1)]
+            if rows:
+                yield _batch(rows, _NODES)
+
+
+_STARTS = pa.schema([("path", pa.binary()), ("depth", pa.int32()), ("conv_id", pa.int64()), ("n_convs", pa.int64()), ("children", pa.int64()),
+                     ("leaves", pa.int64()), ("saved", pa.int64()), ("ends_sha256", pa.string())])
+STARTS = "path binary, conv_id long, n_convs long, children long, leaves long, saved long, ends_sha256 string, depth int"
+_NODES = pa.schema([("up", pa.binary()), ("conv_id", pa.int64()), ("depth", pa.int64()), ("n_convs", pa.int64()), ("n_children", pa.int64()),
+                    ("n_leaves", pa.int64()), ("saved_tokens", pa.int64()), ("ends_sha256", pa.string())])
+NODES = "up binary, conv_id long, depth long, n_convs long, n_children long, n_leaves long, saved_tokens long, ends_sha256 string"
+
+
 def prefix_trie(df: DataFrame, group: int = GROUP, heads: int = HEADS) -> DataFrame:
-    """The nodes of the trie of rebuilt conversations, one row a node; ``path`` tells nodes apart.
+    """The nodes of the trie of rebuilt conversations, one row a node; ``conv_id`` (smallest member) and ``depth`` tell nodes apart.
 
-    Turns are ordered by ``turn``, a null one first, equal ones by a digest of their contents; equal rows are turns
-    of their own. Null roles and texts are empty, a text of any length enters as its digest and number of words.
-    Turns without a ``conv_id`` belong to no conversation and are left out. The turn codes of one conversation (20
-    bytes each) are gathered in a row. Other columns are ignored; an empty table gives no nodes, not even a root."""
+    Depths are peeled one after the other as far down as two different conversations share turns; turns below belong to one
+    path and are given out at once. Turns are ordered by ``turn``, a null one first, equal ones by a digest of their contents;
+    equal rows are turns of their own. Null roles and texts are empty, a text of any length enters as its digest and number of
+    words. Turns without a ``conv_id`` belong to no conversation and are left out. The turn codes of one conversation (20 bytes
+    each) are gathered in a row. Other columns are ignored; an empty table gives no nodes, not even a root."""
     spark = df.sparkSession
     folder = f"{exchange.shared_folder(spark)}/trie-{uuid.uuid4().hex}"
-    classes(paths(df, group, heads)).write.partitionBy("depth").parquet(f"{folder}/classes")
-    schema = T.StructType.fromDDL(CLASSES)
-    ended = spark.read.schema(T.StructType([f for f in schema if f.name != "depth"] + [schema["depth"]])).parquet(f"{folder}/classes")
-    deepest = ended.agg(F.max("depth")).first()[0]
-    zero, levels = F.lit(0).cast("long"), []
+    ended = exchange.cut_lineage(classes(paths(df, group, heads)))
+    routes = exchange.cut_lineage(ended.join(shared_depths(ended), "conv_id", "left").select(
+        "path", "conv_id", "n_convs", "ends_sha256", F.coalesce("shared", F.lit(0)).alias("shared")))
+    routes.mapInArrow(_starts, "path binary, depth int, conv_id long, n_convs long, children long, leaves long, saved long, ends_sha256 string").write.partitionBy(
+        "depth").parquet(f"{folder}/starts")
+    starts = spark.read.schema(STARTS).parquet(f"{folder}/starts")
+    deepest = starts.agg(F.max("depth")).first()[0]
+    zero, levels, written = F.lit(0).cast("long"), [], None
     for d in range(-1 if deepest is None else deepest, -1, -1):
-        rows = ended.filter(F.col("depth") == d).select("path", "conv_id", "n_convs", zero.alias("children"), zero.alias("leaves"), zero.alias("saved"), "ends_sha256")
+        rows = starts.filter(F.col("depth") == d).drop("depth")
         if levels:
             rows = rows.unionByName(spark.read.schema(written).parquet(levels[-1]).select(
                 F.substring("path", 1, CODE * d).alias("path"), "conv_id", "n_convs", F.lit(1).cast("long").alias("children"),
@@ -113,18 +179,20 @@ def prefix_trie(df: DataFrame, group: int = GROUP, heads: int = HEADS) -> DataFr
         nodes.write.parquet(levels[-1])
         written = nodes.schema
     if not levels:
-        return spark.createDataFrame([], "path binary, conv_id long, depth long, parent_conv_id long, n_convs long, n_children long, n_leaves long, "
-                                         "saved_tokens long, ends_sha256 string")
-    nodes = spark.read.schema(written).parquet(*levels)
-    parents = spark.read.schema(written).parquet(*levels).filter("n_children > 0").select(
-        F.col("path").alias("up"), F.col("depth").alias("at"), F.col("conv_id").alias("parent_conv_id"))
+        return spark.createDataFrame([], f"parent_conv_id long, {NODES}").drop("up")
+    met = spark.read.schema(written).parquet(*levels)
     up = F.expr(f"substring(path, 1, {CODE} * (cast(depth AS int) - 1))")
-    return nodes.join(parents, (parents["up"] == up) & (parents["at"] == nodes["depth"] - 1), "left").select(
-        "path", "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+    met_rows = met.withColumn("up", F.when(F.col("depth") > 0, up)).select("up", *_NODES.names[1:])
+    tails = routes.filter(F.length("path") > CODE * F.col("shared")).mapInArrow(_tails, NODES)
+    parents = met.filter("n_children > 0").select(F.col("path").alias("up"), F.col("conv_id").alias("parent_conv_id"))
+    top = met_rows.unionByName(tails.filter("up IS NOT NULL")).join(parents, "up", "left")
+    below = tails.filter("up IS NULL").withColumn("parent_conv_id", F.col("conv_id"))
+    return top.unionByName(below).drop("up")
 
 
 def op13_prefix_trie(spark, sf_dir):
-    return prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet")).drop("path")
+    return prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet")).select(
+        "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
 
 
 _STEPS = ", ".join(["-1"] * 8)
