@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from voxelspark.functions import geometry as G
 from voxelspark.functions import tiling
-from voxelspark.operators import blocks, canal, components as C, crop, guard, histogram, instances, measure, stencil, surface
+from voxelspark.operators import blocks, canal, components as C, crop, guard, histogram, instances, measure, runs, stencil, surface
 from voxelspark.plans import attach as A
 from voxelspark.plans import flows, ordered
 from voxelspark.session import tune
@@ -443,3 +443,77 @@ def test_fine_pass_restores_the_missing_side_only(spark):
                              source=(voxels(spark, hu, "hu float"), scans))
     got = {(r.z, r.y, r.x, r.label) for r in out.collect()}
     assert got == set(jaw) | set(left) | {(*p, 5) for p in right}
+
+
+# --- runs ------------------------------------------------------------------------------------------------------------------------
+
+LINES = ["reading: scan.mha", "resampled to LPS", "computing on: GPU", "tile 1/8", "tile 8/8", "surfaces prepared", "Mandible: 1 cm3", "Canal: 2 cm3",
+         "separating teeth", "tile 1/2", "upper arch: 3", "tile 2/2", "lower arch: 4", "canal looks broken", "noise", "done in 5 s", ""]
+
+
+def plain_progress(lines, n_classes=9):
+    """The gauge over (seq, line) in order."""
+    import re
+
+    from voxelspark.functions import progress as P
+    from voxelspark.streaming.progress import Gauge
+    gauge, out = Gauge((None, None, 0, 0, None), n_classes, P.MESH), []
+    for seq, line in sorted(lines):
+        s = line.strip()
+        tile, marks = re.match(P.TILE, s), {"reading:": "reading", "resampled to": "resampled", "computing on:": "computing", "surfaces prepared": "surfaces",
+                                            "separating teeth": "separating", "done in": "done", "canal looks broken": "canal"}
+        event = next((e for m, e in marks.items() if s.startswith(m)), None) or ("tile" if tile else "arch" if re.match(P.ARCH_LINE, s) else
+                                                                                 "mesh" if re.match(P.MESH_LINE, s) else None)
+        out.append(gauge.feed(seq, event, int(tile[1]) / max(1, int(tile[2])) if tile else None))
+    return out
+
+
+@pytest.mark.parametrize("rows", [1, 3, 16, 1000])
+def test_run_summaries_compose_over_blocks(spark, rows):
+    """Whatever the blocks are, random line orders give what one pass over the run gives."""
+    rnd = random.Random(rows)
+    runs_ = {r: [(i, rnd.choice(LINES)) for i in range(rnd.randint(1, 90))] for r in range(25)}
+    runs_[25] = [(i, LINES[i % len(LINES)]) for i in range(400)]
+    df = spark.createDataFrame([(r, i, t) for r, ts in runs_.items() for i, t in ts], "run_id long, seq long, line string")
+    got = {}
+    for r in runs.run_progress(df.repartition(4), bucket_rows=rows).collect():
+        got.setdefault(r.run_id, []).append((r.seq, r.phase, r.factor))
+    for r, lines in runs_.items():
+        for g, w in zip(sorted(got[r]), plain_progress(lines), strict=True):
+            assert g[:2] == w[:2] and g[2] == (w[2] if w[2] is None else pytest.approx(w[2]))
+
+
+def test_stream_state_ends_with_the_run(spark, tmp_path):
+    """Lines in disorder, over three starts of the query; a run that is done leaves nothing, one that is silent is given up."""
+    from voxelspark.streaming.progress import run_progress_stream
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+    whole = [(i, LINES[i]) for i in range(16)]
+    parts = [[(1, *x) for x in whole[:7]] + [(2, *x) for x in whole[:4]], [(1, *x) for x in reversed(whole[7:])] + [(3, 0, LINES[0])], [(4, 5, LINES[2]), (4, 3, LINES[0])]]
+    try:
+        for n, part in enumerate(parts):
+            spark.createDataFrame(part, "run_id long, seq long, line string").coalesce(2).write.mode("append").parquet(f"{tmp_path}/in")
+            lines = spark.readStream.schema("run_id long, seq long, line string").parquet(f"{tmp_path}/in")
+            stream = run_progress_stream(lines, idle_seconds=3600 if n < 2 else 0)
+            q = stream.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start(f"{tmp_path}/out")
+            q.awaitTermination()
+            left = spark.read.format("statestore").option("path", f"{tmp_path}/state").option("stateVarName", "gauge").load()
+            assert sorted(r["k"] for r in left.selectExpr("key.run_id AS k").collect()) == [[1, 2], [2, 3], [2, 3, 4]][n]
+    finally:
+        spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
+    got = {}
+    for r in spark.read.parquet(f"{tmp_path}/out").collect():
+        got.setdefault(r.run_id, []).append((r.seq, r.phase, r.factor))
+    assert sorted(got[1]) == plain_progress(whole) and sorted(got[2]) == plain_progress(whole[:4]) and sorted(got[4]) == plain_progress([(3, LINES[0]), (5, LINES[2])])
+
+
+def test_silent_runs_are_given_up():
+    from voxelspark.functions import progress as P
+    from voxelspark.streaming.progress import Progress
+
+    class Cell:
+        value = (None, 0.5, 0, 0, 3)
+        def clear(self):
+            self.value = None
+    p = Progress(9, P.MESH, 1)
+    p.gauge = Cell()
+    assert list(p.handleExpiredTimer((7,), None, None)) == [] and p.gauge.value is None

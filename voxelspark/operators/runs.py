@@ -3,10 +3,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from voxelspark.functions import progress as P
 from voxelspark.plans.attach import attach
-from voxelspark.plans.ordered import carry_last, next_value, number_rows, running_sum
+from voxelspark.plans.ordered import next_value, number_rows
 
 # Fixed values.
 SETTLE_SECONDS = 0.3
@@ -18,34 +19,67 @@ def run_progress(log: DataFrame, n_classes: int = P.N_CLASSES, teeth: bool = Tru
                  bucket_rows: int = 65536) -> DataFrame:
     """``factor`` (0..1) and ``phase`` after every line of every run (run_id, seq, line).
 
-    The state machine as a few ordered scans: current stage, lines counted
-    since it began, last factor. Long logs are cut into blocks of lines.
+    A block of lines is summed up as what it does to any run that comes to it: the stage it
+    ends in, lines counted since the last stage opened, and the last factor, which before
+    the block's first opening line depends on the stage it comes in with. Such summaries
+    compose, so one scan over a run's blocks (a row each) gives every block its start, and
+    lines are looked at within their block only: three shuffles, of lines once. Lines without
+    a run belong to none: their blocks are taken each by itself.
     """
     end = P.MESH if teeth else P.MESH_ALONE
-    block = F.floor(F.col("seq") / bucket_rows)
-    order, keys = ["seq"], ["run_id"]
-    rows = log.withColumn("event", P.event_of(F.col("line")))
-    rows = carry_last(rows, keys, block, order, {"phase": P.phase_of(F.col("event"))})
-    event, phase = F.col("event"), F.col("phase")
-    mesh = (phase == "mesh") & event.isin("mesh", "arch") & F.trim("line").rlike(P.MESH_LINE)
-    arch = (phase == "teeth") & (event == "arch")
-    rows = rows.withColumns({"is_mesh": F.coalesce(mesh, F.lit(False)), "is_arch": F.coalesce(arch, F.lit(False))})
-    rows = running_sum(rows, keys, block, order, {"meshes": F.col("is_mesh").cast("long"), "arches": F.col("is_arch").cast("long")})
-    rows = carry_last(rows, keys, block, order, {
-        "mesh0": F.when(event == "surfaces", F.col("meshes")), "arch0": F.when(event == "separating", F.col("arches"))})
-    done = F.col("meshes") - F.col("mesh0")
-    arches = F.col("arches") - F.col("arch0")
-    part = P.tile_share(F.col("line"))
-    factor = (F.when(event == "reading", F.lit(P.START)).when(event.isin("resampled", "computing"), F.lit(P.READ))
-              .when((event == "tile") & (phase == "net"), P.READ + (P.NET - P.READ) * part)
-              .when(event == "surfaces", F.lit(P.NET))
-              .when(F.col("is_mesh"), P.NET + (end - P.NET) * F.least(F.lit(1.0), done / max(1, n_classes)))
-              .when(event == "separating", F.lit(P.MESH))
-              .when(F.col("is_arch"), P.MESH + (P.TEETH - P.MESH) * arches / 2)
-              .when((event == "tile") & (phase == "teeth"), P.MESH + (P.TEETH - P.MESH) * (arches + part) / 2)
-              .when(event == "done", F.lit(1.0)))
-    rows = carry_last(rows, keys, block, order, {"factor": factor})
-    return rows.select("run_id", "seq", "phase", "factor")
+    event = P.event_of(F.col("line"))
+    is_mesh = event.isin("mesh", "arch") & F.trim("line").rlike(P.MESH_LINE)
+    rows = log.select("run_id", "seq", F.floor(F.col("seq") / bucket_rows).alias("block"), event.alias("event"), P.phase_of(event).alias("opens"),
+                      F.coalesce(is_mesh, F.lit(False)).alias("is_mesh"), F.when(event == "tile", P.tile_share(F.col("line"))).alias("part"))
+    rows = rows.repartition("run_id", "block")
+    lines = Window.partitionBy("run_id", "block").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    stage = Window.partitionBy("run_id", "block", "opened").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({"opened": F.count("opens").over(lines), "phase": F.last("opens", ignorenulls=True).over(lines)})
+    rows = rows.withColumns({"meshes": F.count_if("is_mesh").over(stage), "arches": F.count_if(F.coalesce(F.col("event") == "arch", F.lit(False))).over(stage)})
+
+    def factor(phase: Column, meshes: Column, arches: Column) -> Column:
+        """The factor a line sets, in a stage, with so many lines counted since the stage began."""
+        e, part = F.col("event"), F.col("part")
+        return (F.when(e == "reading", F.lit(P.START)).when(e.isin("resampled", "computing"), F.lit(P.READ))
+                .when((e == "tile") & (phase == "net"), P.READ + (P.NET - P.READ) * part)
+                .when(e == "surfaces", F.lit(P.NET))
+                .when(F.col("is_mesh") & (phase == "mesh"), P.NET + (end - P.NET) * F.least(F.lit(1.0), meshes / max(1, n_classes)))
+                .when(e == "separating", F.lit(P.MESH))
+                .when((e == "arch") & (phase == "teeth"), P.MESH + (P.TEETH - P.MESH) * arches / 2)
+                .when((e == "tile") & (phase == "teeth"), P.MESH + (P.TEETH - P.MESH) * (arches + part) / 2)
+                .when(e == "done", F.lit(1.0)))
+
+    def last(value: Column, where: Column) -> Column:
+        return F.max(F.when(where, F.struct("seq", value.alias("v"))))
+
+    before, e = F.col("opened") == 0, F.col("event")
+    own = factor(F.col("phase"), F.col("meshes"), F.col("arches"))
+    sums = rows.groupBy("run_id", "block").agg(
+        last(F.col("phase"), ~before)["v"].alias("phase"), last(F.col("meshes"), F.lit(True))["v"].alias("meshes"), last(F.col("arches"), F.lit(True))["v"].alias("arches"),
+        last(own, ~before & own.isNotNull())["v"].alias("factor"),
+        last(own, before & e.isin("resampled", "done")).alias("any"), last(P.READ + (P.NET - P.READ) * F.col("part"), before & (e == "tile")).alias("net"),
+        last(F.col("meshes").cast("double"), before & F.col("is_mesh")).alias("mesh"),
+        last(F.col("arches") + F.coalesce("part", F.lit(0.0)), before & e.isin("arch", "tile")).alias("teeth"))
+    run = Window.partitionBy("run_id").orderBy("block")
+    done = run.rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumns({"from": F.last("phase", ignorenulls=True).over(done), "since": F.count("phase").over(run)})
+    one = Window.partitionBy("run_id", "since").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)
+    sums = sums.withColumns({"all_meshes": F.sum("meshes").over(one), "all_arches": F.sum("arches").over(one)})
+    sums = sums.withColumns({f"from_{c}": F.coalesce(F.lag(f"all_{c}").over(run), F.lit(0)) for c in ("meshes", "arches")})
+    # what the lines before the first opening one come to in the stage they are met in
+    mesh = F.col("mesh.v") + F.col("from_meshes")
+    by_stage = (F.when(F.col("from") == "net", F.col("net")).when(F.col("from") == "mesh", F.when(F.col("mesh").isNotNull(), F.struct(
+        "mesh.seq", (P.NET + (end - P.NET) * F.least(F.lit(1.0), mesh / max(1, n_classes))).alias("v"))))
+        .when(F.col("from") == "teeth", F.when(F.col("teeth").isNotNull(), F.struct(
+            "teeth.seq", (P.MESH + (P.TEETH - P.MESH) * (F.col("from_arches") + F.col("teeth.v")) / 2).alias("v")))))
+    sums = sums.withColumn("factor", F.coalesce("factor", F.greatest("any", by_stage)["v"]))
+    sums = sums.select("run_id", "block", "from", "from_meshes", "from_arches", F.last("factor", ignorenulls=True).over(done).alias("from_factor"))
+    both = rows.join(sums, ["run_id", "block"], "left")
+    inside = F.when(before & F.col("run_id").isNotNull(), F.lit(1)).otherwise(0)
+    both = both.na.fill(0, ["from_meshes", "from_arches"])
+    both = both.withColumn("phase", F.coalesce("phase", "from"))
+    both = both.withColumn("own", factor(F.col("phase"), F.col("meshes") + inside * F.col("from_meshes"), F.col("arches") + inside * F.col("from_arches")))
+    return both.select("run_id", "seq", "phase", F.coalesce(F.last("own", ignorenulls=True).over(lines), F.col("from_factor")).alias("factor"))
 
 
 def first_error(log: DataFrame) -> DataFrame:
