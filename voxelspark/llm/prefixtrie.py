@@ -127,14 +127,18 @@ def _starts(batches):
 
 def _tails(batches):
     """The nodes that only one class has."""
+    rows = []
     for b in batches:
         for r in b.to_pylist():
             depth, s, n = len(r["path"]) // CODE, r["shared"], r["n_convs"]
-            after = _words_after(r["path"])
-            rows = [(r["path"][:s * CODE] if d == s + 1 else None, r["conv_id"], d, n, int(d < depth), 1, (n - 1) * int(after[d - 1]),
-                     r["ends_sha256"] if d == depth else _NO_END) for d in range(s + 1, depth + 1)]
-            if rows:
+            after = _words_after(r["path"]).tolist()
+            rows += [(r["path"][:s * CODE] if d == s + 1 else None, r["conv_id"], d, n, int(d < depth), 1, (n - 1) * after[d - 1],
+                      r["ends_sha256"] if d == depth else _NO_END) for d in range(s + 1, depth + 1)]
+            if len(rows) >= 4096:
                 yield _batch(rows, _NODES)
+                rows = []
+    if rows:
+        yield _batch(rows, _NODES)
 
 
 _STARTS = pa.schema([("path", pa.binary()), ("depth", pa.int32()), ("conv_id", pa.int64()), ("n_convs", pa.int64()), ("children", pa.int64()),

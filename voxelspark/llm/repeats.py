@@ -62,6 +62,19 @@ def _runs(doc, row, first, count):
     return doc[at], row[at], first[at], np.maximum.reduceat(end, at) - first[at]
 
 
+def _by_key(parts: dict, limit: int = 1 << 21):
+    """The parts of a slot, those of a key together, in pieces of about ``limit`` windows (one key at least)."""
+    raw, size = parts["symbols"]
+    at, order = np.cumsum(size) - size, np.argsort(parts["key"], kind="stable")
+    key, count = parts["key"][order], parts["count"][order].astype(np.int64)
+    new = np.r_[True, key[1:] != key[:-1]][:len(key)]
+    before = np.maximum.accumulate(np.where(new, np.cumsum(count) - count, 0))
+    for rows in np.split(order, np.flatnonzero(np.diff(before // limit)) + 1):
+        own = {k: v[rows] for k, v in parts.items() if k != "symbols"}
+        own["symbols"] = raw[np.repeat(at[rows], size[rows]) + text.spread(size[rows])], size[rows]
+        yield own
+
+
 def remove_repeats(docs: DataFrame, symbols: Callable, settle: Callable, finish: Callable, result: str,
                    length: int, gram: int, same_document: bool) -> DataFrame:
     """``symbols(buf, bounds)``: values to hash and where each text starts in them.
@@ -132,7 +145,8 @@ def remove_repeats(docs: DataFrame, symbols: Callable, settle: Callable, finish:
         return pa.Table.from_batches(out)
 
     def match(table: pa.Table) -> pa.Table:
-        d, r, f, c = _runs(*settle(PARTS.unpack(table)))
+        found = [settle(p) for p in _by_key(PARTS.unpack(table))]
+        d, r, f, c = _runs(*(np.concatenate(x) for x in zip(*found, strict=True)))
         cols = {"key": np.zeros(len(d), np.uint64), "doc": d, "row": r, "first": f, "count": c, "kind": np.full(len(d), COVERED)}
         return pa.Table.from_batches([FOUND.pack(exchange.id_slot(d, n), cols)])
 

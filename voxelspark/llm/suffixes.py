@@ -73,9 +73,8 @@ def _settle(length: int):
         order = np.argsort(h, kind="stable")
         eq = h[order][1:] == h[order][:-1]
         some = order[np.r_[False, eq] | np.r_[eq, False]] if len(h) else order
-        row = parts["row"][seg]
         if not len(some):
-            return doc[:0], row[:0], first[:0], first[:0]
+            return doc[:0], doc[:0], first[:0], first[:0]
         every = some[np.lexsort((first[some], doc[some], h[some]))]
         again = (h[every][1:] == h[every][:-1]) & (doc[every][1:] == doc[every][:-1]) & (first[every][1:] == first[every][:-1])
         head = np.r_[True, ~again]                       # the same place in rows that share an id is one
@@ -88,7 +87,7 @@ def _settle(length: int):
             factor, _ = previous_factors(place[part][ranked], lcp)
             dup[part[ranked]] = factor >= length
         hit = every[dup[one]]
-        return doc[hit], row[hit], first[hit].astype(np.int64), np.ones(len(hit), np.int64)
+        return doc[hit], parts["row"][seg[hit]], first[hit].astype(np.int64), np.ones(len(hit), np.int64)
     return settle
 
 
