@@ -46,6 +46,17 @@ def _(fx):
     return out.select("scan_id", "level", F.round("value", 6).alias("value"))
 
 
+FINE = """half AS (SELECT scan_id, z, y, x, v FROM (SELECT scan_id, z, y, x, hu::DOUBLE + (z*z*z*31 + y*y*17 + x*7 + z*y*x) % 4093 / 4096.0::DOUBLE AS v FROM voxels))"""
+
+
+@check("a01_percentiles_of_a_float_grid", f"""WITH {FINE} SELECT scan_id, unnest(range(18)) AS level,
+ unnest(list_transform(quantile_cont(v, {QS}), lambda v: round(v, 9))) AS value FROM half GROUP BY scan_id""")
+def _(fx):
+    fine = F.col("hu").cast("double") + F.expr("(z*z*z*31 + y*y*17 + x*7 + z*y*x) % 4093 / 4096D")
+    out = quantiles.intensity_percentiles(fx.voxels.withColumn("hu", fine), QS)
+    return out.select("scan_id", "level", F.round("value", 9).alias("value"))
+
+
 CURVE_Q = [i / 32 for i in range(33)]
 CURVE_HU = [-1000.0 + 60.0 * i + 1.5 * i * i for i in range(33)]
 

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from voxelspark.operators.quantiles import value_counts, weighted_quantiles
+from voxelspark.operators.quantiles import bin_of, extents, quantiles
 from voxelspark.plans.attach import attach
 from voxelspark.session import cut_lineage
 
@@ -19,25 +19,23 @@ TOP_FRACTION = 0.995
 
 def inside_fov(voxels: DataFrame) -> DataFrame:
     """Voxels above the padding value (minimum + 1); every voxel of a scan where none is."""
-    counts = cut_lineage(value_counts(voxels, ["scan_id"], "hu"))
-    low = counts.groupBy("scan_id").agg(F.min("value").alias("low"), F.max("value").alias("top"))
+    low = extents(voxels, ["scan_id"], "hu").withColumnRenamed("high", "top")
     floor = F.when(F.col("top") > F.col("low") + 1, F.col("low") + 1).otherwise(F.lit(float("-inf")))
     facts = cut_lineage(low.select("scan_id", floor.alias("floor")))
     return attach(voxels, facts).filter(F.col("hu") > F.col("floor")).select(voxels.columns)
 
 
-def histogram(counts: DataFrame, bins: int = BINS) -> DataFrame:
-    """Equal-width histogram per scan from value counts, at most ``bins`` rows each.
+def histogram(voxels: DataFrame, ends: DataFrame, bins: int = BINS) -> DataFrame:
+    """Equal-width histogram per scan, at most ``bins`` rows each, combined in every task.
 
     The top edge is pushed out by 1/100 of a bin so that the maximum falls inside.
     """
-    ends = counts.groupBy("scan_id").agg(F.min("value").alias("first"), F.max("value").alias("top"))
-    span = F.col("top") - F.col("first")
-    ends = ends.withColumn("bin_width", (span + span / bins / MARGIN_SCALE) / bins)
-    at = F.least(F.floor((F.col("value") - F.col("first")) / F.col("bin_width")), F.lit(bins - 1))
-    at = F.when(F.col("bin_width") > 0, at).otherwise(0).cast("int")
-    return (counts.join(ends, "scan_id").groupBy("scan_id", "first", "bin_width", at.alias("bin"))
-            .agg(F.sum("n").alias("n")))
+    span = F.col("high") - F.col("low")
+    facts = ends.select("scan_id", "low", ((span + span / bins / MARGIN_SCALE) / bins).alias("bin_width"))
+    v = F.col("hu").cast("double")
+    rows = attach(voxels.select("scan_id", v.alias("hu")).filter(v.isNotNull() & ~F.isnan(v)), facts, row_bytes=64, salt_by=("hu",))
+    at = bin_of(F.col("hu"), F.col("low"), F.col("bin_width"), bins)
+    return rows.groupBy("scan_id", F.col("low").alias("first"), "bin_width", at.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def best_split(counts: np.ndarray) -> tuple[int, int]:
@@ -68,12 +66,12 @@ def _cut_bins(hist: pd.Series) -> pd.Series:
 def otsu_thresholds(voxels: DataFrame, bins: int = BINS) -> DataFrame:
     """Per scan ``low``, ``auto`` (upper bin edges of the two cuts) and ``high``.
 
-    ``high`` is the 99.5th percentile, at least ``auto + 1``. Voxels are read
-    once, into value counts; the rest works on those.
+    ``high`` is the 99.5th percentile, at least ``auto + 1``. Voxels are read four
+    times, into sums of some rows a scan; none is shuffled but those near ``high``.
     """
     cut_bins = F.pandas_udf(_cut_bins, T.ArrayType(T.IntegerType()))
-    counts = cut_lineage(value_counts(voxels, ["scan_id"], "hu"))
-    hist = histogram(counts, bins)
+    ends = cut_lineage(extents(voxels, ["scan_id"], "hu"))
+    hist = histogram(voxels, ends, bins)
     filled = hist.groupBy("scan_id", "first", "bin_width").agg(
         F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("m"))
     arrays = filled.select("scan_id", "first", "bin_width", F.transform(
@@ -81,6 +79,6 @@ def otsu_thresholds(voxels: DataFrame, bins: int = BINS) -> DataFrame:
     cuts = arrays.select("scan_id", "first", "bin_width", cut_bins("h").alias("c"))
     edge = [F.col("first") + F.col("bin_width") * (F.col("c")[i] + 1) for i in (0, 1)]
     cuts = cuts.select("scan_id", edge[0].alias("low"), edge[1].alias("auto"))
-    top = weighted_quantiles(counts, ["scan_id"], [TOP_FRACTION])
+    top = quantiles(voxels, ["scan_id"], "hu", [TOP_FRACTION], ends=ends)
     return cuts.join(top, "scan_id").select(
         "scan_id", "low", "auto", F.greatest(F.col("value"), F.col("auto") + 1.0).alias("high"))

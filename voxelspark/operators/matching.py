@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from voxelspark.operators.crop import within
 from voxelspark.operators.measure import bounding_box
-from voxelspark.operators.quantiles import quantiles, value_counts, weighted_quantiles
+from voxelspark.operators.quantiles import quantiles
 from voxelspark.plans.attach import attach
 from voxelspark.session import cut_lineage
 
@@ -26,9 +26,8 @@ def match_quantiles(voxels: DataFrame, fractions: Sequence[float], reference: Se
     leave the quantile step: they join the voxels as two arrays a scan, and the
     piece is found by halving, so voxels are not shuffled.
     """
-    counts = cut_lineage(value_counts(voxels, ["scan_id"], "hu"))
     target = F.array(*[F.lit(float(v)) for v in reference])
-    knots = weighted_quantiles(counts, ["scan_id"], fractions)
+    knots = quantiles(voxels, ["scan_id"], "hu", fractions)
     knots = knots.groupBy("scan_id", F.col("value").alias("x")).agg(F.min("level").alias("level"))
     pairs = F.array_sort(F.collect_list(F.struct("x", F.element_at(target, F.col("level") + 1).alias("y"))))
     curves = cut_lineage(knots.groupBy("scan_id").agg(pairs.alias("k")).select(

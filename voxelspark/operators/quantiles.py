@@ -1,51 +1,82 @@
-"""Exact quantiles that never gather a group in one task.
+"""Exact quantiles in two passes of selection: a histogram, then ranks inside the bins that hold a wanted one.
 
-Values are first counted (map-side combined), then ranked in range buckets; the
-rank of every distinct value follows from bucket totals.
+No value is written or shuffled for itself but those of the wanted bins, counted. The
+histogram is combined in every task; a bin that holds most of all values is ranked in
+range buckets like any other, so no group is gathered in one task.
 """
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from voxelspark.plans.attach import attach
 from voxelspark.plans.ordered import running_sum
+from voxelspark.session import cut_lineage
 
+BINS = 4096                     # a multiple of 64
 
-def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """``keys, value, n``: how often every distinct value occurs."""
-    return (df.filter(F.col(value).isNotNull())
-            .groupBy(*keys, F.col(value).cast("double").alias("value"))
-            .agg(F.count(F.lit(1)).alias("n")))
 
+def extents(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """``keys, low, high, rows`` of the values that are numbers, one row a key."""
+    v = F.col(value).cast("double")
+    return df.filter(v.isNotNull() & ~F.isnan(v)).groupBy(*keys).agg(F.min(v).alias("low"), F.max(v).alias("high"), F.count(F.lit(1)).alias("rows"))
 
-def weighted_quantiles(counts: DataFrame, keys: Sequence[str], fractions: Sequence[float]) -> DataFrame:
-    """Linearly interpolated quantiles of a ``value_counts`` table.
 
-    Returns ``keys, level, fraction, value``; ``level`` is the position in
-    ``fractions``.
+def bin_of(v: Column, low: Column, width: Column, bins: int) -> Column:
+    """Number of the equal-width bin; all in the first where values do not differ."""
+    at = F.least(F.floor((v - low) / width), F.lit(bins - 1))
+    return F.when(width > 0, F.greatest(at, F.lit(0))).otherwise(0).cast("int")
+
+
+def quantiles(df: DataFrame, keys: Sequence[str], value: str, fractions: Sequence[float], bins: int = BINS,
+              ends: DataFrame | None = None) -> DataFrame:
+    """Exact, linearly interpolated quantiles of ``value`` per ``keys``: ``keys, level, fraction, value``.
+
+    ``level`` is the position in ``fractions``. Nulls and NaN are left out. ``ends`` are the ``extents``,
+    if known. ``df`` is read twice, or three times without them: write it first if it is dear.
     """
     keys = list(keys)
-    ranked = running_sum(counts, keys, None, ["value"], {"cum": F.col("n")}, totals=True).withColumnRenamed("cum_total", "total")
-    wanted = F.array(*[F.struct(F.lit(i).alias("level"), F.lit(float(q)).alias("fraction"))
-                       for i, q in enumerate(fractions)])
-    at = lambda w: w["fraction"] * (F.col("total") - 1)                       # noqa: E731
-    first, last = F.col("cum") - F.col("n"), F.col("cum") - 1
-    hit = ranked.withColumn("want", F.explode(F.filter(
-        wanted, lambda w: (F.ceil(at(w)) >= first) & (F.floor(at(w)) <= last))))
-    p = F.col("want.fraction") * (F.col("total") - 1)
-    low = F.when(F.floor(p).between(first, last), F.col("value"))
-    high = F.when(F.ceil(p).between(first, last), F.col("value"))
-    ends = hit.groupBy(*keys, "want").agg(F.max(low).alias("lo"), F.max(high).alias("hi"),
-                                          F.max(p - F.floor(p)).alias("part"))
-    return ends.select(*keys, "want.level", "want.fraction",
-                       (F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("part")).alias("value"))
-
-
-def quantiles(df: DataFrame, keys: Sequence[str], value: str, fractions: Sequence[float]) -> DataFrame:
-    """Exact quantiles of ``value`` per ``keys``; the counts are written once and read twice."""
-    return weighted_quantiles(value_counts(df, keys, value), keys, fractions)
+    ends = cut_lineage(extents(df, keys, value)) if ends is None else ends
+    v = F.col("_v")
+    rows = df.select(*keys, F.col(value).cast("double").alias("_v")).filter(v.isNotNull() & ~F.isnan(v))
+    at = bin_of(v, F.col("low"), (F.col("high") - F.col("low")) / bins, bins)
+
+    # first pass: the histogram, at most ``bins`` rows a key, and the bins that hold a wanted rank
+    hist = attach(rows, ends, on=keys, row_bytes=64, salt_by=("_v",)).groupBy(*keys, "rows", at.alias("_bin")).agg(F.count(F.lit(1)).alias("_n"))
+    upto = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    hist = hist.withColumn("_before", F.coalesce(F.sum("_n").over(upto), F.lit(0)))
+    wanted = F.array(*[F.struct(F.lit(i).alias("level"), F.lit(float(q)).alias("fraction")) for i, q in enumerate(fractions)])
+
+    def place(w: Column) -> Column:
+        return w["fraction"] * (F.col("rows") - 1)
+
+    def held(first: Column, last: Column) -> Column:
+        return F.filter(wanted, lambda w: (F.ceil(place(w)) >= first) & (F.floor(place(w)) <= last))
+
+    chosen = cut_lineage(hist.filter(F.size(held(F.col("_before"), F.col("_before") + F.col("_n") - 1)) > 0))
+
+    # second pass: only values of those bins (a bit each), counted and ranked
+    one = F.lit(1).cast("long")
+    bits = chosen.groupBy(*keys, F.floor(F.col("_bin") / 64).cast("int").alias("w")).agg(
+        F.bit_or(F.call_function("shiftleft", one, F.col("_bin") % 64)).alias("b"))
+    words = bits.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("w", "b"))).alias("m"))
+    mask = F.transform(F.sequence(F.lit(0), F.lit(-(-bins // 64) - 1)), lambda w: F.coalesce(F.col("m")[w], F.lit(0).cast("long")))
+    facts = cut_lineage(ends.join(words, keys).select(*keys, "low", "high", mask.alias("_mask")))
+    rows = attach(rows, facts, on=keys, row_bytes=bins // 8 + 128, salt_by=("_v",)).withColumn("_bin", at)
+    bit = F.call_function("shiftright", F.get("_mask", F.floor(F.col("_bin") / 64).cast("int")), F.col("_bin") % 64).bitwiseAND(one)
+    counts = rows.filter(bit == 1).groupBy(*keys, "_bin", "_v").agg(F.count(F.lit(1)).alias("n"))
+    ranked = running_sum(counts, [*keys, "_bin"], None, ["_v"], {"cum": F.col("n")})
+    ranked = ranked.join(chosen.select(*keys, "_bin", "_before", "rows"), [*keys, "_bin"])
+    first, last = F.col("_before") + F.col("cum") - F.col("n"), F.col("_before") + F.col("cum") - 1
+    hit = ranked.withColumns({"_first": first, "_last": last}).withColumn("want", F.explode(held(F.col("_first"), F.col("_last"))))
+    p = place(F.col("want"))
+    low = F.when(F.floor(p).between(F.col("_first"), F.col("_last")), F.col("_v"))
+    high = F.when(F.ceil(p).between(F.col("_first"), F.col("_last")), F.col("_v"))
+    found = hit.groupBy(*keys, "want").agg(F.max(low).alias("lo"), F.max(high).alias("hi"), F.max(p - F.floor(p)).alias("part"))
+    return found.select(*keys, "want.level", "want.fraction", (F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("part")).alias("value"))
 
 
 def intensity_percentiles(voxels: DataFrame, fractions: Sequence[float]) -> DataFrame:
