@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from voxelspark.llm.text import U64
 from voxelspark.session import cut_lineage, shared_folder
 
-__all__ = ["NO_ID", "PACKED", "Records", "cut_lineage", "documents", "id_slot", "restore_id", "shared_folder", "slots", "unique_ids"]
+__all__ = ["NO_ID", "PACKED", "Records", "cut_lineage", "documents", "id_slot", "restore_id", "shared_folder", "slots", "slots_for", "unique_ids"]
 
 NO_ID = -(1 << 63)              # stands for a null id: smaller than every other
 PACKED = "slot int, n int, data binary"
@@ -28,6 +28,13 @@ def slots(spark: SparkSession, per_partition: int = 1) -> int:
     return per_partition * int(spark.conf.get("spark.sql.shuffle.partitions")) + 1
 
 
+def slots_for(docs: DataFrame, text_col: str = "text", slot_bytes: int = 8 << 20) -> int:
+    """Slots of about ``slot_bytes`` of text (summed first), and no fewer than shuffle partitions: what a task
+    holds of one slot does not grow with the input."""
+    total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    return max(slots(docs.sparkSession), total // slot_bytes + 1)
+
+
 def id_slot(ids, n: int):
     """Slot of a document id: the same in Spark (a column) and numpy (an array)."""
     if isinstance(ids, np.ndarray):

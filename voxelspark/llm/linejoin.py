@@ -99,7 +99,7 @@ def similar_lines(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_
     keeps its place and the others come after all other documents (``exchange.unique_ids``), so each row loses
     only its own lines. Lines and texts of any length are read whole. An empty table gives no rows; other columns
     are ignored."""
-    n = exchange.slots(docs.sparkSession)
+    n = exchange.slots_for(docs, text_col)
     docs = exchange.unique_ids(docs.select(F.col(id_col).alias("own"), F.col(text_col).alias("text")), "own", "text", "doc_id")
     docs = docs.withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit("")))
     long = -(-percent * (SHORT + 1) // 100)              # what a line of more than SHORT words can be similar to

@@ -80,7 +80,7 @@ def remove_repeats(docs: DataFrame, symbols: Callable, settle: Callable, finish:
     """``symbols(buf, bounds)``: values to hash and where each text starts in them.
     ``settle(parts)``: runs of covered windows among open segments (document, row, first, count).
     ``finish(table, covered)``: the result for rows and their runs, looked up by id and ``row``."""
-    n = exchange.slots(docs.sparkSession)
+    n = exchange.slots_for(docs)
     docs = exchange.documents(docs, n_slots=n).withColumn("row", F.xxhash64("text"))
 
     def cut(batches):
