@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from suites.fixtures import Fixtures
 from suites.tilings import linear_scorer
 from voxelspark import cut_lineage, tune
-from voxelspark.operators import blocks, canal, components, histogram, matching, measure, quantiles, resample, stencil
+from voxelspark.operators import blocks, canal, components, halo, histogram, matching, measure, quantiles, resample, stencil
 from voxelspark.operators import surface
 from voxelspark.plans import flows
 
@@ -58,6 +58,7 @@ def main():
         "to_blocks": (n_vox, lambda: blocks.to_blocks(voxels, scans, 16)),
         "blend_tiles": (n_vox, blended),
         "score_tiles": (n_vox, lambda: blocks.score_blocks(cubes, scans, linear_scorer, (16, 16, 16), 10, block=16)),
+        "gaussian_smooth": (n_vox, lambda: halo.gaussian_blocks(cubes, scans, block=16)),
         "argmax_label": (n_vox, lambda: blocks.argmax_blocks(logit_cubes, 10)),
         "dice": (3 * n_lab, lambda: measure.dice(truth, ours, other)),
         "connected_components": (n_lab, lambda: components.connected_components(labels).sizes()),

@@ -2,7 +2,8 @@
 from pyspark.sql import functions as F
 
 from suites import check, digest, digest_sql
-from voxelspark.operators import crop, resample, stencil, surface
+from suites.fixtures import EDGE
+from voxelspark.operators import blocks, crop, halo, resample, stencil, surface
 from voxelspark.operators.tiles import KEYS
 
 
@@ -51,7 +52,7 @@ def _smooth_sql(out, src, axis):
  """ + ",\n".join([_smooth_sql("sx1", "src", "x"), _smooth_sql("sx2", "sx1", "y"), _smooth_sql("sx3", "sx2", "z")])
        + "\nSELECT scan_id, count(*) AS n, round(sum(v), 3) AS total, round(sum(v*(z*10007 + y*101 + x))/1000, 2) AS weighted FROM sx3 GROUP BY scan_id")
 def _(fx):
-    out = resample.gaussian_smooth(fx.voxels, fx.scans)
+    out = blocks.voxels_of(halo.gaussian_blocks(fx.blocks, fx.scans, block=EDGE), "hu")
     return out.groupBy("scan_id").agg(
         F.count(F.lit(1)).alias("n"), F.round(F.sum("hu"), 3).alias("total"),
         F.round(F.sum(F.col("hu") * (F.col("z") * 10007 + F.col("y") * 101 + F.col("x"))) / 1000, 2).alias("weighted"))

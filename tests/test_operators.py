@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from voxelspark.functions import geometry as G
 from voxelspark.functions import tiling
-from voxelspark.operators import blocks, canal, components as C, crop, guard, histogram, instances, measure, runs, stencil, surface
+from voxelspark.operators import blocks, canal, components as C, crop, guard, halo, histogram, instances, measure, runs, stencil, surface
 from voxelspark.plans import attach as A
 from voxelspark.plans import flows, ordered
 from voxelspark.session import tune
@@ -214,6 +214,26 @@ def test_scans_with_their_own_tiles_in_one_job(spark, overlap):
     assert all(r.label == got[r.scan_id][:, r.z, r.y, r.x].argmax() for r in labels) and len(labels) == len(rows)
 
 
+@pytest.mark.parametrize("block", [2, 5, 64])
+def test_smoothing_does_not_depend_on_blocks(spark, block):
+    """Reach beyond a block and beyond the frame, another spacing on each axis, against a plain padded filter."""
+    rng = np.random.default_rng(3)
+    box, spacing, sigma = rng.integers(-1000, 1000, (9, 7, 4)).astype(np.float32), (0.3, 0.5, 1.0), 0.6
+    rows = [(*p, v) for p, v in zip([tuple(map(int, i)) for i in np.ndindex(box.shape)], box.ravel().tolist())]
+    frame = heads(spark, (4, 7, 9), spacing)
+    out = halo.gaussian_blocks(blocks.to_blocks(voxels(spark, rows, "hu float"), frame, block), frame, sigma, block)
+    got = np.full(box.shape, np.nan)
+    for r in blocks.voxels_of(out, "hu").collect():
+        got[r.z, r.y, r.x] = r.hu
+    want = box.astype(float)
+    for axis, s in enumerate(spacing[::-1]):
+        k = math.ceil(3 * sigma / s)
+        w = np.exp(-(np.arange(-k, k + 1) * s) ** 2 / (2 * sigma ** 2))
+        pad = np.pad(want, [(k, k) if a == axis else (0, 0) for a in range(3)], mode="edge")
+        want = np.apply_along_axis(lambda v: np.convolve(v, w / w.sum(), "valid"), axis, pad)
+    assert np.allclose(got, want, rtol=1e-9)
+
+
 def test_no_row_per_voxel_is_shuffled(spark):
     cells = [(z, y, x, 1.0) for z, y, x in itertools.product(range(12), repeat=3)]
     out = flows.score_volumes(voxels(spark, cells, "hu float"), heads(spark, (12, 12, 12)), lambda b: np.stack([b, b]), (6, 6, 6), 2, block=6)

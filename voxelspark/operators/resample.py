@@ -1,11 +1,11 @@
-"""Resampling and smoothing along grid lines.
+"""Resampling along grid lines.
 
 Each axis is handled within lines of voxels. The x and y passes share one
 shuffle (a z plane is the unit), the z pass needs a second one.
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -95,39 +95,3 @@ def resample_nearest(labels: DataFrame, grid: DataFrame, reference: DataFrame, l
         at = m[3 * i] * t[0] + m[3 * i + 1] * t[1] + m[3 * i + 2] * t[2] + c[i]
         rows = rows.filter(F.floor(at + (0.5 + EDGE)) == F.col(a))
     return rows.select("scan_id", *[F.col(f"_t{a}").alias(a) for a in "zyx"], label)
-
-
-def _smooth_along(rows: DataFrame, scans: DataFrame, axis: str, sigma_mm: float) -> DataFrame:
-    others = [a for a in "zyx" if a != axis]
-    i = AXES.index(axis)
-    s = F.col("spacing")[i]
-    radius = F.ceil(F.lit(3.0 * sigma_mm) / s).cast("int")
-    weight = lambda j: F.exp(-(j * s) * (j * s) / (2.0 * sigma_mm * sigma_mm))       # noqa: E731
-    facts = scans.select("scan_id", radius.alias("_r"), F.transform(
-        F.sequence(F.lit(0), radius), weight).alias("_w"))
-    add = lambda acc, v: acc + v                                                    # noqa: E731
-    facts = facts.withColumn("_sum", F.aggregate("_w", F.lit(0.0), add) * 2 - F.col("_w")[0])
-    lines = rows.groupBy("scan_id", *others).agg(
-        F.array_sort(F.collect_list(F.struct(axis, "v"))).alias("_line"))
-    lines = attach(lines, facts, sized_by=scans, salt_by=others, row_bytes=1024)
-    line, w, r = F.col("_line"), F.col("_w"), F.col("_r")
-    last = F.size(line) - 1
-
-    def at(k: Column) -> Column:
-        return F.aggregate(F.sequence(-r, r), F.lit(0.0), lambda acc, j: acc + F.get(w, F.abs(j))
-                           * F.get(line, F.greatest(F.lit(0), F.least(last, k + j)))["v"])
-    out = F.transform(F.sequence(F.lit(0), last), at)
-    out = lines.select("scan_id", *others, "_sum", F.posexplode(out).alias(axis, "v"))
-    return out.select("scan_id", "z", "y", "x", (F.col("v") / F.col("_sum")).alias("v"))
-
-
-def gaussian_smooth(voxels: DataFrame, scans: DataFrame, sigma_mm: float = PREVIEW_SIGMA_MM) -> DataFrame:
-    """Separable Gaussian of dense volumes, truncated at three sigma, edges repeated.
-
-    An approximation of a recursive filter: same sigma in millimetres, finite support.
-    """
-    rows = voxels.select("scan_id", "z", "y", "x", F.col("hu").cast("double").alias("v"))
-    rows = rows.repartition("scan_id", "z")
-    for axis in "xyz":
-        rows = _smooth_along(rows, scans, axis, sigma_mm)
-    return rows.withColumnRenamed("v", "hu")

@@ -12,7 +12,7 @@ from voxelspark.functions import intensity as I
 from voxelspark.functions import naming
 from voxelspark.operators import canal as K
 from voxelspark.operators import components as C
-from voxelspark.operators import blocks, crop, histogram, instances, matching, measure, resample
+from voxelspark.operators import blocks, crop, halo, histogram, instances, matching, measure, resample
 from voxelspark.plans.attach import attach
 from voxelspark.session import cut_lineage
 
@@ -71,9 +71,9 @@ def class_report(labels: DataFrame, scans: DataFrame, block: int = C.BLOCK) -> D
 
 
 def preview_grid(voxels: DataFrame, scans: DataFrame, spacing: float = resample.PREVIEW_SPACING_MM,
-                 sigma_mm: float = resample.PREVIEW_SIGMA_MM) -> tuple[DataFrame, DataFrame]:
+                 sigma_mm: float = resample.PREVIEW_SIGMA_MM, block: int = blocks.BLOCK) -> tuple[DataFrame, DataFrame]:
     """The smoothed coarse grid and its thresholds, ready for ``sources.preview``."""
-    smooth = resample.gaussian_smooth(voxels, scans, sigma_mm)
+    smooth = blocks.voxels_of(halo.gaussian_blocks(blocks.to_blocks(voxels, scans, block), scans, sigma_mm, block), "hu")
     coarse = cut_lineage(resample.resample_linear(smooth, scans, spacing))
     return coarse, histogram.otsu_thresholds(histogram.inside_fov(coarse))
 
