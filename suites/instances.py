@@ -7,6 +7,7 @@ from suites.tilings import linear_scorer
 from voxelspark.operators import canal, crop, instances, measure, tiles
 from voxelspark.operators.tiles import KEYS
 from voxelspark.plans import flows
+from voxelspark.sources import config
 
 UP = (1, 16)
 
@@ -231,3 +232,37 @@ def _(fx):
 def _(fx):
     _, labels, grid = flows.segment(fx.voxels, fx.scans, linear_scorer, (16, 16, 16), 10)
     return flows.class_report(labels, grid)
+
+
+def band_scorer(box):
+    """Ten bands of normalised intensity, without ties."""
+    import numpy as np
+    return np.stack([0.06 * c - np.abs(box + 2.0 - c / 2) for c in range(10)]).astype(np.float32)
+
+
+_CONFIGS = ("case when k % 11 = 3 then null when k % 2 = 0 then '{\"tile\": [12, 8, 16], \"tile_divisor\": [2, 2, 4], \"overlap\": 0.5, \"normalization\": "
+            "{\"clip\": [-1000, 3492], \"mean\": 500, \"std\": 512}}' else '{\"tile\": [4, 12, 9], \"tile_divisor\": [1, 3, 3], \"overlap\": 0.25, "
+            "\"normalization\": {\"clip\": [-500, 1000], \"mean\": 100, \"std\": 256}}' end")
+_DEEP = "case k % 3 when 0 then 16 when 1 then 10 else 3 end"
+
+
+@check("flow_label_configured", f"""WITH s AS (SELECT s_suppkey AS scan_id, s_suppkey AS k, {_DEEP} AS nz, s_suppkey % 2 = 0 AS even FROM supplier WHERE s_suppkey % 11 <> 3),
+ v AS (SELECT v.scan_id, z, y, x, case when even then (least(greatest(hu, -1000), 3492) - 500)/512.0::DOUBLE else (least(greatest(hu, -500), 1000) - 100)/256.0::DOUBLE end AS v
+  FROM voxels v JOIN s USING (scan_id) WHERE z < nz),
+ b AS (SELECT scan_id, z, y, x, list_transform(range(10), lambda c: 0.06::DOUBLE*c - abs(v + 2 - c/2.0::DOUBLE)) AS l FROM v),
+ r AS (SELECT scan_id, z, y, x, list_position(l, list_max(l)) - 1 AS label FROM b),
+ d AS ({digest_sql("r WHERE label > 0", "label")}),
+ t AS (SELECT scan_id, case when even then greatest(4, least(12, greatest(nz, 4)) // 2 * 2) else greatest(2, least(4, greatest(nz, 2))) end AS tz,
+  case when even then 8 else 12 end AS ty, case when even then 16 else 9 end AS tx FROM s)
+ SELECT d.*, tz::INT AS tz, ty::INT AS ty, tx::INT AS tx FROM d JOIN t USING (scan_id)""")
+def _(fx):
+    k = F.col("scan_id")
+    scans = fx.scans.withColumn("nz", F.expr(_DEEP.replace("k %", "scan_id %")))
+    voxels = fx.voxels.join(scans.select("scan_id", "nz"), "scan_id").filter("z < nz").drop("nz")
+    text = F.expr(_CONFIGS.replace("k %", "scan_id %"))
+    cand = scans.select(k.alias("run_id"), F.explode(F.sequence(F.lit(1), F.lit(3))).alias("priority"), text.alias("config"))
+    cand = cand.select("run_id", "priority", F.format_string("cfg%d.json", "priority").alias("path"), "config",
+                       (F.col("config").isNotNull() & (F.col("priority") > F.col("run_id") % 2)).alias("present"))
+    chosen = config.load_config(cand).withColumnRenamed("run_id", "scan_id")
+    labels, fitted = flows.label_configured(voxels, scans, chosen, band_scorer, 10, block=5)
+    return digest(labels, F.col("label").cast("long")).join(fitted.select("scan_id", "tz", "ty", "tx"), "scan_id")

@@ -15,12 +15,16 @@ SIGMA_SCALE = 0.125
 WEIGHT_FLOOR = 1e-3
 
 
-def fit_tile(scans: DataFrame, tile: Sequence[int] = TILE, divisor: Sequence[int] = DIVISOR) -> DataFrame:
-    """Adds tz, ty, tx: no larger than the volume, a multiple of the divisor, at least two of them."""
+def fit_tile(scans: DataFrame, tile: Sequence[int] | Column = TILE, divisor: Sequence[int] | Column = DIVISOR) -> DataFrame:
+    """Adds tz, ty, tx: no larger than the volume, a multiple of the divisor, at least two of them.
+
+    ``tile`` and ``divisor`` may be array columns: each scan's own."""
+    own = lambda v, i: v[i] if isinstance(v, Column) else F.lit(int(v[i]))          # noqa: E731
     out = {}
-    for a, t, d in zip("zyx", tile, divisor):
-        v = F.least(F.lit(t), F.greatest(F.col(f"n{a}"), F.lit(2 * d)))
-        out[f"t{a}"] = F.greatest(F.lit(2 * d), (F.floor(v / d) * d).cast("int"))
+    for i, a in enumerate("zyx"):
+        t, d = own(tile, i), own(divisor, i)
+        v = F.least(t, F.greatest(F.col(f"n{a}"), 2 * d))
+        out[f"t{a}"] = F.greatest(2 * d, (F.floor(v / d) * d).cast("int"))
     return scans.withColumns(out)
 
 

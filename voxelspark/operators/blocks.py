@@ -127,13 +127,15 @@ def _starts(n: int, tile: int, overlap: float) -> list[int]:
     return [*range(0, last, step), last]
 
 
-def with_tile(scans: DataFrame, tile: Sequence[int] | None = None) -> DataFrame:
-    """``scan_id, frame, tile``: each scan's own tile where ``tile`` is not given (columns of ``fit_tile``)."""
+def with_tile(scans: DataFrame, tile: Sequence[int] | None = None, overlap: float | None = OVERLAP) -> DataFrame:
+    """``scan_id, frame, tile, overlap``: each scan's own where not given (columns of ``fit_tile``; ``overlap``)."""
     own = F.array("tz", "ty", "tx") if tile is None else F.array(*[F.lit(int(t)) for t in tile])
-    return scans.select("scan_id", F.array("nz", "ny", "nx").cast("array<int>").alias("frame"), own.cast("array<int>").alias("tile"))
+    part = F.col("overlap") if overlap is None else F.lit(float(overlap))
+    return scans.select("scan_id", F.array("nz", "ny", "nx").cast("array<int>").alias("frame"), own.cast("array<int>").alias("tile"),
+                        part.cast("double").alias("overlap"))
 
 
-def tile_pieces(blocks: DataFrame, scans: DataFrame, tile: Sequence[int] | None = None, overlap: float = OVERLAP, value: str = "hu",
+def tile_pieces(blocks: DataFrame, scans: DataFrame, tile: Sequence[int] | None = None, overlap: float | None = OVERLAP, value: str = "hu",
                 channels: int = 1) -> DataFrame:
     """What each block gives to each tile that covers some of it: place in the tile, shape and values.
 
@@ -145,7 +147,7 @@ def tile_pieces(blocks: DataFrame, scans: DataFrame, tile: Sequence[int] | None
                 corner = [r["z0"], r["y0"], r["x0"]]
                 covers = []
                 for n, t, o, s in zip(r["frame"], r["tile"], corner, r["shape"], strict=True):
-                    covers.append([(w, max(w, o), min(w + t, o + s)) for w in _starts(n, t, overlap) if w < o + s and w + t > o])
+                    covers.append([(w, max(w, o), min(w + t, o + s)) for w in _starts(n, t, r["overlap"]) if w < o + s and w + t > o])
                 out = []
                 for z in covers[0]:
                     for y in covers[1]:
@@ -154,7 +156,7 @@ def tile_pieces(blocks: DataFrame, scans: DataFrame, tile: Sequence[int] | None
                             out.append((r["scan_id"], z[0], y[0], x[0],
                                         _meta(r["frame"], r["tile"], [w[1] - w[0] for w in (z, y, x)], own.shape[:3]), own.tobytes()))
                 yield _batch(out, _PIECE_SCHEMA)
-    held = attach(blocks.select(*BLOCK_KEYS, "shape", value), with_tile(scans, tile), sized_by=scans, salt_by=("z0", "y0"))
+    held = attach(blocks.select(*BLOCK_KEYS, "shape", value), with_tile(scans, tile, overlap), sized_by=scans, salt_by=("z0", "y0"))
     return held.mapInArrow(cut, _PIECES)
 
 
@@ -292,9 +294,9 @@ def argmax_blocks(logits: DataFrame, num_classes: int, value: str = "logit") ->
 
 
 def score_blocks(blocks: DataFrame, scans: DataFrame, score: Scorer, tile: Sequence[int] | None, num_classes: int,
-                 overlap: float = OVERLAP, block: int = BLOCK, value: str = "hu") -> DataFrame:
+                 overlap: float | None = OVERLAP, block: int = BLOCK, value: str = "hu") -> DataFrame:
     """Cut, score and blend every scan: blocks of logits on the scans' frames.
 
-    Without ``tile``, each scan has its own (``fit_tile``), all in one job."""
+    Without ``tile`` or ``overlap``, each scan has its own (``fit_tile``), all in one job."""
     pieces = tile_pieces(blocks, scans, tile, overlap, value)
     return blend_tiles(score_tiles(pieces, score, block), num_classes, block)

@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 from voxelspark.functions import geometry as G
 from voxelspark.functions import intensity as I
-from voxelspark.functions import naming
+from voxelspark.functions import naming, tiling
 from voxelspark.operators import canal as K
 from voxelspark.operators import components as C
 from voxelspark.operators import blocks, crop, halo, histogram, instances, matching, measure, resample
 from voxelspark.plans.attach import attach
 from voxelspark.session import cut_lineage
+from voxelspark.sources import config
 
 Scorer = Callable[[np.ndarray], np.ndarray]
 
@@ -29,18 +30,35 @@ def class_volumes_of_valid_scans(voxels: DataFrame, scans: DataFrame) -> DataFra
 
 
 def score_volumes(voxels: DataFrame, scans: DataFrame, score: Scorer, tile: Sequence[int] | None, num_classes: int,
-                  overlap: float = 0.5, block: int = blocks.BLOCK) -> DataFrame:
+                  overlap: float | None = 0.5, block: int = blocks.BLOCK) -> DataFrame:
     """Pack into blocks, cut, score and blend every scan: blocks of logits. Without ``tile``, scans have their own."""
     return blocks.score_blocks(blocks.to_blocks(voxels, scans, block), scans, score, tile, num_classes, overlap, block)
 
 
 def label_volumes(voxels: DataFrame, scans: DataFrame, score: Scorer, tile: Sequence[int] | None, num_classes: int,
-                  overlap: float = 0.5, block: int = blocks.BLOCK) -> DataFrame:
+                  overlap: float | None = 0.5, block: int = blocks.BLOCK) -> DataFrame:
     """The class of every voxel, background left out: rows again, as what follows works on sparse labels."""
     logits = score_volumes(voxels, scans, score, tile, num_classes, overlap, block)
     return blocks.voxels_of(blocks.argmax_blocks(logits, num_classes), "label").filter("label > 0")
 
 
+def label_configured(voxels: DataFrame, scans: DataFrame, chosen: DataFrame, score: Scorer, num_classes: int,
+                     block: int = blocks.BLOCK) -> tuple[DataFrame, DataFrame]:
+    """Labels as each scan's configuration row says: its window, tile, divisor and overlap, all scans in one job.
+
+    ``chosen``: scan_id and ``config`` (``load_config``). Scans without one are left out and named. Returns
+    (labels without background, scans with their fitted tiles or an ``error``).
+    """
+    own = config.settings(chosen.select("scan_id", "config", "error"))
+    fitted = tiling.fit_tile(scans.join(own, "scan_id", "left"), F.col("tile"), F.col("divisor"))
+    fitted = cut_lineage(fitted.withColumn("error", F.coalesce("error", F.when(F.col("config").isNull(), config.NOT_FOUND))))
+    ready = fitted.filter("error IS NULL")
+    rows = attach(voxels, ready.select("scan_id", "lo", "hi", "mean", "std"), sized_by=scans)
+    window = I.normalize_ct(F.col("hu"), F.col("lo"), F.col("hi"), F.col("mean"), F.col("std"))
+    rows = rows.select("scan_id", "z", "y", "x", window.cast("float").alias("hu"))
+    return label_volumes(rows, ready, score, None, num_classes, None, block), fitted
+
+
 def segment(voxels: DataFrame, scans: DataFrame, score: Scorer, tile: Sequence[int], num_classes: int,
             spacing: float = G.GRID_SPACING_MM, overlap: float = 0.5) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Orient, resample, normalise, score and take the arg-max of every sane scan.

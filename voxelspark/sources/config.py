@@ -4,6 +4,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from voxelspark.functions.intensity import CLIP, MEAN, STD
+from voxelspark.functions.tiling import DIVISOR, OVERLAP, TILE
+
 # Fixed value.
 NOT_FOUND = "no configuration with the preprocessing parameters found"
 
@@ -22,6 +25,25 @@ def load_config(candidates: DataFrame) -> DataFrame:
     return best.select("run_id", "b.path", "b.config", F.when(F.col("b").isNull(), NOT_FOUND).alias("error"))
 
 
+SETTINGS = ("tile array<int>, tile_divisor array<int>, overlap double, num_classes int, "
+            "normalization struct<clip: array<double>, mean: double, std: double>")
+
+
+def settings(chosen: DataFrame) -> DataFrame:
+    """What a scorer needs of its configuration (``config``, JSON text), one row each; what is not given has its usual value.
+
+    Adds tile, divisor (z, y, x), overlap, num_classes, lo, hi, mean, std; other columns stay.
+    """
+    c = F.from_json("config", SETTINGS)
+    ints = lambda v: F.array(*[F.lit(i) for i in v])                                # noqa: E731
+    window = c["normalization"]
+    return chosen.withColumns({
+        "tile": F.coalesce(c["tile"], ints(TILE)), "divisor": F.coalesce(c["tile_divisor"], ints(DIVISOR)),
+        "overlap": F.coalesce(c["overlap"], F.lit(OVERLAP)), "num_classes": c["num_classes"],
+        "lo": F.coalesce(window["clip"][0], F.lit(CLIP[0])), "hi": F.coalesce(window["clip"][1], F.lit(CLIP[1])),
+        "mean": F.coalesce(window["mean"], F.lit(MEAN)), "std": F.coalesce(window["std"], F.lit(STD))})
+
+
 def checksum_audit(files: DataFrame, manifest: DataFrame) -> tuple[DataFrame, DataFrame]:
     """SHA-256 of every file against the expected one: (per file status, per archive verdict).
 
