@@ -111,7 +111,7 @@ CTES: dict[str, str] = {
   UNION ALL SELECT 1000000000000 + doc_id, concat('documents/', source), text FROM documents
   UNION ALL SELECT 2000000000000 + conv_id * 1000 + turn, NULL, text FROM conversations
   UNION ALL SELECT 3000000000000 + page_id, url, html FROM pages""",
-    "diff_lines": f"SELECT event_id AS seq, {_chars(DIFF, 'duck')} AS line FROM events",
+    "diff_lines": f"SELECT user_id AS diff_id, event_id AS seq, {_chars(DIFF, 'duck')} AS line FROM events",
     "slices": """SELECT l_suppkey AS root, l_returnflag AS dir, concat(l_linestatus, l_linenumber) AS series_uid,
   l_orderkey AS instance, 1 + case when l_partkey % 500 = 0 then 1 else 0 end AS frames FROM lineitem""",
     "manifest": """SELECT l_suppkey AS root, concat(
@@ -256,7 +256,7 @@ class Fixtures:
 
     @cached_property
     def diff_lines(self) -> DataFrame:
-        return self.table("events").selectExpr("event_id AS seq", _chars(DIFF, "spark") + " AS line")
+        return self.table("events").selectExpr("user_id AS diff_id", "event_id AS seq", _chars(DIFF, "spark") + " AS line")
 
     @cached_property
     def slices(self) -> DataFrame:

@@ -33,12 +33,12 @@ def _(fx):
     return guard.guard_private(fx.guard_lines, PRIVATE)
 
 
-@check("x03_added_lines", """WITH e AS (SELECT seq, line, case when line LIKE '+++ %' then seq when line LIKE 'diff --git%' then seq end AS pos,
+@check("x03_added_lines", """WITH e AS (SELECT diff_id, seq, line, case when line LIKE '+++ %' then seq when line LIKE 'diff --git%' then seq end AS pos,
   case when line LIKE '+++ b/%' then substring(line, 7) when line LIKE '+++ %' then substring(line, 5) end AS name FROM diff_lines),
- g AS (SELECT *, max(pos) OVER (ORDER BY seq) AS head FROM e)
- SELECT 1 AS diff_id, g.seq, h.name AS path, substring(g.line, 2) AS line FROM g LEFT JOIN e h ON h.seq = g.head WHERE g.line LIKE '+%' AND g.line NOT LIKE '+++%'""")
+ g AS (SELECT *, max(pos) OVER (PARTITION BY diff_id ORDER BY seq) AS head FROM e)
+ SELECT g.diff_id, g.seq, h.name AS path, substring(g.line, 2) AS line FROM g LEFT JOIN e h ON h.seq = g.head WHERE g.line LIKE '+%' AND g.line NOT LIKE '+++%'""")
 def _(fx):
-    return guard.added_lines(fx.diff_lines.withColumn("diff_id", F.lit(1)), bucket_rows=512)
+    return guard.added_lines(fx.diff_lines, bucket_rows=512)
 
 
 @check("x04_guard_report", f"""WITH {_hits(PRIVATE)} SELECT line_id, coalesce(path, '(commit message)') AS path, reason, snippet, true AS refused FROM hit

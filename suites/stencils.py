@@ -130,16 +130,42 @@ def _(fx):
     return out.select("scan_id", *[F.round(f"{e}_{a}", 6).alias(f"{e}_{a}") for e in ("lo", "hi") for a in "xyz"])
 
 
-@check("r10_iso_triangles")
+_CORNERS = ", ".join(f"JOIN voxels c{i} ON c{i}.scan_id = c0.scan_id AND c{i}.z = c0.z + {i >> 2 & 1} AND c{i}.y = c0.y + {i >> 1 & 1} AND c{i}.x = c0.x + {i & 1}"
+                     for i in range(1, 8)).replace(", JOIN", " JOIN")
+
+
+def _dot(u, v):
+    return " + ".join(f"({u}[{i}])*({v}[{i}])" for i in (1, 2, 3))
+
+
+def _cross_sql(u, v):
+    return "[" + ", ".join(f"{u}[{a}]*{v}[{b}] - {u}[{b}]*{v}[{a}]" for a, b in ((2, 3), (3, 1), (1, 2))) + "]"
+
+
+_BIT = {"x": 1, "y": 2, "z": 4}
+_STEP = {a: f"(((q[2] & {b}) > 0)::INT - ((q[1] & {b}) > 0)::INT)" for a, b in _BIT.items()}
+_AT = {a: f"({a} + ((q[1] & {b}) > 0)::INT + {_STEP[a]}*(400 - v[q[1] + 1])/(v[q[2] + 1] - v[q[1] + 1]))" for a, b in _BIT.items()}
+
+
+# a triangle or two for each tetrahedron the surface passes, turned so that normals point from the inside out
+@check("r10_iso_triangles", f"""WITH t AS (SELECT c0.scan_id, c0.x, c0.y, c0.z, [{', '.join(f'c{i}.hu::DOUBLE' for i in range(8))}] AS v FROM voxels c0 {_CORNERS}),
+ s AS (SELECT t.*, list_filter(tet, lambda c: v[c + 1] >= 400) AS i, list_filter(tet, lambda c: v[c + 1] < 400) AS o FROM t,
+  (SELECT unnest([[0,1,3,7],[0,1,5,7],[0,2,3,7],[0,2,6,7],[0,4,5,7],[0,4,6,7]]) AS tet) WHERE list_min(v) < 400 AND list_max(v) >= 400),
+ e AS (SELECT scan_id, x, y, z, v, unnest(case len(i) when 2 then [[[i[1],o[1]],[i[1],o[2]],[i[2],o[2]]],[[i[1],o[1]],[i[2],o[2]],[i[2],o[1]]]]
+  when 1 then [[[i[1],o[1]],[i[1],o[2]],[i[1],o[3]]]] when 3 then [[[i[1],o[1]],[i[2],o[1]],[i[3],o[1]]]] else [] end) AS e FROM s),
+ p AS (SELECT e.scan_id, list_transform(e, lambda q: [ox + dxx*sx*{_AT['x']}, oy + sy*{_AT['y']}, oz + sz*{_AT['z']}]) AS p,
+  list_transform(e[1:1], lambda q: [dxx*sx*{_STEP['x']}, sy*{_STEP['y']}, sz*{_STEP['z']}])[1] AS away FROM e JOIN scans USING (scan_id)),
+ d AS (SELECT *, list_transform(range(1, 4), lambda k: p[2][k] - p[1][k]) AS a, list_transform(range(1, 4), lambda k: p[3][k] - p[1][k]) AS b FROM p),
+ n AS (SELECT *, {_cross_sql('a', 'b')} AS n, {_cross_sql('p[2]', 'p[3]')} AS w FROM d)
+ SELECT scan_id, count(*) AS triangles, round(sum(sqrt({_dot('n', 'n')})/2), 3) AS area_mm2,
+  round(sum(case when {_dot('n', 'away')} >= 0 then 1 else -1 end * ({_dot('p[1]', 'w')})/6), 3) AS volume_mm3,
+  {', '.join(f"round(min(least(p[1][{k}], p[2][{k}], p[3][{k}])), 3) AS min_{a}, round(max(greatest(p[1][{k}], p[2][{k}], p[3][{k}])), 3) AS max_{a}" for k, a in enumerate("xyz", 1))}
+ FROM n GROUP BY scan_id""")
 def _(fx):
     out = surface.mesh_facts(surface.iso_triangles(fx.voxels, fx.scans, 400.0))
     return out.select("scan_id", "triangles", *[F.round(c, 3).alias(c) for c in out.columns if c not in ("scan_id", "triangles")])
 
 
-_CORNERS = ", ".join(f"JOIN voxels c{i} ON c{i}.scan_id = c0.scan_id AND c{i}.z = c0.z + {i >> 2 & 1} AND c{i}.y = c0.y + {i >> 1 & 1} AND c{i}.x = c0.x + {i & 1}"
-                     for i in range(1, 8)).replace(", JOIN", " JOIN")
-
-
 @check("r10_iso_triangle_counts", f"""WITH t AS (SELECT c0.scan_id, [{', '.join(f'(c{i}.hu >= 400)::INT' for i in range(8))}] AS f FROM voxels c0 {_CORNERS}),
  u AS (SELECT scan_id, list_sum(list_transform(tet, lambda c: f[c + 1])) AS inside FROM t,
   (SELECT unnest([[0,1,3,7],[0,1,5,7],[0,2,3,7],[0,2,6,7],[0,4,5,7],[0,4,6,7]]) AS tet) WHERE list_sum(f) BETWEEN 1 AND 7)
