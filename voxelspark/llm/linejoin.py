@@ -99,7 +99,7 @@ def similar_lines(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_
     keeps its place and the others come after all other documents (``exchange.unique_ids``), so each row loses
     only its own lines. Lines and texts of any length are read whole. An empty table gives no rows; other columns
     are ignored."""
-    n = exchange.slots_for(docs, text_col)
+    n = exchange.slots_for(docs, text_col, 4 << 20)      # keys, pairs and words of a slot are several times its text
     docs = exchange.unique_ids(docs.select(F.col(id_col).alias("own"), F.col(text_col).alias("text")), "own", "text", "doc_id")
     docs = docs.withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit("")))
     long = -(-percent * (SHORT + 1) // 100)              # what a line of more than SHORT words can be similar to
@@ -184,7 +184,7 @@ def similar_lines(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_
         size, rest, have = k["size"].astype(np.int32), k["rest"].astype(np.int32), two.astype(np.int32) + 1
         best, mate = np.full(len(key), 255, np.uint8), np.full(len(key), -1, np.int64)
         later_, earlier_ = [], []
-        i, far = np.arange(max(0, len(key) - 1)), 1
+        i, far = np.arange(max(0, len(key) - 1), dtype=np.int32), 1
         while len(i):
             j = i + far
             near = (key[i] == key[j]) & (100 * size[i] >= percent * size[j])      # sizes rise within a key
