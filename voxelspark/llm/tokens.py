@@ -2,7 +2,7 @@
 
 The vocabulary drops white space and never joins pieces across it, so a text's ids
 are its pieces' ids in a row. Pieces repeat a lot: those of a block of texts that the
-cache lacks are encoded in one call and told apart by their offsets.
+cache lacks are encoded some at a time (long calls cost more a piece) and told apart by their offsets.
 """
 from __future__ import annotations
 
@@ -16,6 +16,7 @@ WORDY = byte_class([*range(97, 123)])
 STOP = byte_class(b",.")
 CACHE = 400_000                 # pieces of the younger generation in a worker process; the older has as many
 LONGEST = 64                    # longer pieces are not kept
+CALL = 128                      # pieces encoded in one call
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -63,7 +64,9 @@ class Encoder:
         names = {pieces[i] for i in lack}
         block = {p: self.old[p] for p in names if p in self.old}
         new = [p for p in names if p not in block]
-        block.update(zip(new, self._encode(new) if new else (), strict=True))
+        for at in range(0, len(new), CALL):
+            some = new[at:at + CALL]
+            block.update(zip(some, self._encode(some), strict=True))
         for i in lack:
             ids[i] = block[pieces[i]]
         self.young.update((p, v) for p, v in block.items() if len(p) <= LONGEST)
