@@ -154,7 +154,8 @@ def tile_pieces(blocks: DataFrame, scans: DataFrame, tile: Sequence[int] | None
                         for x in covers[2]:
                             own = box[tuple(slice(a - o, e - o) for (_, a, e), o in zip((z, y, x), corner, strict=True))]
                             out.append((r["scan_id"], z[0], y[0], x[0],
-                                        _meta(r["frame"], r["tile"], [w[1] - w[0] for w in (z, y, x)], own.shape[:3]), own.tobytes()))
+                                        _meta(r["frame"], r["tile"], [w[1] - w[0] for w in (z, y, x)], own.shape[:3]),
+                                        np.ascontiguousarray(own, np.float32).tobytes()))
                 yield _batch(out, _PIECE_SCHEMA)
     held = attach(blocks.select(*BLOCK_KEYS, "shape", value), with_tile(scans, tile, overlap), sized_by=scans, salt_by=("z0", "y0"))
     return held.mapInArrow(cut, _PIECES)
