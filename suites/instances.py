@@ -230,7 +230,7 @@ def _(fx):
 
 @check("flow_segment_report")
 def _(fx):
-    _, labels, grid = flows.segment(fx.voxels, fx.scans, linear_scorer, (16, 16, 16), 10)
+    _, labels, grid = flows.segment_blocks(fx.voxels, fx.scans, linear_scorer, (16, 16, 16), 10)
     return flows.class_report(labels, grid)
 
 

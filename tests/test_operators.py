@@ -525,3 +525,58 @@ def test_stream_state_ends_with_the_run(spark, tmp_path):
         got.setdefault(r.run_id, []).append((r.seq, r.phase, r.factor))
     assert sorted(got[1]) == plain_progress(whole) and sorted(got[2]) == plain_progress(whole[:4]) and sorted(got[4]) == plain_progress([(3, LINES[0]), (5, LINES[2])])
 
+
+
+def _shuffled(spark, run) -> int:
+    """Bytes that ``run`` writes to shuffles."""
+    store, jvm = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._jvm
+    none = spark.sparkContext._gateway.new_array(jvm.double, 0)
+
+    def total():
+        stages = store.stageList(None, False, False, none, jvm.java.util.ArrayList())
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+    before = total()
+    run()
+    return total() - before
+
+
+def test_scores_of_resampled_blocks_are_those_of_the_single_steps(spark):
+    from voxelspark.functions import intensity as I
+    from voxelspark.operators import regions, resample
+
+    def bands(box):
+        return np.stack([0.06 * c - np.abs(box + 2.0 - c / 2) for c in range(5)]).astype(np.float32)
+
+    rng = np.random.default_rng(7)
+    head = heads(spark, (9, 7, 13), (0.7, 1.0, 0.4)).unionByName(heads(spark, (1, 3, 2), (0.4, 0.3, 0.3), scans=(2,)))
+    rows = voxels(spark, [(z, y, x, float(rng.integers(-1000, 2000))) for z in range(13) for y in range(7) for x in range(9)], "hu float").unionByName(
+        voxels(spark, [(z, y, x, float(rng.integers(-1000, 2000))) for z in range(2) for y in range(3) for x in range(1)], "hu float", scan=2))
+    grid = resample.resampled_headers(head)
+    assert regions.suits((4, 3, 4), 0.5, 16) and not regions.suits((160, 320, 320))
+    out = {}
+    def fused():
+        got = regions.resampled_scores(blocks.to_blocks(rows, head, 16), head, grid, I.normalized, bands, (4, 3, 4), 5, block=16, labels=False)
+        out["fused"] = {(r.scan_id, r.z0, r.y0, r.x0): r.logit for r in got.collect()}
+    def single():
+        ready = resample.resample_linear(rows, head).withColumn("hu", I.normalize_ct(F.col("hu")).cast("float"))
+        out["single"] = {(r.scan_id, r.z0, r.y0, r.x0): r.logit for r in flows.score_volumes(ready, grid, bands, (4, 3, 4), 5, block=16).collect()}
+    small, large = _shuffled(spark, fused), _shuffled(spark, single)
+    assert out["fused"] == out["single"] and len(out["fused"]) > 8
+    assert 10 * small < large
+    label = regions.resampled_scores(blocks.to_blocks(rows, head, 16), head, grid, I.normalized, bands, (4, 3, 4), 5, block=16).collect()
+    assert all(r.label == np.reshape(out["fused"][r.scan_id, r.z0, r.y0, r.x0], (-1, 5)).argmax(1).tolist() for r in label)
+
+
+@pytest.mark.parametrize("block", [3, 8, 64])
+def test_components_of_label_blocks(spark, block):
+    rng = np.random.default_rng(block)
+    box = rng.integers(0, 3, (13, 8, 10)).astype(np.int16)
+    box[:, 4, 2:9] = 2
+    rows = voxels(spark, [(*map(int, p), int(box[tuple(p)])) for p in np.argwhere(box > 0)])
+    cut = [(1, z, y, x, list(map(int, c.shape)), c.ravel().tolist()) for z in range(0, 13, block) for y in range(0, 8, block)
+           for x in range(0, 10, block) for c in [box[z:z + block, y:y + block, x:x + block]]]
+    dense = spark.createDataFrame(cut, "scan_id long, z0 int, y0 int, x0 int, shape array<int>, label array<short>")
+    want, got = C.connected_components(rows, block=5), C.components_of_blocks(dense, block)
+    assert sorted(map(tuple, got.sizes().collect())) == sorted(map(tuple, want.sizes().collect()))
+    each = lambda p: sorted(map(tuple, p.join(p.sizes().select(*p.keys, "comp")).select("label", "z", "y", "x", "comp").collect()))
+    assert each(got) == each(want)

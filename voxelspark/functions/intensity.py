@@ -1,6 +1,7 @@
 """Voxel intensity expressions."""
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,6 +22,11 @@ def normalize_ct(hu: Column, lo=CLIP[0], hi=CLIP[1], mean=MEAN, std=STD) -> Colu
     return (clipped - mean) / F.greatest(std, F.lit(1e-8))
 
 
+def normalized(hu, lo=CLIP[0], hi=CLIP[1], mean=MEAN, std=STD):
+    """``normalize_ct`` of an array."""
+    return (np.minimum(np.maximum(hu, lo), hi) - mean) / max(std, 1e-8)
+
+
 def denormalize(v: Column, mean=MEAN, std=STD) -> Column:
     """Back to intensities; the clipping is not undone."""
     return v * std + mean

@@ -13,11 +13,13 @@ from itertools import product
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from voxelspark.functions.naming import min_volume
+from voxelspark.operators.blocks import _dealt, _rows, _runs
 from voxelspark.operators.measure import voxel_cm3
 from voxelspark.plans.attach import attach, fits_broadcast, salted_join
 from voxelspark.plans.ordered import number_rows
@@ -195,6 +197,133 @@ def connected_components(mask: DataFrame, by: Sequence[str] = ("label",), connec
     return Components(voxels, cut_lineage(nodes), keys)
 
 
+def runs_of_block(box: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Number of the x run each voxel of a block lies in; each run's label, first place and the first place of its component.
+
+    Places count in z, y, x order through the block; faces connect. Background has runs too."""
+    flat = box.ravel()
+    new = np.empty(box.shape, bool)
+    new[..., 0] = True
+    new[..., 1:] = box[..., 1:] != box[..., :-1]
+    run = np.cumsum(new.ravel()) - 1
+    first = np.flatnonzero(new.ravel())
+    run = run.reshape(box.shape)
+    pairs = []
+    for a, b in ((run[1:], run[:-1]), (run[:, 1:], run[:, :-1])):
+        a, b = a.ravel(), b.ravel()
+        if len(a):
+            seen = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+            pairs.append(np.stack([a[seen], b[seen]]))
+    a, b = np.concatenate(pairs, 1) if pairs else np.empty((2, 0), np.int64)
+    label = flat[first]
+    same = (label[a] == label[b]) & (label[a] > 0)
+    a, b = a[same], b[same]
+    root = np.arange(len(first))
+    while len(a):                                # smaller roots win; pairs settled are left out
+        ra, rb = root[a], root[b]
+        apart = ra != rb
+        if not apart.any():
+            break
+        a, b, ra, rb = a[apart], b[apart], ra[apart], rb[apart]
+        np.minimum.at(root, np.maximum(ra, rb), np.minimum(ra, rb))
+        while not np.array_equal(root, root[root]):
+            root = root[root]
+    return run, label, first, first[root]
+
+
+_PARTS = ("kind byte, scan_id long, label short, node long, n long, az int, ay int, ax int, bz int, by int, bx int, "
+          "z0 int, y0 int, x0 int, axis byte, low boolean, meta binary, data binary")
+
+
+def components_of_blocks(labels: DataFrame, block: int = BLOCK) -> Components:
+    """Face-connected components per scan and label of a dense table of label blocks (edge ``block``; 0 is background).
+
+    A block is read once; it gives a row per node and its faces towards other blocks as arrays of nodes."""
+    keys = ["scan_id", "label"]
+    kinds = {"byte": pa.int8(), "short": pa.int16(), "int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary()}
+    arrow = pa.schema([(n, kinds[k]) for n, k in (c.split() for c in _PARTS.split(", "))])
+
+    def cells(b):
+        for r in _rows(b, "label"):
+            box = np.asarray(r["label"], np.int16).reshape(r["shape"])
+            run, label, first, root = runs_of_block(box)
+            z, rest = np.divmod(root, box.shape[1] * box.shape[2])
+            y, x = np.divmod(rest, box.shape[2])
+            node = ((z + r["z0"]) << 2 * _BITS) | ((y + r["y0"]) << _BITS) | (x + r["x0"])
+            yield r, box, run, label, first, node
+
+    def split(batches):
+        for b in batches:
+            for r, box, run, label, first, node in cells(b):
+                length = np.diff(np.append(first, box.size))
+                z, rest = np.divmod(first, box.shape[1] * box.shape[2])
+                y, x = np.divmod(rest, box.shape[2])
+                own = np.flatnonzero(label > 0)
+                names, at = np.unique(node[own], return_inverse=True)
+                k = len(names)
+                n = np.bincount(at, length[own], k).astype(np.int64)
+                lows, highs = [], []
+                for v, e, o in ((z, z + 1, r["z0"]), (y, y + 1, r["y0"]), (x, x + length, r["x0"])):
+                    low, high = np.full(k, 1 << 30), np.zeros(k, np.int64)
+                    np.minimum.at(low, at, v[own])
+                    np.maximum.at(high, at, e[own])
+                    lows.append(low + o)
+                    highs.append(high + o)
+                kind = np.empty(k, np.int16)
+                kind[at] = label[own]
+                if k:
+                    none = pa.nulls(k)
+                    cols = [np.zeros(k), np.full(k, r["scan_id"]), kind, names, n, *lows, *highs]
+                    yield pa.RecordBatch.from_arrays([pa.array(c).cast(f.type) for c, f in zip(cols, arrow)] + [none.cast(f.type) for f in arrow][len(cols):],
+                                                     schema=arrow)
+                name = np.where(label > 0, node, -1)
+                faces = []
+                for i, axis in enumerate("zyx"):
+                    for low in (True, False):
+                        if r[f"{axis}0"] == 0 if low else box.shape[i] < block:
+                            continue
+                        side = np.take(run, 0 if low else -1, i)
+                        place = [r["z0"], r["y0"], r["x0"]]
+                        place[i] += 0 if low else block         # the border, from both sides
+                        faces.append([1, r["scan_id"], None, None, None, *[None] * 6, *place, i, low, None,
+                                      np.stack([name[side], label[side].astype(np.int64)]).tobytes()])
+                if faces:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*faces, strict=True), arrow, strict=True)], schema=arrow)
+
+    def meet(batches):
+        for key, rows in _runs(batches, ["scan_id", "axis", "z0", "y0", "x0"]):
+            if len(rows) == 2:
+                (a, of), (b, to) = (np.frombuffer(r["data"], np.int64).reshape(2, -1) for r in rows)
+                hit = (of == to) & (of > 0)
+                link = np.unique(np.stack([of[hit], a[hit], b[hit]], 1), axis=0)
+                if len(link):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(link), key[0])), pa.array(link[:, 0].astype(np.int16)),
+                                                      pa.array(link[:, 1]), pa.array(link[:, 2])], [*keys, "a", "b"])
+
+    def name_voxels(batches):
+        for b in batches:
+            for r, box, run, label, _, node in cells(b):
+                at = np.flatnonzero(box.ravel() > 0)
+                z, rest = np.divmod(at, box.shape[1] * box.shape[2])
+                y, x = np.divmod(rest, box.shape[2])
+                cols = [(v + o).astype(np.int32) for v, o in ((z, r["z0"]), (y, r["y0"]), (x, r["x0"]))]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (np.full(len(at), r["scan_id"]), box.ravel()[at], *cols, node[run.ravel()[at]])],
+                                                 [*keys, "z", "y", "x", "node"])
+
+    dense = labels.select("scan_id", "z0", "y0", "x0", "shape", "label")
+    parts = cut_lineage(dense.mapInArrow(split, _PARTS))
+    faces = parts.filter("kind = 1").select("scan_id", "axis", "z0", "y0", "x0", "low", "meta", "data")
+    edges = _dealt(faces, ["scan_id", "axis", "z0", "y0", "x0"], ["low"]).mapInArrow(meet, "scan_id long, label short, a long, b long")
+    edges = cut_lineage(edges.distinct())
+    nodes = parts.filter("kind = 0").select(*keys, "node", "n", *[f"a{a}" for a in "zyx"], *[f"b{a}" for a in "zyx"])
+    if edges.isEmpty():
+        nodes = nodes.withColumn("comp", F.col("node"))
+    else:
+        nodes = nodes.join(_link(edges, keys), [*keys, "node"], "left").withColumn("comp", F.coalesce("comp", "node"))
+    voxels = dense.mapInArrow(name_voxels, "scan_id long, label short, z int, y int, x int, node long")
+    return Components(voxels, cut_lineage(nodes), keys)
+
+
 def ranked_sizes(parts: Components) -> DataFrame:
     """``sizes`` with ``rank`` 1..k per group: largest first, then first voxel."""
     sizes = parts.sizes().withColumn("minus", -F.col("n"))

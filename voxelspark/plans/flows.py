@@ -12,7 +12,7 @@ from voxelspark.functions import intensity as I
 from voxelspark.functions import naming, tiling
 from voxelspark.operators import canal as K
 from voxelspark.operators import components as C
-from voxelspark.operators import blocks, crop, halo, histogram, instances, matching, measure, resample
+from voxelspark.operators import blocks, crop, halo, histogram, instances, matching, measure, regions, resample
 from voxelspark.plans.attach import attach
 from voxelspark.session import cut_lineage
 from voxelspark.sources import config
@@ -59,26 +59,41 @@ def label_configured(voxels: DataFrame, scans: DataFrame, chosen: DataFrame, sco
     return label_volumes(rows, ready, score, None, num_classes, None, block), fitted
 
 
-def segment(voxels: DataFrame, scans: DataFrame, score: Scorer, tile: Sequence[int], num_classes: int,
-            spacing: float = G.GRID_SPACING_MM, overlap: float = 0.5) -> tuple[DataFrame, DataFrame, DataFrame]:
+def segment_blocks(voxels: DataFrame, scans: DataFrame, score: Scorer, tile: Sequence[int], num_classes: int,
+                   spacing: float = G.GRID_SPACING_MM, overlap: float = 0.5, block: int = blocks.BLOCK) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Orient, resample, normalise, score and take the arg-max of every sane scan.
 
-    Returns (blocks of logits, labels without background, headers of the grid).
+    Returns (blocks of logits, blocks of labels with background, headers of the grid). Labels are written. With tiles
+    well below a block neither the resampled voxels nor their scores are shuffled or written, and logits are scored
+    again when read; with larger ones they are written and labels follow from them.
     """
     ok = scans.filter(G.spacing_is_sane())
     turned = crop.orient_lps(attach(voxels, ok.select("scan_id"), sized_by=scans), ok)
     heads = G.orient_lps_headers(ok)
     grid = resample.resampled_headers(heads, spacing)
+    if regions.suits(tile, overlap, block):
+        source = blocks.to_blocks(turned, heads, block)
+        logits, labels = (regions.resampled_scores(source, heads, grid, I.normalized, score, tile, num_classes, spacing, overlap, block, own)
+                          for own in (False, True))
+        return logits, cut_lineage(labels), grid
     fine = resample.resample_linear(turned, heads, spacing)
     ready = fine.withColumn("hu", I.normalize_ct(F.col("hu")).cast("float"))
-    logits = cut_lineage(score_volumes(ready, grid, score, tile, num_classes, overlap))
-    labels = blocks.voxels_of(blocks.argmax_blocks(logits, num_classes), "label").filter("label > 0")
-    return logits, labels, grid
+    logits = cut_lineage(score_volumes(ready, grid, score, tile, num_classes, overlap, block))
+    return logits, cut_lineage(blocks.argmax_blocks(logits, num_classes)), grid
+
+
+def segment(voxels: DataFrame, scans: DataFrame, score: Scorer, tile: Sequence[int], num_classes: int,
+            spacing: float = G.GRID_SPACING_MM, overlap: float = 0.5) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``segment_blocks`` with labels as rows, without background."""
+    logits, labels, grid = segment_blocks(voxels, scans, score, tile, num_classes, spacing, overlap)
+    return logits, blocks.voxels_of(labels, "label").filter("label > 0"), grid
 
 
 def class_report(labels: DataFrame, scans: DataFrame, block: int = C.BLOCK) -> DataFrame:
-    """Per scan and class: volume after dropping specks, components and specks dropped."""
-    parts = C.connected_components(labels, block=block)
+    """Per scan and class: volume after dropping specks, components and specks dropped.
+
+    ``labels``: rows, or blocks of edge ``block``, whose voxels are then never rows."""
+    parts = C.components_of_blocks(labels, block) if "shape" in labels.columns else C.connected_components(labels, block=block)
     n = C.count_components(parts, scans).withColumnRenamed("label", "class_id")
     frame = scans.select("scan_id", measure.voxel_cm3().alias("cm3"), F.explode(naming.class_table()).alias("c"))
     both = frame.select("scan_id", "cm3", F.col("c.id").alias("class_id"), "c.key").join(
