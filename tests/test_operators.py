@@ -580,3 +580,13 @@ def test_components_of_label_blocks(spark, block):
     assert sorted(map(tuple, got.sizes().collect())) == sorted(map(tuple, want.sizes().collect()))
     each = lambda p: sorted(map(tuple, p.join(p.sizes().select(*p.keys, "comp")).select("label", "z", "y", "x", "comp").collect()))
     assert each(got) == each(want)
+
+
+def test_resampling_shuffles_the_source_and_not_the_grid(spark):
+    from voxelspark.operators import resample
+    rng = np.random.default_rng(3)
+    rows = voxels(spark, [(z, y, x, float(rng.normal())) for z in range(17) for y in range(12) for x in range(12)], "hu double").cache()
+    head = heads(spark, (12, 12, 17), (1.2, 1.2, 1.2))
+    source = _shuffled(spark, lambda: rows.repartition("scan_id", "z").count() and rows.repartition("scan_id", "z").write.format("noop").mode("overwrite").save())
+    grid = _shuffled(spark, lambda: resample.resample_linear(rows, head).write.format("noop").mode("overwrite").save())
+    assert grid < 3 * source

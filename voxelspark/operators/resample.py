@@ -1,11 +1,12 @@
 """Resampling along grid lines.
 
-Each axis is handled within lines of voxels. The x and y passes share one
-shuffle (a z plane is the unit), the z pass needs a second one.
+Each axis is handled within lines of voxels, all in slabs of planes that are shuffled once.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -16,6 +17,7 @@ from voxelspark.plans.attach import attach
 OUTSIDE_HU = -1000.0
 PREVIEW_SPACING_MM = 1.0
 PREVIEW_SIGMA_MM = 0.6
+SLAB = 8                         # source planes that are resampled together
 EDGE = 1e-9                      # of a voxel: what counts as exactly half way
 
 
@@ -26,18 +28,19 @@ def resampled_headers(scans: DataFrame, spacing: float = GRID_SPACING_MM) -> Dat
                         F.array_repeat(F.lit(float(spacing)), 3).alias("spacing"), "origin", "direction")
 
 
-def _axis_facts(scans: DataFrame, i: int, spacing: float) -> DataFrame:
-    s = F.col("spacing")[i]
-    return scans.select("scan_id", F.col(SIZE[i]).alias("_n"), s.alias("_s"),
-                        grid_size(F.col(SIZE[i]), s, spacing).alias("_m"))
+def _slabs(scans: DataFrame, spacing: float) -> DataFrame:
+    """A row per scan and slab: sizes ``_n*`` and ``_m*`` and spacings ``_s*`` of the three axes."""
+    facts = {}
+    for i, a in enumerate(AXES):
+        s = F.col("spacing")[i]
+        facts |= {f"_n{a}": F.col(SIZE[i]), f"_s{a}": s, f"_m{a}": grid_size(F.col(SIZE[i]), s, spacing)}
+    each = F.explode(F.sequence(F.lit(0), F.floor((F.col("nz") - 1) / SLAB).cast("int")))
+    return scans.select("scan_id", each.alias("_slab"), *[c.alias(n) for n, c in facts.items()])
 
 
-def _linear_along(rows: DataFrame, scans: DataFrame, axis: str, spacing: float) -> DataFrame:
-    others = [a for a in "zyx" if a != axis]
-    i = AXES.index(axis)
-    rows = rows.withColumn("_next", F.lead("v").over(W.partitionBy("scan_id", *others).orderBy(axis)))
-    rows = attach(rows, _axis_facts(scans, i, spacing), sized_by=scans, salt_by=others)
-    at, n, s, m = F.col(axis), F.col("_n"), F.col("_s"), F.col("_m")
+def _targets(rows: DataFrame, axis: str, spacing: float) -> tuple[DataFrame, Callable[[str, Column], Column]]:
+    """A row per target of each voxel along one axis, ``_t``; and its value from a column and the next voxel's."""
+    at, n, s, m = F.col(axis), F.col(f"_n{axis}"), F.col(f"_s{axis}"), F.col(f"_m{axis}")
     last = at == n - 1
     lo = F.greatest(F.floor(at * s / spacing).cast("int") - 1, F.lit(0))
     hi = F.when(last, m - 1).otherwise(F.least(F.floor((at + 1) * s / spacing).cast("int") + 1, m - 1))
@@ -45,10 +48,10 @@ def _linear_along(rows: DataFrame, scans: DataFrame, axis: str, spacing: float)
     p = F.col("_t") * F.lit(spacing) / s
     here = F.floor(p)
     rows = rows.filter((here == at) | (last & (here >= n - 1)))
-    value = (F.when(p >= n - 0.5, F.lit(OUTSIDE_HU)).when(last, F.col("v"))
-             .otherwise(F.col("v") + (F.col("_next") - F.col("v")) * (p - here)))
-    return rows.select("scan_id", *[F.col("_t").alias(a) if a == axis else F.col(a) for a in "zyx"],
-                       value.alias("v"))
+
+    def value(v: str, following: Column) -> Column:
+        return (F.when(p >= n - 0.5, F.lit(OUTSIDE_HU)).when(last, F.col(v)).otherwise(F.col(v) + (following - F.col(v)) * (p - here)))
+    return rows, value
 
 
 def resample_linear(voxels: DataFrame, scans: DataFrame, spacing: float = GRID_SPACING_MM) -> DataFrame:
@@ -56,13 +59,23 @@ def resample_linear(voxels: DataFrame, scans: DataFrame, spacing: float = GRID_S
 
     Positions up to half a voxel beyond the last centre take the edge value,
     positions further out are air. A voxel emits exactly the targets between it
-    and its next neighbour, so no target grid is generated or joined.
+    and its next neighbour, so no target grid is generated or joined. The one
+    shuffle is of the source: a slab of planes goes together with the plane above
+    it, and every row carries the value above its own through the x and y passes.
     """
-    rows = voxels.select("scan_id", "z", "y", "x", F.col("hu").cast("double").alias("v"))
-    rows = rows.repartition("scan_id", "z")
-    for axis in "xyz":
-        rows = _linear_along(rows, scans, axis, spacing)
-    return rows.withColumnRenamed("v", "hu")
+    slab = F.floor(F.col("z") / SLAB).cast("int")
+    below = (F.col("z") % SLAB == 0) & (F.col("z") > 0)
+    rows = voxels.select("scan_id", "z", "y", "x", "hu", F.explode(F.when(below, F.array(slab - 1, slab)).otherwise(F.array(slab))).alias("_slab"))
+    part = ["scan_id", "_slab"]
+    rows = rows.repartition(*part).join(_slabs(scans, spacing), part).withColumn("v", F.col("hu").cast("double"))
+    rows = rows.withColumn("w", F.lead("v").over(W.partitionBy(*part, "y", "x").orderBy("z"))).filter(slab == F.col("_slab")).drop("hu")
+    for axis in "xy":
+        line = W.partitionBy(*part, *[a for a in "zyx" if a != axis]).orderBy(axis)
+        rows = rows.withColumns({f"_next_{c}": F.lead(c).over(line) for c in "vw"})
+        rows, value = _targets(rows, axis, spacing)
+        rows = rows.withColumns({c: value(c, F.col(f"_next_{c}")) for c in "vw"}).withColumn(axis, F.col("_t")).drop("_t", "_next_v", "_next_w")
+    rows, value = _targets(rows, "z", spacing)
+    return rows.select("scan_id", F.col("_t").alias("z"), "y", "x", value("v", F.col("w")).alias("hu"))
 
 
 def resample_nearest(labels: DataFrame, grid: DataFrame, reference: DataFrame, label: str = "label") -> DataFrame:
