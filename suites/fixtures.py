@@ -4,9 +4,11 @@ Every formula is integer arithmetic spelled once and used by both engines.
 """
 from __future__ import annotations
 
-import re
+from collections.abc import Callable
 from functools import cached_property
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -201,33 +203,59 @@ class Fixtures:
 
     @cached_property
     def logits(self) -> DataFrame:
-        one = f"({LABEL})"
-        return self._grid.selectExpr(
-            "scan_id", "z", "y", "x",
-            f"transform(sequence(0, 9), c -> cast(5000 * (case when {one} = c then 1 else 0 end)"
-            " + (z*31 + y*17 + x*7 + c*13 + scan_id) % 1000 as float)) AS logit")
+        return self._logits(self._grid).select("scan_id", "z", "y", "x", "logit")
+
+    @staticmethod
+    def _logits(grid: DataFrame) -> DataFrame:
+        """Ten expressions a voxel, none a lambda: those are not compiled."""
+        grid = grid.selectExpr("*", f"{LABEL} AS _one", "z*31 + y*17 + x*7 + k AS _at")
+        return grid.selectExpr("*", "array(" + ", ".join(
+            f"cast(5000 * (case when _one = {c} then 1 else 0 end) + (_at + {c * 13}) % 1000 as float)" for c in range(10)) + ") AS logit")
 
-    def _blocks(self, value: str, kind: str) -> DataFrame:
-        """The same volumes as array blocks, whose edge divides neither the frame nor the tiles; no shuffle of voxels."""
+    def _blocks(self, rows: Callable[[DataFrame], DataFrame], value: str, each: int = 1) -> DataFrame:
+        """The same volumes as array blocks, whose edge divides neither the frame nor the tiles; no shuffle of voxels.
+
+        Voxels are made a block after the other, each block's in order, and packed as they come."""
         b = self.table("supplier").select(F.col("s_suppkey").alias("scan_id"), F.col("s_suppkey").alias("k"))
         b = b.repartition(grid_partitions(self.spark), "scan_id")
         for a in "zyx":
             b = b.withColumn(f"{a}0", F.explode(F.sequence(F.lit(0), F.lit(N - 1), F.lit(EDGE))))
-        n = [f"least({EDGE}, {N} - {a}0)" for a in "zyx"]
-        place = (f"transform(sequence(0, {n[0]} * {n[1]} * {n[2]} - 1), i -> named_struct('z', z0 + i div ({n[1]} * {n[2]}),"
-                 f" 'y', y0 + i div {n[2]} % {n[1]}, 'x', x0 + i % {n[2]}))")
-        value = re.sub(r"\b([zyx])\b", r"cast(p.\1 as int)", value)
-        return b.selectExpr("scan_id", "z0", "y0", "x0", f"array({', '.join(n)}) AS shape", f"transform({place}, p -> {value}) AS {kind}")
+        for a in "zyx":
+            b = b.withColumn(a, F.explode(F.sequence(F.col(f"{a}0"), F.least(F.col(f"{a}0") + (EDGE - 1), F.lit(N - 1)))))
+
+        def pack(batches):
+            rest = None
+            for batch in batches:
+                t = pa.Table.from_batches([batch])
+                t = t if rest is None else pa.concat_tables([rest, t])
+                at = np.stack([t.column(c).to_numpy() for c in ("scan_id", "z0", "y0", "x0")], 1)
+                first = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]).any(1)])
+                yield from done(t.slice(0, first[-1]), at[first[:-1]], first)
+                rest = t.slice(first[-1]).combine_chunks()
+            if rest is not None:
+                at = np.array([[rest.column(c)[0].as_py() for c in ("scan_id", "z0", "y0", "x0")]])
+                yield from done(rest, at, np.array([0, len(rest)]))
+
+        def done(t, at, first):
+            if len(at):
+                flat = t.column(value).combine_chunks()
+                flat = flat.flatten() if each > 1 else flat
+                shape = np.minimum(EDGE, N - at[:, 1:]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(at[:, 0]), *[pa.array(at[:, i].astype(np.int32)) for i in (1, 2, 3)],
+                     pa.ListArray.from_arrays(pa.array(np.arange(0, 3 * len(at) + 1, 3, dtype=np.int32)), pa.array(shape.ravel())),
+                     pa.ListArray.from_arrays(pa.array((first * each).astype(np.int32)), flat)],
+                    ["scan_id", "z0", "y0", "x0", "shape", value])
+        return rows(b).select("scan_id", "z0", "y0", "x0", value).mapInArrow(
+            pack, f"scan_id long, z0 int, y0 int, x0 int, shape array<int>, {value} array<float>")
 
     @cached_property
     def blocks(self) -> DataFrame:
-        return self._blocks("cast(" + re.sub(r"\bh\b", f"({H})", HU) + " as float)", "hu")
+        return self._blocks(lambda g: g.withColumn("h", F.expr(H)).withColumn("hu", F.expr(f"cast({HU} as float)")), "hu")
 
     @cached_property
     def logit_blocks(self) -> DataFrame:
-        each = self._blocks(f"transform(sequence(0, 9), c -> cast(5000 * (case when ({LABEL}) = c then 1 else 0 end)"
-                            " + (z*31 + y*17 + x*7 + c*13 + k) % 1000 as float))", "logit")
-        return each.withColumn("logit", F.flatten("logit"))
+        return self._blocks(self._logits, "logit", 10)
 
     @cached_property
     def tooth_pred(self) -> DataFrame:
