@@ -79,10 +79,14 @@ def to_blocks(voxels: DataFrame, scans: DataFrame, block: int = BLOCK, value: st
 def voxels_of(blocks: DataFrame, value: str, classes: int | None = None) -> DataFrame:
     """A row per voxel: ``scan_id, z, y, x`` and the value (with ``classes``, the array of the voxel's values)."""
     n = F.col("shape")
-    each = blocks.select(*BLOCK_KEYS, "shape", value, F.explode(F.sequence(F.lit(0), n[0] * n[1] * n[2] - 1)).alias("_i"))
-    i = F.col("_i")
-    own = F.get(F.col(value), i) if classes is None else F.slice(value, i * classes + 1, F.lit(classes))
-    z, y, x = (F.floor(i / (n[1] * n[2])), F.floor(i / n[2]) % n[1], i % n[2])
+    own = F.col("_own")
+    if classes is None:
+        each = blocks.select(*BLOCK_KEYS, "shape", F.posexplode(value).alias("_i", "_own"))
+    else:
+        each = blocks.select(*BLOCK_KEYS, "shape", value, F.explode(F.sequence(F.lit(0), n[0] * n[1] * n[2] - 1)).alias("_i"))
+        own = F.slice(value, F.col("_i") * classes + 1, F.lit(classes))
+    i, plane = F.col("_i"), n[1] * n[2]
+    z, y, x = (F.call_function("div", i, plane), F.call_function("div", i, n[2]) % n[1], i % n[2])
     return each.select("scan_id", *[(F.col(f"{a}0") + p).cast("int").alias(a) for a, p in zip("zyx", (z, y, x), strict=True)], own.alias(value))
 
 
