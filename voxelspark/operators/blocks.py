@@ -90,6 +90,20 @@ def voxels_of(blocks: DataFrame, value: str, classes: int | None = None) -> Data
     return each.select("scan_id", *[(F.col(f"{a}0") + p).cast("int").alias(a) for a, p in zip("zyx", (z, y, x), strict=True)], own.alias(value))
 
 
+def _lists(values: np.ndarray, kind: pa.DataType) -> pa.ListArray:
+    """A list per row of a matrix."""
+    n, size = values.shape
+    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * size), pa.array(values.ravel(), kind))
+
+
+def _blocks_alike(scan: np.ndarray, corner: Sequence[int], shape: Sequence[int], values: np.ndarray, name: str, kind: pa.DataType) -> pa.RecordBatch:
+    """Block rows of one place and shape, a scan each."""
+    n = len(scan)
+    cols = [pa.array(scan, pa.int64()), *[pa.repeat(pa.scalar(o, pa.int32()), n) for o in corner],
+            pa.array([[int(s) for s in shape]] * n, pa.list_(pa.int32())), _lists(values.reshape(n, -1), kind)]
+    return pa.RecordBatch.from_arrays(cols, [*BLOCK_KEYS, "shape", name])
+
+
 def _block_rows(keys, shapes, values, name, kind) -> pa.RecordBatch:
     flat = np.concatenate(values)
     at = np.cumsum([0, *map(len, values)]).astype(np.int32)
@@ -146,21 +160,17 @@ def tile_pieces(blocks: DataFrame, scans: DataFrame, tile: Sequence[int] | None
     Tiles follow from arithmetic on the frame and the scan's tile size; there is no join with a tile list."""
     def cut(batches):
         for b in batches:
-            for r in _rows(b, value):
-                box = r[value].reshape(*r["shape"], channels)
+            for r, scan, boxes in _alike(b, value, channels):
                 corner = [r["z0"], r["y0"], r["x0"]]
                 covers = []
                 for n, t, o, s in zip(r["frame"], r["tile"], corner, r["shape"], strict=True):
                     covers.append([(w, max(w, o), min(w + t, o + s)) for w in _starts(n, t, r["overlap"]) if w < o + s and w + t > o])
-                out = []
                 for z in covers[0]:
                     for y in covers[1]:
                         for x in covers[2]:
-                            own = box[tuple(slice(a - o, e - o) for (_, a, e), o in zip((z, y, x), corner, strict=True))]
-                            out.append((r["scan_id"], z[0], y[0], x[0],
-                                        _meta(r["frame"], r["tile"], [w[1] - w[0] for w in (z, y, x)], own.shape[:3]),
-                                        np.ascontiguousarray(own, np.float32).tobytes()))
-                yield _batch(out, _PIECE_SCHEMA)
+                            own = boxes[(slice(None), *[slice(a - o, e - o) for (_, a, e), o in zip((z, y, x), corner, strict=True)])]
+                            meta = _meta(r["frame"], r["tile"], [w[1] - w[0] for w in (z, y, x)], own.shape[1:4])
+                            yield _same(scan, [z[0], y[0], x[0], meta], own, _PIECE_SCHEMA)
     held = attach(blocks.select(*BLOCK_KEYS, "shape", value), with_tile(scans, tile, overlap), sized_by=scans, salt_by=("z0", "y0"))
     return held.mapInArrow(cut, _PIECES)
 
@@ -189,30 +199,121 @@ def _rows(batch: pa.RecordBatch, value: str) -> Iterator[dict]:
         yield r | {value: flat[at[i]:at[i + 1]]}
 
 
-def _box(rows: list[dict], channels: int) -> np.ndarray:
-    """A tile from its pieces; beyond a frame thinner than the tile its last voxels are repeated."""
+AT_ONCE = 1 << 22               # values of blocks or tiles that are worked on together
+
+
+def _alike(batch: pa.RecordBatch, value: str, channels: int = 1) -> Iterator[tuple[dict, np.ndarray, np.ndarray]]:
+    """Rows of block tables that differ in scan and values only, together: the first, scans and values (row, z, y, x, channel)."""
+    rest = batch.drop_columns([value, "scan_id"])
+    scan = batch.column("scan_id").to_numpy()
+    values = batch.column(value)
+    at, flat = np.asarray(values.offsets), values.values.to_numpy(zero_copy_only=False)
+    kinds: dict = {}
+    for i, r in enumerate(zip(*[rest.column(c).to_pylist() for c in rest.schema.names], strict=True)):
+        kinds.setdefault(tuple(tuple(v) if isinstance(v, list) else v for v in r), []).append(i)
+    for kind, rows in kinds.items():
+        r = {c: list(v) if isinstance(v, tuple) else v for c, v in zip(rest.schema.names, kind, strict=True)}
+        size = int(np.prod(r["shape"])) * channels
+        if (at[np.array(rows) + 1] - at[rows] != size).any():
+            raise ValueError(f"a block of shape {r['shape']} holds another number of values")
+        step = max(1, AT_ONCE // size)
+        for k in range(0, len(rows), step):
+            some = np.array(rows[k:k + step])
+            own = flat[at[some[0]]:at[some[0]] + size][None] if len(some) == 1 else flat[at[some][:, None] + np.arange(size)]
+            yield r, scan[some], own.reshape(-1, *r["shape"], channels)
+
+
+def _same(scan: np.ndarray, facts: list, values: np.ndarray, schema: pa.Schema) -> pa.RecordBatch:
+    """A row per scan with the same facts and each its own values."""
+    n = len(scan)
+    data = np.ascontiguousarray(values, np.float32)
+    size = data.nbytes // n
+    cols = [pa.array(scan, pa.int64()), *[pa.repeat(pa.scalar(v, f.type), n) for v, f in zip(facts, list(schema)[1:-1], strict=True)],
+            pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(0, (n + 1) * size, size, dtype=np.int32)), pa.py_buffer(data)])]
+    return pa.RecordBatch.from_arrays(cols, schema=schema)
+
+
+def _runs_alike(batches, keys: Sequence[str], order: Sequence[str] = ()) -> Iterator[tuple[np.ndarray, list[dict]]]:
+    """Runs of equal keys over batch borders; those whose pieces differ in scan and values only, together.
+
+    Gives the scans and, for each piece of the runs, the first one's facts and ``data``, a row of values per run. Of what does
+    not fit ``AT_ONCE``, one run is worked on at a time."""
+    rest: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        at = np.stack([b.column(k).to_numpy() for k in keys], 1)
+        new = np.flatnonzero((at[1:] != at[:-1]).any(1)) + 1
+        if rest and any(rest[-1].column(k)[-1].as_py() != v for k, v in zip(keys, at[0].tolist(), strict=True)):
+            yield from _by_pattern(rest, keys, order)
+            rest = []
+        if len(new):
+            yield from _by_pattern([*rest, b.slice(0, new[-1])], keys, order)
+            rest = [b.slice(new[-1])]
+        else:
+            rest.append(b)
+    if rest:
+        yield from _by_pattern(rest, keys, order)
+
+
+def _by_pattern(parts: list[pa.RecordBatch], keys: Sequence[str], order: Sequence[str]) -> Iterator[tuple[np.ndarray, list[dict]]]:
+    t = pa.Table.from_batches(parts)
+    facts = [c for c in t.column_names if pa.types.is_binary(t.schema.field(c).type) and c != "data"]
+    scan = t.column("scan_id").to_numpy()
+    at = np.stack([t.column(k).to_numpy() for k in keys], 1)
+    first = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]).any(1)])
+    kind = np.stack([*[t.column(c).to_numpy() for c in (*keys[1:], *order)],
+                     *[t.column(c).combine_chunks().dictionary_encode().indices.to_numpy() for c in facts]], 1).astype(np.int32)
+    runs: dict = {}
+    for i, j in zip(first.tolist(), [*first[1:].tolist(), len(at)], strict=True):
+        runs.setdefault(kind[i:j].tobytes(), []).append((i, j))
+    chunks = [(np.frombuffer(c.buffers()[1], np.int32, len(c) + 1, c.offset * 4), np.frombuffer(c.buffers()[2] or b"", np.uint8)) for c in t.column("data").chunks]
+    part = np.repeat(np.arange(len(chunks)), [len(o) - 1 for o, _ in chunks])
+    begin = np.concatenate([o[:-1] for o, _ in chunks]).astype(np.int64)
+    size = np.concatenate([np.diff(o) for o, _ in chunks])
+
+    def values(rows: np.ndarray) -> np.ndarray:
+        own = [np.frombuffer(chunks[part[i]][1][begin[i]:begin[i] + size[i]], np.float32) for i in rows.tolist()]
+        return own[0][None] if len(own) == 1 else np.stack(own)
+
+    for same in runs.values():
+        i, j = same[0]
+        pieces = []
+        for k in range(i, j):
+            r = {c: t.column(c)[k].as_py() for c in (*keys, *order, *facts)}
+            meta = np.frombuffer(r["meta"], np.int32).tolist()
+            pieces.append(r | {"frame": meta[:3], "tile": meta[3:6], "at": meta[6:9], "shape": meta[9:]})
+        step = max(1, AT_ONCE * 4 // max(1, int(size[i:j].sum())))
+        starts = np.array([s for s, _ in same])
+        for k in range(0, len(same), step):
+            some = starts[k:k + step]
+            yield scan[some], [r | {"data": values(some + n)} for n, r in enumerate(pieces)]
+
+
+def _boxes(rows: list[dict], channels: int) -> np.ndarray:
+    """Tiles from their pieces; beyond a frame thinner than the tile its last voxels are repeated."""
     tile, frame = rows[0]["tile"], rows[0]["frame"]
     there = [min(t, n) for t, n in zip(tile, frame, strict=True)]
-    box = np.empty((*there, channels), np.float32)
+    box = np.empty((len(rows[0]["data"]), *there, channels), np.float32)
     filled = 0
     for r in rows:
-        part = np.frombuffer(r["data"], np.float32).reshape(*r["shape"], channels)
-        box[tuple(slice(a, a + s) for a, s in zip(r["at"], r["shape"], strict=True))] = part
+        box[(slice(None), *[slice(a, a + s) for a, s in zip(r["at"], r["shape"], strict=True)])] = r["data"].reshape(-1, *r["shape"], channels)
         filled += int(np.prod(r["shape"]))
     if filled != np.prod(there):
         raise ValueError(f"{filled} of {np.prod(there)} voxels present")
     if there != tile:
-        box = np.pad(box, [(0, t - n) for t, n in zip(tile, there, strict=True)] + [(0, 0)], mode="edge")
+        box = np.pad(box, [(0, 0), *[(0, t - n) for t, n in zip(tile, there, strict=True)], (0, 0)], mode="edge")
     return box
 
 
 def assemble_tiles(pieces: DataFrame) -> DataFrame:
     """Whole tiles: ``scan_id, tz, ty, tx, tile`` and ``hu``, their values in z, y, x order."""
     def run(batches):
-        for key, rows in _runs(batches, TILE_KEYS):
-            box = _box(rows, 1)
-            yield pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int64()), *[pa.array([k], pa.int32()) for k in key[1:]],
-                                              pa.array([rows[0]["tile"]], _INTS), pa.array([box.ravel()], pa.list_(pa.float32()))], [*TILE_KEYS, "tile", "hu"])
+        for scan, rows in _runs_alike(batches, TILE_KEYS):
+            box, n = _boxes(rows, 1), len(scan)
+            place = [pa.repeat(pa.scalar(rows[0][k], pa.int32()), n) for k in TILE_KEYS[1:]]
+            yield pa.RecordBatch.from_arrays([pa.array(scan, pa.int64()), *place, pa.array([rows[0]["tile"]] * n, _INTS), _lists(box.reshape(n, -1), pa.float32())],
+                                             [*TILE_KEYS, "tile", "hu"])
     return _dealt(pieces, TILE_KEYS).mapInArrow(run, "scan_id long, tz int, ty int, tx int, tile array<int>, hu array<float>")
 
 
@@ -222,25 +323,28 @@ def map_tiles(pieces: DataFrame, fn: Callable[[tuple, np.ndarray], np.ndarray],
     The tile is float32, (z, y, x), or (z, y, x, channels) for blocks with several values a voxel. A failing tile
     fails the job and says which tile of which scan it was."""
     def run(batches):
-        for key, rows in _runs(batches, TILE_KEYS):
+        for scan, rows in _runs_alike(batches, TILE_KEYS):
             tile, frame = rows[0]["tile"], rows[0]["frame"]
+            start = tuple(rows[0][k] for k in TILE_KEYS[1:])
+            own, outs = scan[:1], []
             try:
-                box = _box(rows, channels)
-                out = np.asarray(fn(key, box[..., 0] if channels == 1 else box), np.float32)
-                if list(out.shape[1:]) != tile:
-                    raise ValueError(f"scorer returned shape {out.shape}")
+                boxes = _boxes(rows, channels)
+                for own, box in zip(scan.tolist(), boxes, strict=True):
+                    out = np.asarray(fn((own, *start), box[..., 0] if channels == 1 else box), np.float32)
+                    if list(out.shape[1:]) != tile:
+                        raise ValueError(f"scorer returned shape {out.shape}")
+                    outs.append(out)
             except Exception as e:
-                raise TileError(f"scan {key[0]}, tile at z{key[1]} y{key[2]} x{key[3]}, shape {tuple(tile)}: {e}") from e
+                raise TileError(f"scan {int(np.max(own))}, tile at z{start[0]} y{start[1]} x{start[2]}, shape {tuple(tile)}: {e}") from e
             spans = [[(o, max(w, o), min(w + t, o + block, n)) for o in range(w // block * block, min(w + t, n), block)]
-                     for w, t, n in zip(key[1:], tile, frame, strict=True)]
-            done = []
+                     for w, t, n in zip(start, tile, frame, strict=True)]
+            out = np.moveaxis(np.stack(outs), 1, -1)
             for z in spans[0]:
                 for y in spans[1]:
                     for x in spans[2]:
-                        own = out[(slice(None), *[slice(a - w, e - w) for (_, a, e), w in zip((z, y, x), key[1:], strict=True)])]
-                        done.append((key[0], z[0], y[0], x[0], *key[1:], _meta(frame, tile, [s[1] - s[0] for s in (z, y, x)], own.shape[1:]),
-                                     np.ascontiguousarray(np.moveaxis(own, 0, -1)).tobytes()))
-            yield _batch(done, _SCORED_SCHEMA)
+                        own = out[(slice(None), *[slice(a - w, e - w) for (_, a, e), w in zip((z, y, x), start, strict=True)])]
+                        meta = _meta(frame, tile, [s[1] - s[0] for s in (z, y, x)], own.shape[1:4])
+                        yield _same(scan, [z[0], y[0], x[0], *start, meta], own, _SCORED_SCHEMA)
     return _dealt(pieces, TILE_KEYS).mapInArrow(run, _SCORED)
 
 
@@ -265,22 +369,23 @@ def blend_tiles(scored: DataFrame, num_classes: int, block: int = BLOCK, weight:
     A block is the sum of at most the tiles that cover some of it, added in the order of their starts."""
     def run(batches):
         known: dict = {}
-        for key, rows in _runs(batches, BLOCK_KEYS):
-            shape = [min(block, n - o) for n, o in zip(rows[0]["frame"], key[1:], strict=True)]
-            total, mass = np.zeros((*shape, num_classes)), np.zeros((*shape, 1))
+        for scan, rows in _runs_alike(batches, BLOCK_KEYS, TILE_KEYS[1:]):
+            corner = [rows[0][k] for k in BLOCK_KEYS[1:]]
+            shape = [min(block, n - o) for n, o in zip(rows[0]["frame"], corner, strict=True)]
+            total, mass = np.zeros((len(scan), *shape, num_classes)), np.zeros((*shape, 1))
             for r in rows:
                 tile, size = tuple(r["tile"]), r["shape"]
                 if tile not in known:
                     known = {tile: weight(tile)[..., None]}
-                own = np.frombuffer(r["data"], np.float32).reshape(*size, -1)
+                own = r["data"].reshape(len(scan), *size, -1)
                 if own.shape[-1] != num_classes:
                     raise ValueError(f"{own.shape[-1]} classes, not {num_classes}")
-                inside = [o + a - w for o, a, w in zip(key[1:], r["at"], (r["tz"], r["ty"], r["tx"]), strict=True)]
+                inside = [o + a - w for o, a, w in zip(corner, r["at"], (r["tz"], r["ty"], r["tx"]), strict=True)]
                 w = known[tile][tuple(slice(a, a + s) for a, s in zip(inside, size, strict=True))]
                 here = tuple(slice(a, a + s) for a, s in zip(r["at"], size, strict=True))
-                total[here] += w * own
+                total[(slice(None), *here)] += w * own
                 mass[here] += w
-            yield _block_rows([key], [shape], [(total / np.maximum(mass, 1e-6)).ravel()], "logit", pa.float64())
+            yield _blocks_alike(scan, corner, shape, total / np.maximum(mass, 1e-6), "logit", pa.float64())
     dealt = _dealt(scored, BLOCK_KEYS, ["tz", "ty", "tx"])
     return dealt.mapInArrow(run, "scan_id long, z0 int, y0 int, x0 int, shape array<int>, logit array<double>")
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxelspark.operators.blocks import BLOCK, BLOCK_KEYS, _batch, _block_rows, _dealt, _meta, _rows, _runs
+from voxelspark.operators.blocks import AT_ONCE, BLOCK, BLOCK_KEYS, _alike, _blocks_alike, _dealt, _meta, _runs_alike, _same
 from voxelspark.operators.resample import PREVIEW_SIGMA_MM
 from voxelspark.plans.attach import attach
 
@@ -25,45 +25,45 @@ _SCHEMA = pa.schema([("scan_id", pa.int64()), ("z0", pa.int32()), ("y0", pa.int3
 
 def with_halo(blocks: DataFrame, scans: DataFrame, reach: Callable[[np.ndarray], list[int]], fn: Callable[[np.ndarray, np.ndarray], np.ndarray],
               block: int = BLOCK, value: str = "hu") -> DataFrame:
-    """``fn(box, spacing)`` of every block with ``reach(spacing)`` voxels more on each side, (z, y, x); it returns the block without them.
+    """``fn(boxes, spacing)`` of blocks with ``reach(spacing)`` voxels more on each side, (block, z, y, x); it returns them without these.
 
-    The reach follows from a scan's spacing (z, y, x) and may be larger than a block."""
+    Blocks come together that differ in scan and values only.     The reach follows from a scan's spacing (z, y, x) and may be larger than a block."""
     def cut(batches):
         for b in batches:
-            for r in _rows(b, value):
-                box, corner, step = r[value].reshape(r["shape"]), [r["z0"], r["y0"], r["x0"]], np.array(r["step"])
+            for r, scan, boxes in _alike(b, value):
+                boxes, corner, step = boxes[..., 0], [r["z0"], r["y0"], r["x0"]], np.array(r["step"])
                 far = reach(step)
                 spans = []
                 for n, o, s, k in zip(r["frame"], corner, r["shape"], far, strict=True):
                     targets = range(max(0, o - k) // block * block, min(n, o + s + k), block)
                     spans.append([(t, max(t - k, 0), max(o, t - k), min(o + s, min(t + block, n) + k)) for t in targets])
-                done = []
                 for z in spans[0]:
                     for y in spans[1]:
                         for x in spans[2]:
                             if all(a < e for _, _, a, e in (z, y, x)):
-                                own = box[tuple(slice(a - o, e - o) for (_, _, a, e), o in zip((z, y, x), corner, strict=True))]
-                                done.append((r["scan_id"], z[0], y[0], x[0], _meta(r["frame"], far, [s[2] - s[1] for s in (z, y, x)], own.shape),
-                                             step.tobytes(), np.ascontiguousarray(own, np.float32).tobytes()))
-                yield _batch(done, _SCHEMA)
+                                own = boxes[(slice(None), *[slice(a - o, e - o) for (_, _, a, e), o in zip((z, y, x), corner, strict=True)])]
+                                meta = _meta(r["frame"], far, [s[2] - s[1] for s in (z, y, x)], own.shape[1:])
+                                yield _same(scan, [z[0], y[0], x[0], meta, step.tobytes()], own, _SCHEMA)
 
     def run(batches):
-        for key, rows in _runs(batches, BLOCK_KEYS):
-            frame, far = rows[0]["frame"], rows[0]["tile"]
+        for scan, rows in _runs_alike(batches, BLOCK_KEYS):
+            key, frame, far = [rows[0][k] for k in BLOCK_KEYS], rows[0]["frame"], rows[0]["tile"]
             low = [max(o - k, 0) for o, k in zip(key[1:], far, strict=True)]
             ends = [min(o + block, n) for o, n in zip(key[1:], frame, strict=True)]
             high = [min(e + k, n) for e, k, n in zip(ends, far, frame, strict=True)]
-            box = np.empty([b - a for a, b in zip(low, high, strict=True)], np.float32)
+            box = np.empty([len(scan), *[b - a for a, b in zip(low, high, strict=True)]], np.float32)
             filled = 0
             for r in rows:
-                box[tuple(slice(a, a + s) for a, s in zip(r["at"], r["shape"], strict=True))] = np.frombuffer(r["data"], np.float32).reshape(r["shape"])
+                box[(slice(None), *[slice(a, a + s) for a, s in zip(r["at"], r["shape"], strict=True)])] = r["data"].reshape(-1, *r["shape"])
                 filled += math.prod(r["shape"])
-            if filled != box.size:
-                raise ValueError(f"scan {key[0]}, block at z{key[1]} y{key[2]} x{key[3]}: {filled} of {box.size} voxels present")
-            pad = [(k - (o - a), k - (b - e)) for k, o, a, e, b in zip(far, key[1:], low, ends, high, strict=True)]
-            out = fn(np.pad(box.astype(float), pad, mode="edge"), np.frombuffer(rows[0]["step"]))
+            if filled != math.prod(box.shape[1:]):
+                raise ValueError(f"scan {key[0]}, block at z{key[1]} y{key[2]} x{key[3]}: {filled} of {math.prod(box.shape[1:])} voxels present")
+            pad = [(0, 0), *[(k - (o - a), k - (b - e)) for k, o, a, e, b in zip(far, key[1:], low, ends, high, strict=True)]]
             shape = [e - o for o, e in zip(key[1:], ends, strict=True)]
-            yield _block_rows([key], [shape], [out.ravel()], value, pa.float64())
+            some = max(1, AT_ONCE // math.prod(s + 2 * k for s, k in zip(shape, far, strict=True)))
+            for i in range(0, len(scan), some):
+                out = fn(np.pad(box[i:i + some].astype(float), pad, mode="edge"), np.frombuffer(rows[0]["step"]))
+                yield _blocks_alike(scan[i:i + some], key[1:], shape, out, value, pa.float64())
 
     s = F.col("spacing")
     facts = scans.select("scan_id", F.array("nz", "ny", "nx").cast("array<int>").alias("frame"), F.array(s[2], s[1], s[0]).alias("step"))
@@ -80,7 +80,7 @@ def gaussian_blocks(blocks: DataFrame, scans: DataFrame, sigma_mm: float = PREVI
         return [math.ceil(3.0 * sigma_mm / s) for s in step.tolist()]
 
     def smooth(box, step):
-        for axis, (s, r) in enumerate(zip(step.tolist(), reach(step), strict=True)):
+        for axis, (s, r) in enumerate(zip(step.tolist(), reach(step), strict=True), 1):
             off = np.arange(-r, r + 1) * s
             weight = np.exp(-off * off / (2.0 * sigma_mm * sigma_mm))
             n = box.shape[axis] - 2 * r
