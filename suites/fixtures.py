@@ -184,7 +184,8 @@ class Fixtures:
 
     @cached_property
     def labels(self) -> DataFrame:
-        return self._grid.selectExpr("scan_id", "z", "y", "x", f"cast({LABEL} as short) AS label").filter("label > 0")
+        # generated, so that filters on the label compare it and do not work out the formula again
+        return self._grid.selectExpr("scan_id", "z", "y", "x", f"explode(array(cast({LABEL} as short))) AS label").filter("label > 0")
 
     @cached_property
     def truth(self) -> DataFrame:
@@ -260,7 +261,7 @@ class Fixtures:
     @cached_property
     def tooth_pred(self) -> DataFrame:
         return self.labels.filter("label in (3, 4)").withColumn("k", F.col("scan_id")).selectExpr(
-            "scan_id", "z", "y", "x", f"cast({TOOTH} as short) AS id")
+            "scan_id", "z", "y", "x", f"explode(array(cast({TOOTH} as short))) AS id")
 
     @cached_property
     def run_log(self) -> DataFrame:
