@@ -180,7 +180,7 @@ class Fixtures:
     @cached_property
     def voxels(self) -> DataFrame:
         return self._grid.withColumn("h", F.expr(H)).selectExpr(
-            "scan_id", "z", "y", "x", f"cast({HU} as float) AS hu")
+            "scan_id", "z", "y", "x", f"explode(array(cast({HU} as float))) AS hu")
 
     @cached_property
     def labels(self) -> DataFrame:

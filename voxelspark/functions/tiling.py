@@ -54,7 +54,7 @@ def covering_starts(at: Column, n: Column, tile: int, overlap: float = OVERLAP)
     last = n - tile
     first = F.greatest(F.ceil((at - tile + 1) / step), F.lit(0)).cast("int")
     final = F.least(F.floor(at / step), F.floor(last / step)).cast("int")
-    regular = F.when(first <= final, F.transform(F.sequence(first, final), lambda i: (i * step).cast("int")))
+    regular = F.when(first <= final, F.sequence(first * step, final * step, F.lit(step)))
     regular = F.coalesce(regular, F.array().cast("array<int>"))
     flush = F.when((last % step != 0) & (at >= last), F.array(last.cast("int")))
     return F.concat(regular, F.coalesce(flush, F.array().cast("array<int>")))
