@@ -34,7 +34,7 @@ def iso_vertices(field: DataFrame, scans: DataFrame, iso: float = 0.0, value: st
         at = [(F.col(a) + (F.lit(iso) - v) / (far - v)) if a == axis else F.col(a).cast("double") for a in AXES]
         edges.append(F.when((v >= iso) != (far >= iso), F.struct(
             F.lit(axis).alias("axis"), *[c.alias(a) for c, a in zip(at, AXES)])))
-    hit = rows.select("scan_id", F.explode(F.array_compact(F.array(*edges))).alias("e"))
+    hit = rows.select("scan_id", F.explode(F.array(*edges)).alias("e")).filter(F.col("e").isNotNull())
     hit = attach(hit, _geometry(scans), sized_by=scans, salt_by=("e",))
     p = to_physical([F.col(f"e.{a}") for a in AXES])
     return hit.select("scan_id", "e.axis", *[c.alias(a) for c, a in zip(p, AXES)])
