@@ -590,3 +590,13 @@ def test_resampling_shuffles_the_source_and_not_the_grid(spark):
     source = _shuffled(spark, lambda: rows.repartition("scan_id", "z").count() and rows.repartition("scan_id", "z").write.format("noop").mode("overwrite").save())
     grid = _shuffled(spark, lambda: resample.resample_linear(rows, head).write.format("noop").mode("overwrite").save())
     assert grid < 3 * source
+
+
+def test_no_formula_is_worked_out_twice_or_by_lambdas(spark):
+    from suites.fixtures import Fixtures
+    from voxelspark.operators import tiles
+    fx = Fixtures(spark, "/root/testdata/sf0.001")
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()       # noqa: E731
+    assert plan(fx.labels.filter("label in (3, 4)")).count("CASE WHEN") == plan(fx.labels).count("CASE WHEN")
+    for df in (fx.logits, tiles.tile_voxels(fx.voxels, fx.scans, (8, 8, 8)), surface.iso_vertices(fx.voxels, fx.scans, 400.0)):
+        assert "lambda" not in plan(df)
