@@ -600,3 +600,22 @@ def test_no_formula_is_worked_out_twice_or_by_lambdas(spark):
     assert plan(fx.labels.filter("label in (3, 4)")).count("CASE WHEN") == plan(fx.labels).count("CASE WHEN")
     for df in (fx.logits, tiles.tile_voxels(fx.voxels, fx.scans, (8, 8, 8)), surface.iso_vertices(fx.voxels, fx.scans, 400.0)):
         assert "lambda" not in plan(df)
+
+
+def test_quantiles_of_keys_of_any_size(spark, monkeypatch):
+    """Keys of few values are sorted whole (one table of counts is written); larger ones beside them are selected."""
+    from voxelspark.operators import quantiles as Q
+    rng = random.Random(11)
+    values = {k: [rng.choice((rng.uniform(-5, 5), 0.0, -0.0, 2.5)) for _ in range(n)] for k, n in ((1, 1), (2, 7), (3, 400), (4, 900))}
+    rows = [(k, v) for k, vs in values.items() for v in vs] + [(2, None), (3, float("nan")), (None, 1.0), (5, None)]
+    df = spark.createDataFrame(rows, "k long, v double").repartition(5).cache()
+    levels = [0.0, 0.1, 0.5, 0.995, 1.0]
+    want = {(k, i): np.quantile(vs, q) for k, vs in values.items() for i, q in enumerate(levels)}
+    written = []
+    cut = Q.cut_lineage
+    monkeypatch.setattr(Q, "cut_lineage", lambda x: written.append(x) or cut(x))
+    for few, ends, most in ((Q.FEW, None, 1), (Q.FEW, Q.extents(df, ["k"], "v"), 0), (100, None, 9), (100, Q.extents(df.filter("k > 0"), ["k"], "v"), 9), (0, None, 9)):
+        written.clear()
+        got = {(r.k, r.level): r.value for r in Q.quantiles(df, ["k"], "v", levels, ends=ends, few=few).collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+        assert len(written) <= most

@@ -1,8 +1,11 @@
-"""Exact quantiles in two passes of selection: a histogram, then ranks inside the bins that hold a wanted one.
-
-No value is written or shuffled for itself but those of the wanted bins, counted. The
-histogram is combined in every task; a bin that holds most of all values is ranked in
-range buckets like any other, so no group is gathered in one task.
+"""Exact quantiles: keys of few values are sorted whole, the others selected in two passes.
+
+Keys are counted first. The values of a key that has at most ``FEW`` become one sorted array (each
+task packs what it has before the shuffle): nearly every one would be a bin of its own. For larger keys
+a histogram is followed by ranks inside the bins that hold a wanted one: no value is written or
+shuffled for itself but those of the wanted bins, counted. The histogram is combined in every
+task; a bin that holds most of all values is ranked in range buckets like any other, so no large
+group is gathered in one task.
 """
 from __future__ import annotations
 
@@ -17,6 +20,7 @@ from voxelspark.plans.ordered import running_sum
 from voxelspark.session import cut_lineage
 
 BINS = 4096                     # a multiple of 64
+FEW = 1 << 14                   # values of a key that are sorted together
 
 
 def extents(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -32,13 +36,42 @@ def bin_of(v: Column, low: Column, width: Column, bins: int) -> Column:
 
 
 def quantiles(df: DataFrame, keys: Sequence[str], value: str, fractions: Sequence[float], bins: int = BINS,
-              ends: DataFrame | None = None) -> DataFrame:
+              ends: DataFrame | None = None, few: int = FEW) -> DataFrame:
     """Exact, linearly interpolated quantiles of ``value`` per ``keys``: ``keys, level, fraction, value``.
 
     ``level`` is the position in ``fractions``. Nulls and NaN are left out. ``ends`` are the ``extents``,
-    if known. ``df`` is read twice, or three times without them: write it first if it is dear.
+    if known. ``df`` is read twice if no key has more than ``few`` rows (once with ``ends``), else up to four
+    times more: write it first if it is dear.
     """
     keys = list(keys)
+    rows = df
+    for k in keys:
+        rows = rows.filter(F.col(k).isNotNull())
+    known = cut_lineage(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"))) if ends is None else ends
+    large, small = known.filter(F.col("rows") > few).select(*keys), known.filter(F.col("rows") <= few).select(*keys)
+    if large.isEmpty():
+        return _sorted(rows, keys, value, fractions)
+    if small.isEmpty():
+        return _selected(rows, keys, value, fractions, bins, ends)
+    first = _sorted(attach(rows, small, row_bytes=64, on=keys, salt_by=(value,)), keys, value, fractions)
+    ends = None if ends is None else ends.filter(F.col("rows") > few)
+    return first.unionByName(_selected(attach(rows, large, row_bytes=64, on=keys, salt_by=(value,)), keys, value, fractions, bins, ends))
+
+
+def _sorted(df: DataFrame, keys: list[str], value: str, fractions: Sequence[float]) -> DataFrame:
+    """``quantiles`` of keys of few values: one sorted array a key, of at most ``FEW`` values."""
+    v = F.col(value).cast("double")
+    rows = df.filter(v.isNotNull() & ~F.isnan(v)).select(*keys, (v + F.lit(0.0)).alias("_v"))               # one zero
+    one = rows.groupBy(*keys).agg(F.sort_array(F.collect_list("_v")).alias("_vs"))
+    one = one.select(*keys, "_vs", F.explode(F.array(*[
+        F.struct(F.lit(i).alias("level"), F.lit(float(q)).alias("fraction")) for i, q in enumerate(fractions)])).alias("want"))
+    p = F.col("want.fraction") * (F.size("_vs") - 1)
+    low, high = (F.get("_vs", f(p).cast("int")) for f in (F.floor, F.ceil))
+    return one.select(*keys, "want.level", "want.fraction", (low + (high - low) * (p - F.floor(p))).alias("value"))
+
+
+def _selected(df: DataFrame, keys: list[str], value: str, fractions: Sequence[float], bins: int, ends: DataFrame | None) -> DataFrame:
+    """``quantiles`` of keys of any size, in two passes after the ``extents``."""
     ends = cut_lineage(extents(df, keys, value)) if ends is None else ends
     v = F.col("_v")
     rows = df.select(*keys, F.col(value).cast("double").alias("_v")).filter(v.isNotNull() & ~F.isnan(v))
