@@ -619,3 +619,17 @@ def test_quantiles_of_keys_of_any_size(spark, monkeypatch):
         got = {(r.k, r.level): r.value for r in Q.quantiles(df, ["k"], "v", levels, ends=ends, few=few).collect()}
         assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
         assert len(written) <= most
+
+
+def test_blocks_are_labelled_some_at_a_time(monkeypatch):
+    """What is held of a batch does not grow with the blocks in it, and roots are those of each block for itself."""
+    import pandas as pd
+    from voxelspark.operators import components as C
+    rng = np.random.default_rng(5)
+    each = [rng.choice(512, 300, replace=False).astype(np.int32) for _ in range(3000)]
+    sizes, label = [], C.local_roots
+    monkeypatch.setattr(C, "local_roots", lambda pos, *rest: sizes.append(len(pos)) or label(pos, *rest))
+    got = C.roots_of_blocks(pd.Series(each), 8, C.half_offsets(6))
+    assert sum(sizes) == 900_000 and max(sizes) <= 64 ** 3 + 512
+    for i in (0, 871, 872, 873, 874, 1500, 2999):
+        assert (got[i] == label(each[i], np.zeros(300, int), 8, C.half_offsets(6))).all()

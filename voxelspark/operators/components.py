@@ -26,6 +26,7 @@ from voxelspark.plans.ordered import number_rows
 from voxelspark.session import cut_lineage
 
 BLOCK = 64
+AT_ONCE = 1 << 18                            # voxels labelled together: one full block (each takes some 200 bytes)
 _BITS = 21                                   # per coordinate in a packed position
 
 
@@ -72,8 +73,8 @@ def local_roots(pos: np.ndarray, cell: np.ndarray, block: int, offsets: Sequence
 
 
 def roots_of_blocks(blocks: pd.Series, block: int, offsets: Sequence[tuple[int, int, int]],
-                    at_once: int = 1 << 22) -> pd.Series:
-    """``local_roots`` for a batch of blocks, many small ones together."""
+                    at_once: int = AT_ONCE) -> pd.Series:
+    """``local_roots`` for a batch of blocks, small ones together up to ``at_once`` voxels."""
     sizes = blocks.map(len).to_numpy()
     group = np.cumsum(sizes) // at_once
     out = []
