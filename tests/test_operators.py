@@ -633,3 +633,28 @@ def test_blocks_are_labelled_some_at_a_time(monkeypatch):
     assert sum(sizes) == 900_000 and max(sizes) <= 64 ** 3 + 512
     for i in (0, 871, 872, 873, 874, 1500, 2999):
         assert (got[i] == label(each[i], np.zeros(300, int), 8, C.half_offsets(6))).all()
+
+
+def test_voxels_are_packed_before_python(spark):
+    """One pass through Python, of arrays: a row per plane of a block, not per voxel."""
+    cells = {(z, y, x): float(z * 100 + y * 10 + x) for z in range(5) for y in range(7) for x in range(9)}
+    rows = [(*at, v) for at, v in cells.items()]
+    made = blocks.to_blocks(voxels(spark, rows, "hu float").repartition(3), heads(spark, (9, 7, 5)), 4)
+    assert made._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    for r in made.collect():
+        box = np.array(r.hu).reshape(r.shape)
+        assert all(v == cells[r.z0 + z, r.y0 + y, r.x0 + x] for (z, y, x), v in np.ndenumerate(box))
+
+
+def test_blocks_resampled_as_rows(spark):
+    """Blocks of a resampled grid hold the values of ``resample_linear``, across block borders and beyond the last voxel."""
+    from voxelspark.operators import regions, resample
+    rng = random.Random(3)
+    cells = {(z, y, x): rng.uniform(-1000, 3000) for z in range(6) for y in range(7) for x in range(9)}
+    scans = heads(spark, (9, 7, 6)).withColumn("spacing", F.array(F.lit(0.4), F.lit(1.5), F.lit(0.9)))
+    source = blocks.to_blocks(voxels(spark, [(*at, v) for at, v in cells.items()], "hu float"), scans, 4)
+    rows = blocks.voxels_of(source, "hu")
+    for spacing in (1.0, 0.7):
+        got = {(r.z, r.y, r.x): r.hu for r in blocks.voxels_of(regions.resampled_blocks(source, scans, spacing, 4), "hu").collect()}
+        want = {(r.z, r.y, r.x): r.hu for r in resample.resample_linear(rows, scans, spacing).collect()}
+        assert got == want

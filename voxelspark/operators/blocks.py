@@ -38,39 +38,42 @@ class TileError(RuntimeError):
 def to_blocks(voxels: DataFrame, scans: DataFrame, block: int = BLOCK, value: str = "hu") -> DataFrame:
     """Blocks of a dense table with a row per voxel.
 
-    Each task packs what it has of a block before the shuffle. A frame with missing or repeated voxels is an error."""
-    def pack(batches):
-        for b in batches:
-            if not b.num_rows:
-                continue
-            scan, z, y, x = (b.column(c).to_numpy().astype(np.int64) for c in ("scan_id", "z", "y", "x"))
-            corner = [c // block for c in (z, y, x)]
-            at = ((z - corner[0] * block) * block + y - corner[1] * block) * block + x - corner[2] * block
-            order = np.lexsort((at, corner[2], corner[1], corner[0], scan))
-            keys = np.stack([scan, *corner], 1)[order]
-            first = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(1)])
-            at, data = at[order].astype(np.int32), b.column(value).to_numpy()[order].astype(np.float32)
-            spans = list(zip(first.tolist(), [*first[1:].tolist(), len(at)], strict=True))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys[first, 0]), *[pa.array((keys[first, k] * block).astype(np.int32)) for k in (1, 2, 3)],
-                 pa.array([at[i:j].tobytes() for i, j in spans], pa.binary()), pa.array([data[i:j].tobytes() for i, j in spans], pa.binary())],
-                [*BLOCK_KEYS, "at", "data"])
-
+    Each task collects what it has of a block's plane, so voxels go to Python as arrays. A frame with missing or
+    repeated voxels is an error."""
     def merge(batches):
-        for key, rows in _runs(batches, BLOCK_KEYS):
-            shape = np.minimum(block, np.array(rows[0]["frame"]) - key[1:])
-            at, data = (np.concatenate([np.frombuffer(r[c], t) for r in rows]) for c, t in (("at", np.int32), ("data", np.float32)))
-            place = [at // (block * block), at // block % block, at % block]
-            if len(at) != np.prod(shape) or any((p >= n).any() for p, n in zip(place, shape, strict=True)):
-                raise ValueError(f"scan {key[0]}, block at z{key[1]} y{key[2]} x{key[3]}: {len(at)} of {np.prod(shape)} voxels present")
-            box = np.full(shape, np.nan, np.float32)
-            filled = np.zeros(shape, bool)
-            box[tuple(place)], filled[tuple(place)] = data, True
-            if not filled.all():
-                raise ValueError(f"scan {key[0]}, block at z{key[1]} y{key[2]} x{key[3]}: repeated voxels")
-            yield _block_rows([key], [shape], [box.ravel()], value, pa.float32())
-
-    packed = voxels.select("scan_id", "z", "y", "x", value).mapInArrow(pack, "scan_id long, z0 int, y0 int, x0 int, at binary, data binary")
+        keys, shapes, values, held_now = [], [], [], 0
+        for t in _whole_runs(batches, BLOCK_KEYS):
+            key = np.stack([t.column(k).to_numpy() for k in BLOCK_KEYS], 1)
+            first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(1)]).tolist()
+            held = {c: (np.asarray(t.column(c).offsets), t.column(c).values.to_numpy(zero_copy_only=False)) for c in ("at", "data")}
+            for i, j in zip(first, [*first[1:], len(key)], strict=True):
+                at, data = (flat[o[i]:o[j]] for o, flat in (held["at"], held["data"]))
+                where = tuple(key[i].tolist())
+                shape = [min(block, n - o) for n, o in zip(t.column("frame")[i].as_py(), where[1:], strict=True)]
+                size = shape[0] * shape[1] * shape[2]
+                place = [at // (block * block), at // block % block, at % block]
+                if len(at) != size or len(data) != size or any((p >= n).any() for p, n in zip(place, shape, strict=True)):
+                    raise ValueError(f"scan {where[0]}, block at z{where[1]} y{where[2]} x{where[3]}: {len(at)} of {size} voxels present")
+                to = (place[0] * shape[1] + place[1]) * shape[2] + place[2]
+                box, filled = np.empty(size, np.float32), np.zeros(size, bool)
+                box[to], filled[to] = data, True
+                if not filled.all():
+                    raise ValueError(f"scan {where[0]}, block at z{where[1]} y{where[2]} x{where[3]}: repeated voxels")
+                keys.append(where)
+                shapes.append(shape)
+                values.append(box)
+                held_now += size
+                if held_now >= AT_ONCE // 16:
+                    yield _block_rows(keys, shapes, values, value, pa.float32())
+                    keys, shapes, values, held_now = [], [], [], 0
+        if keys:
+            yield _block_rows(keys, shapes, values, value, pa.float32())
+
+    corner = [(F.floor(F.col(a) / block).cast("int") * block).alias(f"{a}0") for a in "zyx"]
+    z, y, x = (F.pmod(F.col(a), F.lit(block)) for a in "zyx")
+    rows = voxels.select("scan_id", "z", *corner, ((z * block + y) * block + x).cast("int").alias("at"),
+                         F.coalesce(F.col(value).cast("float"), F.lit(float("nan"))).alias("data"))
+    packed = rows.groupBy("scan_id", "z", *BLOCK_KEYS[1:]).agg(F.collect_list("at").alias("at"), F.collect_list("data").alias("data"))
     frame = scans.select("scan_id", F.array("nz", "ny", "nx").alias("frame"))
     packed = attach(packed, frame, sized_by=scans, salt_by=("z0", "y0"))
     return _dealt(packed, BLOCK_KEYS).mapInArrow(merge, f"scan_id long, z0 int, y0 int, x0 int, shape array<int>, {value} array<float>")
@@ -136,6 +139,25 @@ def _runs(batches, keys: Sequence[str]) -> Iterator[tuple[tuple, list[dict]]]:
         yield now, rows
 
 
+def _whole_runs(batches, keys: Sequence[str]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches that end where a run of equal keys does."""
+    rest: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        at = np.stack([b.column(k).to_numpy() for k in keys], 1)
+        first = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]).any(1)])
+        if rest and any(rest[-1].column(k)[-1].as_py() != v for k, v in zip(keys, at[0].tolist(), strict=True)):
+            yield pa.concat_batches(rest)
+            rest = []
+        if first[-1]:
+            yield pa.concat_batches([*rest, b.slice(0, first[-1])])
+            rest = []
+        rest.append(b.slice(first[-1]))
+    if rest:
+        yield pa.concat_batches(rest)
+
+
 # --- tiles -----------------------------------------------------------------------------------------------------------------------
 
 def _starts(n: int, tile: int, overlap: float) -> list[int]:

@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from voxelspark.functions.geometry import GRID_SPACING_MM, SIZE
 from voxelspark.functions.tiling import OVERLAP
-from voxelspark.operators.blocks import BLOCK, BLOCK_KEYS, TileError, _batch, _block_rows, _dealt, _meta, _rows, _runs, _starts, bell
-from voxelspark.operators.resample import OUTSIDE_HU
+from voxelspark.operators.blocks import AT_ONCE, BLOCK, BLOCK_KEYS, TileError, _alike, _batch, _block_rows, _blocks_alike, _dealt, _meta, _rows, _runs, _runs_alike, _same, _starts, bell
+from voxelspark.operators.resample import OUTSIDE_HU, resampled_headers
 from voxelspark.plans.attach import attach
 
 _PIECES = "scan_id long, z0 int, y0 int, x0 int, meta binary, step binary, data binary"
@@ -56,6 +56,59 @@ def _linear(box: np.ndarray, axis: int, first: int, n: int, step: float, low: in
     return np.moveaxis(out, -1, axis)
 
 
+def resampled_blocks(blocks: DataFrame, scans: DataFrame, spacing: float = GRID_SPACING_MM, block: int = BLOCK, value: str = "hu") -> DataFrame:
+    """Blocks (double) on the isotropic grid of ``resampled_headers``: the values of ``resample_linear``, voxels never rows.
+
+    What is shuffled are parts of source blocks, each to the blocks of the grid whose voxels lie in or next to it."""
+    def sources(n, step, m):
+        """For each block of the grid along an axis: start, end, source range."""
+        for o in range(0, m, block):
+            e = min(o + block, m)
+            yield o, e, min(int(np.floor(o * spacing / step)), n - 1), min(int(np.floor((e - 1) * spacing / step)) + 2, n)
+
+    def cut(batches):
+        for b in batches:
+            for r, scan, boxes in _alike(b, value):
+                boxes, corner, step = boxes[..., 0].astype(float), [r["z0"], r["y0"], r["x0"]], np.array(r["step"])
+                reach = [[(o, a, max(a, c), min(e, c + k)) for o, _, a, e in sources(n, s, m) if a < c + k and e > c]
+                         for n, s, m, c, k in zip(r["frame"], r["step"], r["fine"], corner, r["shape"], strict=True)]
+                for z in reach[0]:
+                    for y in reach[1]:
+                        for x in reach[2]:
+                            own = boxes[(slice(None), *[slice(a - c, e - c) for (_, _, a, e), c in zip((z, y, x), corner, strict=True)])]
+                            meta = _meta(r["frame"], r["fine"], [w[2] - w[1] for w in (z, y, x)], own.shape[1:])
+                            yield _same(scan, [z[0], y[0], x[0], meta, step.tobytes()], np.ascontiguousarray(own).view(np.float32), _SCHEMA)
+
+    def run(batches):
+        for scan, rows in _runs_alike(batches, BLOCK_KEYS):
+            key, frame, fine = [rows[0][k] for k in BLOCK_KEYS], rows[0]["frame"], rows[0]["tile"]
+            step = np.frombuffer(rows[0]["step"]).tolist()
+            own = [next(s for s in sources(n, d, m) if s[0] == o) for n, d, m, o in zip(frame, step, fine, key[1:], strict=True)]
+            box = np.empty([len(scan), *[e - a for _, _, a, e in own]])
+            filled = 0
+            for r in rows:
+                data = np.ascontiguousarray(r["data"]).view(np.float64)         # doubles, sent as pairs of floats
+                box[(slice(None), *[slice(a, a + s) for a, s in zip(r["at"], r["shape"], strict=True)])] = data.reshape(-1, *r["shape"])
+                filled += prod(r["shape"])
+            if filled != prod(box.shape[1:]):
+                raise ValueError(f"scan {key[0]}, block at z{key[1]} y{key[2]} x{key[3]}: {filled} of {prod(box.shape[1:])} voxels present")
+            shape = [e - o for o, e, _, _ in own]
+            some = max(1, AT_ONCE // max(prod(shape), prod(box.shape[1:])))
+            for i in range(0, len(scan), some):
+                out = box[i:i + some]
+                for axis in (2, 1, 0):
+                    low, high, first, _ = own[axis]
+                    out = _linear(out, axis + 1, first, frame[axis], step[axis], low, high, spacing)
+                yield _blocks_alike(scan[i:i + some], key[1:], shape, out, value, pa.float64())
+
+    fine = resampled_headers(scans, spacing).select("scan_id", F.array("nz", "ny", "nx").cast("array<int>").alias("fine"))
+    s = F.col("spacing")
+    facts = scans.select("scan_id", F.array("nz", "ny", "nx").cast("array<int>").alias("frame"), F.array(s[2], s[1], s[0]).alias("step")).join(fine, "scan_id")
+    held = attach(blocks.select(*BLOCK_KEYS, "shape", value), facts, sized_by=scans, salt_by=("z0", "y0"))
+    return _dealt(held.mapInArrow(cut, _PIECES), BLOCK_KEYS).mapInArrow(
+        run, f"scan_id long, z0 int, y0 int, x0 int, shape array<int>, {value} array<double>")
+
+
 def resampled_scores(blocks: DataFrame, scans: DataFrame, grid: DataFrame, prepare: Callable[[np.ndarray], np.ndarray],
                      score: Callable[[np.ndarray], np.ndarray], tile: Sequence[int], num_classes: int, spacing: float = GRID_SPACING_MM,
                      overlap: float = OVERLAP, block: int = BLOCK, labels: bool = True) -> DataFrame:

@@ -106,8 +106,8 @@ def class_report(labels: DataFrame, scans: DataFrame, block: int = C.BLOCK) -> D
 def preview_grid(voxels: DataFrame, scans: DataFrame, spacing: float = resample.PREVIEW_SPACING_MM,
                  sigma_mm: float = resample.PREVIEW_SIGMA_MM, block: int = blocks.BLOCK) -> tuple[DataFrame, DataFrame]:
     """The smoothed coarse grid and its thresholds, ready for ``sources.preview``."""
-    smooth = blocks.voxels_of(halo.gaussian_blocks(blocks.to_blocks(voxels, scans, block), scans, sigma_mm, block), "hu")
-    coarse = cut_lineage(resample.resample_linear(smooth, scans, spacing))
+    smooth = halo.gaussian_blocks(blocks.to_blocks(voxels, scans, block), scans, sigma_mm, block)
+    coarse = blocks.voxels_of(cut_lineage(regions.resampled_blocks(smooth, scans, spacing, block)), "hu")
     return coarse, histogram.otsu_thresholds(histogram.inside_fov(coarse))
 
 
