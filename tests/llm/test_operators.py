@@ -492,3 +492,25 @@ def test_pipeline_stages_survive_odd_tables(spark):
             assert docs.columns == [f.name for f in T._parse_datatype_string(schema)]
         assert [r["doc_id"] for r in docs.collect()] == ([1] if data else [])
         corpus_pipeline.best_fit_packing(spark, docs, SF).collect()
+
+
+def test_katz_records_are_squeezed_and_come_back():
+    """Steps, small counts and homes of sorted asks: well under half the bytes of their columns."""
+    rnd = np.random.default_rng(3)
+    n = 20_000
+    slot = rnd.integers(0, 7, n)
+    cols = {k: rnd.integers(0, 4, n).astype(d) for k, d in katz.ASK.dtypes.items()} | {"low": rnd.integers(0, 1 << 32, n).astype(np.uint32)}
+    packed = katz.ASK.pack(slot, cols)
+    assert sum(map(len, packed.column("data").to_pylist())) < n * katz.ASK.width / 2
+    back, order = katz.ASK.unpack(packed), np.argsort(slot, kind="stable")
+    for k, d in katz.ASK.dtypes.items():
+        assert back[k].dtype == d and (back[k] == cols[k][order]).all()
+    weights = {k: rnd.random(n).astype(d) for k, d in katz.CONTEXT.dtypes.items()}
+    back = katz.CONTEXT.unpack(pa.Table.from_batches([katz.CONTEXT.pack(slot, weights)] * 2))
+    assert all((back[k] == np.tile(weights[k][order], 2)).all() for k in weights)
+    assert all(len(v) == 0 for v in katz.ASK.unpack(katz.ASK.empty()).values())
+
+
+def test_katz_whole_model(spark, hand):
+    docs, df = hand
+    close(rows_of(katz.katz_scores(df, min_pair=1)), brute.katz(docs, min_pair=1)[0])
