@@ -514,3 +514,19 @@ def test_katz_records_are_squeezed_and_come_back():
 def test_katz_whole_model(spark, hand):
     docs, df = hand
     close(rows_of(katz.katz_scores(df, min_pair=1)), brute.katz(docs, min_pair=1)[0])
+
+
+def test_bitmaps_tell_long_unlike_lines_apart():
+    """Lines of 180 words with a third in common are left out; a bitmap never differs by more bits than sets by words."""
+    rnd = np.random.default_rng(5)
+    pool = rnd.integers(0, 1 << 32, 3000).astype(np.uint64)
+    for size, common, all_out in ((180, 60, True), (180, 175, False), (12, 9, False), (400, 390, False)):
+        need, out = -(-80 * 2 * size // 180), []
+        for _ in range(200):
+            words = rnd.permutation(pool)[:2 * size - common]
+            h = np.concatenate([words[:size], words[size - common:]])
+            bits, more = linejoin.bitmaps(h, np.array([0, size, 2 * size]))
+            apart = int(np.bitwise_count(bits[0] ^ bits[1]) + np.bitwise_count(more[0] ^ more[1]))
+            assert apart <= 2 * (size - common)
+            out.append(apart > 2 * size - 2 * need)
+        assert not all_out or sum(out) > 150

@@ -86,6 +86,17 @@ def places(doc: np.ndarray, line: np.ndarray) -> np.ndarray:
     return text.mix(text.mix(doc.astype(np.int64).view(U64)) * U64(3) + line.astype(U64))
 
 
+def bitmaps(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """96 bits of each set, each the parity of the words that fall on it.
+
+    A word that only one of two sets holds changes one bit, so the sets differ by at least as many words as bits,
+    and unlike sets of any size differ in about half of all bits."""
+    bit = (text.mix(h.copy()) >> U64(40)) * U64(96) >> U64(24)
+    parts = (np.where(bit < 64, U64(1) << (bit & U64(63)), U64(0)), np.where(bit < 64, U64(0), U64(1) << (bit & U64(31))))
+    bits, more = (np.bitwise_xor.reduceat(p, at[:-1]) if len(h) else p for p in parts)
+    return bits, more
+
+
 def _take(h, at, rows):
     """The given sets of a ragged column."""
     size = (at[1:] - at[:-1])[rows]
@@ -154,9 +165,7 @@ def similar_lines(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_
         size = np.diff(at)
         line = np.repeat(np.arange(len(size)), size)
         h = h[np.lexsort((h, rank, line))]
-        bit = (text.mix(h.copy()) >> U64(40)) * U64(96) >> U64(24)                  # 96 bits a line
-        parts = [np.where(bit < 64, U64(1) << (bit & U64(63)), U64(0)), np.where(bit < 64, U64(0), U64(1) << (bit & U64(31)))]
-        bits, more = (np.bitwise_or.reduceat(p, at[:-1]) if len(h) else p for p in parts)
+        bits, more = bitmaps(h, at)
         prefix = size - -(-percent * size // 100) + 1
         out = []
         one = np.flatnonzero(size >= long)
