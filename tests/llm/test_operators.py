@@ -530,3 +530,34 @@ def test_bitmaps_tell_long_unlike_lines_apart():
             assert apart <= 2 * (size - common)
             out.append(apart > 2 * size - 2 * need)
         assert not all_out or sum(out) > 150
+
+
+def test_forest_region_of_unlinked_members_gives_no_pairs(spark):
+    """Alike, but not enough: no region gives out its pairs; of linked ones it gives a link less than members."""
+    rnd = np.random.default_rng(11)
+    base = rnd.integers(0, 1 << 40, 100).astype(np.uint64)
+    sig = np.tile(np.arange(forest.HASHES, dtype=np.uint16), (60, 1))
+    doc, side = np.arange(60), np.zeros(60, np.int32)
+    half = [np.unique(np.r_[base, rnd.integers(0, 1 << 40, 15).astype(np.uint64)]) for _ in doc]      # 100 of 130 in common
+    assert forest.join_region(0, doc, doc, side, sig, half, 85, 88) == []
+    close_ = [np.unique(np.r_[base, rnd.integers(0, 1 << 40, 3).astype(np.uint64)]) for _ in doc]
+    found = forest.join_region(0, doc, doc, side, sig, close_, 85, 88)
+    assert len(found) == 59
+    assert forest.join_region(1, doc, doc, side, sig, close_, 85, 88) == []                         # met in tree 0
+    assert len(forest.join_region(0, doc, doc % 2, side, sig, close_, 85, 88)) == 1
+    across = forest.join_region(0, doc, doc, doc % 2 + 1, sig, close_, 85, 88)
+    assert len(across) == 59 and all((a + b) % 2 for a, b in across)
+
+
+def test_near_groups_of_a_dense_group(spark):
+    """Variants of one text about the threshold: many pairs that are no links, components as by brute force."""
+    rnd = random.Random(19)
+    base = [f"v{rnd.randint(0, 900)}" for _ in range(120)]
+    docs = []
+    for d in range(150):
+        w = list(base)
+        for k in rnd.sample(range(120), rnd.randint(1, 3)):
+            w[k] = f"n{rnd.randint(0, 10**6)}"
+        docs.append((d, " ".join(w)))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert rows_of(forest.near_duplicates(df, 85)) == sorted(brute.near_groups(docs))

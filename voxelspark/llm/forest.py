@@ -14,7 +14,8 @@ classes is dealt out in blocks. Candidates of a region are
 where a large region takes the first two steps block by block and the last one block
 against block, leaving out the pairs inside the component that holds most of it; each
 only where the signatures make the similarity possible (five standard errors below it).
-Links are confirmed on full sets. A pair at similarity s shares a prefix
+Links are confirmed on full sets; in the last step the sets of members with an open pair
+go to their region, which gives out links between components, not pairs. A pair at similarity s shares a prefix
 of three in one of 16 trees but for (1 - s^3)^16: 3e-7 at 0.85, 2e-5 at 0.8.
 """
 from __future__ import annotations
@@ -130,6 +131,7 @@ def block_pairs(table: DataFrame) -> DataFrame:
     key = (F.when(F.col("own"), F.xxhash64("region", F.lit(1), "other", "block"))
            .when(F.col("other") >= F.col("others"), F.xxhash64("region", F.lit(1), "block", F.col("other") - F.col("others")))
            .otherwise(F.xxhash64("region", F.lit(0), low, high)))
+    key = _named(key, F.pmod("region", F.lit(TREES)))
     side = (F.when(F.col("own"), 2).when(F.col("other") >= F.col("others"), 1)
             .when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2))
     return small.unionByName(rows.select(key.alias("region"), "doc", "component", side.alias("side")))
@@ -160,6 +162,44 @@ def neighbours(tree: int, component: np.ndarray, sig: np.ndarray, least: float):
         yield i, other[_alike(sig[other], sig[i]) >= least][:2]
 
 
+def partners(tree: int, i: int, component: np.ndarray, side: np.ndarray, sig: np.ndarray, least: float) -> np.ndarray:
+    """Later members of a region that may be linked with member ``i``, are not connected with it yet and did not meet
+    it in an earlier tree."""
+    apart = component[i + 1:] != component[i]
+    if side[i]:
+        apart &= side[i + 1:] != side[i]
+    other = np.flatnonzero(apart) + i + 1
+    same = sig[other] == sig[i]
+    near = same.sum(1) >= least
+    met = same[near].reshape(-1, TREES, DEPTH)[:, :tree, :SHALLOW].all(2).any(1)
+    return other[near][~met]
+
+
+def join_region(tree: int, doc: np.ndarray, component: np.ndarray, side: np.ndarray, sig: np.ndarray, sets: list[np.ndarray],
+                percent: int, least: float) -> list[tuple[int, int]]:
+    """Links that connect the components of a region: every open pair is compared, but one link between two components is enough."""
+    component = component.copy()
+    size = np.array([len(s) for s in sets])
+    at = np.cumsum(size) - size
+    _, shingle = np.unique(np.concatenate(sets), return_inverse=True)
+    own = np.zeros(len(shingle), bool)
+    out = []
+    for i in range(len(doc) - 1):
+        other = partners(tree, i, component, side, sig, least)
+        if not len(other):
+            continue
+        mine = shingle[at[i]:at[i] + size[i]]
+        own[mine] = True
+        theirs = own[shingle[np.repeat(at[other], size[other]) + text.spread(size[other])]]
+        own[mine] = False
+        common = np.add.reduceat(theirs, np.cumsum(size[other]) - size[other], dtype=np.int64)
+        other = other[100 * common >= percent * (size[i] + size[other] - common)]
+        names, first = np.unique(component[other], return_index=True)
+        out += [(int(doc[i]), int(doc[j])) for j in other[first]]
+        component[np.isin(component, names)] = component[i]
+    return out
+
+
 def _floor(percent: int) -> float:
     """Least number of equal minima at which the similarity is still possible."""
     t = percent / 100
@@ -220,17 +260,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
                     continue
                 if (component == component[0]).all():
                     continue
-                if step == "neighbours":
-                    for i, near in neighbours(int(region) % TREES, component, sig, least):
-                        a.append(np.full(len(near), doc[i]))
-                        b.append(doc[near])
-                    continue
-                for i in range(len(doc) - 1):
-                    apart = component[i + 1:] != component[i]
-                    if side[i]:
-                        apart &= side[i + 1:] != side[i]
-                    other = np.flatnonzero(apart) + i + 1
-                    near = other[_alike(sig[other], sig[i]) >= least]
+                for i, near in neighbours(int(region) % TREES, component, sig, least):
                     a.append(np.full(len(near), doc[i]))
                     b.append(doc[near])
             a, b = np.concatenate(a), np.concatenate(b)
@@ -238,29 +268,64 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
             return pa.table({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep]}) if step != "medoid" else pa.table({"a": a[keep], "b": b[keep]})
         return run
 
+    def still_open(table):
+        """Members with a partner that they are not connected with."""
+        out = {k: [] for k in ("region", "doc", "component", "side", "signature")}
+        for region, doc, component, side, sig in _groups(MEMBERS.unpack(table)):
+            if (component == component[0]).all():
+                continue
+            some = np.zeros(len(doc), bool)
+            for i in range(len(doc) - 1):
+                other = partners(int(region) % TREES, i, component, side, sig, least)
+                some[other] = True
+                some[i] |= len(other) > 0
+            for k, v in zip(out, (np.full(some.sum(), region), doc[some], component[some], side[some], [r.tobytes() for r in sig[some]]), strict=True):
+                out[k].extend(v)
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+        return pa.table({k: pa.array(v, t) for (k, v), t in zip(out.items(), kinds, strict=True)})
+
+    def join(key, table):
+        sig = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint16).reshape(-1, HASHES)
+        doc, component, side = (table.column(c).to_numpy() for c in ("doc", "component", "side"))
+        order = np.argsort(doc)
+        data = table.column("data").to_pylist()
+        found = join_region(key[0].as_py() % TREES, doc[order], component[order], side[order], sig[order], [_set(data[k]) for k in order],
+                            percent, least)
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
     all_ = regions(classes)
     few = all_.filter(F.col("n") <= REGION).select("region", "doc", F.lit(0).cast("long").alias("component"), F.lit(0).alias("side"))
     near = exchange.cut_lineage(members(few).applyInArrow(screen, "region long, doc long").withColumn("n", F.lit(0).cast("long"))
                                 .unionByName(all_.filter(F.col("n") > REGION)))
-    sets = exchange.cut_lineage(_sets(docs, near.select("doc").distinct(), size))
+    wanted = exchange.cut_lineage(near.select("doc").distinct())
+    sets = exchange.cut_lineage(_sets(docs, F.broadcast(wanted) if wanted.count() <= exchange.FEW else wanted, size))
     found, links, tested = None, None, None
-    for step in ("medoid", "neighbours", "rest"):
-        table = near.withColumn("component", F.col("doc")) if found is None else near.join(
-            found, near["doc"] == found["node"], "left").select("region", "doc", "n", F.coalesce("component", "doc").alias("component"))
-        pairs = members(block_pairs(table) if step == "rest" else blocks(table)).applyInArrow(candidates(step), PAIRS).distinct()
+
+    def connected(table: DataFrame) -> DataFrame:
+        if found is None:
+            return table.withColumn("component", F.col("doc"))
+        return table.join(found, table["doc"] == found["node"], "left").select("region", "doc", "n", F.coalesce("component", "doc").alias("component"))
+
+    def linked(new: DataFrame) -> tuple[DataFrame, DataFrame]:
+        every = new if links is None else links.unionByName(new)
+        return every, exchange.cut_lineage(components(every.select(F.col("a").alias("u"), F.col("b").alias("v"))))
+
+    for step in ("medoid", "neighbours"):
+        pairs = members(blocks(connected(near))).applyInArrow(candidates(step), PAIRS).distinct()
         if tested is not None:
             same = ((F.least(tested["a"], tested["b"]) == F.least(pairs["a"], pairs["b"]))
                     & (F.greatest(tested["a"], tested["b"]) == F.greatest(pairs["a"], pairs["b"])))
             pairs = pairs.join(tested, same, "left_anti")
         pairs = exchange.cut_lineage(pairs)
         if pairs.isEmpty():
-            if step == "medoid":
-                break
             continue
-        new = exchange.cut_lineage(_confirm(pairs, sets, percent, n))
         tested = pairs if tested is None else tested.unionByName(pairs)
-        links = new if links is None else links.unionByName(new)
-        found = exchange.cut_lineage(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))))
+        links, found = linked(exchange.cut_lineage(_confirm(pairs, sets, percent, n)))
+    opened = exchange.cut_lineage(members(block_pairs(connected(near))).applyInArrow(
+        still_open, "region long, doc long, component long, side int, signature binary"))
+    if not opened.isEmpty():
+        new = exchange.cut_lineage(opened.join(sets, "doc").groupBy("region").applyInArrow(join, PAIRS))
+        links, found = linked(new)
     named = classes.select("k1", "k2", "n_shingles", "doc")
     if found is not None:
         named = named.join(found, named["doc"] == found["node"], "left").select(
