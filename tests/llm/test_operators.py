@@ -532,6 +532,55 @@ def test_bitmaps_tell_long_unlike_lines_apart():
         assert not all_out or sum(out) > 150
 
 
+def test_wide_bitmaps_tell_lines_of_hundreds_of_words_apart():
+    """Bitmaps of all lines let unlike lines of 300 words pass; wide ones don't, whatever widths meet, and never differ by more bits than sets by words."""
+    rnd = np.random.default_rng(6)
+    pool = rnd.integers(0, 1 << 32, 5000).astype(np.uint64)
+    for one, two, common, all_out in ((300, 300, 60, True), (300, 410, 0, True), (150, 180, 20, True), (380, 420, 375, False), (120, 120, 110, False)):
+        need, out = -(-80 * (one + two) // 180), []
+        for _ in range(100):
+            words = rnd.permutation(pool)[:one + two - common]
+            h = np.concatenate([words[:one], words[one - common:]])
+            at = np.array([0, one, one + two])
+            flat, width = linejoin.wide_bitmaps(h, at)
+            start, to = np.array([0, width[0]]), int(width.min())
+            x, y = (linejoin.fold(flat, start[k:k + 1], width[k:k + 1], to) for k in (0, 1))
+            apart = int(np.bitwise_count(x ^ y).sum())
+            assert to and apart <= one + two - 2 * common
+            out.append(apart > one + two - 2 * need)
+        assert sum(out) >= 99 if all_out else not any(out)
+    assert [len(x) for x in linejoin.wide_bitmaps(pool[:40], np.array([0, 40]))] == [0, 1]
+
+
+def test_line_keys_are_squeezed_and_come_back():
+    """With wide bitmaps as byte strings behind the squeezed columns, in order of slots or not."""
+    rnd = np.random.default_rng(8)
+    n = 500
+    for slot in (np.sort(rnd.integers(0, 5, n)), rnd.integers(0, 5, n)):
+        cols = {k: rnd.integers(0, 200, n).astype(d) for k, d in linejoin.KEYS.dtypes.items() if k != "_size"}
+        sizes = rnd.integers(0, 3, n) * 16
+        data = rnd.integers(0, 256, sizes.sum()).astype(np.uint8)
+        back = linejoin.KEYS.unpack(linejoin.KEYS.pack(slot, cols | {"wide": (data, sizes)}))
+        order, at = np.argsort(slot, kind="stable"), np.cumsum(sizes) - sizes
+        assert all((back[k] == cols[k][order]).all() for k in cols)
+        assert (back["wide"][1] == sizes[order]).all()
+        assert (back["wide"][0] == np.concatenate([data[at[i]:at[i] + sizes[i]] for i in order])).all()
+
+
+def test_similar_lines_of_all_widths(spark):
+    """Lines of 20 to 900 words beside like and unlike ones of other widths."""
+    rnd = random.Random(23)
+    docs = []
+    for d, size in enumerate([20, 60, 96, 111, 114, 150, 177, 200, 330, 399, 402, 460, 900] * 2):
+        base = [f"w{rnd.randint(0, 4000)}" for _ in range(size)]
+        for k, share in enumerate((0, 0.05, 0.1, 0.12, 0.3)):
+            cut = base[int(share * size):] if k % 2 else [w if rnd.random() > share else f"x{rnd.randint(0, 10**6)}" for w in base]
+            docs.append((10 * d + k, " ".join(rnd.sample(cut, len(cut)))))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = sorted(map(tuple, digest5(linejoin.similar_lines(df)).collect()))
+    assert got == sorted(brute.similar_lines(docs)) and 20 < sum(r[2] for r in got) < 120
+
+
 def test_forest_region_of_unlinked_members_gives_no_pairs(spark):
     """Alike, but not enough: no region gives out its pairs; of linked ones it gives a link less than members."""
     rnd = np.random.default_rng(11)

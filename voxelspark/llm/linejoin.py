@@ -8,7 +8,8 @@ Equal sets form a class, settled per block of documents before the shuffle. Each
 words are ordered by rarity and its prefix is indexed: similar sets share a word of their
 prefixes. Short lines, whose prefixes can be frequent words, are indexed by the first two
 common words instead, so no key gathers them. Length, position and bitmap filters choose
-candidates; Jaccard is verified on full sets and the later class is removed.
+candidates; long lines carry wider bitmaps, as many words fill a narrow one whether alike or
+not. Jaccard is verified on full sets and the later class is removed.
 
 One similar earlier line is enough, so no group emits all its pairs: every key proposes one
 earlier line for each of its lines, the best of all proposals is verified, and only lines it
@@ -33,10 +34,12 @@ SHARE = 1 << 16
 SHORT = 20                      # lines of up to so many words are indexed by two words
 LOW = np.frombuffer(text.LOWER, np.uint8)
 SETS = exchange.Records(ragged="words", name="u8", doc="i8", line="i4")
-KEYS = exchange.Records(key="u4", doc="i8", line="i4", home="i4", bits="u8", more="u4", size="u2", rest="u2", two="u1")
-PAIRS = exchange.Records(doc="i8", line="i4", home="i4", doc_a="i8", line_a="i4", home_a="i4", apart="u1", key_slot="i4")
+WORDS = exchange.Records(squeeze=True, word="u4", n="i8")
+KEYS = exchange.Records(ragged="wide", squeeze=True, step="u4", doc="i8", line="i4", home="i4", bits="u8", more="u4", size="u4", pos="u4", two="u1")   # step: of keys
+PAIRS = exchange.Records(doc="i8", line="i4", home="i4", doc_a="i8", line_a="i4", home_a="i4", apart="u2", key_slot="i4")
 HALVES = exchange.Records(ragged="words", doc="i8", line="i4", doc_a="i8", line_a="i4")
 PLACES = exchange.Records(doc="i8", line="i4")
+WIDE = ((112, 2), (176, 4), (400, 8))     # lines of more words than that carry so many further words of bits
 RESULT = "doc_id long, n_lines long, removed array<int>"
 
 
@@ -97,6 +100,34 @@ def bitmaps(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return bits, more
 
 
+def wide_bitmaps(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Parities of each long set, in 64-bit words, and how many of them a set has: about a bit for each word of a line.
+
+    A word's bit is the same remainder for every width, so a wide bitmap folds to a narrow one (``fold``)."""
+    size = np.diff(at)
+    width = np.zeros(len(size), np.int64)
+    for above, words in WIDE:
+        width[size > above] = words
+    start = np.append(0, np.cumsum(width))
+    out = np.zeros(start[-1], U64)
+    for t in range(int(width.max()) if len(width) else 0):
+        rows = np.flatnonzero(width > t)
+        words, bounds = _take(h, at, rows)
+        bit = text.mix(words * U64(7)) >> U64(55)
+        mine = (bit >> U64(6)) & np.repeat(width[rows] - 1, np.diff(bounds)).astype(U64) == t
+        out[start[rows] + t] = np.bitwise_xor.reduceat(np.where(mine, U64(1) << (bit & U64(63)), U64(0)), bounds[:-1])
+    return out, width
+
+
+def fold(bitmap: np.ndarray, start: np.ndarray, width: np.ndarray, to: int) -> np.ndarray:
+    """The bitmaps of ``width`` words at ``start``, as ``to`` words each (a row for every word)."""
+    out = np.zeros((to, len(start)), U64)
+    for w in {w for _, w in WIDE if w >= to}:
+        of = np.flatnonzero(width == w)
+        out[:, of] = np.bitwise_xor.reduce(bitmap[start[of] + np.arange(w)[:, None]].reshape(w // to, to, len(of)), axis=0)
+    return out
+
+
 def _take(h, at, rows):
     """The given sets of a ragged column."""
     size = (at[1:] - at[:-1])[rows]
@@ -143,19 +174,30 @@ def similar_lines(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_
         return s, first, rows[once], h, at
 
     def count(table):
+        """Frequent words to the slots of words; to each of these, below zero, the number of all."""
         _, _, rows, h, at = classes(table)
         words, c = np.unique(_take(h, at, rows)[0], return_counts=True)
-        often = c * (4 * SHARE) >= c.sum()               # what is frequent overall is frequent in a slot
-        return pa.table({"word": words[often].view(np.int64), "n": c[often], "of": np.full(often.sum(), c.sum() / max(1, often.sum()))})
+        total = c.sum()
+        often = c * (4 * SHARE) >= total                 # what is frequent overall is frequent in a slot
+        words, c = np.append(words[often], np.zeros(n, U64)), np.append(c[often], np.full(n, -total))
+        slot = np.append((words[:-n] % U64(n)).astype(np.int64), np.arange(n))
+        return pa.Table.from_batches([WORDS.pack(slot, {"word": words, "n": c})])
+
+    def frequent(table):
+        """The words of a slot that make up 1/SHARE of all or more, in one row."""
+        w = WORDS.unpack(table)
+        total = -w["n"][w["n"] < 0].sum()
+        words, of = np.unique(w["word"], return_inverse=True)
+        c = np.bincount(of, np.maximum(w["n"], 0), len(words)).astype(np.int64)
+        often = (c > 0) & (c * SHARE >= total)
+        return pa.Table.from_batches([WORDS.pack(np.zeros(often.sum(), np.int64), {"word": words[often], "n": c[often]})])
 
     def index(key, left, right):
         s, _, rows, h, at = classes(left)
         doc, place = s["doc"][rows], s["line"][rows]
         h, at = _take(h, at, rows)
-        known = right.column("words").combine_chunks().flatten().to_numpy().view(U64)
-        counts = right.column("counts").combine_chunks().flatten().to_numpy()
-        often = counts * SHARE >= sum(right.column("all").to_pylist())
-        known, counts = known[often], counts[often]
+        known = WORDS.unpack(pa.table([right.column("ns").combine_chunks().flatten(), right.column("datas").combine_chunks().flatten()], ["n", "data"]))
+        known, counts = known["word"].astype(U64), known["n"].astype(np.int64)
         rank = np.zeros(len(h), np.int64)
         if len(known):
             by = np.argsort(known)
@@ -166,6 +208,8 @@ def similar_lines(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_
         line = np.repeat(np.arange(len(size)), size)
         h = h[np.lexsort((h, rank, line))]
         bits, more = bitmaps(h, at)
+        wide_bits, width = wide_bitmaps(h, at)
+        wide_at = np.append(0, np.cumsum(width))
         prefix = size - -(-percent * size // 100) + 1
         out = []
         one = np.flatnonzero(size >= long)
@@ -180,30 +224,62 @@ def similar_lines(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_
             out.append((word, row, np.full(len(row), far), np.ones(len(row), np.uint8)))
         word, row, pos, two = (np.concatenate(c) for c in zip(*out, strict=True))
         word = text.mix(word + two.astype(U64))
-        cols = {"key": (word >> U64(32)).astype(np.uint32), "doc": doc[row], "line": place[row], "home": np.full(len(row), key[0].as_py()),
-                "bits": bits[row], "more": more[row], "size": np.minimum(size[row], 65535), "rest": np.minimum(size[row] - pos - 1, 65535), "two": two}
-        return pa.Table.from_batches([KEYS.pack((word % U64(n)).astype(np.int64), cols)])
-
-    def pairs_of(k: dict, asked: np.ndarray | None):
+        slot, word = (word % U64(n)).astype(np.int64), (word >> U64(32)).astype(np.uint32)
+        order = np.lexsort((word, slot))
+        slot, word, row, pos, two = (c[order] for c in (slot, word, row, pos, two))
+        step = np.diff(word, prepend=np.uint32(0))       # rising within a slot: small steps
+        begin = np.flatnonzero(np.r_[True, slot[1:] != slot[:-1]])[:len(slot)]
+        step[begin] = word[begin]
+        sketch, _ = _take(wide_bits, wide_at, row)
+        cols = {"step": step, "doc": doc[row], "line": place[row], "home": np.full(len(row), key[0].as_py()), "bits": bits[row], "more": more[row],
+                "size": size[row], "pos": pos, "two": two, "wide": (sketch.view(np.uint8), 8 * width[row])}
+        return pa.Table.from_batches([KEYS.pack(slot, cols)])
+
+    def keys_of(table) -> tuple[dict, np.ndarray]:
+        """Unpacked rows of a slot with their keys; steps begin anew in each home's row."""
+        k = KEYS.unpack(table)
+        new = np.flatnonzero(np.r_[True, k["home"][1:] != k["home"][:-1]])[:len(k["home"])]
+        key = np.cumsum(k["step"], dtype=U64)
+        key -= np.repeat(np.r_[U64(0), key][new], np.diff(np.r_[new, len(key)]))
+        sketch, sizes = k.pop("wide")
+        return k | {"key": key.astype(np.uint32), "start": (np.cumsum(sizes) - sizes) // 8, "width": sizes // 8}, sketch.view(U64)
+
+    def pairs_of(k: dict, wide_bits: np.ndarray, asked: np.ndarray | None):
         """Earlier candidates of a slot's lines: the one least apart for each key and line, or all of the lines asked for."""
         order = np.lexsort((k["size"], k["key"]))
-        k = {c: v[order] for c, v in k.items()}
+        k = {c: v[order] for c, v in k.items() if c != "step"}
         asked = asked[order] if asked is not None else None
         key, doc, line, bits, more, two = (k[c] for c in ("key", "doc", "line", "bits", "more", "two"))
-        size, rest, have = k["size"].astype(np.int32), k["rest"].astype(np.int32), two.astype(np.int32) + 1
-        best, mate = np.full(len(key), 255, np.uint8), np.full(len(key), -1, np.int64)
+        size = k["size"].astype(np.int64)
+        rest, have = size - k["pos"] - 1, two.astype(np.int64) + 1
+        best, mate = np.full(len(key), 1 << 30, np.int32), np.full(len(key), -1, np.int64)
         later_, earlier_ = [], []
-        i, far = np.arange(max(0, len(key) - 1), dtype=np.int32), 1
+        i, far = np.arange(max(0, len(key) - 1)), 1
         while len(i):
             j = i + far
             near = (key[i] == key[j]) & (100 * size[i] >= percent * size[j])      # sizes rise within a key
             i, j = i[near], j[near]
-            need = -(-percent * (size[i] + size[j]) // (100 + percent))
-            apart = np.bitwise_count(bits[i] ^ bits[j]) + np.bitwise_count(more[i] ^ more[j])
-            ok = (have[i] + np.minimum(rest[i], rest[j]) >= need) & (two[i] == two[j]) & (apart <= size[i] + size[j] - 2 * need)
-            before = (doc[i] < doc[j]) | (doc[i] == doc[j]) & (line[i] < line[j])
-            same = (doc[i] == doc[j]) & (line[i] == line[j])
-            for pick, later, earlier in ((ok & before, j, i), (ok & ~before & ~same, i, j)):
+            one = i
+            if asked is not None:
+                want = asked[i] | asked[j]
+                one, j = i[want], j[want]
+            both = size[one] + size[j]
+            most = both - 2 * -(-percent * both // (100 + percent))               # words that only one may have
+            apart = np.bitwise_count(bits[one] ^ bits[j]) + np.bitwise_count(more[one] ^ more[j])
+            ok = apart <= most
+            one, j, both, most, apart = one[ok], j[ok], both[ok], most[ok], apart[ok].astype(np.int32)
+            ok = (have[one] + np.minimum(rest[one], rest[j]) >= (both - most) // 2) & (two[one] == two[j])
+            ok &= (doc[one] != doc[j]) | (line[one] != line[j])
+            width = np.minimum(k["width"][one], k["width"][j])
+            for w in set(width[ok].tolist()) - {0}:
+                of = np.flatnonzero(ok & (width == w))
+                x, y = (fold(wide_bits, k["start"][r[of]], k["width"][r[of]], w) for r in (one, j))
+                wide_apart = np.bitwise_count(x ^ y).sum(axis=0, dtype=np.int32)
+                apart[of] = np.maximum(apart[of], wide_apart)
+                ok[of] = wide_apart <= most[of]
+            one, j, apart = one[ok], j[ok], apart[ok]
+            before = (doc[one] < doc[j]) | (doc[one] == doc[j]) & (line[one] < line[j])
+            for pick, later, earlier in ((before, j, one), (~before, one, j)):
                 later, earlier, d = later[pick], earlier[pick], apart[pick]
                 if asked is not None:
                     want = asked[later]
@@ -219,18 +295,18 @@ def similar_lines(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_
             later = later[np.lexsort((best[later], line[later], doc[later]))]     # of a slot's keys, the best for each line
             new = np.r_[True, (doc[later][1:] != doc[later][:-1]) | (line[later][1:] != line[later][:-1])] if len(later) else np.zeros(0, bool)
             later = later[new]
-            earlier, apart = mate[later], best[later]
+            earlier, apart = mate[later], np.minimum(best[later], 65535)
         else:
             later, earlier = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (later_, earlier_))
             both = text.mix(places(doc[later], line[later]) * U64(5) + places(doc[earlier], line[earlier]))
             _, once = np.unique(both, return_index=True)
             later, earlier = later[once], earlier[once]
-            apart = np.zeros(len(later), np.uint8)
+            apart = np.zeros(len(later), np.uint16)
         return {"doc": doc[later], "line": line[later], "home": k["home"][later], "doc_a": doc[earlier], "line_a": line[earlier],
                 "home_a": k["home"][earlier], "apart": apart}
 
     def propose(key, table):
-        out = pairs_of(KEYS.unpack(table), None)
+        out = pairs_of(*keys_of(table), None)
         out["key_slot"] = np.full(len(out["doc"]), key[0].as_py())
         return pa.Table.from_batches([PAIRS.pack(out["home"].astype(np.int64), out)])
 
@@ -299,12 +375,13 @@ def similar_lines(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_
         return pa.Table.from_batches([PLACES.pack(p["key_slot"][open_].astype(np.int64), cols)])
 
     def all_candidates(left, right):
-        k, u = KEYS.unpack(left), PLACES.unpack(right)
+        u = PLACES.unpack(right)
         if not len(u["doc"]):
             return pa.Table.from_batches([PAIRS.empty()])
+        k, wide_bits = keys_of(left)
         asked = np.isin(places(k["doc"], k["line"]), places(u["doc"], u["line"]))
         group = np.isin(k["key"], k["key"][asked])
-        out = pairs_of({c: v[group] for c, v in k.items()}, asked[group])
+        out = pairs_of({c: v[group] for c, v in k.items()}, wide_bits, asked[group])
         out["key_slot"] = np.zeros(len(out["doc"]), np.int32)
         return pa.Table.from_batches([PAIRS.pack(out["home_a"].astype(np.int64), out)])
 
@@ -321,10 +398,9 @@ def similar_lines(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_
 
     sets = docs.select("doc_id", "text").mapInArrow(cut, exchange.PACKED)
     by_class = sets.groupBy("slot")
-    total = by_class.applyInArrow(count, "word long, n long, of double")
-    table = total.groupBy("word").agg(F.sum("n").alias("n"), F.sum("of").alias("of")).agg(
-        F.collect_list("word").alias("words"), F.collect_list("n").alias("counts"), F.coalesce(F.sum("of"), F.lit(0.0)).alias("all"))   # 4 * SHARE words at most
-    table = table.select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("slot"), "words", "counts", "all")
+    every = F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("slot")
+    often = by_class.applyInArrow(count, exchange.PACKED).groupBy("slot").applyInArrow(frequent, exchange.PACKED)
+    table = often.agg(F.collect_list("n").alias("ns"), F.collect_list("data").alias("datas")).select(every, "ns", "datas")   # SHARE words at most
     keys = by_class.cogroup(table.groupBy("slot")).applyInArrow(index, exchange.PACKED).groupBy("slot")
     proposed = keys.applyInArrow(propose, exchange.PACKED).groupBy("slot")
     halves = by_class.cogroup(proposed.applyInArrow(choose, exchange.PACKED).groupBy("slot")).applyInArrow(attach, exchange.PACKED)
@@ -335,7 +411,7 @@ def similar_lines(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_
     halves = by_class.cogroup(rest.groupBy("slot")).applyInArrow(attach, exchange.PACKED)
     gone = by_class.cogroup(halves.groupBy("slot")).applyInArrow(verify(False), exchange.PACKED)
     gone = first.filter(F.col("slot") < n).unionByName(gone)
-    lines = docs.select("doc_id", F.col("own").cast("long").alias("own"), F.size(F.split("text", "\n")).cast("long").alias("n_lines"),
+    lines = docs.select("doc_id", F.col("own").cast("long").alias("own"), (F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"),
                         exchange.id_slot(F.col("doc_id"), n).alias("slot"))
     return lines.groupBy("slot").cogroup(gone.groupBy("slot")).applyInArrow(gather, RESULT)
 
