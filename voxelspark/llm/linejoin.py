@@ -54,13 +54,11 @@ def line_sets(buf: np.ndarray, bounds: np.ndarray):
     base = np.r_[0, breaks][bounds[:-1]]
     number = at - base[of]
     new = np.r_[True, (of[1:] != of[:-1]) | (number[1:] != number[:-1])] if len(of) else np.zeros(0, bool)
-    line = np.cumsum(new) - 1
-    order = np.argsort(h, kind="stable")
-    order = order[np.argsort(line[order], kind="stable")]
-    h = h[order]
-    once = np.r_[True, (h[1:] != h[:-1]) | (line[1:] != line[:-1])] if len(h) else np.zeros(0, bool)
+    both = np.sort((np.cumsum(new) - 1).astype(U64) << U64(32) | h)               # by line and hash
+    both = both[np.r_[True, both[1:] != both[:-1]]] if len(both) else both
     first = np.flatnonzero(new)
-    return of[first], number[first], h[once], np.searchsorted(line[once], np.arange(len(first) + 1))
+    size = np.bincount((both >> U64(32)).astype(np.int64), minlength=len(first))
+    return of[first], number[first], both & U64((1 << 32) - 1), np.append(0, np.cumsum(size))
 
 
 def narrow(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -198,15 +196,18 @@ def similar_lines(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_
         h, at = _take(h, at, rows)
         known = WORDS.unpack(pa.table([right.column("ns").combine_chunks().flatten(), right.column("datas").combine_chunks().flatten()], ["n", "data"]))
         known, counts = known["word"].astype(U64), known["n"].astype(np.int64)
-        rank = np.zeros(len(h), np.int64)
-        if len(known):
-            by = np.argsort(known)
-            known, counts = known[by], counts[by]
-            p = np.minimum(np.searchsorted(known, h), len(known) - 1)
-            rank = np.where(known[p] == h, counts[p], 0)
         size = np.diff(at)
-        line = np.repeat(np.arange(len(size)), size)
-        h = h[np.lexsort((h, rank, line))]
+        line = np.repeat(np.arange(len(size), dtype=U64) << U64(33), size)
+        if len(known):                                   # words from 2^32 on stand for frequent ones, in order of count
+            ordered = known[np.lexsort((known, counts))]
+            place_of = np.argsort(ordered)
+            names = ordered[place_of]
+            p = np.minimum(np.searchsorted(names, h), len(names) - 1)
+            h = np.where(names[p] == h, U64(1 << 32) + place_of.astype(U64)[p], h)
+        h = np.sort(line | h) & U64((1 << 33) - 1)       # by line, count and hash
+        if len(known):
+            often = np.flatnonzero(h >> U64(32))
+            h[often] = ordered[(h[often] & U64((1 << 32) - 1)).astype(np.int64)]
         bits, more = bitmaps(h, at)
         wide_bits, width = wide_bitmaps(h, at)
         wide_at = np.append(0, np.cumsum(width))
@@ -225,7 +226,7 @@ def similar_lines(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_
         word, row, pos, two = (np.concatenate(c) for c in zip(*out, strict=True))
         word = text.mix(word + two.astype(U64))
         slot, word = (word % U64(n)).astype(np.int64), (word >> U64(32)).astype(np.uint32)
-        order = np.lexsort((word, slot))
+        order = np.argsort(slot.astype(U64) << U64(32) | word)
         slot, word, row, pos, two = (c[order] for c in (slot, word, row, pos, two))
         step = np.diff(word, prepend=np.uint32(0))       # rising within a slot: small steps
         begin = np.flatnonzero(np.r_[True, slot[1:] != slot[:-1]])[:len(slot)]
@@ -246,7 +247,7 @@ def similar_lines(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_
 
     def pairs_of(k: dict, wide_bits: np.ndarray, asked: np.ndarray | None):
         """Earlier candidates of a slot's lines: the one least apart for each key and line, or all of the lines asked for."""
-        order = np.lexsort((k["size"], k["key"]))
+        order = np.argsort(k["key"].astype(U64) << U64(32) | k["size"])
         k = {c: v[order] for c, v in k.items() if c != "step"}
         asked = asked[order] if asked is not None else None
         key, doc, line, bits, more, two = (k[c] for c in ("key", "doc", "line", "bits", "more", "two"))
