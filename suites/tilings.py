@@ -75,9 +75,8 @@ def whole_bell(tile):
  r AS (SELECT scan_id, z, y, x, sum(round_even(v*1000, 0)*(c + 1))::BIGINT AS h FROM b GROUP BY ALL)
  """ + digest_sql("r", "h"))
 def _(fx):
-    pieces = blocks.tile_pieces(fx.logit_blocks, fx.scans, (8, 8, 8), value="logit", channels=10)
-    scored = blocks.map_tiles(pieces, numbered, EDGE, channels=10)
-    out = blocks.voxels_of(blocks.blend_tiles(scored, 10, EDGE, whole_bell), "logit", 10)
+    out = blocks.blended(fx.logit_blocks, fx.scans, numbered, (8, 8, 8), 10, block=EDGE, value="logit", channels=10, weight=whole_bell)
+    out = blocks.voxels_of(out, "logit", 10)
     h = sum(F.rint(F.col("logit")[c] * 1000) * (c + 1) for c in range(10))
     return digest(out, h.cast("long"))
 

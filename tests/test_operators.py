@@ -658,3 +658,55 @@ def test_blocks_resampled_as_rows(spark):
         got = {(r.z, r.y, r.x): r.hu for r in blocks.voxels_of(regions.resampled_blocks(source, scans, spacing, 4), "hu").collect()}
         want = {(r.z, r.y, r.x): r.hu for r in resample.resample_linear(rows, scans, spacing).collect()}
         assert got == want
+
+
+def test_scores_are_not_shuffled(spark):
+    """Regions give what tiles give one by one, for frames over several regions and frames thinner than a tile; only the source moves."""
+    rng = np.random.default_rng(5)
+    shapes = {1: (13, 7, 9), 2: (3, 2, 9)}
+    scans = heads(spark, (9, 7, 13), scans=(1,)).unionByName(heads(spark, (9, 2, 3), scans=(2,)))
+    rows = None
+    for k, shape in shapes.items():
+        own = voxels(spark, [(*map(int, p), float(v)) for p, v in np.ndenumerate(rng.integers(-1000, 3000, shape)) for p in [p]], "hu float", scan=k)
+        rows = own if rows is None else rows.unionByName(own)
+    made = blocks.to_blocks(rows, scans, 4).cache()
+    made.count()
+
+    def score(key, box):
+        return np.stack([box * (c + 1) + key[1] + key[3] for c in range(3)])
+    got, tile = {}, (4, 3, 4)
+    def whole():
+        got["region"] = {tuple(r[:4]): (r.shape, r.logit) for r in blocks.blend_regions(made, scans, score, tile, 3, block=4).collect()}
+    def single():
+        pieces = blocks.tile_pieces(made, scans, tile)
+        got["tile"] = {tuple(r[:4]): (r.shape, r.logit) for r in blocks.blend_tiles(blocks.map_tiles(pieces, score, 4), 3, 4).collect()}
+    small, large = _shuffled(spark, whole), _shuffled(spark, single)
+    assert got["region"] == got["tile"] and len(got["region"]) == 4 * 2 * 3 + 3
+    assert 4 * small < large
+    assert blocks.region_edge(4) == 64 and blocks.region_edge(6) == 60 and blocks.region_edge(100) == 100
+    edge, spread, blocks.REGION, blocks.SPREAD = blocks.REGION, blocks.SPREAD, 8, 0          # several regions a frame
+    try:
+        whole()
+        assert got["region"] == got["tile"]
+        blocks.REGION = edge
+        own = scans.selectExpr("*", "4 AS tz", "3 AS ty", "4 AS tx", "0.5D AS overlap")
+        each = blocks.blended(made, own, score, None, 3, None, block=4)
+        assert {tuple(r[:4]): (r.shape, r.logit) for r in each.collect()} == got["tile"]
+        assert blocks._by_region(own, None, None, 3, 4) and not blocks._by_region(scans, (160, 320, 320), 0.5, 3, 4)
+    finally:
+        blocks.REGION, blocks.SPREAD = edge, spread
+
+
+def test_places_of_whole_planes_are_not_shuffled(spark):
+    cells = [(z, y, x, float((z * 31 + y * 17 + x) % 50)) for z, y, x in itertools.product(range(40), range(30), range(30))]
+    rows, frame = voxels(spark, cells, "hu float").coalesce(1).cache(), heads(spark, (30, 30, 40))
+    out = {}
+    def made(name, df):
+        out[name] = sorted(map(tuple, blocks.to_blocks(df, frame, 16).collect()))
+    rows.count()
+    mixed = rows.orderBy(F.xxhash64("z", "y", "x")).coalesce(1).cache()
+    mixed.count()
+    plane = rows.repartition("scan_id", "z").sortWithinPartitions("z", "y", "x").cache()
+    plane.count()
+    ordered, other = _shuffled(spark, lambda: made("ordered", plane)), _shuffled(spark, lambda: made("mixed", mixed))
+    assert out["ordered"] == out["mixed"] and 3 * ordered < other

@@ -5,11 +5,15 @@ cut off at the frame's end) and one array of values in z, y, x order (per voxel
 for logits). Tiles are put together from whole blocks and the parts of neighbours that reach
 into them; scored tiles are cut along block borders again and blended by adding arrays. What is
 shuffled are arrays of bounded size, keyed by tile or block, never a row per voxel. A scan that
-holds a third of all voxels is a third of all blocks, spread like any others.
+holds a third of all voxels is a third of all blocks, spread like any others. Where tiles are well
+below a region of blocks (``suits``), they are scored and blended in it, and no score is shuffled.
 """
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from functools import lru_cache
+from itertools import product
+from math import prod
 
 import numpy as np
 import pyarrow as pa
@@ -38,27 +42,36 @@ class TileError(RuntimeError):
 def to_blocks(voxels: DataFrame, scans: DataFrame, block: int = BLOCK, value: str = "hu") -> DataFrame:
     """Blocks of a dense table with a row per voxel.
 
-    Each task collects what it has of a block's plane, so voxels go to Python as arrays. A frame with missing or
-    repeated voxels is an error."""
+    Each task collects what it has of a block's plane, so voxels go to Python as arrays. Places are sent only of planes
+    that are not whole and in order. A frame with missing or repeated voxels is an error."""
     def merge(batches):
         keys, shapes, values, held_now = [], [], [], 0
         for t in _whole_runs(batches, BLOCK_KEYS):
             key = np.stack([t.column(k).to_numpy() for k in BLOCK_KEYS], 1)
             first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(1)]).tolist()
             held = {c: (np.asarray(t.column(c).offsets), t.column(c).values.to_numpy(zero_copy_only=False)) for c in ("at", "data")}
+            plane, placed = t.column("plane").to_numpy(), t.column("at").is_valid().to_numpy(zero_copy_only=False)
             for i, j in zip(first, [*first[1:], len(key)], strict=True):
-                at, data = (flat[o[i]:o[j]] for o, flat in (held["at"], held["data"]))
                 where = tuple(key[i].tolist())
                 shape = [min(block, n - o) for n, o in zip(t.column("frame")[i].as_py(), where[1:], strict=True)]
                 size = shape[0] * shape[1] * shape[2]
-                place = [at // (block * block), at // block % block, at % block]
-                if len(at) != size or len(data) != size or any((p >= n).any() for p, n in zip(place, shape, strict=True)):
-                    raise ValueError(f"scan {where[0]}, block at z{where[1]} y{where[2]} x{where[3]}: {len(at)} of {size} voxels present")
-                to = (place[0] * shape[1] + place[1]) * shape[2] + place[2]
-                box, filled = np.empty(size, np.float32), np.zeros(size, bool)
-                box[to], filled[to] = data, True
-                if not filled.all():
-                    raise ValueError(f"scan {where[0]}, block at z{where[1]} y{where[2]} x{where[3]}: repeated voxels")
+                (o, flat), (d, data) = held["at"], held["data"]
+                depth = plane[i:j] - where[1]
+                order = np.argsort(depth)
+                if not placed[i:j].any() and depth[order].tolist() == list(range(shape[0])):
+                    box = data[d[i]:d[j]].reshape(shape[0], -1)[order].ravel()
+                else:
+                    lines = (np.arange(shape[1])[:, None] * block + np.arange(shape[2])).ravel()
+                    at = np.concatenate([flat[o[k]:o[k + 1]] if placed[k] else lines for k in range(i, j)])
+                    own, z = data[d[i]:d[j]], np.repeat(depth, np.diff(d[i:j + 1]))
+                    place = [z, at // block, at % block]
+                    if len(at) != size or len(own) != size or any((p >= n).any() for p, n in zip(place, shape, strict=True)):
+                        raise ValueError(f"scan {where[0]}, block at z{where[1]} y{where[2]} x{where[3]}: {len(at)} of {size} voxels present")
+                    to = (place[0] * shape[1] + place[1]) * shape[2] + place[2]
+                    box, filled = np.empty(size, np.float32), np.zeros(size, bool)
+                    box[to], filled[to] = own, True
+                    if not filled.all():
+                        raise ValueError(f"scan {where[0]}, block at z{where[1]} y{where[2]} x{where[3]}: repeated voxels")
                 keys.append(where)
                 shapes.append(shape)
                 values.append(box)
@@ -70,12 +83,16 @@ def to_blocks(voxels: DataFrame, scans: DataFrame, block: int = BLOCK, value: st
             yield _block_rows(keys, shapes, values, value, pa.float32())
 
     corner = [(F.floor(F.col(a) / block).cast("int") * block).alias(f"{a}0") for a in "zyx"]
-    z, y, x = (F.pmod(F.col(a), F.lit(block)) for a in "zyx")
-    rows = voxels.select("scan_id", "z", *corner, ((z * block + y) * block + x).cast("int").alias("at"),
+    y, x = (F.pmod(F.col(a), F.lit(block)) for a in "yx")
+    rows = voxels.select("scan_id", F.col("z").alias("plane"), *corner, (y * block + x).cast("int").alias("at"),
                          F.coalesce(F.col(value).cast("float"), F.lit(float("nan"))).alias("data"))
-    packed = rows.groupBy("scan_id", "z", *BLOCK_KEYS[1:]).agg(F.collect_list("at").alias("at"), F.collect_list("data").alias("data"))
+    packed = rows.groupBy("scan_id", "plane", *BLOCK_KEYS[1:]).agg(F.collect_list("at").alias("at"), F.collect_list("data").alias("data"))
     frame = scans.select("scan_id", F.array("nz", "ny", "nx").alias("frame"))
     packed = attach(packed, frame, sized_by=scans, salt_by=("z0", "y0"))
+    ny, nx = (F.least(F.lit(block), F.col("frame")[i] - F.col(c)) for i, c in ((1, "y0"), (2, "x0")))
+    lines = F.transform(F.sequence(F.lit(0), ny - 1), lambda i: F.sequence(i * block, i * block + nx - 1))
+    whole = (ny > 0) & (nx > 0) & (F.size("at") == ny * nx)
+    packed = packed.withColumn("at", F.when(~whole | (F.col("at") != F.flatten(F.when(whole, lines))), F.col("at")))
     return _dealt(packed, BLOCK_KEYS).mapInArrow(merge, f"scan_id long, z0 int, y0 int, x0 int, shape array<int>, {value} array<float>")
 
 
@@ -339,6 +356,24 @@ def assemble_tiles(pieces: DataFrame) -> DataFrame:
     return _dealt(pieces, TILE_KEYS).mapInArrow(run, "scan_id long, tz int, ty int, tx int, tile array<int>, hu array<float>")
 
 
+def _failed(scan, start, tile, e: Exception) -> TileError:
+    return TileError(f"scan {int(scan)}, tile at z{start[0]} y{start[1]} x{start[2]}, shape {tuple(tile)}: {e}")
+
+
+def _scored(fn: Callable[[tuple, np.ndarray], np.ndarray], scan: np.ndarray, start: tuple, boxes: np.ndarray, tile: list[int], channels: int) -> np.ndarray:
+    """``fn`` of one tile of several scans: (scan, z, y, x, class)."""
+    outs = []
+    for own, box in zip(scan.tolist(), boxes, strict=True):
+        try:
+            out = np.asarray(fn((own, *start), box[..., 0] if channels == 1 else box), np.float32)
+            if list(out.shape[1:]) != tile:
+                raise ValueError(f"scorer returned shape {out.shape}")
+        except Exception as e:
+            raise _failed(own, start, tile, e) from e
+        outs.append(out)
+    return np.moveaxis(np.stack(outs), 1, -1)
+
+
 def map_tiles(pieces: DataFrame, fn: Callable[[tuple, np.ndarray], np.ndarray], block: int = BLOCK, channels: int = 1) -> DataFrame:
     """Run ``fn(key, tile)`` on every tile and cut its (classes, z, y, x) result along block borders, padding dropped.
 
@@ -348,19 +383,13 @@ def map_tiles(pieces: DataFrame, fn: Callable[[tuple, np.ndarray], np.ndarray],
         for scan, rows in _runs_alike(batches, TILE_KEYS):
             tile, frame = rows[0]["tile"], rows[0]["frame"]
             start = tuple(rows[0][k] for k in TILE_KEYS[1:])
-            own, outs = scan[:1], []
             try:
                 boxes = _boxes(rows, channels)
-                for own, box in zip(scan.tolist(), boxes, strict=True):
-                    out = np.asarray(fn((own, *start), box[..., 0] if channels == 1 else box), np.float32)
-                    if list(out.shape[1:]) != tile:
-                        raise ValueError(f"scorer returned shape {out.shape}")
-                    outs.append(out)
             except Exception as e:
-                raise TileError(f"scan {int(np.max(own))}, tile at z{start[0]} y{start[1]} x{start[2]}, shape {tuple(tile)}: {e}") from e
+                raise _failed(scan[0], start, tile, e) from e
+            out = _scored(fn, scan, start, boxes, tile, channels)
             spans = [[(o, max(w, o), min(w + t, o + block, n)) for o in range(w // block * block, min(w + t, n), block)]
                      for w, t, n in zip(start, tile, frame, strict=True)]
-            out = np.moveaxis(np.stack(outs), 1, -1)
             for z in spans[0]:
                 for y in spans[1]:
                     for x in spans[2]:
@@ -425,10 +454,127 @@ def argmax_blocks(logits: DataFrame, num_classes: int, value: str = "logit") ->
     return logits.select(*BLOCK_KEYS, "shape", value).mapInArrow(run, "scan_id long, z0 int, y0 int, x0 int, shape array<int>, label array<short>")
 
 
+# --- regions ---------------------------------------------------------------------------------------------------------------------
+
+REGION = 64                     # edge of what is scored and blended in one task, in whole blocks
+MOST_TWICE = 2.0                # tiles scored for each that there is, on the average
+SPREAD = 1 << 26                # bytes of all scores that are shuffled rather than worked out by regions
+_REGION_PIECES = "scan_id long, z0 int, y0 int, x0 int, meta binary, step binary, data binary"
+_REGION_SCHEMA = pa.schema([_PLACE[0], *[(c, pa.int32()) for c in ("z0", "y0", "x0")], ("meta", pa.binary()), ("step", pa.binary()), ("data", pa.binary())])
+
+
+def suits(tile: Sequence[int], overlap: float = OVERLAP, block: int = BLOCK) -> bool:
+    """True where scoring a tile in every block it reaches costs at most ``MOST_TWICE`` the scores."""
+    return prod((block + t) / block for t in tile) <= MOST_TWICE
+
+
+def region_edge(block: int = BLOCK) -> int:
+    return block * max(1, REGION // block)
+
+
+def _by_region(scans: DataFrame, tile: Sequence[int] | None, overlap: float | None, num_classes: int, block: int) -> bool:
+    """Whether every tile suits a region and scores are more than ``SPREAD`` bytes.
+
+    Fewer are better spread, as then a tile is what a task works on and not a region of them. One pass over the headers."""
+    edge = region_edge(block)
+    if tile is not None and not suits(tile, block=edge):
+        return False
+    n, t = F.col("frame"), F.col("tile")
+    cost = prod(((t[i] + edge) / edge for i in range(3)), start=F.lit(1.0))
+    each = prod((F.greatest(n[i], t[i]) / F.greatest(1 - F.col("overlap"), 1 / t[i]) for i in range(3)), start=F.lit(4.0 * num_classes))
+    most, total = with_tile(scans, tile, overlap).agg(F.max(cost), F.sum(each)).first()
+    return most is not None and most <= MOST_TWICE and total > SPREAD
+
+
+@lru_cache(4096)
+def _regions(n: int, tile: int, overlap: float, edge: int) -> list[tuple[int, list[int], int, int]]:
+    """Along an axis of n voxels, for each region: start, tiles that reach it, first and last voxel of these."""
+    out = []
+    for o in range(0, n, edge):
+        own = [w for w in _starts(n, tile, overlap) if w < o + edge and w + tile > o]
+        out.append((o, own, min(own), min(max(own) + tile, n)))
+    return out
+
+
+def blend_regions(blocks: DataFrame, scans: DataFrame, fn: Callable[[tuple, np.ndarray], np.ndarray], tile: Sequence[int] | None, num_classes: int,
+                  overlap: float | None = OVERLAP, block: int = BLOCK, value: str = "hu", channels: int = 1,
+                  weight: Callable[[Sequence[int]], np.ndarray] = bell) -> DataFrame:
+    """What ``tile_pieces``, ``map_tiles`` and ``blend_tiles`` give one after the other, a region of blocks in one task.
+
+    Parts of source blocks are shuffled, each to the regions whose tiles reach it; scores are not. A tile that reaches
+    several regions is worked out in each, so this is for tiles well below a region (``suits``)."""
+    edge = region_edge(block)
+
+    def cut(batches):
+        for b in batches:
+            for r, scan, boxes in _alike(b, value, channels):
+                corner, reach = [r["z0"], r["y0"], r["x0"]], []
+                for n, t, c, s in zip(r["frame"], r["tile"], corner, r["shape"], strict=True):
+                    reach.append([(o, low, max(low, c), min(high, c + s)) for o, _, low, high in _regions(n, t, r["overlap"], edge) if low < c + s and high > c])
+                part = np.array([r["overlap"]]).tobytes()
+                for z, y, x in product(*reach):
+                    own = boxes[(slice(None), *[slice(a - c, e - c) for (_, _, a, e), c in zip((z, y, x), corner, strict=True)])]
+                    meta = _meta(r["frame"], r["tile"], [w[2] - w[1] for w in (z, y, x)], own.shape[1:4])
+                    yield _same(scan, [z[0], y[0], x[0], meta, part], own, _REGION_SCHEMA)
+
+    def run(batches):
+        known: dict = {}
+        for scan, rows in _runs_alike(batches, BLOCK_KEYS):
+            corner, frame, tile = [rows[0][k] for k in BLOCK_KEYS[1:]], rows[0]["frame"], rows[0]["tile"]
+            part = float(np.frombuffer(rows[0]["step"])[0])
+            own = [_regions(n, t, part, edge)[o // edge] for n, t, o in zip(frame, tile, corner, strict=True)]
+            box = np.empty((len(scan), *[high - low for *_, low, high in own], channels), np.float32)
+            filled = 0
+            for r in rows:
+                box[(slice(None), *[slice(a, a + s) for a, s in zip(r["at"], r["shape"], strict=True)])] = r["data"].reshape(len(scan), *r["shape"], channels)
+                filled += prod(r["shape"])
+            if filled != prod(box.shape[1:4]):
+                raise ValueError(f"scan {scan[0]}, region at z{corner[0]} y{corner[1]} x{corner[2]}: {filled} of {prod(box.shape[1:4])} voxels present")
+            pad = [(0, max(0, max(starts) + t - high)) for (_, starts, _, high), t in zip(own, tile, strict=True)]
+            if any(p for _, p in pad):                   # a frame thinner than the tile: its last voxels are repeated
+                box = np.pad(box, [(0, 0), *pad, (0, 0)], mode="edge")
+            if tuple(tile) not in known:
+                known = {tuple(tile): weight(tuple(tile))[..., None]}
+            shape = [min(edge, n - o) for n, o in zip(frame, corner, strict=True)]
+            some = max(1, AT_ONCE // (prod(shape) * num_classes))
+            for i in range(0, len(scan), some):
+                ids = scan[i:i + some]
+                total, mass = np.zeros((len(ids), *shape, num_classes)), np.zeros((*shape, 1))
+                for start in product(*[starts for _, starts, _, _ in own]):
+                    at = tuple(slice(w - low, w - low + t) for w, (_, _, low, _), t in zip(start, own, tile, strict=True))
+                    out = _scored(fn, ids, start, box[(slice(i, i + some), *at)], tile, channels)
+                    if out.shape[-1] != num_classes:
+                        raise ValueError(f"{out.shape[-1]} classes, not {num_classes}")
+                    ends = [(max(w, o), min(w + t, o + s)) for w, t, o, s in zip(start, tile, corner, shape, strict=True)]
+                    inside = tuple(slice(a - w, e - w) for (a, e), w in zip(ends, start, strict=True))
+                    here = tuple(slice(a - o, e - o) for (a, e), o in zip(ends, corner, strict=True))
+                    w = known[tuple(tile)][inside]
+                    total[(slice(None), *here)] += w * out[(slice(None), *inside)]
+                    mass[here] += w
+                total /= np.maximum(mass, 1e-6)
+                for place in product(*[range(o, o + s, block) for o, s in zip(corner, shape, strict=True)]):
+                    here = tuple(slice(p - o, min(p - o + block, s)) for p, o, s in zip(place, corner, shape, strict=True))
+                    size = [s.stop - s.start for s in here]
+                    yield _blocks_alike(ids, place, size, total[(slice(None), *here)], "logit", pa.float64())
+
+    held = attach(blocks.select(*BLOCK_KEYS, "shape", value), with_tile(scans, tile, overlap), sized_by=scans, salt_by=("z0", "y0"))
+    dealt = _dealt(held.mapInArrow(cut, _REGION_PIECES), BLOCK_KEYS, ["meta"])
+    return dealt.mapInArrow(run, "scan_id long, z0 int, y0 int, x0 int, shape array<int>, logit array<double>")
+
+
+def blended(blocks: DataFrame, scans: DataFrame, fn: Callable[[tuple, np.ndarray], np.ndarray], tile: Sequence[int] | None, num_classes: int,
+            overlap: float | None = OVERLAP, block: int = BLOCK, value: str = "hu", channels: int = 1,
+            weight: Callable[[Sequence[int]], np.ndarray] = bell) -> DataFrame:
+    """Run ``fn(key, tile)`` on every tile and blend: blocks of logits. By regions (``_by_region``), else tile by tile."""
+    if _by_region(scans, tile, overlap, num_classes, block):
+        return blend_regions(blocks, scans, fn, tile, num_classes, overlap, block, value, channels, weight)
+    pieces = tile_pieces(blocks, scans, tile, overlap, value, channels)
+    return blend_tiles(map_tiles(pieces, fn, block, channels), num_classes, block, weight)
+
+
 def score_blocks(blocks: DataFrame, scans: DataFrame, score: Scorer, tile: Sequence[int] | None, num_classes: int,
                  overlap: float | None = OVERLAP, block: int = BLOCK, value: str = "hu") -> DataFrame:
     """Cut, score and blend every scan: blocks of logits on the scans' frames.
 
     Without ``tile`` or ``overlap``, each scan has its own (``fit_tile``), all in one job."""
-    pieces = tile_pieces(blocks, scans, tile, overlap, value)
-    return blend_tiles(score_tiles(pieces, score, block), num_classes, block)
+    return blended(blocks, scans, lambda _, box: score(box), tile, num_classes, overlap, block, value)

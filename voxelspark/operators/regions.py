@@ -17,19 +17,13 @@ from pyspark.sql import functions as F
 
 from voxelspark.functions.geometry import GRID_SPACING_MM, SIZE
 from voxelspark.functions.tiling import OVERLAP
-from voxelspark.operators.blocks import AT_ONCE, BLOCK, BLOCK_KEYS, TileError, _alike, _batch, _block_rows, _blocks_alike, _dealt, _meta, _rows, _runs, _runs_alike, _same, _starts, bell
+from voxelspark.operators.blocks import AT_ONCE, BLOCK, BLOCK_KEYS, TileError, _alike, _batch, _block_rows, _blocks_alike, _dealt, _meta, _rows, _runs, _runs_alike, _same, _starts, bell, suits  # noqa: F401
 from voxelspark.operators.resample import OUTSIDE_HU, resampled_headers
 from voxelspark.plans.attach import attach
 
 _PIECES = "scan_id long, z0 int, y0 int, x0 int, meta binary, step binary, data binary"
 _SCHEMA = pa.schema([("scan_id", pa.int64()), ("z0", pa.int32()), ("y0", pa.int32()), ("x0", pa.int32()),
                      ("meta", pa.binary()), ("step", pa.binary()), ("data", pa.binary())])
-MOST_TWICE = 2.0                # tiles scored for each that there is, on the average
-
-
-def suits(tile: Sequence[int], overlap: float = OVERLAP, block: int = BLOCK) -> bool:
-    """True where scoring a tile in every block it reaches costs at most ``MOST_TWICE`` the scores."""
-    return prod((block + t) / block for t in tile) <= MOST_TWICE
 
 
 def _axis(n: int, step: float, m: int, spacing: float, tile: int, overlap: float, block: int) -> list[tuple[int, list[int], int, int, int, int]]:
