@@ -710,3 +710,16 @@ def test_places_of_whole_planes_are_not_shuffled(spark):
     plane.count()
     ordered, other = _shuffled(spark, lambda: made("ordered", plane)), _shuffled(spark, lambda: made("mixed", mixed))
     assert out["ordered"] == out["mixed"] and 3 * ordered < other
+
+
+def test_few_blocks_are_read_at_once(spark, tmp_path):
+    """A reader's batch of 4,096 blocks would be gigabytes; it ends with the row group."""
+    import pyarrow.parquet as pq
+    rows = [(s, z, y, x, float(x)) for s in range(40) for z, y, x in itertools.product(range(3), repeat=3)]
+    table, scans = spark.createDataFrame(rows, "scan_id long, z int, y int, x int, hu float"), heads(spark, (3, 3, 3), scans=tuple(range(40)))
+    _, labels, grid = flows.segment_blocks(table, scans, lambda b: np.stack([b, -b]), (2, 2, 2), 2)
+    made = blocks.to_blocks(table, scans, 4)
+    volumes.write_blocks(made.coalesce(1), f"{tmp_path}/b", 1)
+    for df in (labels, spark.read.parquet(f"{tmp_path}/b")):
+        sizes = [m.row_group(i).num_rows for f in df.inputFiles() for m in [pq.ParquetFile(f.removeprefix("file://")).metadata] for i in range(m.num_row_groups)]
+        assert sum(sizes) == 40 and max(sizes) <= 16

@@ -75,11 +75,11 @@ def segment_blocks(voxels: DataFrame, scans: DataFrame, score: Scorer, tile: Seq
         source = blocks.to_blocks(turned, heads, block)
         logits, labels = (regions.resampled_scores(source, heads, grid, I.normalized, score, tile, num_classes, spacing, overlap, block, own)
                           for own in (False, True))
-        return logits, cut_lineage(labels), grid
+        return logits, cut_lineage(labels, arrays=True), grid
     fine = resample.resample_linear(turned, heads, spacing)
     ready = fine.withColumn("hu", I.normalize_ct(F.col("hu")).cast("float"))
-    logits = cut_lineage(score_volumes(ready, grid, score, tile, num_classes, overlap, block))
-    return logits, cut_lineage(blocks.argmax_blocks(logits, num_classes)), grid
+    logits = cut_lineage(score_volumes(ready, grid, score, tile, num_classes, overlap, block), arrays=True)
+    return logits, cut_lineage(blocks.argmax_blocks(logits, num_classes), arrays=True), grid
 
 
 def segment(voxels: DataFrame, scans: DataFrame, score: Scorer, tile: Sequence[int], num_classes: int,

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxelspark.operators.resample import resample_nearest
+from voxelspark.session import ARRAYS_AT_ONCE
 
 BUCKETS = 64
 SLAB = 32
@@ -25,15 +26,15 @@ def write_volumes(df: DataFrame, path: str, buckets: int = BUCKETS) -> None:
     _write(df, path, buckets, F.floor(F.col("z") / SLAB), ["z", "y", "x"])
 
 
-def _write(df: DataFrame, path: str, buckets: int, slab, place: Sequence[str]) -> None:
+def _write(df: DataFrame, path: str, buckets: int, slab, place: Sequence[str], **options) -> None:
     out = df.withColumn("buckets", F.lit(buckets)).withColumn("bucket", _bucket(F.col("scan_id"), buckets))
-    out.repartition("bucket", "scan_id", slab).sortWithinPartitions("bucket", "scan_id", *place).write.mode("overwrite").partitionBy(
+    out.repartition("bucket", "scan_id", slab).sortWithinPartitions("bucket", "scan_id", *place).write.mode("overwrite").options(**options).partitionBy(
         "buckets", "bucket").parquet(path)
 
 
 def write_blocks(blocks: DataFrame, path: str, buckets: int = BUCKETS) -> None:
     """Array blocks (``operators.blocks``) in scan buckets: a task holds one layer of one scan's blocks."""
-    _write(blocks, path, buckets, F.col("z0"), ["z0", "y0", "x0"])
+    _write(blocks, path, buckets, F.col("z0"), ["z0", "y0", "x0"], **ARRAYS_AT_ONCE)
 
 
 def read_blocks(spark: SparkSession, path: str, scan_ids: Sequence[int] | None = None,
