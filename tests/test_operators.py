@@ -723,3 +723,41 @@ def test_few_blocks_are_read_at_once(spark, tmp_path):
     for df in (labels, spark.read.parquet(f"{tmp_path}/b")):
         sizes = [m.row_group(i).num_rows for f in df.inputFiles() for m in [pq.ParquetFile(f.removeprefix("file://")).metadata] for i in range(m.num_row_groups)]
         assert sum(sizes) == 40 and max(sizes) <= 16
+
+
+def test_preview_shuffles_blocks_and_little_else(spark, tmp_path):
+    """The coarse grid by one shuffle of the source, written as blocks, its top quantile from the values near it: the same values."""
+    from voxelspark.operators import histogram, quantiles, regions
+    rng = np.random.default_rng(11)
+    rows = None
+    for k, shape in {1: (13, 10, 17), 2: (5, 3, 9)}.items():
+        own = voxels(spark, [(*map(int, p), float(v)) for p, v in np.ndenumerate(rng.integers(-1000, 2000, shape))], "hu float", scan=k)
+        rows = own if rows is None else rows.unionByName(own)
+    scans = heads(spark, (17, 10, 13), (0.9, 0.4, 1.3), scans=(1,)).unionByName(heads(spark, (9, 3, 5), scans=(2,)))
+    rows = rows.cache()
+    rows.count()
+    out = {}
+    def plain():
+        smooth = halo.gaussian_blocks(blocks.to_blocks(rows, scans, 8), scans, 0.6, 8)
+        out["two"] = sorted(map(tuple, regions.resampled_blocks(smooth, scans, 0.7, 8).collect()))
+    def whole():
+        out["one"] = sorted(map(tuple, regions.resampled_blocks(blocks.to_blocks(rows, scans, 8), scans, 0.7, 8, smooth=halo.gaussian(0.6)).collect()))
+    large, small = _shuffled(spark, plain), _shuffled(spark, whole)
+    assert out["one"] == out["two"] and len(out["one"]) > 8 and small < large
+    coarse, levels = flows.preview_grid(rows, scans, 0.7, 0.6, 8)
+    assert sorted(map(tuple, coarse.collect())) == out["two"]
+    each = blocks.voxels_of(coarse, "hu").cache()
+    inside = histogram.inside_fov(each)
+    top = {r.scan_id: r.value for r in quantiles.quantiles(inside, ["scan_id"], "hu", [histogram.TOP_FRACTION]).collect()}
+    few, got = histogram.FEW, sorted(map(tuple, levels.collect()))
+    assert [r[3] for r in got] == [max(top[r[0]], r[2] + 1.0) for r in got] and any(r[3] == top[r[0]] for r in got)
+    try:
+        histogram.FEW = 3                                # one scan has more values in the bin and above
+        assert sorted(map(tuple, histogram.otsu_thresholds(inside).collect())) == got
+    finally:
+        histogram.FEW = few
+    small = _shuffled(spark, lambda: preview.save_preview(coarse, levels.limit(0), f"{tmp_path}/blocks"))
+    large = _shuffled(spark, lambda: preview.save_preview(each, levels.limit(0), f"{tmp_path}/rows"))
+    a, b = (sorted(map(tuple, volumes.read_volumes(spark, f"{tmp_path}/{d}/grid").select("scan_id", "z", "y", "x", "hu").collect())) for d in ("blocks", "rows"))
+    assert a == b and len(a) == each.count()
+    assert 3 * small < large

@@ -72,8 +72,8 @@ def with_halo(blocks: DataFrame, scans: DataFrame, reach: Callable[[np.ndarray],
         run, f"scan_id long, z0 int, y0 int, x0 int, shape array<int>, {value} array<double>")
 
 
-def gaussian_blocks(blocks: DataFrame, scans: DataFrame, sigma_mm: float = PREVIEW_SIGMA_MM, block: int = BLOCK, value: str = "hu") -> DataFrame:
-    """Separable Gaussian of blocks, truncated at three sigma, edges repeated: same sigma in millimetres on every axis.
+def gaussian(sigma_mm: float = PREVIEW_SIGMA_MM) -> tuple[Callable[[np.ndarray], list[int]], Callable[[np.ndarray, np.ndarray], np.ndarray]]:
+    """Reach and filter of a separable Gaussian, truncated at three sigma: same sigma in millimetres on every axis.
 
     An approximation of a recursive filter with finite support."""
     def reach(step):
@@ -90,4 +90,9 @@ def gaussian_blocks(blocks: DataFrame, scans: DataFrame, sigma_mm: float = PREVI
                 total += weight[j] * box[j:j + n]
             box = np.moveaxis(total / weight.sum(), 0, axis)
         return box
-    return with_halo(blocks, scans, reach, smooth, block, value)
+    return reach, smooth
+
+
+def gaussian_blocks(blocks: DataFrame, scans: DataFrame, sigma_mm: float = PREVIEW_SIGMA_MM, block: int = BLOCK, value: str = "hu") -> DataFrame:
+    """``gaussian`` of blocks, edges repeated."""
+    return with_halo(blocks, scans, *gaussian(sigma_mm), block, value)

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from voxelspark.operators.quantiles import bin_of, extents, quantiles
+from voxelspark.operators.quantiles import FEW, bin_of, extents, quantiles
 from voxelspark.plans.attach import attach
 from voxelspark.session import cut_lineage
 
@@ -60,25 +60,47 @@ def best_split(counts: np.ndarray) -> tuple[int, int]:
 
 
 def _cut_bins(hist: pd.Series) -> pd.Series:
-    return hist.map(lambda h: list(best_split(np.asarray(h, dtype=np.int64))))
+    """The two cuts, the bin of the ``TOP_FRACTION`` quantile, values in it or above, and all values."""
+    def cuts(counts):
+        upto = np.cumsum(counts)
+        top = int(np.searchsorted(upto, np.floor(TOP_FRACTION * (upto[-1] - 1)), side="right"))
+        return [*best_split(counts), top, int(upto[-1] - upto[top] + counts[top]), int(upto[-1])]
+    return hist.map(lambda h: cuts(np.asarray(h, dtype=np.int64)))
+
+
+def _top(voxels: DataFrame, cuts: DataFrame, ends: DataFrame, bins: int) -> DataFrame:
+    """The ``TOP_FRACTION`` quantile per scan, from the values in its bin or above; these are sorted if they are few."""
+    facts = cuts.select("scan_id", "first", "bin_width", F.col("c")[2].alias("top"), F.col("c")[3].alias("kept"), F.col("c")[4].alias("rows"))
+    v = F.col("hu").cast("double")
+    rows = voxels.select("scan_id", (v + F.lit(0.0)).alias("hu")).filter(v.isNotNull() & ~F.isnan(v))           # one zero
+    rows = attach(rows, facts.filter(F.col("kept") <= FEW), row_bytes=64, salt_by=("hu",))
+    rows = rows.filter(bin_of(F.col("hu"), F.col("first"), F.col("bin_width"), bins) >= F.col("top"))
+    one = rows.groupBy("scan_id", "kept", "rows").agg(F.sort_array(F.collect_list("hu")).alias("vs"))
+    p = F.lit(TOP_FRACTION) * (F.col("rows") - 1)
+    low, high = (F.get("vs", (f(p) - (F.col("rows") - F.col("kept"))).cast("int")) for f in (F.floor, F.ceil))
+    few = one.select("scan_id", (low + (high - low) * (p - F.floor(p))).alias("value"))
+    many = facts.filter(F.col("kept") > FEW).select("scan_id")
+    if many.isEmpty():
+        return few
+    rest = quantiles(attach(voxels, many, row_bytes=64, salt_by=("hu",)), ["scan_id"], "hu", [TOP_FRACTION], ends=ends.join(many, "scan_id"))
+    return few.unionByName(rest.select("scan_id", "value"))
 
 
 def otsu_thresholds(voxels: DataFrame, bins: int = BINS) -> DataFrame:
     """Per scan ``low``, ``auto`` (upper bin edges of the two cuts) and ``high``.
 
-    ``high`` is the 99.5th percentile, at least ``auto + 1``. Voxels are read four
+    ``high`` is the 99.5th percentile, at least ``auto + 1``. Voxels are read three
     times, into sums of some rows a scan; none is shuffled but those near ``high``.
     """
-    cut_bins = F.pandas_udf(_cut_bins, T.ArrayType(T.IntegerType()))
+    cut_bins = F.pandas_udf(_cut_bins, T.ArrayType(T.LongType()))
     ends = cut_lineage(extents(voxels, ["scan_id"], "hu"))
     hist = histogram(voxels, ends, bins)
     filled = hist.groupBy("scan_id", "first", "bin_width").agg(
         F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("m"))
     arrays = filled.select("scan_id", "first", "bin_width", F.transform(
         F.sequence(F.lit(0), F.lit(bins - 1)), lambda b: F.coalesce(F.col("m")[b], F.lit(0))).alias("h"))
-    cuts = arrays.select("scan_id", "first", "bin_width", cut_bins("h").alias("c"))
+    cuts = cut_lineage(arrays.select("scan_id", "first", "bin_width", cut_bins("h").alias("c")))
     edge = [F.col("first") + F.col("bin_width") * (F.col("c")[i] + 1) for i in (0, 1)]
-    cuts = cuts.select("scan_id", edge[0].alias("low"), edge[1].alias("auto"))
-    top = quantiles(voxels, ["scan_id"], "hu", [TOP_FRACTION], ends=ends)
-    return cuts.join(top, "scan_id").select(
+    found = cuts.select("scan_id", edge[0].alias("low"), edge[1].alias("auto"))
+    return found.join(_top(voxels, cuts, ends, bins), "scan_id").select(
         "scan_id", "low", "auto", F.greatest(F.col("value"), F.col("auto") + 1.0).alias("high"))

@@ -50,25 +50,31 @@ def _linear(box: np.ndarray, axis: int, first: int, n: int, step: float, low: in
     return np.moveaxis(out, -1, axis)
 
 
-def resampled_blocks(blocks: DataFrame, scans: DataFrame, spacing: float = GRID_SPACING_MM, block: int = BLOCK, value: str = "hu") -> DataFrame:
+def resampled_blocks(blocks: DataFrame, scans: DataFrame, spacing: float = GRID_SPACING_MM, block: int = BLOCK, value: str = "hu",
+                     smooth: tuple[Callable[[np.ndarray], list[int]], Callable[[np.ndarray, np.ndarray], np.ndarray]] | None = None) -> DataFrame:
     """Blocks (double) on the isotropic grid of ``resampled_headers``: the values of ``resample_linear``, voxels never rows.
 
-    What is shuffled are parts of source blocks, each to the blocks of the grid whose voxels lie in or next to it."""
-    def sources(n, step, m):
-        """For each block of the grid along an axis: start, end, source range."""
+    What is shuffled are parts of source blocks, each to the blocks of the grid whose voxels lie in or next to it. ``smooth`` is
+    a reach and a filter (``halo.gaussian``) that goes first, on parts that reach further: what it gives is not shuffled."""
+    def reach(step):
+        return smooth[0](np.array(step)) if smooth else [0, 0, 0]
+
+    def sources(n, step, m, far):
+        """For each block of the grid along an axis: start, end, source range, and the range that this is filtered from."""
         for o in range(0, m, block):
             e = min(o + block, m)
-            yield o, e, min(int(np.floor(o * spacing / step)), n - 1), min(int(np.floor((e - 1) * spacing / step)) + 2, n)
+            a, b = min(int(np.floor(o * spacing / step)), n - 1), min(int(np.floor((e - 1) * spacing / step)) + 2, n)
+            yield o, e, a, b, max(a - far, 0), min(b + far, n)
 
     def cut(batches):
         for b in batches:
             for r, scan, boxes in _alike(b, value):
-                boxes, corner, step = boxes[..., 0].astype(float), [r["z0"], r["y0"], r["x0"]], np.array(r["step"])
-                reach = [[(o, a, max(a, c), min(e, c + k)) for o, _, a, e in sources(n, s, m) if a < c + k and e > c]
-                         for n, s, m, c, k in zip(r["frame"], r["step"], r["fine"], corner, r["shape"], strict=True)]
-                for z in reach[0]:
-                    for y in reach[1]:
-                        for x in reach[2]:
+                boxes, corner, step = boxes[..., 0].astype(np.float32 if smooth else float), [r["z0"], r["y0"], r["x0"]], np.array(r["step"])
+                each = [[(o, a, max(a, c), min(e, c + k)) for o, _, _, _, a, e in sources(n, s, m, far) if a < c + k and e > c]
+                        for n, s, m, far, c, k in zip(r["frame"], r["step"], r["fine"], reach(r["step"]), corner, r["shape"], strict=True)]
+                for z in each[0]:
+                    for y in each[1]:
+                        for x in each[2]:
                             own = boxes[(slice(None), *[slice(a - c, e - c) for (_, _, a, e), c in zip((z, y, x), corner, strict=True)])]
                             meta = _meta(r["frame"], r["fine"], [w[2] - w[1] for w in (z, y, x)], own.shape[1:])
                             yield _same(scan, [z[0], y[0], x[0], meta, step.tobytes()], np.ascontiguousarray(own).view(np.float32), _SCHEMA)
@@ -77,21 +83,25 @@ def resampled_blocks(blocks: DataFrame, scans: DataFrame, spacing: float = GRID_
         for scan, rows in _runs_alike(batches, BLOCK_KEYS):
             key, frame, fine = [rows[0][k] for k in BLOCK_KEYS], rows[0]["frame"], rows[0]["tile"]
             step = np.frombuffer(rows[0]["step"]).tolist()
-            own = [next(s for s in sources(n, d, m) if s[0] == o) for n, d, m, o in zip(frame, step, fine, key[1:], strict=True)]
-            box = np.empty([len(scan), *[e - a for _, _, a, e in own]])
+            far = reach(step)
+            own = [next(s for s in sources(n, d, m, k) if s[0] == o) for n, d, m, k, o in zip(frame, step, fine, far, key[1:], strict=True)]
+            box = np.empty([len(scan), *[e - a for *_, a, e in own]], np.float32 if smooth else float)
             filled = 0
             for r in rows:
-                data = np.ascontiguousarray(r["data"]).view(np.float64)         # doubles, sent as pairs of floats
+                data = r["data"] if smooth else np.ascontiguousarray(r["data"]).view(np.float64)         # doubles, sent as pairs of floats
                 box[(slice(None), *[slice(a, a + s) for a, s in zip(r["at"], r["shape"], strict=True)])] = data.reshape(-1, *r["shape"])
                 filled += prod(r["shape"])
             if filled != prod(box.shape[1:]):
                 raise ValueError(f"scan {key[0]}, block at z{key[1]} y{key[2]} x{key[3]}: {filled} of {prod(box.shape[1:])} voxels present")
-            shape = [e - o for o, e, _, _ in own]
-            some = max(1, AT_ONCE // max(prod(shape), prod(box.shape[1:])))
+            shape = [e - o for o, e, *_ in own]
+            pad = [(0, 0), *[(k - (a - low), k - (high - b)) for (_, _, a, b, low, high), k in zip(own, far, strict=True)]]
+            some = max(1, AT_ONCE // max(prod(shape), prod(n + x + y for n, (x, y) in zip(box.shape[1:], pad[1:], strict=True))))
             for i in range(0, len(scan), some):
                 out = box[i:i + some]
+                if smooth:
+                    out = smooth[1](np.pad(out.astype(float), pad, mode="edge"), np.array(step))
                 for axis in (2, 1, 0):
-                    low, high, first, _ = own[axis]
+                    low, high, first, *_ = own[axis]
                     out = _linear(out, axis + 1, first, frame[axis], step[axis], low, high, spacing)
                 yield _blocks_alike(scan[i:i + some], key[1:], shape, out, value, pa.float64())
 

@@ -105,10 +105,10 @@ def class_report(labels: DataFrame, scans: DataFrame, block: int = C.BLOCK) -> D
 
 def preview_grid(voxels: DataFrame, scans: DataFrame, spacing: float = resample.PREVIEW_SPACING_MM,
                  sigma_mm: float = resample.PREVIEW_SIGMA_MM, block: int = blocks.BLOCK) -> tuple[DataFrame, DataFrame]:
-    """The smoothed coarse grid and its thresholds, ready for ``sources.preview``."""
-    smooth = halo.gaussian_blocks(blocks.to_blocks(voxels, scans, block), scans, sigma_mm, block)
-    coarse = blocks.voxels_of(cut_lineage(regions.resampled_blocks(smooth, scans, spacing, block)), "hu")
-    return coarse, histogram.otsu_thresholds(histogram.inside_fov(coarse))
+    """Blocks of the smoothed coarse grid and its thresholds, ready for ``sources.preview``."""
+    source = blocks.to_blocks(voxels, scans, block)
+    coarse = cut_lineage(regions.resampled_blocks(source, scans, spacing, block, smooth=halo.gaussian(sigma_mm)), arrays=True)
+    return coarse, histogram.otsu_thresholds(histogram.inside_fov(blocks.voxels_of(coarse, "hu")))
 
 
 def evaluate(truth: DataFrame, ours: DataFrame, other: DataFrame) -> DataFrame:

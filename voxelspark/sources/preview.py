@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxelspark.functions.intensity import DEFAULT_DENSITY, density_to_threshold
+from voxelspark.operators.blocks import BLOCK_KEYS
 from voxelspark.plans.attach import attach
 from voxelspark.sources.volumes import read_volumes, write_volumes
 
@@ -14,8 +15,11 @@ GONE = "the preview data is gone: build the preview again"
 
 
 def save_preview(grid: DataFrame, thresholds: DataFrame, path: str) -> None:
-    """Intensities rounded to 16 bits, and low/auto/high per scan."""
-    write_volumes(grid.select("scan_id", "z", "y", "x", F.rint("hu").cast("short").alias("hu")), f"{path}/grid")
+    """Intensities rounded to 16 bits, and low/auto/high per scan. ``grid``: rows, or blocks, whose voxels are shuffled as such."""
+    if "shape" in grid.columns:
+        write_volumes(grid.select(*BLOCK_KEYS, "shape", F.transform("hu", lambda v: F.rint(v).cast("short")).alias("hu")), f"{path}/grid")
+    else:
+        write_volumes(grid.select("scan_id", "z", "y", "x", F.rint("hu").cast("short").alias("hu")), f"{path}/grid")
     thresholds.select("scan_id", "low", "auto", "high").write.mode("overwrite").parquet(f"{path}/thresholds")
 
 

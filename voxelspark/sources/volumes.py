@@ -6,11 +6,13 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from voxelspark.operators.blocks import BLOCK_KEYS, voxels_of
 from voxelspark.operators.resample import resample_nearest
 from voxelspark.session import ARRAYS_AT_ONCE
 
 BUCKETS = 64
 SLAB = 32
+SORTED = 1 << 22                # voxels of blocks that a task sorts, so that none are spilled
 
 
 def _bucket(scan_id, buckets: int):
@@ -21,8 +23,18 @@ def write_volumes(df: DataFrame, path: str, buckets: int = BUCKETS) -> None:
     """Parquet in scan buckets, sorted so that row groups cover small coordinate ranges.
 
     The number of buckets is part of the path, so readers need not know it. Tasks are cut by
-    scan and slab of planes: a large scan is written by many tasks, a small one by few.
+    scan and slab of planes: a large scan is written by many tasks, a small one by few. Array blocks
+    are dealt out as such and become rows, of the one array they hold, in the task that writes them.
     """
+    if "shape" in df.columns:
+        value, = (c for c in df.columns if c not in (*BLOCK_KEYS, "shape"))
+        n = F.col("shape")
+        total = df.agg(F.sum(n[0].cast("long") * n[1] * n[2])).first()[0] or 0
+        tasks = max(df.sparkSession.sparkContext.defaultParallelism, total // SORTED)
+        dealt = df.repartition(tasks, _bucket(F.col("scan_id"), buckets), "scan_id", "z0")
+        rows = voxels_of(dealt, value).withColumn("buckets", F.lit(buckets)).withColumn("bucket", _bucket(F.col("scan_id"), buckets))
+        rows.sortWithinPartitions("bucket", "scan_id", "z", "y", "x").write.mode("overwrite").partitionBy("buckets", "bucket").parquet(path)
+        return
     _write(df, path, buckets, F.floor(F.col("z") / SLAB), ["z", "y", "x"])
 
 
